@@ -1,31 +1,36 @@
 """Fixed values of the date rules: formats, patterns, name hints, ranges."""
 
-# Date formats in the order they are tried (Spark pattern, strptime pattern).
+# Date formats in the order they are tried
+# (Spark pattern, strptime pattern, shape of a text the pattern can read).
 DATE_FORMATS = [
-    ("yyyy-M-d", "%Y-%m-%d"),
-    ("M/d/yyyy", "%m/%d/%Y"),
-    ("d/M/yyyy", "%d/%m/%Y"),
-    ("yyyy/M/d", "%Y/%m/%d"),
-    ("M-d-yyyy", "%m-%d-%Y"),
-    ("d-M-yyyy", "%d-%m-%Y"),
-    ("yyyy.M.d", "%Y.%m.%d"),
-    ("d.M.yyyy", "%d.%m.%Y"),
-    ("yyyy-M-d H:m:s", "%Y-%m-%d %H:%M:%S"),
-    ("M/d/yyyy H:m:s", "%m/%d/%Y %H:%M:%S"),
-    ("d/M/yyyy H:m:s", "%d/%m/%Y %H:%M:%S"),
-    ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyy-M-d H:m:s.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"),
-    ("MMM d, yyyy", "%b %d, %Y"),
-    ("MMMM d, yyyy", "%B %d, %Y"),
-    ("d MMM yyyy", "%d %b %Y"),
-    ("d MMMM yyyy", "%d %B %Y"),
-    ("M/d/yy", "%m/%d/%y"),
-    ("d/M/yy", "%d/%m/%y"),
-    ("yy/M/d", "%y/%m/%d"),
-    ("d-MMM-yyyy", "%d-%b-%Y"),
-    ("yyyyMMdd", "%Y%m%d"),
+    ("yyyy-M-d", "%Y-%m-%d", r"\d{4}-\d{1,2}-\d{1,2}"),
+    ("M/d/yyyy", "%m/%d/%Y", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("d/M/yyyy", "%d/%m/%Y", r"\d{1,2}/\d{1,2}/\d{4}"),
+    ("yyyy/M/d", "%Y/%m/%d", r"\d{4}/\d{1,2}/\d{1,2}"),
+    ("M-d-yyyy", "%m-%d-%Y", r"\d{1,2}-\d{1,2}-\d{4}"),
+    ("d-M-yyyy", "%d-%m-%Y", r"\d{1,2}-\d{1,2}-\d{4}"),
+    ("yyyy.M.d", "%Y.%m.%d", r"\d{4}\.\d{1,2}\.\d{1,2}"),
+    ("d.M.yyyy", "%d.%m.%Y", r"\d{1,2}\.\d{1,2}\.\d{4}"),
+    ("yyyy-M-d H:m:s", "%Y-%m-%d %H:%M:%S", r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}"),
+    ("M/d/yyyy H:m:s", "%m/%d/%Y %H:%M:%S", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}"),
+    ("d/M/yyyy H:m:s", "%d/%m/%Y %H:%M:%S", r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}"),
+    ("yyyy-M-d'T'H:m:s", "%Y-%m-%dT%H:%M:%S", r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}"),
+    ("yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "%Y-%m-%d %H:%M:%S.%f",
+     r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}"),
+    ("MMM d, yyyy", "%b %d, %Y", r"[A-Za-z]{3} \d{1,2}, \d{4}"),
+    ("MMMM d, yyyy", "%B %d, %Y", r"[A-Za-z]{3,9} \d{1,2}, \d{4}"),
+    ("d MMM yyyy", "%d %b %Y", r"\d{1,2} [A-Za-z]{3} \d{4}"),
+    ("d MMMM yyyy", "%d %B %Y", r"\d{1,2} [A-Za-z]{3,9} \d{4}"),
+    ("M/d/yy", "%m/%d/%y", r"\d{1,2}/\d{1,2}/\d{2}"),
+    ("d/M/yy", "%d/%m/%y", r"\d{1,2}/\d{1,2}/\d{2}"),
+    ("yy/M/d", "%y/%m/%d", r"\d{2}/\d{1,2}/\d{1,2}"),
+    ("d-MMM-yyyy", "%d-%b-%Y", r"\d{1,2}-[A-Za-z]{3}-\d{4}"),
+    ("yyyyMMdd", "%Y%m%d", r"\d{8}"),
 ]
 
+# No listed format reads a longer text.
+LONGEST_DATE = 40
+
 # Texts in a table column that look like a date.
 TABLE_DATE_PATTERNS = [
     r"\b\d{4}-\d{2}-\d{2}\b",

@@ -19,13 +19,20 @@ from tabsmith.functions.stats import share
 from tabsmith.operators.ordered import over_preceding
 
 
-def by_format(c: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(pattern))
+def by_format(c: Column, pattern: str, shape: str) -> Column:
+    """Parse by one pattern; only texts of the right shape are tried, because a
+    failed parse costs an exception. Two-digit years from 69 are 19xx."""
+    parsed = F.try_to_timestamp(c, F.lit(pattern))
+    if "yyyy" not in pattern:
+        earlier = parsed - F.make_interval(years=F.lit(100))
+        parsed = F.when(F.year(parsed) >= 2069, earlier).otherwise(parsed)
+    return F.when(c.rlike(f"^{shape}$"), parsed)
 
 
 def parse_listed(c: Column) -> Column:
     """First listed format that parses."""
-    return F.coalesce(*[by_format(c, p) for p, _ in rules.DATE_FORMATS])
+    tried = F.coalesce(*[by_format(c, p, shape) for p, _, shape in rules.DATE_FORMATS])
+    return F.when((F.length(c) <= rules.LONGEST_DATE) & c.rlike(r"\d"), tried)
 
 
 def flexible_timestamp(c: Column) -> Column:
@@ -35,7 +42,8 @@ def flexible_timestamp(c: Column) -> Column:
     eight-digit form the list names.
     """
     plain = F.trim(c)
-    return F.coalesce(F.when(plain.rlike(r"\D"), plain.try_cast("timestamp")), parse_listed(plain))
+    iso = F.when(plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
+    return F.coalesce(iso, parse_listed(plain))
 
 
 def looks_like_date(c: Column, patterns: list[str]) -> Column:
@@ -176,11 +184,11 @@ def score_time_columns(df: DataFrame, order: str | None = None) -> DataFrame:
 def format_coverage(df: DataFrame, column: str) -> DataFrame:
     """C4 evidence: (position, format, hits, values) for each listed format."""
     c = col(column)
-    aggs = [F.count(by_format(c, p)).alias(f"n{i}") for i, (p, _) in enumerate(rules.DATE_FORMATS)]
+    aggs = [F.count(by_format(c, p, shape)).alias(f"n{i}") for i, (p, _, shape) in enumerate(rules.DATE_FORMATS)]
     one = df.agg(F.count(c).alias("values"), *aggs)
     cells = [
         F.struct(F.lit(i + 1).alias("position"), F.lit(f).alias("format"), F.col(f"n{i}").alias("hits"))
-        for i, (_, f) in enumerate(rules.DATE_FORMATS)
+        for i, (_, f, _) in enumerate(rules.DATE_FORMATS)
     ]
     return one.select("values", F.explode(F.array(*cells)).alias("r")).select("r.*", "values")
 
@@ -196,7 +204,11 @@ def detect_date_format(df: DataFrame, column: str) -> str | None:
 
 def parse_mixed_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per value, the first listed format, else a flexible parse, else null."""
-    parsed = {c: F.coalesce(parse_listed(F.trim(col(c))), F.trim(col(c)).try_cast("timestamp")) for c in columns}
+    parsed = {}
+    for c in columns:
+        plain = F.trim(col(c))
+        loose = F.when((F.length(plain) <= rules.LONGEST_DATE) & plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
+        parsed[c] = F.coalesce(parse_listed(plain), loose)
     return select_with(df, parsed)
 
 
@@ -204,11 +216,15 @@ def two_readings(c: Column) -> tuple[Column, Column]:
     """(day first, month first) readings of a text; ISO texts read the same."""
     plain = F.trim(c)
     iso = F.when(plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
-    rest = [p for p, _ in rules.DATE_FORMATS]
-    day = [p for p in rest if p.startswith("d")]
-    month = [p for p in rest if p.startswith("M")]
-    other = [p for p in rest if not p.startswith(("d", "M"))]
-    attempt = lambda first, second: F.coalesce(iso, *[by_format(plain, p) for p in [*other, *first, *second]])
+    rest = [(p, shape) for p, _, shape in rules.DATE_FORMATS]
+    day = [f for f in rest if f[0].startswith("d")]
+    month = [f for f in rest if f[0].startswith("M")]
+    other = [f for f in rest if not f[0].startswith(("d", "M"))]
+
+    def attempt(first, second):
+        tried = F.coalesce(iso, *[by_format(plain, *f) for f in [*other, *first, *second]])
+        return F.when((F.length(plain) <= rules.LONGEST_DATE) & plain.rlike(r"\d"), tried)
+
     return attempt(day, month), attempt(month, day)
 
 

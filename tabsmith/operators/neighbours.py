@@ -11,7 +11,7 @@ difference in any shared feature, which gives a safe range to search:
    found there. Its k-th distance so far bounds how far a better donor can be.
 4. Buckets within that bound are searched; the result is exact.
 
-Ties are ordered by the donor's values, so no row identity is needed.
+Ties are ordered by the donor's values in the order of the features, so no row identity is needed.
 """
 
 from __future__ import annotations
@@ -76,18 +76,19 @@ def nearest_means(
     asked = asked.withColumn("rmask", _mask([f"r{i}" for i in range(d)])).filter("rmask > 0")
     asked = asked.select("*", F.explode("_wanted").alias("g")).drop("_wanted")
 
-    found = _search(asked, pool, d, splits, k, 0)
+    tie = [f"d{order.index(c)}" for c in features]
+    found = _search(asked, pool, d, splits, k, 0, tie)
     reach = 0
     if buckets > 1:
         best = materialise(_kth(found, d, k), "bounds")
         while best.filter("bound is null").limit(1).count() and reach < buckets:
             reach = 4 * reach + 2
             open_rows = best.filter("bound is null").drop("bound")
-            wider = _kth(_search(open_rows, pool, d, splits, k, reach), d, k)
+            wider = _kth(_search(open_rows, pool, d, splits, k, reach, tie), d, k)
             best = materialise(best.filter("bound is not null").unionByName(wider), "bounds")
         # Receivers with fewer than k donors in all buckets keep an open bound.
         bounded = best.withColumn("bound", F.coalesce(F.col("bound") * SLACK, F.lit(float("inf"))))
-        found = _search(bounded, pool, d, splits, k, None)
+        found = _search(bounded, pool, d, splits, k, None, tie)
     keys = [f"r{i}" for i in range(d)] + ["g"]
     earlier = W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     taken = F.least(F.col("w"), k - F.coalesce(F.sum("w").over(earlier), F.lit(0)))
@@ -129,7 +130,7 @@ def _bucketed(df: DataFrame, inputs: list[str], outputs: list[str], splits) -> D
     return placed.withColumns({o: F.col(o).cast("int") for o in outputs})
 
 
-def _search(asked, pool, d, splits, k, reach):
+def _search(asked, pool, d, splits, k, reach, tie):
     """Top-k distinct donors per receiver and group, with `place`, `dist`, `w`.
 
     `reach` widens the receiver's own bucket on both sides; None searches the
@@ -201,9 +202,9 @@ def _search(asked, pool, d, splits, k, reach):
         F.get("choices", F.col("g")).alias("chosen"),
         "w",
         F.sqrt(square * float(d) / shared).alias("dist"),
-        *[f"d{i}" for i in range(d)],
+        *tie,
     ).filter("chosen is not null")
-    window = W.partitionBy(*keys).orderBy("dist", *[f"d{i}" for i in range(d)], "chosen")
+    window = W.partitionBy(*keys).orderBy("dist", *tie, "chosen")
     top = scored.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k)
     top = top.select(*keys, "place", "dist", "w", "chosen")
     base = asked.select(*keys, "rmask", *(["bound"] if "bound" in asked.columns else []))
