@@ -192,10 +192,8 @@ def _search(asked, pool, d, splits, k, reach, tie):
     ask = ask.join(prefixes, (F.col("f") == F.col("of")) & (F.col("rmask").bitwiseAND(F.col("oprefix")) == 0))
     ask = ask.select(*keys, "rmask", "f", F.col("oprefix").alias("prefix"), F.explode(F.sequence("lo", "hi")).alias("b"))
     pairs = ask.join(offer, (F.col("f") == F.col("of")) & (F.col("prefix") == F.col("oprefix")) & (F.col("b") == F.col("ob")))
-    square = reduce(
-        lambda a, b: a + b,
-        [F.coalesce((F.col(f"r{i}") - F.col(f"d{i}")) * (F.col(f"r{i}") - F.col(f"d{i}")), F.lit(0.0)) for i in range(d)],
-    )
+    gap = {n: F.col("r" + n[1:]) - F.col(n) for n in tie}
+    square = reduce(lambda a, b: a + b, [F.coalesce(gap[n] * gap[n], F.lit(0.0)) for n in tie])
     shared = F.bit_count(F.col("rmask").bitwiseAND(F.col("dmask")))
     scored = pairs.select(
         *keys,

@@ -261,11 +261,11 @@ def knn_part(t):
     """WITH u AS (SELECT CASE WHEN p_partkey % 17 <> 0 THEN p_size END::DOUBLE AS p_size, CASE WHEN p_partkey % 19 <> 3 THEN p_retailprice END AS p_retailprice,
         CASE WHEN p_partkey % 23 <> 5 THEN p_type END AS p_type, p_partkey::DOUBLE AS p_partkey FROM part),
     d AS (SELECT r.p_partkey AS k, 'size' AS what, o.p_size AS v, sqrt((coalesce((r.p_partkey - o.p_partkey) * (r.p_partkey - o.p_partkey), 0) + coalesce((r.p_retailprice - o.p_retailprice) * (r.p_retailprice - o.p_retailprice), 0)) * 3.0
-            / (1 + (r.p_retailprice IS NOT NULL AND o.p_retailprice IS NOT NULL)::INT)) AS dist, o.p_partkey AS o1 FROM u r JOIN u o ON r.p_size IS NULL AND o.p_size IS NOT NULL
+            / (1 + (r.p_retailprice IS NOT NULL AND o.p_retailprice IS NOT NULL)::INT)) AS dist, o.p_size AS o1, o.p_retailprice AS o2, o.p_partkey AS o3 FROM u r JOIN u o ON r.p_size IS NULL AND o.p_size IS NOT NULL
           UNION ALL
           SELECT r.p_partkey, 'price', o.p_retailprice, sqrt((coalesce((r.p_partkey - o.p_partkey) * (r.p_partkey - o.p_partkey), 0) + coalesce((r.p_size - o.p_size) * (r.p_size - o.p_size), 0)) * 3.0
-            / (1 + (r.p_size IS NOT NULL AND o.p_size IS NOT NULL)::INT)), o.p_partkey FROM u r JOIN u o ON r.p_retailprice IS NULL AND o.p_retailprice IS NOT NULL),
-    n AS (SELECT k, what, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY k, what ORDER BY dist, o1) AS rn FROM d) WHERE rn <= 5 GROUP BY 1, 2),
+            / (1 + (r.p_size IS NOT NULL AND o.p_size IS NOT NULL)::INT)), o.p_size, o.p_retailprice, o.p_partkey FROM u r JOIN u o ON r.p_retailprice IS NULL AND o.p_retailprice IS NOT NULL),
+    n AS (SELECT k, what, avg(v) AS v FROM (SELECT *, row_number() OVER (PARTITION BY k, what ORDER BY dist, o1 NULLS FIRST, o2 NULLS FIRST, o3) AS rn FROM d) WHERE rn <= 5 GROUP BY 1, 2),
     m AS (SELECT p_type FROM u WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 1)
     SELECT round(coalesce(u.p_size, a.v), 4) AS p_size, round(coalesce(u.p_retailprice, b.v), 4) AS p_retailprice, u.p_partkey, coalesce(u.p_type, (SELECT p_type FROM m)) AS p_type, """
     + ", ".join(f"coalesce(u.p_type, (SELECT p_type FROM m)) = '{v}' AS \"p_type_{v}\"" for v in ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
