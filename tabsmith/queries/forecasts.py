@@ -44,9 +44,9 @@ def evaluated(t):
     return fc.evaluate(train, test, horizon, {n: every[n] for n in NAMES})
 
 
-@query("g10_forecast_metrics", f"SELECT series, model, 'success' AS status, round(smape, 4) AS smape, round(mape, 4) AS mape, round(mae, 2) AS mae, round(rmse, 2) AS rmse FROM ({BOARD})")
+@query("g10_forecast_metrics", f"SELECT series, model, 'success' AS status, round(smape, 4) AS smape, round(mape, 4) AS mape, round(mae, 6) AS mae, round(rmse, 4) AS rmse FROM ({BOARD})")
 def metrics(t):
-    return rounded(rounded(evaluated(t).drop("error"), ["smape", "mape"]), ["mae", "rmse"], 2)
+    return rounded(rounded(evaluated(t).drop("error"), ["smape", "mape", "rmse"]), ["mae"], 6)
 
 
 @query("g11_naive_seasonal", seasonal_sql(LAST, 12, 18))
@@ -196,9 +196,9 @@ def future_daily(t):
 
 @query(
     "g20_ts_leaderboard",
-    f"""SELECT series, model, 'success' AS status, round(smape, 4) AS smape, round(mape, 4) AS mape, round(mae, 2) AS mae, round(rmse, 2) AS rmse,
+    f"""SELECT series, model, 'success' AS status, round(smape, 4) AS smape, round(mape, 4) AS mape, round(mae, 6) AS mae, round(rmse, 4) AS rmse,
       round(greatest(0, 1 - (smape / 100) * (smape / 100)), 4) AS r2_like, CAST(row_number() OVER (PARTITION BY series ORDER BY smape, model) AS INTEGER) AS rank FROM ({BOARD})""",
 )
 def board(t):
     ranked = fc.ts_leaderboard(evaluated(t).drop("error"))
-    return rounded(rounded(ranked, ["smape", "mape", "r2_like"]), ["mae", "rmse"], 2)
+    return rounded(rounded(ranked, ["smape", "mape", "r2_like", "rmse"]), ["mae"], 6)
