@@ -1 +1,300 @@
+"""Queries for feature selection, training and scoring (M)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsmith.operators import scores, selection
+from tabsmith.plans import training
+from tabsmith.queries.features import codes_sql
+from tabsmith.queries.fixtures import GAPPY_ORDERS, gappy_orders
+from tabsmith.queries.profiling import rounded
+from tabsmith.queries.registry import query
+from tabsmith.session import materialise, scratch_path
+
+FEATURES = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus"]
+
+
+def mi_sql(table: str, features: list[tuple[str, bool]], target: str, target_binned: bool) -> str:
+    """Plug-in mutual information over the same bins."""
+    parts = []
+    for f, binned in features:
+        x = f"(SELECT *, CAST({f}_binned AS VARCHAR) AS x FROM {codes_sql('u', f, 10)})" if binned else f"(SELECT *, CAST({f} AS VARCHAR) AS x FROM u)"
+        parts.append(f"SELECT '{f}' AS feature, coalesce(x, 'missing') AS x, y, count(*) AS n FROM {x} GROUP BY 1, 2, 3")
+    y = f"CAST({target}_binned AS VARCHAR)" if target_binned else f"CAST({target} AS VARCHAR)"
+    source = codes_sql(table, target, 10) if target_binned else table
+    return f"""WITH u AS (SELECT *, {y} AS y FROM {source}), j AS ({' UNION ALL '.join(parts)}),
+    m AS (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM j)
+    SELECT feature, greatest(sum(n / nt * ln(n::DOUBLE * nt / (nx::DOUBLE * ny))), 0) AS importance FROM m GROUP BY 1"""
+
+
+CLASS_MI = mi_sql("lineitem", [("l_linenumber", False), ("l_quantity", True), ("l_discount", True), ("l_tax", False), ("l_linestatus", False)], "l_returnflag", False)
+NUMBER_MI = mi_sql("lineitem", [("l_linenumber", False), ("l_quantity", True), ("l_discount", True), ("l_tax", False), ("l_linestatus", False)], "l_extendedprice", True)
+
+
+@query("m1_mutual_information_class", f"SELECT feature, round(importance, 6) AS importance FROM ({CLASS_MI})")
+def information(t):
+    return rounded(selection.mutual_information(t.lineitem, FEATURES, "l_returnflag"), ["importance"], 6)
+
+
+@query("m1_mutual_information_number", f"SELECT feature, round(importance, 6) AS importance FROM ({NUMBER_MI})")
+def information_number(t):
+    return rounded(selection.mutual_information(t.lineitem, FEATURES, "l_extendedprice"), ["importance"], 6)
+
+
+@query(
+    "m2_correlation_importance",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(corr({c}, l_extendedprice)), 4) AS importance FROM lineitem" for c in FEATURES[:4]) + ")",
+)
+def correlation(t):
+    return rounded(selection.correlation_importance(t.lineitem, FEATURES[:4], "l_extendedprice"), ["importance"])
+
+
+RANKED = f"""SELECT CAST(row_number() OVER o AS INTEGER) AS rank, feature, importance, importance / sum(importance) OVER () * 100 AS relative_percent,
+  sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / sum(importance) OVER () * 100 AS cumulative_percent,
+  CASE WHEN feature = 'l_linestatus' THEN 'categorical' ELSE 'numeric' END AS feature_type, 0::BIGINT AS missing,
+  (SELECT CASE feature WHEN 'l_linenumber' THEN count(DISTINCT l_linenumber) WHEN 'l_quantity' THEN count(DISTINCT l_quantity) WHEN 'l_discount' THEN count(DISTINCT l_discount)
+     WHEN 'l_tax' THEN count(DISTINCT l_tax) ELSE count(DISTINCT l_linestatus) END FROM lineitem) AS "distinct"
+  FROM ({NUMBER_MI}) WINDOW o AS (ORDER BY importance DESC, feature)"""
+ROUND_RANKED = 'SELECT rank, feature, round(importance, 6) AS importance, round(relative_percent, 4) AS relative_percent, round(cumulative_percent, 4) AS cumulative_percent, feature_type, missing, "distinct"'
+
+
+def ranked(t):
+    return selection.rank_features(t.lineitem, selection.mutual_information(t.lineitem, FEATURES, "l_extendedprice"))
+
+
+def tidy(df):
+    return rounded(rounded(df, ["importance"], 6), ["relative_percent", "cumulative_percent"])
+
+
+@query("m3_rank_features", f"{ROUND_RANKED} FROM ({RANKED})")
+def rank(t):
+    return tidy(ranked(t))
+
+
+@query("m4_recommend_features", f"{ROUND_RANKED} FROM ({RANKED}) WHERE ((cumulative_percent - relative_percent) / 100 < 0.8 AND rank <= 10) OR rank <= 3")
+def recommend(t):
+    return tidy(selection.recommend_features(ranked(t)))
+
+
+@query("m4_features_within", f"{ROUND_RANKED} FROM ({RANKED}) WHERE cumulative_percent / 100 <= 0.99")
+def within(t):
+    return tidy(selection.features_within(ranked(t), 0.99))
+
+
+@query(
+    "m5_validate_target",
+    """SELECT 'l_returnflag' AS target, 'ok' AS level, 'class target' AS message, count(DISTINCT l_returnflag) AS classes FROM lineitem
+    UNION ALL SELECT 'l_quantity', 'warning', CASE WHEN count(DISTINCT l_quantity) > 50 THEN 'more than 50 classes, this looks like regression' ELSE 'more than 20 classes' END, count(DISTINCT l_quantity) FROM lineitem
+    UNION ALL SELECT 'l_linestatus', 'error', 'regression needs a numeric target', count(DISTINCT l_linestatus) FROM lineitem""",
+)
+def target(t):
+    checks = [("l_returnflag", "classification"), ("l_quantity", "classification"), ("l_linestatus", "regression")]
+    frames = [selection.validate_target(t.lineitem, c, task).select(F.lit(c).alias("target"), "*") for c, task in checks]
+    return frames[0].unionAll(frames[1]).unionAll(frames[2])
+
+
+@query("m6_split")
+def parts(t):
+    train, test = training.split(t.orders, ["o_orderkey"])
+    return train.select("o_orderkey", F.lit("train").alias("part")).unionAll(test.select("o_orderkey", F.lit("test").alias("part")))
+
+
+def guessed(t):
+    """A fixed rule as the classifier, so that SQL can make the same guesses."""
+    q = F.col("l_quantity")
+    return t.lineitem.select(
+        F.col("l_returnflag").alias("label"),
+        F.when(q < 17, "A").when(q < 34, "N").otherwise("R").alias("prediction"),
+        (F.col("l_discount") + q / 100).alias("score"),
+    )
+
+
+GUESSED = "SELECT l_returnflag AS y, CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END AS p, l_discount + l_quantity / 100 AS s FROM lineitem"
+
+
+@query(
+    "m8_classification_metrics",
+    f"""WITH g AS ({GUESSED}), k AS (SELECT DISTINCT y AS k FROM g UNION SELECT DISTINCT p FROM g),
+    c AS (SELECT k, count(*) FILTER (y = k)::DOUBLE AS support, count(*) FILTER (p = k)::DOUBLE AS guessed, count(*) FILTER (y = k AND p = k)::DOUBLE AS hit FROM g, k GROUP BY k),
+    r AS (SELECT *, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall, CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END AS prec FROM c),
+    o AS (SELECT sum(support) AS n, sum(hit) AS c, sum(support * recall) AS r, sum(support * prec) AS p, sum(support * CASE WHEN prec + recall > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0 END) AS f,
+      sum(support * guessed) AS sg, sum(support * support) AS ss, sum(guessed * guessed) AS gg FROM r)
+    SELECT round(c / n, 6) AS "Accuracy", round(r / n, 6) AS "Recall", round(p / n, 6) AS "Prec", round(f / n, 6) AS "F1", round((c / n - sg / (n * n)) / (1 - sg / (n * n)), 6) AS "Kappa",
+      round((c * n - sg) / sqrt((n * n - ss) * (n * n - gg)), 6) AS "MCC" FROM o""",
+)
+def class_metrics(t):
+    found = scores.classification_metrics(guessed(t), "label", "prediction")
+    return rounded(found, found.columns, 6)
+
+
+AUC_SQL = f"""WITH g AS ({GUESSED}), d AS (SELECT s, count(*) FILTER (y = 'R')::DOUBLE AS pos, count(*) FILTER (y <> 'R')::DOUBLE AS neg FROM g GROUP BY s),
+    r AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM d)
+    SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS "AUC" FROM r"""
+
+
+@query("m8_auc", AUC_SQL)
+def area(t):
+    return rounded(scores.auc(guessed(t), F.col("label") == "R", "score"), ["AUC"], 6)
+
+
+@query("m8_auc_chunks", AUC_SQL)
+def area_chunks(t):
+    """The same with the scores ranked in chunks, as many scores are."""
+    return rounded(scores.auc(guessed(t), F.col("label") == "R", "score", chunk_rows=100), ["AUC"], 6)
+
+
+@query(
+    "m9_regression_metrics",
+    """WITH g AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500.0 AS p FROM lineitem)
+    SELECT l_returnflag, round(avg(abs(y - p)), 4) AS "MAE", round(avg((y - p) * (y - p)), 0) AS "MSE", round(sqrt(avg((y - p) * (y - p))), 4) AS "RMSE",
+      round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS "R2", round(sqrt(avg((ln(1 + abs(p)) - ln(1 + abs(y))) * (ln(1 + abs(p)) - ln(1 + abs(y))))), 6) AS "RMSLE",
+      round(avg(abs((y - p) / nullif(y, 0))), 6) AS "MAPE" FROM g GROUP BY 1""",
+)
+def number_metrics(t):
+    g = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("p"))
+    found = scores.regression_metrics(g, "y", "p", ["l_returnflag"])
+    return rounded(rounded(rounded(found, ["MAE", "RMSE"]), ["R2", "RMSLE", "MAPE"], 6), ["MSE"], 0)
+
+
+RULES = {"mean": "avg_price", "quantity": "l_quantity * 1500.0", "flat": "40000.0"}
+
+
+@query(
+    "m10_leaderboard",
+    """WITH a AS (SELECT avg(l_extendedprice) AS m FROM lineitem),
+    e AS (SELECT 'mean' AS "Model", avg(abs(l_extendedprice - m)) AS v FROM lineitem, a UNION ALL SELECT 'quantity', avg(abs(l_extendedprice - l_quantity * 1500.0)) FROM lineitem
+      UNION ALL SELECT 'flat', avg(abs(l_extendedprice - 40000.0)) FROM lineitem UNION ALL SELECT 'broken', NULL)
+    SELECT CAST(row_number() OVER (ORDER BY v ASC NULLS LAST, "Model") AS INTEGER) AS rank, "Model", round(v, 4) AS "MAE" FROM e""",
+)
+def board(t):
+    line = t.lineitem.select("l_extendedprice", "l_quantity")
+    mean = scores.dummy_baseline(line, "l_extendedprice", "regression")
+    guesses = {
+        "mean": mean,
+        "quantity": line.withColumn("prediction", F.col("l_quantity") * 1500.0),
+        "flat": line.withColumn("prediction", F.lit(40000.0)),
+        "broken": line.withColumn("prediction", F.lit(None).cast("double")),
+    }
+    rows = None
+    for name, g in guesses.items():
+        one = scores.regression_metrics(g, "l_extendedprice", "prediction").select(F.lit(name).alias("Model"), "MAE")
+        rows = one if rows is None else rows.unionAll(one)
+    return rounded(scores.leaderboard(rows, "MAE"), ["MAE"])
+
+
+@query(
+    "m14_dummy_classification",
+    f"""WITH g AS ({GAPPY_ORDERS}) SELECT o_orderkey, o_orderstatus, (SELECT o_orderstatus FROM g WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS prediction FROM g""",
+)
+def majority(t):
+    return scores.dummy_baseline(gappy_orders(t).select("o_orderkey", "o_orderstatus"), "o_orderstatus", "classification")
+
+
+@query("m14_dummy_regression", "SELECT p_partkey, p_retailprice, round((SELECT avg(p_retailprice) FROM part), 4) AS prediction FROM part")
+def mean(t):
+    return rounded(scores.dummy_baseline(t.part.select("p_partkey", "p_retailprice"), "p_retailprice", "regression"), ["prediction"])
+
+
+# --- models ---------------------------------------------------------------------------
+
+def documents(t):
+    """Labelled documents: a class target with numbers and categories."""
+    text = F.col("text")
+    facts = t.documents.select(
+        "doc_id", "lang", "source", "n_chars",
+        (F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / F.greatest(F.length(text), F.lit(1))).alias("letters"),
+        F.size(F.split(text, "\n")).alias("lines"),
+        F.size(F.split(text, " ")).alias("words"),
+    )
+    return facts.join(t.labels.select("doc_id", "quality"), "doc_id")
+
+
+DOC_FEATURES = ["lang", "source", "n_chars", "letters", "lines", "words"]
+PART_FEATURES = ["p_brand", "p_type", "p_size", "p_partkey"]
+
+
+@query("m7_cross_validate")
+def validated(t):
+    ready, _, labels = training.assembled(documents(t), DOC_FEATURES, "quality", "classification")
+    data = materialise(training.with_folds(ready, ["doc_id"], 3, 123).select("features", "label", "fold"), "vectors")
+    every = training.classifiers(len(labels), 1)
+    models = {n: every[n] for n in ("Logistic Regression", "Decision Tree", "Naive Bayes")}
+    means, _, _ = training.cross_validate(data, models, "classification", len(labels))
+    return rounded(means, training.CLASS_METRICS, 6)
+
+
+@query("m11_tune")
+def tuned(t):
+    ready, _, _ = training.assembled(t.part, PART_FEATURES, "p_retailprice", "regression")
+    data = materialise(training.with_folds(ready, ["p_partkey"], 3, 123).select("features", "label", "fold"), "vectors")
+    _, settings, value = training.tune(data, "Ridge", training.regressors()["Ridge"], "regression", n_iter=4)
+    rows = [(k, float(v)) for k, v in settings.items()] + [("r2", round(value, 6))]
+    return t.spark.createDataFrame(rows, "name string, value double")
+
+
+def priced(t):
+    """A price model, saved, loaded and applied to all parts."""
+    path = scratch_path(t.spark, "model")
+    model = training.finalise(t.part, PART_FEATURES, "p_retailprice", "regression", training.regressors()["Linear Regression"])
+    training.save_model(model, path)
+    return training.score(t.part, training.load_model(path), PART_FEATURES)
+
+
+@query("m12_finalise")
+def finalised(t):
+    return rounded(scores.regression_metrics(priced(t), "p_retailprice", "prediction"), training.NUMBER_METRICS, 6)
+
+
+@query("m13_score")
+def scored(t):
+    docs = documents(t)
+    model = training.finalise(docs, DOC_FEATURES, "quality", "classification", training.classifiers(2, 1)["Logistic Regression"])
+    out = training.score(docs, model, DOC_FEATURES, ["0", "1"])
+    return rounded(out.select("doc_id", "quality", "prediction", "confidence"), ["confidence"])
+
+
+@query("m15_select_by_score")
+def chosen(t):
+    kept = selection.select_by_score(t.lineitem, FEATURES, "l_extendedprice", 2)
+    return t.lineitem.select("l_orderkey", *sorted(kept), "l_extendedprice")
+
+
+def without_time(board):
+    """Training times differ from run to run and are left out."""
+    return rounded(board.drop("TT"), [c for c in board.columns if c not in ("rank", "Model", "error", "TT")], 6)
+
+
+@query("m16_train_classification")
+def classification(t):
+    return without_time(training.train_leaderboard(documents(t), "quality", "classification", ["doc_id"]).leaderboard)
+
+
+@query("m16_train_regression")
+def regression(t):
+    return without_time(
+        training.train_leaderboard(t.part.drop("p_name"), "p_retailprice", "regression", ["p_partkey"], PART_FEATURES).leaderboard
+    )
+
+
+NEIGHBOURS = """WITH u AS (SELECT p_partkey::DOUBLE AS k, p_size::DOUBLE AS s, p_retailprice AS v, p_type AS c FROM part),
+  d AS (SELECT a.k, a.s, b.v, b.c, row_number() OVER (PARTITION BY a.k, a.s ORDER BY sqrt(((a.k - b.k) * (a.k - b.k) + (a.s - b.s) * (a.s - b.s)) * 2.0 / 2), b.k, b.s) AS rn FROM u a JOIN u b ON true),
+  n AS (SELECT * FROM d WHERE rn <= 5)"""
+
+
+@query(
+    "m16_neighbours_regression",
+    f"""{NEIGHBOURS} SELECT u.k AS p_partkey, u.s AS p_size, u.v AS label, round(p.prediction, 4) AS prediction FROM u JOIN (SELECT k, s, avg(v) AS prediction FROM n GROUP BY 1, 2) p USING (k, s)""",
+)
+def neighbours_number(t):
+    found = training.neighbour_predict(t.part, t.part, ["p_partkey", "p_size"], "p_retailprice", "regression")
+    return rounded(found, ["prediction"])
+
+
+@query(
+    "m16_neighbours_classification",
+    f"""{NEIGHBOURS}, v AS (SELECT k, s, c, count(*) AS n, row_number() OVER (PARTITION BY k, s ORDER BY count(*) DESC, c) AS r FROM n GROUP BY 1, 2, 3)
+    SELECT u.k AS p_partkey, u.s AS p_size, u.c AS label, v.c AS prediction FROM u JOIN v USING (k, s) WHERE r = 1""",
+)
+def neighbours_class(t):
+    return training.neighbour_predict(t.part, t.part, ["p_partkey", "p_size"], "p_type", "classification")
