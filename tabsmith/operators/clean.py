@@ -160,8 +160,9 @@ def leakage_suspects(names: list[str]) -> list[str]:
 def inf_to_null_fill(df: DataFrame) -> DataFrame:
     """Infinities and numeric nulls become the median (0 without one), other nulls ''."""
     clean = select_with(df, {c: finite(col(c)) for c in fractional_columns(df)})
-    _, nulls = null_counts(clean)
-    middle = medians(clean, [c for c in numeric_columns(clean) if nulls[c]])
+    rows, nulls = null_counts(clean)
+    gaps = [c for c in numeric_columns(clean) if nulls[c]]
+    middle = medians(clean, gaps, {c: rows - nulls[c] for c in gaps})
     changed = {c: F.coalesce(col(c).cast("double"), F.lit(float(m or 0.0))) for c, m in middle.items()}
     changed.update({c: F.coalesce(col(c), F.lit("")) for c in string_columns(clean)})
     return select_with(clean, changed)

@@ -20,8 +20,8 @@ from tabsmith.operators.ordered import over_preceding
 
 
 def by_format(c: Column, pattern: str, shape: str) -> Column:
-    """Parse by one pattern; only texts of the right shape are tried, because a
-    failed parse costs an exception. Two-digit years from 69 are 19xx."""
+    """Parse by one listed pattern; only texts of its shape are tried, because
+    a failed parse costs an exception. Two-digit years from 69 are 19xx."""
     parsed = F.try_to_timestamp(c, F.lit(pattern))
     if "yyyy" not in pattern:
         earlier = parsed - F.make_interval(years=F.lit(100))
@@ -29,21 +29,76 @@ def by_format(c: Column, pattern: str, shape: str) -> Column:
     return F.when(c.rlike(f"^{shape}$"), parsed)
 
 
-def parse_listed(c: Column) -> Column:
-    """First listed format that parses."""
-    tried = F.coalesce(*[by_format(c, p, shape) for p, _, shape in rules.DATE_FORMATS])
+CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
+ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[ T]{CLOCK}| {CLOCK}\.\d{{1,6}})?$"
+YEAR_FIRST = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
+YEAR_LAST = rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2(\d{{4}})((?<=/\d{{4}}) {CLOCK})?$"
+DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
+SHORT = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
+SHORT_YEAR_FIRST = r"^(\d{2})/(\d{1,2})/(\d{1,2})$"
+COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+ABBREVIATED = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+MONTH = (
+    "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
+    "|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+)
+NAME_FIRST = rf"^(?i)({MONTH}) (\d{{1,2}}), (\d{{4}})$"
+NAME_SECOND = rf"^(?i)(\d{{1,2}}) ({MONTH}) (\d{{4}})$"
+NAME_DASHED = rf"^(?i)(\d{{1,2}})-({ABBREVIATED})-(\d{{4}})$"
+
+
+def _named(c: Column, shape: str, name: int, day: int) -> Column:
+    """Year, month number and day of a text with a month name."""
+    key = F.lower(F.substring(F.regexp_extract(c, shape, name), 1, 3))
+    month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), key) + 2) / 3
+    return F.concat_ws("-", F.regexp_extract(c, shape, 3), month.cast("int").cast("string"), F.regexp_extract(c, shape, day))
+
+
+def _short_year(c: Column, shape: str, year: int, rest: str) -> Column:
+    century = F.when(F.regexp_extract(c, shape, year).cast("int") >= 69, "19").otherwise("20")
+    return F.concat(century, F.regexp_replace(c, shape, rest))
+
+
+def readings(c: Column, day_first: bool = False) -> Column:
+    """Timestamp of a text in any listed format, in one reading order.
+
+    Each shape is rewritten to an ISO text and cast, which costs no exception
+    where it fails; ambiguous shapes are read a second time the other way round.
+    """
+    ahead = ("$4-$3-$1$5", "$3-$2-$1") if day_first else ("$4-$1-$3$5", "$3-$1-$2")
+    other = ("$4-$1-$3$5", "$3-$1-$2") if day_first else ("$4-$3-$1$5", "$3-$2-$1")
+    first = (
+        F.when(c.rlike(ISO), c)
+        .when(c.rlike(YEAR_LAST), F.regexp_replace(c, YEAR_LAST, ahead[0]))
+        .when(c.rlike(YEAR_FIRST), F.regexp_replace(c, YEAR_FIRST, "$1-$3-$4"))
+        .when(c.rlike(DOTTED), F.regexp_replace(c, DOTTED, "$3-$2-$1"))
+        .when(c.rlike(COMPACT), F.regexp_replace(c, COMPACT, "$1-$2-$3"))
+        .when(c.rlike(NAME_FIRST), _named(c, NAME_FIRST, 1, 2))
+        .when(c.rlike(NAME_SECOND), _named(c, NAME_SECOND, 2, 1))
+        .when(c.rlike(NAME_DASHED), _named(c, NAME_DASHED, 2, 1))
+        .when(c.rlike(SHORT), _short_year(c, SHORT, 3, ahead[1]))
+    )
+    second = F.when(c.rlike(YEAR_LAST), F.regexp_replace(c, YEAR_LAST, other[0])).when(
+        c.rlike(SHORT), _short_year(c, SHORT, 3, other[1])
+    )
+    third = F.when(c.rlike(SHORT_YEAR_FIRST), _short_year(c, SHORT_YEAR_FIRST, 1, "$1-$2-$3"))
+    tried = F.coalesce(*[text.try_cast("timestamp") for text in (first, second, third)])
     return F.when((F.length(c) <= rules.LONGEST_DATE) & c.rlike(r"\d"), tried)
 
 
-def flexible_timestamp(c: Column) -> Column:
-    """ISO texts first (cheap), then the listed formats.
+def loose(c: Column) -> Column:
+    """ISO texts with parts the list does not name, such as a time zone."""
+    return F.when((F.length(c) <= rules.LONGEST_DATE) & c.rlike(r"^\d{4}\D"), c.try_cast("timestamp"))
+
+
+def flexible_timestamp(c: Column, day_first: bool = False) -> Column:
+    """A listed format, else a loose ISO text.
 
     A bare number such as a year or a count is not read as a date, except the
     eight-digit form the list names.
     """
     plain = F.trim(c)
-    iso = F.when(plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
-    return F.coalesce(iso, parse_listed(plain))
+    return F.coalesce(readings(plain, day_first), loose(plain))
 
 
 def looks_like_date(c: Column, patterns: list[str]) -> Column:
@@ -54,26 +109,32 @@ def _name_hits(name: str, hints: list[str]) -> bool:
     return any(h in name.lower() for h in hints)
 
 
-def detect_date_columns(df: DataFrame) -> list[str]:
+def date_tests(df: DataFrame) -> list[Column]:
+    """Aggregates C1 decides from; part of a wider aggregate where there is one."""
+    aggs = []
+    for i, c in enumerate(string_columns(df)):
+        aggs.append(share(looks_like_date(col(c), rules.TABLE_DATE_PATTERNS), col(c)).alias(f"_match{i}"))
+        aggs.append(share(flexible_timestamp(col(c)).isNotNull(), col(c)).alias(f"_parse{i}"))
+    return aggs
+
+
+def date_verdict(df: DataFrame, row) -> list[str]:
     """Typed dates; date-like names with one matching text; or columns of
     which more than half match a pattern and more than half parse."""
-    texts = string_columns(df)
-    typed = date_columns(df)
-    if not texts:
-        return typed
-    aggs = []
-    for i, c in enumerate(texts):
-        aggs.append(share(looks_like_date(col(c), rules.TABLE_DATE_PATTERNS), col(c)).alias(f"m{i}"))
-        aggs.append(share(flexible_timestamp(col(c)).isNotNull(), col(c)).alias(f"p{i}"))
-    row = df.agg(*aggs).first()
-    found = set(typed)
-    for i, c in enumerate(texts):
-        match, parse = row[f"m{i}"] or 0.0, row[f"p{i}"] or 0.0
+    found = set(date_columns(df))
+    for i, c in enumerate(string_columns(df)):
+        match, parse = row[f"_match{i}"] or 0.0, row[f"_parse{i}"] or 0.0
         if (_name_hits(c, rules.TABLE_DATE_NAMES) and match > 0) or (match > 0.5 and parse > 0.5):
             found.add(c)
     return [c for c in df.columns if c in found]
 
 
+def detect_date_columns(df: DataFrame) -> list[str]:
+    """C1 from one aggregate."""
+    tests = date_tests(df)
+    return date_verdict(df, df.agg(*tests).first() if tests else {})
+
+
 def date_evidence(df: DataFrame) -> DataFrame:
     """C1 evidence: (column, match_ratio, parse_ratio, name_hint, is_date)."""
     texts = string_columns(df)
@@ -204,28 +265,7 @@ def detect_date_format(df: DataFrame, column: str) -> str | None:
 
 def parse_mixed_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per value, the first listed format, else a flexible parse, else null."""
-    parsed = {}
-    for c in columns:
-        plain = F.trim(col(c))
-        loose = F.when((F.length(plain) <= rules.LONGEST_DATE) & plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
-        parsed[c] = F.coalesce(parse_listed(plain), loose)
-    return select_with(df, parsed)
-
-
-def two_readings(c: Column) -> tuple[Column, Column]:
-    """(day first, month first) readings of a text; ISO texts read the same."""
-    plain = F.trim(c)
-    iso = F.when(plain.rlike(r"^\d{4}\D"), plain.try_cast("timestamp"))
-    rest = [(p, shape) for p, _, shape in rules.DATE_FORMATS]
-    day = [f for f in rest if f[0].startswith("d")]
-    month = [f for f in rest if f[0].startswith("M")]
-    other = [f for f in rest if not f[0].startswith(("d", "M"))]
-
-    def attempt(first, second):
-        tried = F.coalesce(iso, *[by_format(plain, *f) for f in [*other, *first, *second]])
-        return F.when((F.length(plain) <= rules.LONGEST_DATE) & plain.rlike(r"\d"), tried)
-
-    return attempt(day, month), attempt(month, day)
+    return select_with(df, {c: flexible_timestamp(col(c)) for c in columns})
 
 
 def smart_parse(df: DataFrame, column: str) -> DataFrame:
@@ -245,7 +285,7 @@ def smart_parse(df: DataFrame, column: str) -> DataFrame:
         return df
     if column not in string_columns(df):
         return df
-    dayfirst, monthfirst = two_readings(c)
+    dayfirst, monthfirst = flexible_timestamp(c, day_first=True), flexible_timestamp(c)
     lead = F.regexp_extract(c, r"^\s*(\d{1,2})[/.\-]\d{1,2}[/.\-]\d{2,4}", 1).try_cast("int")
     second = F.regexp_extract(c, r"^\s*\d{1,2}[/.\-](\d{1,2})[/.\-]\d{2,4}", 1).try_cast("int")
     row = df.agg(

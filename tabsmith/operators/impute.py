@@ -38,9 +38,9 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return fill_values(df, {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(columns)})
 
 
-def _series_fill(df, columns, order, by, build, chunk_rows):
+def _series_fill(df, columns, order, by, build, chunk_rows, rows=None):
     """Fill nulls from the neighbours' structs; leftovers become 0."""
-    marked = neighbours(df, by, order, columns, chunk_rows)
+    marked = neighbours(df, by, order, columns, chunk_rows, rows)
     filled = {
         c: F.coalesce(col(c).cast("double"), build(F.col(f"_prev{i}"), F.col(f"_next{i}")), F.lit(0.0))
         for i, c in enumerate(columns)
@@ -60,7 +60,7 @@ def bfill(df, columns, order, by=(), limit=None, chunk_rows=None) -> DataFrame:
     return _series_fill(df, columns, order, list(by), lambda p, n: F.when(near(n), n["value"].cast("double")), chunk_rows)
 
 
-def interpolate_linear(df, columns, order, by=(), chunk_rows=None) -> DataFrame:
+def interpolate_linear(df, columns, order, by=(), chunk_rows=None, rows=None) -> DataFrame:
     """Linear by position, the nearest value at the ends; leftovers 0."""
 
     def line(p, n):
@@ -68,15 +68,16 @@ def interpolate_linear(df, columns, order, by=(), chunk_rows=None) -> DataFrame:
         step = (nv - pv) * (F.col(POS) - p["pos"]) / (n["pos"] - p["pos"])
         return F.coalesce(F.when(n["pos"] > p["pos"], pv + step), pv, nv)
 
-    return _series_fill(df, columns, order, list(by), line, chunk_rows)
+    return _series_fill(df, columns, order, list(by), line, chunk_rows, rows)
 
 
-def _rolling(df, columns, order, by, window, chunk_rows, leftover):
+def _rolling(df, columns, order, by, window, chunk_rows, leftover, rows=None):
     frame = lambda w: w.rowsBetween(-(window - 1), 0)
     rolled = over_preceding(
         df, list(by), order, window - 1,
         lambda w: {f"_roll{i}": F.avg(col(c)).over(frame(w)) for i, c in enumerate(columns)},
         chunk_rows,
+        rows,
     )
     filled = {c: F.coalesce(col(c).cast("double"), F.col(f"_roll{i}"), leftover) for i, c in enumerate(columns)}
     return rolled.select(*[filled.get(c, col(c)).alias(c) for c in df.columns])
@@ -93,8 +94,9 @@ def impute_auto_ts(df, columns, order, by=(), chunk_rows=None) -> DataFrame:
     Interpolation fills both ends from the nearest value, so only a series
     without any value is left for the final 0.
     """
-    short = _rolling(df, columns, order, by, 3, chunk_rows, F.lit(None).cast("double"))
-    return interpolate_linear(short, columns, order, by, chunk_rows)
+    rows = df.count()
+    short = _rolling(df, columns, order, by, 3, chunk_rows, F.lit(None).cast("double"), rows)
+    return interpolate_linear(short, columns, order, by, chunk_rows, rows)
 
 
 SERIES_METHODS = {

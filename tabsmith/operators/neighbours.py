@@ -5,8 +5,9 @@ have, times the number of features, square root. It is never smaller than the
 difference in any shared feature, which gives a safe range to search:
 
 1. Equal rows are merged on both sides, so a group of copies is one row.
-2. Donors are put in quantile buckets of each feature. A pair is compared under
-   the first feature (in a fixed order) that both rows have.
+2. Donors are put in small ordered buckets of each feature: quantile ranges, cut
+   into equal parts where the pool is large. A pair is compared under the first
+   feature (in a fixed order) that both rows have.
 3. Every receiver looks into its own bucket, wider when too few donors are
    found there. Its k-th distance so far bounds how far a better donor can be.
 4. Buckets within that bound are searched; the result is exact.
@@ -25,7 +26,8 @@ from tabsmith.functions.columns import col
 from tabsmith.operators.frequency import distinct_counts
 from tabsmith.session import materialise
 
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 64
+MOST_SPLITS = 4096
 SLACK = 1 + 1e-9
 
 
@@ -64,7 +66,7 @@ def nearest_means(
     pool = materialise(pool.withColumn("choices", choices), "donors")
     size = pool.count()
     buckets = max(1, -(-size // bucket_rows))
-    splits = _splits(pool, d, buckets)
+    scales = _scales(pool, d, buckets)
     wanted = F.array(
         *[
             F.when(col(cols[0]).isNull() if only_missing else F.lit(True), F.lit(i))
@@ -77,18 +79,18 @@ def nearest_means(
     asked = asked.select("*", F.explode("_wanted").alias("g")).drop("_wanted")
 
     tie = [f"d{order.index(c)}" for c in features]
-    found = _search(asked, pool, d, splits, k, 0, tie)
+    found = _search(asked, pool, d, scales, k, 0, tie)
     reach = 0
     if buckets > 1:
         best = materialise(_kth(found, d, k), "bounds")
         while best.filter("bound is null").limit(1).count() and reach < buckets:
             reach = 4 * reach + 2
             open_rows = best.filter("bound is null").drop("bound")
-            wider = _kth(_search(open_rows, pool, d, splits, k, reach, tie), d, k)
+            wider = _kth(_search(open_rows, pool, d, scales, k, reach, tie), d, k)
             best = materialise(best.filter("bound is not null").unionByName(wider), "bounds")
         # Receivers with fewer than k donors in all buckets keep an open bound.
         bounded = best.withColumn("bound", F.coalesce(F.col("bound") * SLACK, F.lit(float("inf"))))
-        found = _search(bounded, pool, d, splits, k, None, tie)
+        found = _search(bounded, pool, d, scales, k, None, tie)
     keys = [f"r{i}" for i in range(d)] + ["g"]
     earlier = W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     taken = F.least(F.col("w"), k - F.coalesce(F.sum("w").over(earlier), F.lit(0)))
@@ -115,22 +117,56 @@ def _mask(names: list[str]) -> Column:
     return reduce(lambda a, b: a + b, bits).cast("bigint")
 
 
-def _splits(pool: DataFrame, d: int, buckets: int) -> list[list[float]]:
-    inf = float("inf")
-    if buckets == 1:
-        return [[-inf, 0.0, inf]] * d
-    probs = [i / buckets for i in range(1, buckets)]
-    row = pool.agg(*[F.percentile_approx(f"d{i}", probs, 20 * buckets).alias(f"d{i}") for i in range(d)]).first()
-    return [[-inf, *sorted(set(row[f"d{i}"] or [0.0])), inf] for i in range(d)]
+def _scales(pool: DataFrame, d: int, buckets: int) -> list[tuple[list[float], int]]:
+    """Per feature: inner and outer quantile edges, and the parts of a range."""
+    ranges = min(buckets, MOST_SPLITS)
+    parts = -(-buckets // ranges)
+    probs = [i / ranges for i in range(1, ranges)]
+    aggs = [F.percentile_approx(f"d{i}", probs, 20 * ranges).alias(f"q{i}") for i in range(d)] if probs else []
+    aggs += [F.min(f"d{i}").alias(f"a{i}") for i in range(d)] + [F.max(f"d{i}").alias(f"b{i}") for i in range(d)]
+    row = pool.agg(*aggs).first()
+    scales = []
+    for i in range(d):
+        inner = (row[f"q{i}"] if probs else None) or []
+        ends = [row[f"a{i}"] or 0.0, row[f"b{i}"] or 0.0]
+        scales.append((sorted({*inner, *ends}), parts))
+    return scales
+
+
+def _last(scale) -> int:
+    edges, parts = scale
+    return max(len(edges) - 1, 1) * parts - 1
+
 
+def _numbers(values: list[float]) -> Column:
+    """A literal array; as one expression, since there may be thousands."""
+    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
 
-def _bucketed(df: DataFrame, inputs: list[str], outputs: list[str], splits) -> DataFrame:
-    model = Bucketizer(inputCols=inputs, outputCols=outputs, splitsArray=splits, handleInvalid="keep")
+
+def _bucketed(df: DataFrame, inputs: list[str], outputs: list[str], scales) -> DataFrame:
+    """Bucket of a value: its quantile range, then its equal part of the range.
+
+    Never falls as the value grows, so a range of values is a range of buckets.
+    """
+    inf = float("inf")
+    splits = [[-inf, *(edges[1:-1] or [edges[0]]), inf] for edges, _ in scales]
+    model = Bucketizer(inputCols=inputs, outputCols=[f"_q{o}" for o in outputs], splitsArray=splits, handleInvalid="keep")
     placed = model.transform(df)
-    return placed.withColumns({o: F.col(o).cast("int") for o in outputs})
+    exprs = {}
+    for x, o, (edges, parts) in zip(inputs, outputs, scales):
+        q = F.col(f"_q{o}").cast("int")
+        if len(edges) < 3:  # one range only
+            q = F.lit(0)
+        part = F.lit(0)
+        if parts > 1 and len(edges) > 1:
+            lo, hi = F.get(_numbers(edges[:-1]), q), F.get(_numbers(edges[1:]), q)
+            part = F.floor((F.col(x) - lo) / F.nullif(hi - lo, F.lit(0.0)) * parts)
+        inside = F.greatest(F.lit(0), F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1)))
+        exprs[o] = F.when(F.col(x).isNotNull(), q * parts + inside).cast("int")
+    return placed.withColumns(exprs).drop(*[f"_q{o}" for o in outputs])
 
 
-def _search(asked, pool, d, splits, k, reach, tie):
+def _search(asked, pool, d, scales, k, reach, tie):
     """Top-k distinct donors per receiver and group, with `place`, `dist`, `w`.
 
     `reach` widens the receiver's own bucket on both sides; None searches the
@@ -138,16 +174,15 @@ def _search(asked, pool, d, splits, k, reach, tie):
     a null weight.
     """
     keys = [f"r{i}" for i in range(d)] + ["g"]
-    single = len(splits[0]) == 3 and all(s == splits[0] for s in splits)
     rows = asked
     if reach is None:
         rows = rows.withColumns({f"x{i}": F.col(f"r{i}") - F.col("bound") for i in range(d)})
         rows = rows.withColumns({f"y{i}": F.col(f"r{i}") + F.col("bound") for i in range(d)})
-        rows = _bucketed(rows, [f"x{i}" for i in range(d)], [f"lo{i}" for i in range(d)], splits)
-        rows = _bucketed(rows, [f"y{i}" for i in range(d)], [f"hi{i}" for i in range(d)], splits)
+        rows = _bucketed(rows, [f"x{i}" for i in range(d)], [f"lo{i}" for i in range(d)], scales)
+        rows = _bucketed(rows, [f"y{i}" for i in range(d)], [f"hi{i}" for i in range(d)], scales)
     else:
-        rows = _bucketed(rows, [f"r{i}" for i in range(d)], [f"lo{i}" for i in range(d)], splits)
-        last = [len(s) - 2 for s in splits]
+        rows = _bucketed(rows, [f"r{i}" for i in range(d)], [f"lo{i}" for i in range(d)], scales)
+        last = [_last(s) for s in scales]
         rows = rows.withColumns(
             {
                 **{f"hi{i}": F.least(F.col(f"lo{i}") + reach, F.lit(last[i])) for i in range(d)},
@@ -160,8 +195,8 @@ def _search(asked, pool, d, splits, k, reach, tie):
                 F.col(f"r{i}").isNotNull(),
                 F.struct(
                     F.lit(i).alias("f"),
-                    (F.lit(0) if single else F.col(f"lo{i}")).alias("lo"),
-                    (F.lit(0) if single else F.col(f"hi{i}")).alias("hi"),
+                    F.col(f"lo{i}").alias("lo"),
+                    F.col(f"hi{i}").alias("hi"),
                 ),
             )
             for i in range(d)
@@ -170,7 +205,7 @@ def _search(asked, pool, d, splits, k, reach, tie):
     ask = rows.select(*keys, "rmask", F.explode(F.array_compact(ranges)).alias("c")).select(
         *keys, "rmask", "c.f", "c.lo", "c.hi"
     )
-    placed = _bucketed(pool, [f"d{i}" for i in range(d)], [f"b{i}" for i in range(d)], splits)
+    placed = _bucketed(pool, [f"d{i}" for i in range(d)], [f"b{i}" for i in range(d)], scales)
     cells = F.array(
         *[
             F.when(
@@ -178,7 +213,7 @@ def _search(asked, pool, d, splits, k, reach, tie):
                 F.struct(
                     F.lit(i).alias("f"),
                     F.col("dmask").bitwiseAND(F.lit((1 << i) - 1)).alias("prefix"),
-                    (F.lit(0) if single else F.col(f"b{i}")).alias("b"),
+                    F.col(f"b{i}").alias("b"),
                 ),
             )
             for i in range(d)
@@ -224,12 +259,15 @@ def impute_knn(
 ) -> DataFrame:
     """Null cells become the mean over the k nearest rows that have the
     value, or the column mean where no row can be compared."""
-    rows = df.count()
-    k = k or min(5, max(2, rows // 2))
-    missing = [c for i, c in enumerate(columns) if df.filter(col(c).isNull()).limit(1).count()]
+    facts = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+    ).first()
+    k = k or min(5, max(2, facts["rows"] // 2))
+    missing = [c for i, c in enumerate(columns) if facts[f"n{i}"] < facts["rows"]]
     if not missing:
         return df
-    means = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(missing)]).first()
     found = nearest_means(df, df, columns, {c: [c] for c in missing}, k, bucket_rows=bucket_rows)
     wide = found.groupBy(*[col(c) for c in columns]).agg(
         *[F.max(F.when(F.col("_group") == c, F.get("_means", F.lit(0)))).alias(f"_new{i}") for i, c in enumerate(missing)]
@@ -241,7 +279,7 @@ def impute_knn(
     )
     joined = df.join(wide, on, "left")
     filled = {
-        c: F.coalesce(col(c).cast("double"), F.col(f"_new{i}"), F.lit(means[f"m{i}"]))
+        c: F.coalesce(col(c).cast("double"), F.col(f"_new{i}"), F.lit(facts[f"m{columns.index(c)}"]))
         for i, c in enumerate(missing)
     }
     return joined.select(*[filled.get(c, col(c)).alias(c) for c in df.columns])

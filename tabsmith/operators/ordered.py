@@ -23,14 +23,14 @@ CHUNK = "_chunk"
 POS = "_pos"
 
 
-def with_chunks(df: DataFrame, order: str, chunk_rows: int | None = None) -> tuple[DataFrame, bool]:
+def with_chunks(df: DataFrame, order: str, chunk_rows: int | None = None, rows: int | None = None) -> tuple[DataFrame, bool]:
     """Add `_chunk`, increasing with `order`; the flag tells if there are several.
 
     Rows with the same order value share a chunk, so callers merge duplicate
-    keys first.
+    keys first. `rows` saves the count where it is known.
     """
     chunk_rows = chunk_rows or CHUNK_ROWS
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n <= chunk_rows:
         return df.withColumn(CHUNK, F.lit(0)), False
     pieces = -(-2 * n // chunk_rows)
@@ -53,9 +53,11 @@ def _within(by: list[str]) -> list[Column]:
     return [col(c) for c in by] + [F.col(CHUNK)]
 
 
-def with_position(df: DataFrame, by: list[str], order: str, chunk_rows: int | None = None) -> DataFrame:
+def with_position(
+    df: DataFrame, by: list[str], order: str, chunk_rows: int | None = None, rows: int | None = None
+) -> DataFrame:
     """Add `_pos`, the zero-based position of a row in its series."""
-    chunked, several = with_chunks(df, order, chunk_rows)
+    chunked, several = with_chunks(df, order, chunk_rows, rows)
     local = F.row_number().over(W.partitionBy(*_within(by)).orderBy(col(order))).cast("bigint") - 1
     if not several:
         return chunked.withColumn(POS, local).drop(CHUNK)
@@ -81,15 +83,16 @@ def _join_summary(df: DataFrame, summary: DataFrame, by: list[str]) -> DataFrame
 
 
 def neighbours(
-    df: DataFrame, by: list[str], order: str, columns: list[str], chunk_rows: int | None = None
+    df: DataFrame, by: list[str], order: str, columns: list[str], chunk_rows: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """Add `_pos` and, per column i, `_prev{i}` / `_next{i}`.
 
     Each is a struct (pos, value) of the nearest non-null row at or before /
     at or after the row; null at the ends.
     """
-    placed = with_position(df, by, order, chunk_rows)
-    chunked, several = with_chunks(placed, order, chunk_rows)
+    rows = df.count() if rows is None else rows
+    placed = with_position(df, by, order, chunk_rows, rows)
+    chunked, several = with_chunks(placed, order, chunk_rows, rows)
     known = {
         c: F.when(col(c).isNotNull(), F.struct(F.col(POS).alias("pos"), col(c).alias("value")))
         for c in columns
@@ -129,6 +132,7 @@ def over_preceding(
     reach: int,
     build,
     chunk_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Apply window expressions that look back at most `reach` rows.
 
@@ -137,8 +141,9 @@ def over_preceding(
     repeated at the head of the next one, so lags and rolling frames are exact.
     """
     chunk_rows = chunk_rows or CHUNK_ROWS
-    placed = with_position(df, by, order, chunk_rows)
-    if df.count() <= chunk_rows:
+    rows = df.count() if rows is None else rows
+    placed = with_position(df, by, order, chunk_rows, rows)
+    if rows <= chunk_rows:
         window = W.partitionBy(*[col(c) for c in by] or [F.lit(0)]).orderBy(POS)
         return placed.select("*", *[e.alias(n) for n, e in build(window).items()])
     size = max(chunk_rows // 2, reach)

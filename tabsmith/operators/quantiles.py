@@ -26,13 +26,20 @@ def exact_quantiles(
     probs: list[float],
     limit: int = EXACT_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """{column: value per probability}; None for a column without values."""
+    """{column: value per probability}; None for a column without values.
+
+    `counts` gives the non-null values per column where they are known.
+    """
     if not columns:
         return {}
     df = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     ids = [f"c{i}" for i in range(len(columns))]
-    sizes = df.agg(*[F.count(c).alias(c) for c in ids]).first().asDict()
+    if counts is None:
+        sizes = df.agg(*[F.count(c).alias(c) for c in ids]).first().asDict()
+    else:
+        sizes = {f"c{i}": counts[c] for i, c in enumerate(columns)}
     result: dict[str, list[float | None]] = {}
     small = [c for c in ids if 0 < sizes[c] <= limit]
     if small:
@@ -123,8 +130,8 @@ def _rank_inside(df, ready):
     return {(ready[x["t"]][0], ready[x["t"]][1]): x["v"] for x in hit.collect()}
 
 
-def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5]).items()}
+def medians(df: DataFrame, columns: list[str], counts: dict[str, int] | None = None) -> dict[str, float | None]:
+    return {c: v[0] for c, v in exact_quantiles(df, columns, [0.5], counts=counts).items()}
 
 
 def quartiles(df: DataFrame, columns: list[str]) -> dict[str, tuple]:

@@ -11,18 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabsmith.functions.columns import col, date_columns, numeric_columns
+from tabsmith.functions.columns import col, numeric_columns
 from tabsmith.functions.date_rules import DATE_PARTS
-from tabsmith.functions.stats import skew_g1
+from tabsmith.functions.stats import null_count, skew_g1
 from tabsmith.operators.clean import (
     TABLE_NULL_TOKENS,
     UNKNOWN,
     drop_duplicate_columns,
     drop_empty_rows,
-    null_counts,
 )
-from tabsmith.operators.dates import detect_date_columns
-from tabsmith.operators.frequency import categories, modes
+from tabsmith.operators.dates import date_tests, date_verdict
+from tabsmith.operators.frequency import modes
 from tabsmith.operators.impute import fill_values
 from tabsmith.operators.neighbours import impute_knn
 from tabsmith.operators.quantiles import medians
@@ -58,10 +57,19 @@ def auto_clean(
     df = drop_duplicate_columns(df)
     clean = drop_empty_rows(normalise(df, tokens))
 
-    rows, nulls = null_counts(clean)
+    rough = [f.name for f in clean.schema if isinstance(f.dataType, (T.StringType, T.BooleanType, T.NumericType))]
+    first = clean.agg(
+        F.count("*").alias("rows"),
+        *[null_count(col(c)).alias(f"n{i}") for i, c in enumerate(clean.columns)],
+        *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(rough)],
+        *date_tests(clean),
+    ).first()
+    rows = first["rows"]
+    nulls = {c: first[f"n{i}"] for i, c in enumerate(clean.columns)}
+    seen = {c: first[f"d{i}"] for i, c in enumerate(rough)}
     too_sparse = [c for c in clean.columns if nulls[c] > sparse * rows]
     kept = [c for c in clean.columns if c not in too_sparse]
-    dates = detect_date_columns(clean.select(*[col(c) for c in kept]))
+    dates = [c for c in date_verdict(clean, first) if c in kept]
     params = {
         "input": schema_types(df),
         "null_tokens": list(tokens),
@@ -77,14 +85,14 @@ def auto_clean(
     numbers = [c for c in numeric_columns(typed) if c not in made]
     gaps = [c for c in numbers if nulls[c]]
     mode = {c: m if m is not None else UNKNOWN for c, m in modes(typed, [c for c in texts if nulls[c]]).items()}
-    middle = {c: float(m or 0.0) for c, m in medians(typed, gaps).items()}
+    middle = {c: float(m or 0.0) for c, m in medians(typed, gaps, {c: rows - nulls[c] for c in gaps}).items()}
     params["fill"] = {**mode, **middle}
     use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS
     imputed = fill_values(typed, mode if use_knn else params["fill"])
     if use_knn:
         imputed = materialise(impute_knn(imputed, numbers, min(5, max(2, rows // 2))), "imputed")
 
-    decide(imputed, params, numbers, [c for c in texts if c in imputed.columns], least, most, log_skew, sqrt_skew)
+    decide(imputed, params, numbers, texts, seen, least, most, log_skew, sqrt_skew)
     params["output"] = output_columns(kept, dates, DATE_PARTS, params)
     report = _report(df, params, rows, nulls, use_knn, mode, middle)
     return Cleaned(finish(imputed, params), params, report)
@@ -95,16 +103,21 @@ def drop_empty_rows_after(df: DataFrame, params: dict) -> DataFrame:
     return prepare(drop_empty_rows(normalise(df, params["null_tokens"])), params)
 
 
-def decide(df, params, numbers, texts, least, most, log_skew, sqrt_skew) -> None:
-    """Pass 3: constants, skew features and categories of the imputed frame."""
-    low = categories(df, numbers + texts, most)
+def decide(df, params, numbers, texts, seen, least, most, log_skew, sqrt_skew) -> None:
+    """Pass 3: constants, skew features and categories of the imputed frame.
+
+    `seen` are rough distinct counts; exact value lists are taken only of
+    columns near the bounds, in the same aggregate.
+    """
+    near = [c for c in numbers + texts if seen.get(c, 0) <= 2 * most + 10]
     others = [c for c in df.columns if c not in numbers and c not in texts]
-    aggs = []
+    aggs = [F.array_sort(F.collect_set(col(c).cast("string"))).alias(f"low{i}") for i, c in enumerate(near)]
     for i, c in enumerate(numbers):
         aggs += [skew_g1(col(c)).alias(f"g{i}"), F.min(col(c)).cast("double").alias(f"lo{i}")]
     for i, c in enumerate(others):
         aggs.append(F.coalesce(F.min(col(c)) == F.max(col(c)), F.lit(True)).alias(f"flat{i}"))
     row = df.agg(*aggs).first() if aggs else {}
+    low = {c: list(row[f"low{i}"]) for i, c in enumerate(near) if len(row[f"low{i}"]) <= most}
     params["constant"] = [c for c in df.columns if c in low and len(low[c]) <= 1]
     params["constant"] += [c for i, c in enumerate(others) if row[f"flat{i}"]]
     params["transforms"] = {}
