@@ -83,7 +83,9 @@ def readings(c: Column, day_first: bool = False) -> Column:
     )
     third = F.when(c.rlike(SHORT_YEAR_FIRST), _short_year(c, SHORT_YEAR_FIRST, 1, "$1-$2-$3"))
     tried = F.coalesce(*[text.try_cast("timestamp") for text in (first, second, third)])
-    return F.when((F.length(c) <= rules.LONGEST_DATE) & c.rlike(r"\d"), tried)
+    # Every listed format has a four-digit year or two slashes: most other
+    # texts leave after one test.
+    return F.when((F.length(c) <= rules.LONGEST_DATE) & c.rlike(r"\d{4}|\d/\d{1,2}/\d"), tried)
 
 
 def loose(c: Column) -> Column:

@@ -88,13 +88,13 @@ def impute_rolling(df, columns, order, by=(), window=3, chunk_rows=None) -> Data
     return _rolling(df, columns, order, by, window, chunk_rows, F.lit(0.0))
 
 
-def impute_auto_ts(df, columns, order, by=(), chunk_rows=None) -> DataFrame:
+def impute_auto_ts(df, columns, order, by=(), chunk_rows=None, rows=None) -> DataFrame:
     """Rolling mean for short gaps, then interpolation, then the ends.
 
     Interpolation fills both ends from the nearest value, so only a series
     without any value is left for the final 0.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     short = _rolling(df, columns, order, by, 3, chunk_rows, F.lit(None).cast("double"), rows)
     return interpolate_linear(short, columns, order, by, chunk_rows, rows)
 

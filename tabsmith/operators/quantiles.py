@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col
 
-EXACT_LIMIT = 1_000_000
+EXACT_LIMIT = 500_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -66,24 +66,21 @@ def _order_statistics(df, wanted, sizes, limit, accuracy):
     """{(column, zero-based rank): value} for ranks of large columns."""
     wanted = sorted(set(wanted))
     margin = 2.0 / accuracy
-    sketched = {}
-    for c in sorted({c for c, _ in wanted}):
-        for _, r in (w for w in wanted if w[0] == c):
-            p = r / max(sizes[c] - 1, 1)
-            sketched[c, r] = (max(p - margin, 0.0), min(p + margin, 1.0))
-    aggs = [
-        F.percentile_approx(c, [lo, hi], accuracy).alias(f"{c}_{r}")
-        for (c, r), (lo, hi) in sketched.items()
-    ]
-    aggs += [F.min(c).alias(f"{c}_min") for c in {c for c, _ in wanted}]
-    aggs += [F.max(c).alias(f"{c}_max") for c in {c for c, _ in wanted}]
+    probs: dict[str, list[float]] = {}
+    for c, r in wanted:
+        p = r / max(sizes[c] - 1, 1)
+        probs.setdefault(c, []).extend([max(p - margin, 0.0), min(p + margin, 1.0)])
+    # One sketch per column answers all of its ranks.
+    aggs = [F.percentile_approx(c, ps, accuracy).alias(c) for c, ps in probs.items()]
+    aggs += [F.min(c).alias(f"{c}_min") for c in probs] + [F.max(c).alias(f"{c}_max") for c in probs]
     row = df.agg(*aggs).first()
-    bracket = {}
-    for (c, r), (lo, hi) in sketched.items():
-        a, b = row[f"{c}_{r}"]
+    bracket, place = {}, dict.fromkeys(probs, 0)
+    for c, r in wanted:
+        i = place[c]
+        place[c] += 2
         bracket[c, r] = (
-            row[f"{c}_min"] if lo == 0.0 else a,
-            row[f"{c}_max"] if hi == 1.0 else b,
+            row[f"{c}_min"] if probs[c][i] == 0.0 else row[c][i],
+            row[f"{c}_max"] if probs[c][i + 1] == 1.0 else row[c][i + 1],
         )
     counts = df.agg(
         *[F.count(F.when(F.col(c) < a, 1)).alias(f"{c}_{r}_below") for (c, r), (a, b) in bracket.items()],

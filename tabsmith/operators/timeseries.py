@@ -227,11 +227,11 @@ def series_grid(df: DataFrame, ts: str, by=(), freq: str | None = None) -> DataF
     return grid.filter(col(ts).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def fill_grid(df: DataFrame, ts: str, by=(), freq: str | None = None) -> DataFrame:
+def fill_grid(df: DataFrame, ts: str, by=(), freq: str | None = None, grid: DataFrame | None = None) -> DataFrame:
     """Left join of the grid with the data: missing points become empty rows."""
     by = list(by)
     df = as_timestamps(df, ts)
-    grid = series_grid(df, ts, by, freq)
+    grid = series_grid(df, ts, by, freq) if grid is None else grid
     on = _on([*by, ts], "g", "d")
     values = [c for c in df.columns if c != ts and c not in by]
     return grid.alias("g").join(df.alias("d"), on, "left").select(
@@ -244,7 +244,9 @@ def regularise(df: DataFrame, ts: str, by=(), freq: str | None = None, columns:
     by = list(by)
     columns = columns or [c for c in numeric_columns(df) if c not in by]
     clean = dedupe_timestamps(df, ts, by, columns)
-    return impute_auto_ts(fill_grid(clean, ts, by, freq), columns, ts, by)
+    # The grid is only keys and times; written once, its size is known for free.
+    grid = materialise(series_grid(clean, ts, by, freq), "grid")
+    return impute_auto_ts(fill_grid(clean, ts, by, grid=grid), columns, ts, by, rows=grid.count())
 
 
 def resample_daily_ffill(df: DataFrame, ts: str, by=(), columns: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from tabsmith.operators.frequency import modes
 from tabsmith.operators.impute import fill_values
 from tabsmith.operators.neighbours import impute_knn
 from tabsmith.operators.quantiles import medians
-from tabsmith.plans.params import finish, normalise, output_columns, prepare, schema_types
+from tabsmith.plans.params import finish, normalise, output_columns, schema_types, typed
 from tabsmith.session import materialise
 
 KNN_MINIMUM_ROWS = 11
@@ -78,17 +78,17 @@ def auto_clean(
         "clip": {},
         "drop_first": True,
     }
-    typed = drop_empty_rows_after(df, params)
+    ready = typed(clean, params)
 
-    texts = [f.name for f in typed.schema if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    texts = [f.name for f in ready.schema if isinstance(f.dataType, (T.StringType, T.BooleanType))]
     made = {f"{c}_{p}" for c in dates for p in DATE_PARTS}
-    numbers = [c for c in numeric_columns(typed) if c not in made]
+    numbers = [c for c in numeric_columns(ready) if c not in made]
     gaps = [c for c in numbers if nulls[c]]
-    mode = {c: m if m is not None else UNKNOWN for c, m in modes(typed, [c for c in texts if nulls[c]]).items()}
-    middle = {c: float(m or 0.0) for c, m in medians(typed, gaps, {c: rows - nulls[c] for c in gaps}).items()}
+    mode = {c: m if m is not None else UNKNOWN for c, m in modes(ready, [c for c in texts if nulls[c]]).items()}
+    middle = {c: float(m or 0.0) for c, m in medians(ready, gaps, {c: rows - nulls[c] for c in gaps}).items()}
     params["fill"] = {**mode, **middle}
     use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS
-    imputed = fill_values(typed, mode if use_knn else params["fill"])
+    imputed = fill_values(ready, mode if use_knn else params["fill"])
     if use_knn:
         imputed = materialise(impute_knn(imputed, numbers, min(5, max(2, rows // 2))), "imputed")
 
@@ -98,11 +98,6 @@ def auto_clean(
     return Cleaned(finish(imputed, params), params, report)
 
 
-def drop_empty_rows_after(df: DataFrame, params: dict) -> DataFrame:
-    """The typed training frame: empty rows go, which serving never does."""
-    return prepare(drop_empty_rows(normalise(df, params["null_tokens"])), params)
-
-
 def decide(df, params, numbers, texts, seen, least, most, log_skew, sqrt_skew) -> None:
     """Pass 3: constants, skew features and categories of the imputed frame.
 

@@ -40,8 +40,11 @@ def normalise(df: DataFrame, tokens: list[str]) -> DataFrame:
 
 def prepare(df: DataFrame, params: dict) -> DataFrame:
     """Align, normalise, drop, parse dates and add their parts."""
-    aligned = align_columns(df, params["input"])
-    clean = normalise(aligned, params["null_tokens"])
+    return typed(normalise(align_columns(df, params["input"]), params["null_tokens"]), params)
+
+
+def typed(clean: DataFrame, params: dict) -> DataFrame:
+    """Drop sparse columns and parse dates of a normalised frame."""
     kept = clean.select(*[col(c) for c in clean.columns if c not in params["sparse"]])
     return date_features(kept, params["dates"]) if params["dates"] else kept
 
