@@ -22,7 +22,7 @@ from tabsmith.operators.profile import infer_types
 
 CORRUPT = "_corrupt_record"
 DELIMITERS = [",", ";", "\t", "|"]
-FILE = F.col("_metadata.file_path")
+FILE = "_metadata.file_path"
 
 # The characters windows-1252 has where ISO-8859-1 has controls.
 CP1252_CODES = [
@@ -66,7 +66,7 @@ def _lines(spark: SparkSession, path) -> DataFrame:
     The text source keeps the bytes of a line, whatever their encoding.
     """
     return spark.read.text(path).select(
-        FILE.alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+        F.col(FILE).alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
     )
 
 
@@ -150,7 +150,8 @@ def normalise_encoding(spark: SparkSession, path) -> DataFrame:
 
     A file is UTF-8 if all its lines are, else windows-1252, or ISO-8859-1 if
     it has a byte windows-1252 leaves undefined. Lines are decoded one by one,
-    so files of any size are split over tasks.
+    so files of any size are split over tasks. The text source itself skips the
+    byte order mark of UTF-8.
     """
     lines = _lines(spark, path)
     raw = F.col("value").cast("binary")
@@ -158,14 +159,13 @@ def normalise_encoding(spark: SparkSession, path) -> DataFrame:
     undefined = latin.rlike("[\\u0081\\u008d\\u008f\\u0090\\u009d]")
     ascii_only = F.octet_length("value") == F.length(F.regexp_replace(latin, "[^\\x00-\\x7f]", ""))
     marked = lines.withColumns(
-        {"valid": F.is_valid_utf8("value"), "odd": undefined, "plain": ascii_only, "bom": F.hex(F.substring(raw, 1, 3)) == "EFBBBF"}
+        {"valid": F.is_valid_utf8("value"), "odd": undefined, "plain": ascii_only}
     )
     verdict = marked.groupBy("file").agg(
-        F.min("valid").alias("valid"), F.max("odd").alias("odd"), F.min("plain").alias("plain"), F.max("bom").alias("bom")
+        F.min("valid").alias("valid"), F.max("odd").alias("odd"), F.min("plain").alias("plain")
     )
     encoding = (
         F.when(F.col("plain"), "ascii")
-        .when(F.col("valid") & F.col("bom"), "utf-8-sig")
         .when(F.col("valid"), "utf-8")
         .when(~F.col("odd"), "windows-1252")
         .otherwise("iso-8859-1")
@@ -175,7 +175,6 @@ def normalise_encoding(spark: SparkSession, path) -> DataFrame:
     text = (
         F.when(F.col("encoding") == "windows-1252", F.translate(latin, CP1252_LATIN, CP1252_TEXT))
         .when(F.col("encoding") == "iso-8859-1", latin)
-        .when(F.col("encoding") == "utf-8-sig", F.regexp_replace("value", "^﻿", ""))
         .otherwise(F.col("value"))
     )
     return joined.select("file", "encoding", "place", text.alias("value"))
@@ -250,7 +249,7 @@ def read_many(spark: SparkSession, path, **options) -> tuple[DataFrame, DataFram
     """
     df = read_csv_text(spark, path, **options)
     names = [c for c in df.columns if c != CORRUPT]
-    marked = df.withColumn("file", FILE)
+    marked = df.withColumn("file", F.col(FILE))
     missing = sum((null_count(col(c)) for c in names), F.lit(0))
     good = F.count(F.when(F.col(CORRUPT).isNull(), 1))
     # Caching the parsed rows is not needed: the report is one grouped pass.
