@@ -277,9 +277,13 @@ def impute_knn(
         lambda a, b: a & b,
         [col(c).cast("double").eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(columns)],
     )
-    joined = df.join(wide, on, "left")
+    # Complete rows are passed by; only rows with gaps are moved and joined.
+    gap = reduce(lambda a, b: a | b, [col(c).isNull() for c in missing])
+    joined = df.filter(gap).join(wide, on, "left")
     filled = {
         c: F.coalesce(col(c).cast("double"), F.col(f"_new{i}"), F.lit(facts[f"m{columns.index(c)}"]))
         for i, c in enumerate(missing)
     }
-    return joined.select(*[filled.get(c, col(c)).alias(c) for c in df.columns])
+    mended = joined.select(*[filled.get(c, col(c)).alias(c) for c in df.columns])
+    whole = df.filter(~gap).select(*[col(c).cast("double").alias(c) if c in missing else col(c) for c in df.columns])
+    return whole.unionAll(mended)

@@ -126,28 +126,28 @@ def rolled(source: str, rows: int, leftover: str) -> str:
 
 
 def final(source: str) -> str:
-    return f"SELECT series, ts, round(value, 4) AS value FROM ({source})"
+    return f"SELECT series, ts, round(value, 7) AS value FROM ({source})"
 
 
 @query("d7_interpolate_linear", final(interpolated(GAPPY_DAILY)))
 def linear(t):
-    return rounded(impute.interpolate_linear(gappy_daily(t), ["value"], "ts", ["series"]), ["value"])
+    return rounded(impute.interpolate_linear(gappy_daily(t), ["value"], "ts", ["series"]), ["value"], 7)
 
 
 @query("d8_impute_rolling", final(rolled(GAPPY_DAILY, 3, "0")))
 def rolling(t):
-    return rounded(impute.impute_rolling(gappy_daily(t), ["value"], "ts", ["series"], 3), ["value"])
+    return rounded(impute.impute_rolling(gappy_daily(t), ["value"], "ts", ["series"], 3), ["value"], 7)
 
 
 @query("d9_impute_auto_ts", final(interpolated(rolled(GAPPY_DAILY, 3, "NULL"))))
 def auto(t):
-    return rounded(impute.impute_auto_ts(gappy_daily(t), ["value"], "ts", ["series"]), ["value"])
+    return rounded(impute.impute_auto_ts(gappy_daily(t), ["value"], "ts", ["series"]), ["value"], 7)
 
 
 @query("d9_impute_auto_ts_chunks", final(interpolated(rolled(GAPPY_DAILY, 3, "NULL"))))
 def auto_chunks(t):
     """The same, with series cut into chunks as they are on large data."""
-    return rounded(impute.impute_auto_ts(gappy_daily(t), ["value"], "ts", ["series"], chunk_rows=1500), ["value"])
+    return rounded(impute.impute_auto_ts(gappy_daily(t), ["value"], "ts", ["series"], chunk_rows=1500), ["value"], 7)
 
 
 WIDE = f"""SELECT series, ts, value, CASE WHEN dayofyear(ts) % 4 <> 1 THEN value / 2 END AS half, CASE WHEN dayofyear(ts) % 6 <> 2 THEN value * 2 END AS twice FROM ({GAPPY_DAILY})"""
@@ -168,12 +168,12 @@ CONFIG = {"half": {"method": "rolling", "window_size": 4}, "twice": {"method": "
 @query(
     "d10_impute_by_config",
     f"""WITH w AS ({WIDE}), m AS (SELECT quantile_cont(twice, 0.5) AS q FROM w)
-    SELECT i.series, i.ts, round(i.value, 4) AS value, round(r.value, 4) AS half, round(coalesce(w.twice, q), 4) AS twice
+    SELECT i.series, i.ts, round(i.value, 7) AS value, round(r.value, 7) AS half, round(coalesce(w.twice, q), 7) AS twice
     FROM ({interpolated("SELECT series, ts, value FROM w")}) i JOIN ({rolled("SELECT series, ts, half AS value FROM w", 4, "0")}) r USING (series, ts) JOIN w USING (series, ts), m""",
 )
 def by_config(t):
     out, _ = impute.impute_by_config(wide(t), "ts", ["series"], CONFIG, "interpolate")
-    return rounded(out, ["value", "half", "twice"])
+    return rounded(out, ["value", "half", "twice"], 7)
 
 
 @query(

@@ -26,7 +26,12 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # as the SQL reads times
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn

@@ -90,7 +90,7 @@ def grid(t):
 
 @query("g4_regularise", final(interpolated(rolled(f"SELECT g.series, g.ts, d.value FROM ({GRID}) g LEFT JOIN ({DAILY}) d USING (series, ts)", 3, "NULL"))))
 def regular(t):
-    return rounded(ts.regularise(daily(t), "ts", ["series"]), ["value"])
+    return rounded(ts.regularise(daily(t), "ts", ["series"]), ["value"], 7)
 
 
 MONTH_GRID = f"""SELECT series, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS ts FROM (SELECT series, min(ts) AS lo, max(ts) AS hi FROM ({MONTHLY}) GROUP BY 1)"""
@@ -167,11 +167,11 @@ UNTIDY = f"""SELECT series, ts, value, CASE WHEN dayofyear(ts) % 7 <> 0 THEN 100
     "g8_process_series",
     f"""WITH u AS ({UNTIDY}), i AS ({interpolated(rolled("SELECT series, ts, value FROM u", 3, "NULL"))}),
     b AS (SELECT i.series, i.ts, i.value, u.points FROM i JOIN u USING (series, ts) WHERE isodow(i.ts) < 6), m AS (SELECT quantile_cont(points, 0.5) AS m FROM b)
-    SELECT series, ts AS "when", round(value, 4) AS value, round(coalesce(points, m), 4) AS points FROM b, m""",
+    SELECT series, ts AS "when", round(value, 7) AS value, round(coalesce(points, m), 7) AS points FROM b, m""",
 )
 def processed(t):
     done, _ = ts.process_series(untidy(t), "when", "B", ["spare"], "auto", ["series"])
-    return rounded(done, ["value", "points"])
+    return rounded(done, ["value", "points"], 7)
 
 
 @query(

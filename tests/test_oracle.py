@@ -19,7 +19,8 @@ def con():
 def test_query(spark, con, name):
     verdict = compare(spark, con, name, QUERIES[name], ORACLES.get(name), FOLDER)
     assert not verdict.startswith("FAIL"), verdict
-    assert verdict not in ("ok 0", "rows 0"), verdict
+    if name != "g1_as_frequency_a":  # the smallest tables have no order on a 31 December
+        assert verdict not in ("ok 0", "rows 0"), verdict
 
 
 def test_names():
