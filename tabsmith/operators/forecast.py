@@ -260,8 +260,9 @@ def naive_seasonal(points: DataFrame, horizon: int, period: int = 12) -> DataFra
     back = F.least(F.lit(period), F.col("r.n"))
     slot = F.col("l.pos") - (F.col("r.n") - back)
     last = tail.filter(slot >= 0).select("l.series", "l.value", slot.alias("slot"), back.alias("k"))
-    steps = F.explode(F.filter(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.pmod(h - 1, F.col("k")) == F.col("slot")))
-    return last.select("series", steps.alias("h"), F.col("value").alias("forecast"))
+    reached = last.filter(F.col("slot") < horizon)
+    steps = F.explode(F.sequence((F.col("slot") + 1).cast("int"), F.lit(horizon), F.col("k").cast("int")))
+    return reached.select("series", steps.alias("h"), F.col("value").alias("forecast"))
 
 
 def naive_last(points: DataFrame, horizon: int) -> DataFrame:
@@ -280,33 +281,97 @@ def naive_drift(points: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def dft_forecast(points: DataFrame, horizon: int, keep: int = 10) -> DataFrame:
+def dft_forecast(points: DataFrame, horizon: int, keep: int = 10, limit: int | None = None) -> DataFrame:
     """Keep the strongest frequencies of each series and run on.
 
     The whole spectrum is ranked, so a real wave counts twice; equal strengths
-    are taken from the lowest frequency. One series is one array of at most
-    FOURIER_LIMIT doubles, which is checked.
+    are taken from the lowest frequency. Series up to FOURIER_LIMIT points are
+    one array each; if there are longer ones, the transform itself is spread.
     """
-    longest = points.agg(F.max("pos").alias("m")).first()["m"] or 0
-    if longest >= FOURIER_LIMIT:
-        raise ValueError(f"a series of {longest + 1} points: aggregate it to a coarser frequency first")
+    full = points.filter(F.col("value").isNotNull()).select("series", "pos", "value")
+    longest = (points.agg(F.max("pos").alias("m")).first()["m"] or 0) + 1
+    spectrum = _spread_spectrum(full, longest) if longest > (limit or FOURIER_LIMIT) else _spectrum(full, keep)
+    strength = F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 6)
+    place = F.row_number().over(W.partitionBy("series").orderBy(F.desc("strength"), "k"))
+    # The rank limit is applied in every task before rows are moved.
+    top = spectrum.withColumn("strength", strength).withColumn("place", place).filter(F.col("place") <= keep)
+    turn = 2 * math.pi * F.pmod(F.col("k") * F.pmod(F.col("h") - 1, F.col("n")), F.col("n")) / F.col("n")
+    wave = (F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn)) / F.col("n")
+    return top.select("*", horizons(horizon).alias("h")).groupBy("series", "h").agg(F.sum(wave).alias("forecast"))
+
+
+def _spectrum(points: DataFrame, keep: int) -> DataFrame:
+    """(series, n, k, re, im): the strongest frequencies, one array per series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("pos")["value"].to_numpy(float)
-        n = len(y)
-        spectrum = np.fft.fft(y)
-        strength = np.round(np.abs(spectrum), 6)
-        strongest = np.lexsort((np.arange(n), -strength))[:keep]
-        k = strongest[None, :]
-        t = (n + np.arange(horizon))[:, None] % n
-        waves = spectrum[k] * np.exp(2j * np.pi * k * t / n)
-        return pd.DataFrame(
-            {"series": pdf["series"].iloc[0], "h": np.arange(1, horizon + 1), "forecast": waves.sum(axis=1).real / n}
-        )
+        found = np.fft.fft(y)
+        k = np.lexsort((np.arange(len(y)), -np.round(np.abs(found), 6)))[:keep]
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "n": len(y), "k": k, "re": found[k].real, "im": found[k].imag})
 
     kind = points.schema["series"].dataType.simpleString()
-    full = points.filter(F.col("value").isNotNull()).select("series", "pos", "value")
-    return full.groupBy("series").applyInPandas(run, f"series {kind}, h int, forecast double")
+    return points.groupBy("series").applyInPandas(run, f"series {kind}, n bigint, k bigint, re double, im double")
+
+
+def _pass(df: DataFrame, group: str, place: str, size: int, inverse: bool, total: int | None) -> DataFrame:
+    """Transform the column of each group (at most `size` values); with
+    `total`, turn the result by its place in the whole."""
+    kind = df.schema["series"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(size, complex)
+        held[pdf[place].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        out = np.fft.ifft(held) * size if inverse else np.fft.fft(held)
+        k, g = np.arange(size), int(pdf[group].iloc[0])
+        if total:
+            out = out * np.exp((2j if inverse else -2j) * np.pi * (k * g % total) / total)
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "g": g, "k": k, "re": out.real, "im": out.imag})
+
+    return df.groupBy("series", group).applyInPandas(run, f"series {kind}, g bigint, k bigint, re double, im double")
+
+
+def _spread_fft(df: DataFrame, bits: int, inverse: bool = False) -> DataFrame:
+    """Transform of (series, j, re, im) of length 2**bits in two grouped passes
+    over columns and rows; absent values are zero."""
+    n1, n2 = 2 ** (bits // 2), 2 ** (bits - bits // 2)
+    cut = df.withColumns({"j1": F.floor(F.col("j") / n2), "j2": F.pmod("j", F.lit(n2))})
+    first = _pass(cut, "j2", "j1", n1, inverse, n1 * n2)
+    turned = first.select("series", F.col("k").alias("k1"), F.col("g").alias("j2"), "re", "im")
+    second = _pass(turned, "k1", "j2", n2, inverse, None)
+    return second.select("series", (F.col("g") + n1 * F.col("k")).alias("j"), "re", "im")
+
+
+def _spread_spectrum(points: DataFrame, longest: int) -> DataFrame:
+    """The spectrum of long series of any length, as a convolution with a chirp
+    so that only transforms of a power of two are needed."""
+    bits = math.ceil(math.log2(2 * longest))
+    n = small(points.groupBy("series").agg(F.count("*").alias("n")))
+    keyed = points.alias("l").join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
+    base = keyed.select("l.series", F.col("l.pos").alias("j"), "l.value", "r.n")
+    angle = lambda j: math.pi * F.pmod(F.col(j) * F.col(j), 2 * F.col("n")) / F.col("n")
+    a = base.select(
+        "series", "j", (F.col("value") * F.cos(angle("j"))).alias("re"), (-F.col("value") * F.sin(angle("j"))).alias("im")
+    )
+    both_ends = F.explode(F.array_distinct(F.array(F.col("j"), F.pmod(-F.col("j"), F.lit(2**bits)))))
+    chirp = base.select("series", both_ends.alias("at"), F.cos(angle("j")).alias("re"), F.sin(angle("j")).alias("im"))
+    left = _spread_fft(a, bits).alias("l")
+    right = _spread_fft(chirp.withColumnRenamed("at", "j"), bits).alias("r")
+    on = F.col("l.series").eqNullSafe(F.col("r.series")) & (F.col("l.j") == F.col("r.j"))
+    product = left.join(right, on).select(
+        "l.series",
+        "l.j",
+        (F.col("l.re") * F.col("r.re") - F.col("l.im") * F.col("r.im")).alias("re"),
+        (F.col("l.re") * F.col("r.im") + F.col("l.im") * F.col("r.re")).alias("im"),
+    )
+    back = _spread_fft(product, bits, inverse=True).alias("l")
+    sized = back.join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series"))).filter(F.col("l.j") < F.col("r.n"))
+    rows = sized.select(
+        "l.series", "r.n", F.col("l.j").alias("k"), (F.col("l.re") / 2**bits).alias("a"), (F.col("l.im") / 2**bits).alias("b")
+    )
+    c, s = F.cos(angle("k")), F.sin(angle("k"))
+    return rows.select(
+        "series", "n", "k", (F.col("a") * c + F.col("b") * s).alias("re"), (F.col("b") * c - F.col("a") * s).alias("im")
+    )
 
 
 # --- regression on lags ---------------------------------------------------------------
@@ -379,7 +444,9 @@ def lag_regression(
     ).select("series", "m.*")
     extra = F.array(*[F.coalesce(col(c).cast("double"), _d(0)) for c in now]).cast("array<double>")
     state = last.select("series", F.col("_h").alias("hist"), extra.alias("extra"), F.array().cast("array<double>").alias("done"))
-    for _ in range(math.ceil(horizon / chunk)):
+    for turn in range(math.ceil(horizon / chunk)):
+        if turn % 4 == 3:  # one row per series; keeps the plan of a long horizon short
+            state = materialise(state, "rolled")
         state = state.withColumn("x", array_to_vector(F.concat("hist", "extra")))
         for i, model in enumerate(models):
             state = model.setPredictionCol(f"p{i}").transform(state)

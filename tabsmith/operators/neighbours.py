@@ -28,6 +28,7 @@ from tabsmith.session import materialise
 
 BUCKET_ROWS = 64
 MOST_SPLITS = 4096
+MOST_FEATURES = 62  # a bit per feature in a long
 SLACK = 1 + 1e-9
 
 
@@ -46,6 +47,8 @@ def nearest_means(
     Returns the features, `_group` and `_means` (array in group order). With
     `only_missing`, a group is searched only where its receiver value is null.
     """
+    if len(features) > MOST_FEATURES:
+        raise ValueError(f"at most {MOST_FEATURES} features can be compared")
     order = _feature_order(donors, features)
     d = len(order)
     values = sorted({c for cols in groups.values() for c in cols})

@@ -23,7 +23,7 @@ from tabsmith.operators.clean import (
 from tabsmith.operators.dates import date_tests, date_verdict
 from tabsmith.operators.frequency import modes
 from tabsmith.operators.impute import fill_values
-from tabsmith.operators.neighbours import impute_knn
+from tabsmith.operators.neighbours import MOST_FEATURES, impute_knn
 from tabsmith.operators.quantiles import medians
 from tabsmith.plans.params import finish, normalise, output_columns, schema_types, typed
 from tabsmith.session import materialise
@@ -51,7 +51,8 @@ def auto_clean(
 ) -> Cleaned:
     """Clean a table and freeze what was learnt from it.
 
-    `numeric` is "knn" (neighbours, as many as 5) or "median". Serving always
+    `numeric` is "knn" (neighbours, as many as 5) or "median", which is also
+    used where neighbours can not be compared. Serving always
     uses the frozen medians, since new rows have no training neighbours.
     """
     df = drop_duplicate_columns(df)
@@ -87,7 +88,7 @@ def auto_clean(
     mode = {c: m if m is not None else UNKNOWN for c, m in modes(ready, [c for c in texts if nulls[c]]).items()}
     middle = {c: float(m or 0.0) for c, m in medians(ready, gaps, {c: rows - nulls[c] for c in gaps}).items()}
     params["fill"] = {**mode, **middle}
-    use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS
+    use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS and len(numbers) <= MOST_FEATURES
     imputed = fill_values(ready, mode if use_knn else params["fill"])
     if use_knn:
         imputed = materialise(impute_knn(imputed, numbers, min(5, max(2, rows // 2))), "imputed")

@@ -232,7 +232,10 @@ def checked(df: DataFrame, target: str, task: str) -> DataFrame:
 
 def label_stage(df: DataFrame, target: str) -> tuple[StringIndexerModel, list[str]]:
     """Label indexer over a class list whose size was checked."""
-    labels = sorted(str(r[0]) for r in df.select(col(target).cast("string")).distinct().collect())
+    found = df.select(col(target).cast("string")).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    labels = sorted(str(r[0]) for r in found)
     model = StringIndexerModel.from_labels(labels, inputCol="_label_text", outputCol="label", handleInvalid="error")
     return model, labels
 

@@ -133,18 +133,24 @@ def croston(t):
     return rounded(fc.croston(intermittent(t), 3), ["forecast"])
 
 
-@query(
-    "g15_dft_forecast",
-    f"""WITH p AS ({LAST}), k AS (SELECT p.series, p.n, j.j, sum(p.value * cos(-2 * pi() * j.j * p.pos / p.n)) AS re, sum(p.value * sin(-2 * pi() * j.j * p.pos / p.n)) AS im
+FOURIER = f"""WITH p AS ({LAST}), k AS (SELECT p.series, p.n, j.j, sum(p.value * cos(-2 * pi() * j.j * p.pos / p.n)) AS re, sum(p.value * sin(-2 * pi() * j.j * p.pos / p.n)) AS im
         FROM p, range(0, 200) AS j(j) WHERE j.j < p.n GROUP BY 1, 2, 3),
     s AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sqrt(re * re + im * im), 3) DESC, j) AS rn FROM k)
     SELECT series, CAST(h AS INTEGER) AS h, round(sum(re * cos(2 * pi() * j * ((n + h - 1) % n) / n) - im * sin(2 * pi() * j * ((n + h - 1) % n) / n)) / any_value(n), 1) AS forecast
-    FROM s, range(1, 13) AS r(h) WHERE rn <= 10 GROUP BY series, h""",
-)
+    FROM s, range(1, 13) AS r(h) WHERE rn <= 10 GROUP BY series, h"""
+
+
+@query("g15_dft_forecast", FOURIER)
 def fourier(t):
     return rounded(fc.dft_forecast(points(t), 12, 10), ["forecast"], 1)
 
 
+@query("g15_dft_forecast_spread", FOURIER)
+def fourier_spread(t):
+    """The same with the transform spread over tasks, as for long series."""
+    return rounded(fc.dft_forecast(points(t), 12, 10, limit=20), ["forecast"], 1)
+
+
 @query("g16_lag_regression_linear")
 def lag_linear(t):
     return rounded(fc.lag_regression(points(t), 15, fc.lag_models()["Ridge"], lags=12, chunk=6), ["forecast"], 1)

@@ -120,6 +120,16 @@ def test_fourier_repeats_a_pure_wave(spark):
     assert np.allclose(forecasts(fc.dft_forecast(df, 24, 3), "a"), y[:24], atol=1e-6)
 
 
+def test_spread_fourier_equals_one_array(spark):
+    rng = np.random.default_rng(8)
+    rows = [(name, i, float(v)) for name, n in (("a", 61), ("b", 48), (None, 7)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "series string, pos bigint, value double")
+    one = {(r["series"], r["h"]): r["forecast"] for r in fc.dft_forecast(df, 5, 6).collect()}
+    spread = {(r["series"], r["h"]): r["forecast"] for r in fc.dft_forecast(df, 5, 6, limit=10).collect()}
+    assert one.keys() == spread.keys() and len(one) == 15
+    assert np.allclose([one[k] for k in one], [spread[k] for k in one], atol=1e-8)
+
+
 def test_naive(points):
     y = series()["flat"]
     assert forecasts(fc.naive_seasonal(points, 15, 12), "flat") == [*y[-12:], *y[-12:-9]]
