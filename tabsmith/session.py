@@ -15,6 +15,8 @@ def get_spark(app: str = "tabsmith", master: str | None = None, **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Neighbour and grid joins make many rows of few: keep their tasks apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
