@@ -185,7 +185,8 @@ def test_frequencies(spark):
     cases = {
         "daily": (days(0, 1, 2, 3, 4, 5, 6, 7), "D"),
         "second day": (days(0, 2, 4, 6), "2D"),
-        "gaps": (days(0, 1, 2, 5, 6, 7, 12, 13), "D"),
+        "gaps": (days(0, 1, 2, 3, 4, 9, 10, 11, 20), "D"),
+        "gaps at weekends": (days(0, 1, 2, 5, 6, 7, 12, 13), "B"),
         "work": ([d for d in days(*range(5, 40)) if d.weekday() < 5], "B"),
         "weekly": (days(0, 7, 14, 21), "W"),
         "hourly": ([START + dt.timedelta(hours=h) for h in range(5)], "H"),
