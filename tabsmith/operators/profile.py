@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsmith.functions.columns import (
     col,
-    date_columns,
     finite,
     fractional_columns,
     numeric_columns,
     select_with,
-    string_columns,
     type_label,
 )
 from tabsmith.functions.stats import null_count, percent, share

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabsmith.functions.columns import col, is_numeric, numeric_columns, select_with, type_label
+from tabsmith.functions.columns import col, is_numeric, numeric_columns, select_with
 from tabsmith.functions.stats import null_count
 from tabsmith.operators.features import bin_code, quantile_edges, small
 from tabsmith.operators.frequency import categories, distinct_counts

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from tabsmith.functions.columns import col, finite, fractional_columns, select_with
 from tabsmith.operators.clean import (

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabsmith.functions.columns import col
-from tabsmith.functions.date_rules import DATE_PARTS
 from tabsmith.operators import features
 from tabsmith.plans.auto_clean import auto_clean
 from tabsmith.plans.auto_features import auto_features

@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tabsmith.functions.columns import col, select_with, string_columns
 from tabsmith.functions.stats import null_count
