@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from tabsmith.llm import merkle, mixing, sharding, templates
+from tabsmith.llm import embeddings, merkle, mixing, pieces, sharding, templates, token_files, toxicity
 from tabsmith.queries.registry import query
+from tabsmith.session import scratch_path
+
+
+@functools.cache
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op1_token_files")
+def token_files_query(t):
+    path = scratch_path(t.spark, "token-files")
+    token_files.write_ids(t.documents, path, tokenizer_file("word_bpe_49k.json"))
+    return token_files.read_ids(t.spark, path, digests_only=True)
+
 
 MIX_SQL = r"""
 WITH sized AS (
@@ -138,3 +157,40 @@ SELECT doc_id, n_lines, n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM k
 def line_templates(t):
     rows = templates.drop_lines(t.documents.select("doc_id", "text"), counts=("n_lines", "n_dropped"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_sentencepiece")
+def sentencepiece_digests(t):
+    return pieces.piece_digests(t.documents, tokenizer_file("piece_bpe_32k.model"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+comp AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.u = vec_id LEFT JOIN counts ON counts.u = vec_id
+"""
+
+
+@query("op6_near_vectors", VECTOR_SQL)
+def near_vectors(t):
+    return embeddings.near_vectors(t.embeddings)
+
+
+@query("op8_toxicity")
+def toxicity_scores(t):
+    held_out = toxicity.held_out()
+    model = toxicity.train(t.documents, t.labels.filter(~held_out))
+    rows = toxicity.score(t.documents, model)
+    return rows.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
