@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import embeddings, merkle, mixing, pieces, sharding, templates, token_files, toxicity
+from tabsmith.llm import embeddings, merkle, mixing, ngram_join, pieces, sharding, templates, token_files, toxicity
 from tabsmith.queries.registry import query
 from tabsmith.session import scratch_path
 
@@ -194,3 +194,25 @@ def toxicity_scores(t):
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("passages").alias("n_passages"),
     )
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.v) AS component_id
+FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
+@query("op9_ngram_join", JACCARD_SQL)
+def ngram_links(t):
+    return ngram_join.ngram_components(t.documents).select("doc_id", "n_shingles", "component_id")
