@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import embeddings, merkle, mixing, ngram_join, pieces, sharding, templates, token_files, toxicity
+from tabsmith.llm import embeddings, merkle, mixing, ngram_join, pieces, sharding, templates, token_files, toxicity, transcripts
 from tabsmith.queries.registry import query
 from tabsmith.session import scratch_path
 
@@ -216,3 +216,12 @@ FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
 @query("op9_ngram_join", JACCARD_SQL)
 def ngram_links(t):
     return ngram_join.ngram_components(t.documents).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_chat_format")
+def chat_format(t):
+    turns = transcripts.format_conversations(t.conversations)
+    return turns.select(
+        F.col("conv").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "n_lines",
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
