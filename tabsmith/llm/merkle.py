@@ -106,7 +106,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     ids = rows.select("id")
     bounds = _bounds(ids, ids.count(), per_range)
     n = max(1, len(bounds))
-    at = F.coalesce(_range_of(F.col("id"), bounds), F.lit(n - 1)) if bounds else F.lit(0)
+    at = F.when(F.col("id").isNull(), F.lit(n - 1)).otherwise(_range_of(F.col("id"), bounds)) if bounds else F.lit(0)
     first = F.col("id").isin(bounds) if n <= 100 else F.array_contains(F.lit(bounds), F.col("id"))
     first = F.coalesce(first, F.lit(not bounds))
     own = F.struct(at.alias("r"), F.lit(0).alias("halo"))

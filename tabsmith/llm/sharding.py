@@ -35,8 +35,10 @@ def _chosen(pairs: list[tuple[Column, Column]], otherwise: Column) -> Column:
 def _round(nodes: DataFrame, shards: int, quota: float, rows: int) -> DataFrame | None:
     """One round of propagation; None when no document may move."""
     held = nodes.groupBy("group", "shard").agg(F.sum("size").alias("w"))
-    best = held.groupBy("group").agg(F.max(F.struct("w", -F.col("shard"))).alias("b"), F.count("*").alias("k"))
-    best = best.filter("k > 1").select("group", (-F.col("b.col2")).alias("want"))
+    # Of equally heavy shards every group has its own favourite, so wishes go both ways.
+    favourite = F.xxhash64("group", "shard").alias("h")
+    best = held.groupBy("group").agg(F.max(F.struct("w", favourite, "shard")).alias("b"), F.count("*").alias("k"))
+    best = best.filter("k > 1").select("group", F.col("b.shard").alias("want"))
     wishes = materialise(nodes.join(best, "group", "left"), "shard-wishes")
     moving = F.col("want").isNotNull() & (F.col("want") != F.col("shard"))
     flows = {(r["shard"], r["want"]): r["w"] for r in wishes.filter(moving).groupBy("shard", "want").agg(F.sum("size").alias("w")).collect()}
