@@ -252,22 +252,32 @@ def described(t):
     return catalogue(t).drop("potential_targets", "high_cardinality")
 
 
-def rules_sql() -> str:
-    rows = []
-    for task, table in (("classification", quality.CLASSIFIERS), ("regression", quality.REGRESSORS)):
-        for i, (model, traits, smallest, numeric) in enumerate(table):
-            words = traits.split()
-            bonus = 20 * ("high_performance" in words) + 10 * ("robust" in words)
-            bonus += 10 * ("interpretable" in words) if task == "classification" else 0
-            size = next((w for w in words if w in ("small", "medium", "large")), "")
-            rows.append(f"('{task}', {i}, '{model}', {smallest}, {str(numeric).lower()}, '{size}', {bonus})")
-    return ", ".join(rows)
+# The rules of the SQL, written down apart from those of the library: task, place, model, smallest
+# sample, wants numbers, size class, other points.
+MODEL_RULES = """
+  ('classification', 0, 'Logistic Regression', 100, true, 'small', 0),
+  ('classification', 1, 'Random Forest', 200, false, 'medium', 10),
+  ('classification', 2, 'XGBoost', 500, false, 'large', 20),
+  ('classification', 3, 'Gradient Boosting', 300, false, 'medium', 20),
+  ('classification', 4, 'Decision Tree', 50, false, 'small', 10),
+  ('classification', 5, 'SVM', 100, true, 'small', 0),
+  ('classification', 6, 'K-Nearest Neighbors', 100, true, 'small', 0),
+  ('classification', 7, 'Naive Bayes', 50, false, 'small', 0),
+  ('classification', 8, 'Neural Network', 1000, false, 'large', 0),
+  ('regression', 0, 'Linear Regression', 100, true, 'small', 0),
+  ('regression', 1, 'Random Forest', 200, false, 'medium', 10),
+  ('regression', 2, 'XGBoost', 500, false, 'large', 20),
+  ('regression', 3, 'Gradient Boosting', 300, false, 'medium', 0),
+  ('regression', 4, 'Decision Tree', 50, false, 'small', 0),
+  ('regression', 5, 'SVR', 100, true, 'small', 0),
+  ('regression', 6, 'Ridge/Lasso', 100, true, 'small', 0)
+"""
 
 
 @query(
     "f10_recommend_models",
     f"""WITH c AS ({CATALOGUE}),
-    rules(task, place, model, smallest, numeric_heavy, size, bonus) AS (VALUES {rules_sql()}),
+    rules(task, place, model, smallest, numeric_heavy, size, bonus) AS (VALUES {MODEL_RULES}),
     k AS (SELECT dataset, sample_count AS n, numeric_ratio AS r,
                  CASE WHEN series_candidate THEN 'time_series' WHEN classification_targets > 0 AND classification_targets >= regression_targets THEN 'classification' ELSE 'regression' END AS task FROM c),
     s AS (
