@@ -17,14 +17,6 @@ from tabsmith.operators.frequency import categories
 from tabsmith.operators.ordered import POS, over_preceding, with_position
 from tabsmith.operators.quantiles import exact_quantiles
 
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint only for a side whose row count was checked."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 # --- numeric transforms -------------------------------------------------------
 
 def log_of(c: Column) -> Column:
@@ -187,8 +179,12 @@ def apply_one_hot(df: DataFrame, lists: dict[str, list[str]], drop_first: bool)
     return select_with(df, flags)
 
 
-def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, least: int = 1, most: int = 100) -> DataFrame:
-    """E5: a boolean per sorted category; null is false everywhere."""
+def one_hot(df: DataFrame, columns: list[str], drop_first: bool = False, least: int = 1, most: int | None = None) -> DataFrame:
+    """E5: a boolean per sorted category; null is false everywhere.
+
+    Every value becomes a column, so the caller answers for their number; `most`
+    leaves columns with more values out.
+    """
     lists = {c: v for c, v in categories(df, columns, most).items() if len(v) >= least}
     return apply_one_hot(df, {c: lists[c] for c in columns if c in lists}, drop_first)
 
@@ -204,7 +200,7 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
         text = F.coalesce(col(c).cast("string"), F.lit("missing"))
         values = df.select(text.alias("_v")).distinct()
         codes = with_position(values, [], "_v").select(F.col("_v").alias(f"_v{i}"), F.col(POS).cast("int").alias(f"_c{i}"))
-        out = out.join(small(codes), text == F.col(f"_v{i}"), "left")
+        out = out.join(codes, text == F.col(f"_v{i}"), "left")
     return out.select(*[F.col(f"_c{columns.index(c)}").alias(c) if c in columns else col(c) for c in df.columns])
 
 
@@ -224,7 +220,7 @@ def target_encode(df: DataFrame, columns: list[str], target: str, smoothing: flo
     out = df
     for i, c in enumerate(columns):
         means = target_means(df, c, target, smoothing).toDF(f"_k{i}", f"_m{i}")
-        out = out.join(small(means), col(c) == F.col(f"_k{i}"), "left")
+        out = out.join(means, col(c) == F.col(f"_k{i}"), "left")
     return out.select(
         *[col(c) for c in df.columns],
         *[F.coalesce(F.col(f"_m{i}"), F.lit(overall)).alias(f"{c}_target") for i, c in enumerate(columns)],
@@ -337,53 +333,55 @@ def lag_features(df: DataFrame, columns: dict[str, list[int]], order: str, by=()
 
 # --- configured and automatic flows ---------------------------------------------
 
+# The keys of a configuration, with the transform each asks for.
 CONFIG_TRANSFORMS = [
-    ("log_transform", "log", "Log transform applied to {}"),
-    ("sqrt_transform", "sqrt", "Square root transform applied to {}"),
-    ("squared_transform", "squared", "Square transform applied to {}"),
-    ("reciprocal_transform", "reciprocal", "Reciprocal transform applied to {}"),
+    ("log_transform", "log"),
+    ("sqrt_transform", "sqrt"),
+    ("squared_transform", "squared"),
+    ("reciprocal_transform", "reciprocal"),
 ]
 
 
-def apply_transformations(df: DataFrame, config: dict) -> tuple[DataFrame, list[str]]:
+def apply_transformations(df: DataFrame, config: dict) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Configured steps in a fixed order; a step that does not fit is skipped.
 
     All numeric transforms read the original columns and form one projection;
-    only bins and categories need an aggregate.
+    only bins and categories need an aggregate. The steps done come along as
+    (kind, column, setting).
     """
-    steps: list[str] = []
+    steps: list[tuple[str, str, str]] = []
     added: dict[str, Column] = {}
     numbers = set(numeric_columns(df))
-    for key, kind, text in CONFIG_TRANSFORMS:
+    for key, kind in CONFIG_TRANSFORMS:
         for c in config.get(key, []):
             if c in numbers:
                 added[f"{c}_{kind}"] = TRANSFORMS[kind](col(c))
-                steps.append(text.format(c))
+                steps.append((kind, c, ""))
     out = select_with(df, added)
     for item in config.get("binning", []):
         c = item["column"]
         if c in numbers:
             binned = quantile_bin(out, c, item["bins"], item.get("labels"))
             if binned is not out:
-                steps.append(f"Binning applied to {c} with {item['bins']} bins")
+                steps.append(("bins", c, str(item["bins"])))
             out = binned
     hot = [c for c in config.get("one_hot_encoding", []) if c in df.columns]
     if hot:
-        lists = categories(df, hot, config.get("max_categories", 100))
+        lists = categories(df, hot, config.get("max_categories"))
         out = apply_one_hot(out, {c: lists[c] for c in hot if c in lists}, config.get("drop_first", False))
-        steps += [f"One-hot encoding applied to {c}" for c in hot if c in lists]
+        steps += [("one_hot", c, str(len(lists[c]))) for c in hot if c in lists]
     for item in config.get("datetime_features", []):
         if item["column"] in df.columns:
             out = date_features(out, [item["column"]], item["features"])
-            steps.append(f"Datetime features extracted from {item['column']}")
+            steps.append(("date_parts", item["column"], ",".join(item["features"])))
     dropped = [c for c in config.get("columns_to_drop", []) if c in out.columns]
     if dropped:
         out = drop_columns(out, dropped)
-        steps.append(f"Dropped columns: {', '.join(dropped)}")
+        steps += [("drop", c, "") for c in dropped]
     types = {c: t for c, t in config.get("data_types", {}).items() if c in out.columns}
     if types:
         out = convert_types(out, types)
-        steps += [f"Converted {c} to {t}" for c, t in types.items()]
+        steps += [("type", c, t) for c, t in types.items()]
     return out, steps
 
 

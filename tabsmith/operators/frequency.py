@@ -101,18 +101,20 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return top.select(rank.alias("rank"), "value", "count")
 
 
-def categories(df: DataFrame, columns: list[str], most: int) -> dict[str, list[str]]:
-    """Sorted values of the columns that have at most `most` distinct ones.
+def categories(df: DataFrame, columns: list[str], most: int | None) -> dict[str, list[str]]:
+    """Sorted values of the columns that have at most `most` distinct ones; of all columns without it.
 
     A sketch first removes columns far above the bound, so the exact pass
     only touches low-cardinality columns and the driver receives a bounded list.
     """
     if not columns:
         return {}
-    rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    low = [c for i, c in enumerate(columns) if rough[f"c{i}"] <= 2 * most + 10]
+    low = columns
+    if most is not None:
+        rough = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        low = [c for i, c in enumerate(columns) if rough[f"c{i}"] <= 2 * most + 10]
     if not low:
         return {}
     exact = [F.array_sort(F.collect_set(col(c).cast("string"))).alias(f"c{i}") for i, c in enumerate(low)]
     rows = df.agg(*exact).first()
-    return {c: list(rows[f"c{i}"]) for i, c in enumerate(low) if len(rows[f"c{i}"]) <= most}
+    return {c: list(rows[f"c{i}"]) for i, c in enumerate(low) if most is None or len(rows[f"c{i}"]) <= most}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col, is_numeric, numeric_columns, select_with
 from tabsmith.functions.stats import null_count
-from tabsmith.operators.features import bin_code, quantile_edges, small
+from tabsmith.operators.features import bin_code, quantile_edges
 from tabsmith.operators.frequency import categories, distinct_counts
 
 MISSING = "missing"
@@ -40,7 +40,7 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     by_x = joint.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
     by_y = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     total = joint.groupBy("feature").agg(F.sum("n").alias("nt"))
-    full = joint.join(by_x, ["feature", "x"]).join(small(by_y), ["feature", "y"]).join(F.broadcast(total), "feature")  # a row per feature
+    full = joint.join(by_x, ["feature", "x"]).join(by_y, ["feature", "y"]).join(F.broadcast(total), "feature")  # a row per feature
     share = F.col("n") / F.col("nt")
     score = F.sum(share * F.log(F.col("n") * F.col("nt") / (F.col("nx").cast("double") * F.col("ny"))))
     return full.groupBy("feature").agg(F.greatest(score, F.lit(0.0)).alias("importance"))

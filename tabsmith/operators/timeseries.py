@@ -17,7 +17,6 @@ from tabsmith.operators.clean import (
     numeric_if_mostly,
 )
 from tabsmith.operators.dates import smart_parse
-from tabsmith.operators.features import small
 from tabsmith.operators.impute import impute_auto_ts, impute_by_config
 from tabsmith.operators.ordered import POS, neighbours, over_preceding, with_position
 from tabsmith.session import materialise
@@ -86,7 +85,7 @@ def as_frequency(df: DataFrame, ts: str, freq: str, by=()) -> DataFrame:
     df = as_timestamps(df, ts)
     first = df.groupBy(*[col(c) for c in by]).agg(F.min(col(ts)).alias("_start"))
     if by:
-        joined = df.alias("l").join(small(first).alias("r"), _on(by, "l", "r"))
+        joined = df.alias("l").join(first.alias("r"), _on(by, "l", "r"))
         kept = joined.filter(on_grid(F.col(f"l.`{ts}`"), F.col("r._start"), freq)).select("l.*")
     else:
         start = first.first()["_start"]
@@ -185,7 +184,7 @@ def series_grid(df: DataFrame, ts: str, by=(), freq: str | None = None) -> DataF
     if freq is None:
         found = detect_frequency(df, ts, by)
         if by:
-            spans = spans.alias("l").join(small(found).alias("r"), _on(by, "l", "r")).select("l.*", "r.frequency")
+            spans = spans.alias("l").join(found.alias("r"), _on(by, "l", "r")).select("l.*", "r.frequency")
         else:
             spans = spans.withColumn("frequency", F.lit(found.first()["frequency"]))
     else:
@@ -394,7 +393,7 @@ def chrono_split(df: DataFrame, ts: str, by=(), train: float = 0.8, strict: bool
         if shortest < 20 or int(shortest * train) < 10 or shortest - int(shortest * train) < 1:
             raise ValueError("a series needs at least 20 rows, 10 for training and 1 for testing")
     if by:
-        joined = placed.alias("l").join(small(sizes).alias("r"), _on(by, "l", "r")).select("l.*", "r._n")
+        joined = placed.alias("l").join(sizes.alias("r"), _on(by, "l", "r")).select("l.*", "r._n")
     else:
         joined = placed.withColumn("_n", F.lit(sizes.first()["_n"]))
     cut = F.floor(F.col("_n") * F.lit(train))

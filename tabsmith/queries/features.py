@@ -99,6 +99,19 @@ def intervals(t):
     return features.quantile_bin(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), "l_quantity", 5)
 
 
+MANY = 130
+
+
+@query(
+    "e5_one_hot_many",
+    "SELECT o_orderkey, o_custkey % 130 AS slot, " + ", ".join(f'o_custkey % 130 = {v} AS "slot_{v}"' for v in range(MANY)) + " FROM orders",
+)
+def one_hot_many(t):
+    """More values than any default bound: each still gets its column."""
+    slots = t.orders.select("o_orderkey", (F.col("o_custkey") % MANY).alias("slot"))
+    return features.one_hot(slots, ["slot"])
+
+
 @query(
     "e5_one_hot",
     """SELECT l_orderkey, l_returnflag, coalesce(l_returnflag = 'A', false) AS "l_returnflag_A", coalesce(l_returnflag = 'N', false) AS "l_returnflag_N",
@@ -213,13 +226,14 @@ def configured(t):
 
 @query(
     "e13_applied_steps",
-    """SELECT * FROM (VALUES (1, 'Log transform applied to o_totalprice'), (2, 'Square transform applied to o_custkey'), (3, 'Binning applied to o_totalprice with 2 bins'),
-      (4, 'One-hot encoding applied to o_orderstatus'), (5, 'Datetime features extracted from o_orderdate'), (6, 'Dropped columns: o_rare, o_empty, o_orderpriority'),
-      (7, 'Converted o_custkey to string')) AS v(step, text)""",
+    """SELECT * FROM (VALUES (1, 'log', 'o_totalprice', ''), (2, 'squared', 'o_custkey', ''), (3, 'bins', 'o_totalprice', '2'),
+      (4, 'one_hot', 'o_orderstatus', (SELECT CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM orders)), (5, 'date_parts', 'o_orderdate', 'year,dayofweek'),
+      (6, 'drop', 'o_rare', ''), (7, 'drop', 'o_empty', ''), (8, 'drop', 'o_orderpriority', ''),
+      (9, 'type', 'o_custkey', 'string')) AS v(step, kind, "column", setting)""",
 )
 def steps(t):
     _, applied = features.apply_transformations(gappy_orders(t), CONFIG)
-    return t.spark.createDataFrame([(i + 1, s) for i, s in enumerate(applied)], "step int, text string")
+    return t.spark.createDataFrame([(i + 1, *s) for i, s in enumerate(applied)], "step int, kind string, column string, setting string")
 
 
 # --- the flagship ---------------------------------------------------------------
