@@ -7,7 +7,8 @@ neighbours (row offset, last value before, next value after) is one summary row
 per (series, chunk), carried over a window on that small summary.
 
 When the whole frame is no larger than `chunk_rows`, one chunk per series is
-proven enough and the plain window is used.
+proven enough and the plain window is used; positions are the same either way.
+Rows without an order key come first, among themselves by the hash of the row.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def with_chunks(df: DataFrame, order: str, chunk_rows: int | None = None, rows:
     bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol=CHUNK, handleInvalid="keep").transform(
         df.withColumn("_order", key)
     )
-    return bucketed.withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("_order"), True
+    return bucketed.withColumn(CHUNK, F.coalesce(F.col(CHUNK).cast("int"), F.lit(-1))).drop("_order"), True
 
 
 def _within(by: list[str]) -> list[Column]:
@@ -58,7 +59,9 @@ def with_position(
 ) -> DataFrame:
     """Add `_pos`, the zero-based position of a row in its series."""
     chunked, several = with_chunks(df, order, chunk_rows, rows)
-    local = F.row_number().over(W.partitionBy(*_within(by)).orderBy(col(order))).cast("bigint") - 1
+    hashed = [col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tie = F.when(col(order).isNull(), F.xxhash64(*hashed))
+    local = F.row_number().over(W.partitionBy(*_within(by)).orderBy(col(order), tie)).cast("bigint") - 1
     if not several:
         return chunked.withColumn(POS, local).drop(CHUNK)
     before = W.partitionBy(*[col(c) for c in by]).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)

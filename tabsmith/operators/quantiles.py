@@ -1,4 +1,4 @@
-"""Exact quantiles (linear interpolation) that hold at any size.
+"""Exact quantiles (linear interpolation) that hold at any size, with the same bits at any size.
 
 Up to EXACT_LIMIT values the built-in `percentile` is used: its per-column
 buffer is then bounded. Above it, a sketch brackets each wanted rank, the rows
@@ -58,7 +58,8 @@ def exact_quantiles(
             for p in probs:
                 r = p * (sizes[c] - 1)
                 lo, hi = found[c, math.floor(r)], found[c, math.ceil(r)]
-                result[c].append(lo + (hi - lo) * (r - math.floor(r)))
+                # The arithmetic of `percentile`, so that a value on an edge falls the same way at any size.
+                result[c].append(lo if lo == hi else (math.ceil(r) - r) * lo + (r - math.floor(r)) * hi)
     return {name: result.get(f"c{i}", [None] * len(probs)) for i, name in enumerate(columns)}
 
 

@@ -148,3 +148,22 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, rows, splits):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(records)], "id int, `a b` double, c double, d double")
     got = nb.impute_knn(df, list(frame.columns), 5, bucket_rows=rows).orderBy("id").toPandas()
     np.testing.assert_allclose(got[list(frame.columns)].to_numpy(), knn_plain(data, 5), rtol=1e-9)
+
+
+def test_quantiles_have_the_same_bits_at_any_limit(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(v),) for v in rng.normal(size=3001)], "v double")
+    probs = [i / 37 for i in range(1, 37)]
+    assert exact_quantiles(df, ["v"], probs, limit=100) == exact_quantiles(df, ["v"], probs)
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 10])
+def test_rows_without_an_order_key_come_first(spark, chunk_rows):
+    from tabsmith.operators.ordered import POS, with_position
+
+    rows = [(None, "x"), (None, "y"), *[(i, str(i)) for i in range(40)]]
+    got = with_position(spark.createDataFrame(rows, "ts int, v string"), [], "ts", chunk_rows).collect()
+    assert sorted(r[POS] for r in got if r["ts"] is None) == [0, 1]
+    assert {r["ts"]: r[POS] for r in got if r["ts"] is not None} == {i: i + 2 for i in range(40)}
+    plain = with_position(spark.createDataFrame(rows, "ts int, v string"), [], "ts").collect()
+    assert {r["v"]: r[POS] for r in got} == {r["v"]: r[POS] for r in plain}
