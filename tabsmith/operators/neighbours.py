@@ -28,7 +28,7 @@ from tabsmith.session import materialise
 
 BUCKET_ROWS = 64
 MOST_SPLITS = 4096
-MOST_FEATURES = 62  # a bit per feature in a long
+WORD_BITS = 62  # features per word of a presence mask
 SLACK = 1 + 1e-9
 
 
@@ -47,8 +47,37 @@ def nearest_means(
     Returns the features, `_group` and `_means` (array in group order). With
     `only_missing`, a group is searched only where its receiver value is null.
     """
-    if len(features) > MOST_FEATURES:
-        raise ValueError(f"at most {MOST_FEATURES} features can be compared")
+    weighted, order = _weighted(receivers, donors, features, groups, k, only_missing, bucket_rows)
+    keys = [f"r{i}" for i in range(len(order))] + ["g"]
+    width = max(len(cols) for cols in groups.values())
+    means = F.array(
+        *[F.sum(F.col("t") * F.get("chosen", F.lit(i))) / F.sum("t") for i in range(width)]
+    )
+    result = weighted.groupBy(*keys).agg(means.alias("_means"))
+    labels = F.array(*map(F.lit, groups))
+    return result.select(
+        *[F.col(f"r{order.index(c)}").alias(c) for c in features], F.get(labels, F.col("g")).alias("_group"), "_means"
+    )
+
+
+def nearest_votes(
+    receivers: DataFrame, donors: DataFrame, features: list[str], value: str, k: int, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Per distinct receiver vector, the number most common in the donors'
+    column `value` over the k nearest; the smallest one wins a tie.
+
+    Votes are a grouped count, so any number of different values will do.
+    Returns the features and `_vote`.
+    """
+    weighted, order = _weighted(receivers, donors, features, {"v": [value]}, k, False, bucket_rows)
+    keys = [f"r{i}" for i in range(len(order))]
+    votes = weighted.groupBy(*keys, F.get("chosen", F.lit(0)).alias("value")).agg(F.sum("t").alias("n"))
+    won = votes.groupBy(*keys).agg(F.max(F.struct(F.col("n"), (-F.col("value")).alias("least"))).alias("won"))
+    return won.select(*[F.col(f"r{order.index(c)}").alias(c) for c in features], (-F.col("won.least")).alias("_vote"))
+
+
+def _weighted(receivers, donors, features, groups, k, only_missing, bucket_rows) -> tuple[DataFrame, list[str]]:
+    """The k nearest donors of each receiver and group, with how many of them a row counts for (`t`)."""
     order = _feature_order(donors, features)
     d = len(order)
     values = sorted({c for cols in groups.values() for c in cols})
@@ -56,7 +85,7 @@ def nearest_means(
     names = {c: f"d{i}" for i, c in enumerate(order)} | {c: f"v{i}" for i, c in enumerate(extra)}
     pool = donors.select(*[col(c).cast("double").alias(n) for c, n in names.items()])
     pool = pool.groupBy(*names.values()).agg(F.count("*").alias("w"))
-    pool = pool.withColumn("dmask", _mask([f"d{i}" for i in range(d)])).filter("dmask > 0")
+    pool = _masked(pool, "d", d)
     choices = F.array(
         *[
             F.when(
@@ -78,7 +107,7 @@ def nearest_means(
     )
     asked = receivers.withColumn("_wanted", F.array_compact(wanted)).filter(F.size("_wanted") > 0)
     asked = asked.select(*[col(c).cast("double").alias(f"r{i}") for i, c in enumerate(order)], "_wanted").distinct()
-    asked = asked.withColumn("rmask", _mask([f"r{i}" for i in range(d)])).filter("rmask > 0")
+    asked = _masked(asked, "r", d)
     asked = asked.select("*", F.explode("_wanted").alias("g")).drop("_wanted")
 
     tie = [f"d{order.index(c)}" for c in features]
@@ -97,16 +126,7 @@ def nearest_means(
     keys = [f"r{i}" for i in range(d)] + ["g"]
     earlier = W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     taken = F.least(F.col("w"), k - F.coalesce(F.sum("w").over(earlier), F.lit(0)))
-    weighted = found.filter("w is not null").withColumn("t", taken).filter("t > 0")
-    width = max(len(cols) for cols in groups.values())
-    means = F.array(
-        *[F.sum(F.col("t") * F.get("chosen", F.lit(i))) / F.sum("t") for i in range(width)]
-    )
-    result = weighted.groupBy(*keys).agg(means.alias("_means"))
-    labels = F.array(*map(F.lit, groups))
-    return result.select(
-        *[F.col(f"r{order.index(c)}").alias(c) for c in features], F.get(labels, F.col("g")).alias("_group"), "_means"
-    )
+    return found.filter("w is not null").withColumn("t", taken).filter("t > 0"), order
 
 
 def _feature_order(donors: DataFrame, features: list[str]) -> list[str]:
@@ -115,9 +135,19 @@ def _feature_order(donors: DataFrame, features: list[str]) -> list[str]:
     return sorted(features, key=lambda c: (shares[c], c))
 
 
-def _mask(names: list[str]) -> Column:
-    bits = [F.when(F.col(n).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(names)]
-    return reduce(lambda a, b: a + b, bits).cast("bigint")
+def _words(side: str, d: int) -> list[str]:
+    """Names of the mask columns of a side; a word holds WORD_BITS features."""
+    return [f"{side}mask{j}" for j in range(-(-d // WORD_BITS))]
+
+
+def _masked(df: DataFrame, side: str, d: int) -> DataFrame:
+    """Add the words that say which features a row has; rows without any go."""
+    words = {}
+    for j, name in enumerate(_words(side, d)):
+        here = range(j * WORD_BITS, min(d, (j + 1) * WORD_BITS))
+        bits = [F.when(F.col(f"{side}{i}").isNotNull(), F.lit(1 << (i - j * WORD_BITS))).otherwise(F.lit(0)) for i in here]
+        words[name] = reduce(lambda a, b: a + b, bits).cast("bigint")
+    return df.withColumns(words).filter(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in words]))
 
 
 def _scales(pool: DataFrame, d: int, buckets: int) -> list[tuple[list[float], int]]:
@@ -177,6 +207,8 @@ def _search(asked, pool, d, scales, k, reach, tie):
     a null weight.
     """
     keys = [f"r{i}" for i in range(d)] + ["g"]
+    rmasks, dmasks = _words("r", d), _words("d", d)
+    prefix = [f"prefix{j}" for j in range(len(dmasks))]
     rows = asked
     if reach is None:
         rows = rows.withColumns({f"x{i}": F.col(f"r{i}") - F.col("bound") for i in range(d)})
@@ -205,8 +237,8 @@ def _search(asked, pool, d, scales, k, reach, tie):
             for i in range(d)
         ]
     )
-    ask = rows.select(*keys, "rmask", F.explode(F.array_compact(ranges)).alias("c")).select(
-        *keys, "rmask", "c.f", "c.lo", "c.hi"
+    ask = rows.select(*keys, *rmasks, F.explode(F.array_compact(ranges)).alias("c")).select(
+        *keys, *rmasks, "c.f", "c.lo", "c.hi"
     )
     placed = _bucketed(pool, [f"d{i}" for i in range(d)], [f"b{i}" for i in range(d)], scales)
     cells = F.array(
@@ -215,7 +247,10 @@ def _search(asked, pool, d, scales, k, reach, tie):
                 F.col(f"d{i}").isNotNull(),
                 F.struct(
                     F.lit(i).alias("f"),
-                    F.col("dmask").bitwiseAND(F.lit((1 << i) - 1)).alias("prefix"),
+                    *[
+                        F.col(m).bitwiseAND(F.lit((1 << max(0, min(i - j * WORD_BITS, WORD_BITS))) - 1)).alias(prefix[j])
+                        for j, m in enumerate(dmasks)
+                    ],
                     F.col(f"b{i}").alias("b"),
                 ),
             )
@@ -223,16 +258,18 @@ def _search(asked, pool, d, scales, k, reach, tie):
         ]
     )
     offer = placed.select(
-        *[f"d{i}" for i in range(d)], "dmask", "choices", "w", F.explode(F.array_compact(cells)).alias("c")
-    ).select("*", F.col("c.f").alias("of"), F.col("c.prefix").alias("oprefix"), F.col("c.b").alias("ob")).drop("c")
+        *[f"d{i}" for i in range(d)], *dmasks, "choices", "w", F.explode(F.array_compact(cells)).alias("c")
+    ).select("*", F.col("c.f").alias("of"), *[F.col(f"c.{p}").alias(f"o{p}") for p in prefix], F.col("c.b").alias("ob")).drop("c")
     # Which earlier features donors may have; a pair meets under one feature only.
-    prefixes = offer.select("of", "oprefix").distinct()
-    ask = ask.join(prefixes, (F.col("f") == F.col("of")) & (F.col("rmask").bitwiseAND(F.col("oprefix")) == 0))
-    ask = ask.select(*keys, "rmask", "f", F.col("oprefix").alias("prefix"), F.explode(F.sequence("lo", "hi")).alias("b"))
-    pairs = ask.join(offer, (F.col("f") == F.col("of")) & (F.col("prefix") == F.col("oprefix")) & (F.col("b") == F.col("ob")))
+    prefixes = offer.select("of", *[f"o{p}" for p in prefix]).distinct()
+    apart = [F.col(m).bitwiseAND(F.col(f"o{p}")) == 0 for m, p in zip(rmasks, prefix)]
+    ask = ask.join(prefixes, reduce(lambda a, b: a & b, apart, F.col("f") == F.col("of")))
+    ask = ask.select(*keys, *rmasks, "f", *[F.col(f"o{p}").alias(p) for p in prefix], F.explode(F.sequence("lo", "hi")).alias("b"))
+    alike = [F.col(p) == F.col(f"o{p}") for p in prefix]
+    pairs = ask.join(offer, reduce(lambda a, b: a & b, alike, (F.col("f") == F.col("of")) & (F.col("b") == F.col("ob"))))
     gap = {n: F.col("r" + n[1:]) - F.col(n) for n in tie}
     square = reduce(lambda a, b: a + b, [F.coalesce(gap[n] * gap[n], F.lit(0.0)) for n in tie])
-    shared = F.bit_count(F.col("rmask").bitwiseAND(F.col("dmask")))
+    shared = reduce(lambda a, b: a + b, [F.bit_count(F.col(m).bitwiseAND(F.col(n))) for m, n in zip(rmasks, dmasks)])
     scored = pairs.select(
         *keys,
         F.get("choices", F.col("g")).alias("chosen"),
@@ -243,7 +280,7 @@ def _search(asked, pool, d, scales, k, reach, tie):
     window = W.partitionBy(*keys).orderBy("dist", *tie, "chosen")
     top = scored.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k)
     top = top.select(*keys, "place", "dist", "w", "chosen")
-    base = asked.select(*keys, "rmask", *(["bound"] if "bound" in asked.columns else []))
+    base = asked.select(*keys, *rmasks, *(["bound"] if "bound" in asked.columns else []))
     on = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
     joined = base.alias("a").join(top.alias("b"), on, "left")
     return joined.select("a.*", "place", "dist", "w", "chosen")
@@ -251,7 +288,7 @@ def _search(asked, pool, d, scales, k, reach, tie):
 
 def _kth(found: DataFrame, d: int, k: int) -> DataFrame:
     """Receivers with the distance of the k-th donor found; null if fewer."""
-    keys = [f"r{i}" for i in range(d)] + ["g", "rmask"]
+    keys = [f"r{i}" for i in range(d)] + ["g", *_words("r", d)]
     upto = F.sum("w").over(W.partitionBy(*keys).orderBy("place"))
     reached = found.withColumn("upto", upto)
     return reached.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= k, F.col("dist"))).alias("bound"))

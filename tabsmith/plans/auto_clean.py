@@ -23,7 +23,7 @@ from tabsmith.operators.clean import (
 from tabsmith.operators.dates import date_tests, date_verdict
 from tabsmith.operators.frequency import modes
 from tabsmith.operators.impute import fill_values
-from tabsmith.operators.neighbours import MOST_FEATURES, impute_knn
+from tabsmith.operators.neighbours import WORD_BITS, impute_knn
 from tabsmith.operators.quantiles import medians
 from tabsmith.plans.params import finish, normalise, output_columns, schema_types, typed
 from tabsmith.session import materialise
@@ -88,7 +88,7 @@ def auto_clean(
     mode = {c: m if m is not None else UNKNOWN for c, m in modes(ready, [c for c in texts if nulls[c]]).items()}
     middle = {c: float(m or 0.0) for c, m in medians(ready, gaps, {c: rows - nulls[c] for c in gaps}).items()}
     params["fill"] = {**mode, **middle}
-    use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS and len(numbers) <= MOST_FEATURES
+    use_knn = numeric == "knn" and bool(gaps) and rows >= KNN_MINIMUM_ROWS and len(numbers) <= WORD_BITS
     imputed = fill_values(ready, mode if use_knn else params["fill"])
     if use_knn:
         imputed = materialise(impute_knn(imputed, numbers, min(5, max(2, rows // 2))), "imputed")
@@ -102,10 +102,16 @@ def auto_clean(
 def decide(df, params, numbers, texts, seen, least, most, log_skew, sqrt_skew) -> None:
     """Pass 3: constants, skew features and categories of the imputed frame.
 
-    `seen` are rough distinct counts; exact value lists are taken only of
-    columns near the bounds, in the same aggregate.
+    `seen` are rough distinct counts of before the filling. Filled numbers can
+    have many more values, so theirs are counted again; exact value lists are
+    taken only of columns near the bounds.
     """
     near = [c for c in numbers + texts if seen.get(c, 0) <= 2 * most + 10]
+    filled = [c for c in near if c in numbers]
+    if filled:
+        now = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(filled)]).first()
+        grown = {c for i, c in enumerate(filled) if now[f"c{i}"] > 2 * most + 10}
+        near = [c for c in near if c not in grown]
     others = [c for c in df.columns if c not in numbers and c not in texts]
     aggs = [F.array_sort(F.collect_set(col(c).cast("string"))).alias(f"low{i}") for i, c in enumerate(near)]
     for i, c in enumerate(numbers):

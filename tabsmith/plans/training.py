@@ -35,13 +35,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.utils import IllegalArgumentException
+from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 
 from tabsmith.functions.columns import col, date_columns, numeric_columns, quote, string_columns
 from tabsmith.functions.date_rules import DATE_PARTS
 from tabsmith.operators.clean import align_columns, drop_index_columns, drop_null_keys, require_unique_columns
 from tabsmith.operators.frequency import categories
-from tabsmith.operators.neighbours import nearest_means
+from tabsmith.operators.neighbours import nearest_means, nearest_votes
+from tabsmith.operators.ordered import POS, with_position
 from tabsmith.operators.scores import (
     AUTO_METRIC,
     LESS_IS_BETTER,
@@ -55,9 +57,10 @@ from tabsmith.session import materialise
 
 MOST_CATEGORIES = 25
 HASH_SLOTS = 256
-MOST_CLASSES = 1000
 CLASS_METRICS = ["Accuracy", "AUC", "Recall", "Prec", "F1", "Kappa", "MCC"]
 NUMBER_METRICS = ["MAE", "MSE", "RMSE", "R2", "RMSLE", "MAPE"]
+# What a model can raise while it is fitted or applied; the others go on.
+FIT_ERRORS = (PySparkException, Py4JJavaError, ValueError, ArithmeticError)
 
 
 def split(df: DataFrame, keys: list[str], train: float = 0.8, seed: int = 123) -> tuple[DataFrame, DataFrame]:
@@ -68,17 +71,20 @@ def split(df: DataFrame, keys: list[str], train: float = 0.8, seed: int = 123) -
     return df.filter(slot < int(train * 10_000)), df.filter(slot >= int(train * 10_000))
 
 
-def feature_stages(df: DataFrame, features: list[str]) -> list:
+def feature_stages(
+    df: DataFrame, features: list[str], most_categories: int = MOST_CATEGORIES, hash_slots: int = HASH_SLOTS
+) -> list:
     """Stages from raw columns to one vector; all fitted values are bounded.
 
-    Numbers get their mean for nulls, dates become parts, texts with few values
-    are one-hot encoded and other texts are hashed, so no list of labels grows
-    with the data.
+    Numbers get their mean for nulls, dates become parts, texts with up to
+    `most_categories` values are one-hot encoded and other texts are hashed to
+    `hash_slots` columns, so no list of labels grows with the data. Values that
+    share a slot are one to the models; both bounds are the caller's choice.
     """
     numbers = [c for c in features if c in numeric_columns(df)]
     dates = [c for c in features if c in date_columns(df)]
     texts = [c for c in features if c in string_columns(df)]
-    few = [c for c in texts if c in categories(df, texts, MOST_CATEGORIES)]
+    few = [c for c in texts if c in categories(df, texts, most_categories)]
     many = [c for c in texts if c not in few]
     sql = {"year": "year", "month": "month", "day": "dayofmonth", "dayofweek": "weekday", "quarter": "quarter"}
     parts = [f"cast({quote(c)} as double) as {quote('n_' + c)}" for c in numbers]
@@ -96,7 +102,7 @@ def feature_stages(df: DataFrame, features: list[str]) -> list:
         stages.append(OneHotEncoder(inputCols=index, outputCols=[f"o_{c}" for c in few], handleInvalid="keep"))
         inputs += [f"o_{c}" for c in few]
     if many:
-        stages.append(FeatureHasher(inputCols=[f"t_{c}" for c in many], outputCol="h_texts", numFeatures=HASH_SLOTS))
+        stages.append(FeatureHasher(inputCols=[f"t_{c}" for c in many], outputCol="h_texts", numFeatures=hash_slots))
         inputs.append("h_texts")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return stages
@@ -114,10 +120,11 @@ def classifiers(classes: int, width: int, seed: int = 123) -> dict:
         "Linear SVM": wrap(LinearSVC(regParam=0.01)),
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
         "MLP": MultilayerPerceptronClassifier(layers=[width, 16, classes], seed=seed, maxIter=50),
+        "K Neighbors": Neighbours("classification", width, classes),
     }
 
 
-def regressors(seed: int = 123) -> dict:
+def regressors(seed: int = 123, width: int = 1) -> dict:
     return {
         "Linear Regression": LinearRegression(),
         "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0),
@@ -127,9 +134,45 @@ def regressors(seed: int = 123) -> dict:
         "Decision Tree": DecisionTreeRegressor(seed=seed),
         "Random Forest": RandomForestRegressor(seed=seed, numTrees=50),
         "Gradient Boosting": GBTRegressor(seed=seed, maxIter=20),
+        "K Neighbors": Neighbours("regression", width),
     }
 
 
+class Neighbours:
+    """K Neighbors over assembled vectors, with the fit and transform of an estimator.
+
+    The search is the exact one of the imputer. There is nothing to save but the
+    training rows, so the model is ranked but never the one that is kept.
+    """
+
+    def __init__(self, task: str, width: int, classes: int = 0, k: int = 5):
+        self.task, self.width, self.classes, self.k, self.rows = task, width, classes, k, None
+
+    def _columns(self, rows: DataFrame, *more: str) -> DataFrame:
+        values = vector_to_array("features")
+        return rows.select(*more, *[F.get(values, F.lit(i)).alias(f"_f{i}") for i in range(self.width)])
+
+    def fit(self, rows: DataFrame) -> Neighbours:
+        fitted = Neighbours(self.task, self.width, self.classes, self.k)
+        fitted.rows = self._columns(rows, "label")
+        return fitted
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        names = [f"_f{i}" for i in range(self.width)]
+        plain = self._columns(rows, *rows.columns)
+        if self.task == "regression":
+            found = nearest_means(plain, self.rows, names, {"y": ["label"]}, self.k, only_missing=False)
+            out = [F.get("_means", F.lit(0)).alias("prediction")]
+        else:
+            flags = {f"_is_{i}": (F.col("label") == i).cast("double") for i in range(self.classes)}
+            found = nearest_means(plain, self.rows.withColumns(flags), names, {"y": list(flags)}, self.k, only_missing=False)
+            best = F.array_position("_means", F.array_max("_means")) - 1
+            out = [best.cast("double").alias("prediction"), F.col("_means").alias("scores")]
+        keyed = found.select(*[F.col(n).alias(f"_k{n}") for n in names], *out)
+        on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_k{n}")) for n in names])
+        return plain.join(keyed, on, "left").drop(*names, *[f"_k{n}" for n in names])
+
+
 # --- scoring of folds ---------------------------------------------------------------
 
 def with_folds(df: DataFrame, keys: list[str], folds: int, seed: int) -> DataFrame:
@@ -138,19 +181,41 @@ def with_folds(df: DataFrame, keys: list[str], folds: int, seed: int) -> DataFra
 
 
 def _predictions(model, rows: DataFrame, name: str) -> DataFrame:
-    """(Model, fold, label, prediction, score) of held-out rows."""
+    """(Model, fold, label, prediction, scores) of held-out rows; `scores` has a value per class."""
     scored = model.transform(rows)
     rating = next((c for c in ("probability", "rawPrediction") if c in scored.columns), None)
-    value = F.get(vector_to_array(rating), F.lit(1)) if rating else F.lit(None).cast("double")
-    return scored.select(F.lit(name).alias("Model"), "fold", "label", "prediction", value.alias("score"))
+    value = vector_to_array(rating) if rating else F.lit(None).cast("array<double>")
+    if "scores" in scored.columns:
+        value = F.col("scores")
+    return scored.select(F.lit(name).alias("Model"), "fold", "label", "prediction", value.alias("scores"))
+
+
+def class_auc(held: DataFrame, classes: int, by: list[str]) -> DataFrame:
+    """AUC of (label, scores): the second class's for two classes, else the
+    mean over one-versus-rest areas, weighted by the rows of each class."""
+    if classes == 2:
+        return auc(held.withColumn("score", F.get("scores", F.lit(1))), F.col("label") == 1, "score", by)
+    each = held.select(*by, "label", F.posexplode("scores").alias("class", "score"))
+    area = auc(each, F.col("label") == F.col("class"), "score", [*by, "class"])
+    weight = held.groupBy(*by, F.col("label").cast("int").alias("class")).agg(F.count("*").alias("n"))
+    joined = area.join(weight, [*by, "class"]).filter("AUC is not null")
+    return joined.groupBy(*by).agg((F.sum(F.col("AUC") * F.col("n")) / F.sum("n")).alias("AUC"))
+
+
+def fold_metrics(held: DataFrame, task: str, classes: int, by: list[str]) -> DataFrame:
+    """All metrics of the task over (label, prediction, scores)."""
+    if task == "regression":
+        return regression_metrics(held, "label", "prediction", by)
+    found = classification_metrics(held, "label", "prediction", by)
+    return found.join(class_auc(held.filter("scores is not null"), classes, by), by, "left")
 
 
 def cross_validate(data: DataFrame, models: dict, task: str, classes: int, folds: int = 3, parallelism: int = 4):
     """M7: mean metrics of each model over the folds of `data` (features,
     label, fold); a dict of errors and one of training seconds come along.
 
-    All fits run side by side. The held-out predictions of all models are
-    written once and scored in one grouped pass.
+    All fits run side by side, then all predictions, which are written and
+    scored in one grouped pass. A model that fails in either is left out.
     """
     errors, seconds = {}, dict.fromkeys(models, 0.0)
 
@@ -159,29 +224,28 @@ def cross_validate(data: DataFrame, models: dict, task: str, classes: int, folds
         begin = time.time()
         try:
             return name, k, models[name].fit(data.filter(F.col("fold") != k)), time.time() - begin
-        except (IllegalArgumentException, ValueError, ArithmeticError) as problem:
+        except FIT_ERRORS as problem:
             errors[name] = str(problem).splitlines()[0][:200]
             return name, k, None, 0.0
 
+    def predict(job):
+        name, k, model = job
+        try:
+            return materialise(_predictions(model, data.filter(F.col("fold") == k), name), "predictions")
+        except FIT_ERRORS as problem:
+            errors[name] = str(problem).splitlines()[0][:200]
+
     with ThreadPool(parallelism) as pool:
-        fitted = pool.map(inheritable_thread_target(data.sparkSession)(fit), [(n, k) for n in models for k in range(folds)], chunksize=1)
-    parts = []
-    for name, k, model, took in fitted:
-        seconds[name] += took
-        if model is not None and name not in errors:
-            parts.append(_predictions(model, data.filter(F.col("fold") == k), name))
+        jobs = [(n, k) for n in models for k in range(folds)]
+        fitted = pool.map(inheritable_thread_target(data.sparkSession)(fit), jobs, chunksize=1)
+        for name, _, _, took in fitted:
+            seconds[name] += took
+        jobs = [(n, k, m) for n, k, m, _ in fitted if n not in errors]
+        held = list(zip(jobs, pool.map(inheritable_thread_target(data.sparkSession)(predict), jobs, chunksize=1)))
+    parts = [rows for (name, _, _), rows in held if rows is not None and name not in errors]
     if not parts:
         return None, errors, seconds
-    held = materialise(reduce(DataFrame.unionAll, parts), "predictions")
-    keys = ["Model", "fold"]
-    if task == "regression":
-        scores = regression_metrics(held, "label", "prediction", keys)
-    else:
-        scores = classification_metrics(held, "label", "prediction", keys)
-        if classes == 2:
-            scores = scores.join(auc(held, F.col("label") == 1, "score", keys), keys, "left")
-        else:
-            scores = scores.withColumn("AUC", F.lit(None).cast("double"))
+    scores = fold_metrics(reduce(DataFrame.unionAll, parts), task, classes, ["Model", "fold"])
     names = CLASS_METRICS if task == "classification" else NUMBER_METRICS
     return scores.groupBy("Model").agg(*[F.avg(m).alias(m) for m in names]), errors, seconds
 
@@ -189,19 +253,20 @@ def cross_validate(data: DataFrame, models: dict, task: str, classes: int, folds
 def neighbour_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, task: str, k: int = 5) -> DataFrame:
     """K Neighbors for both tasks: test features with `label` and `prediction`.
 
-    The exact neighbour search of the imputer with the target as the value;
-    a class vote is the mean of class flags, the first class wins a tie.
+    The exact neighbour search of the imputer with the target as the value.
+    Classes are numbered in order by a joined table and their votes are counted
+    in groups, so there may be any number of them; the first one wins a tie.
     """
     plain = test.select(*[col(c).cast("double").alias(c) for c in features], col(target).alias("label"))
     if task == "regression":
         found = nearest_means(plain, train, features, {"y": [target]}, k, only_missing=False)
         value = F.get("_means", F.lit(0))
     else:
-        labels = sorted(r[0] for r in train.select(target).distinct().limit(MOST_CLASSES).collect())
-        flags = {f"_is_{i}": (col(target) == F.lit(v)).cast("double") for i, v in enumerate(labels)}
-        found = nearest_means(plain, train.withColumns(flags), features, {"y": list(flags)}, k, only_missing=False)
-        place = F.array_position("_means", F.array_max("_means")) - 1
-        value = F.get(F.array(*[F.lit(v) for v in labels]), place.cast("int"))
+        classes = train.select(col(target).alias("_class")).filter("_class is not null").distinct()
+        classes = materialise(with_position(classes, [], "_class").select("_class", F.col(POS).cast("double").alias("_code")), "classes")
+        coded = train.join(classes, col(target) == F.col("_class"))
+        found = nearest_votes(plain, coded, features, "_code", k).join(classes, F.col("_vote") == F.col("_code"))
+        value = F.col("_class")
     keyed = found.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(features)], value.alias("prediction"))
     on = F.lit(True)
     for i, c in enumerate(features):
@@ -219,22 +284,21 @@ class Trained:
     labels: list[str]
     features: list[str]
     task: str
+    holdout: DataFrame
 
 
 def checked(df: DataFrame, target: str, task: str) -> DataFrame:
     """Rows and columns fit for training; raises on a hopeless target."""
     clean = drop_null_keys(drop_index_columns(require_unique_columns(df)), [target])
     verdict = validate_target(clean, target, task).first()
-    if verdict["level"] == "error" or (task == "classification" and verdict["classes"] > MOST_CLASSES):
+    if verdict["level"] == "error":
         raise ValueError(verdict["message"])
     return clean
 
 
 def label_stage(df: DataFrame, target: str) -> tuple[StringIndexerModel, list[str]]:
-    """Label indexer over a class list whose size was checked."""
-    found = df.select(col(target).cast("string")).distinct().limit(MOST_CLASSES + 1).collect()
-    if len(found) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes")
+    """Label indexer over the sorted classes; every model holds a number per class anyway."""
+    found = df.select(col(target).cast("string")).distinct().collect()
     labels = sorted(str(r[0]) for r in found)
     model = StringIndexerModel.from_labels(labels, inputCol="_label_text", outputCol="label", handleInvalid="error")
     return model, labels
@@ -269,15 +333,16 @@ def train_leaderboard(
     """Check, split, cross-validate every model, rank, refit the best.
 
     The assembled vectors are written once and read by every model. A model
-    that cannot be fitted is listed with its error.
+    that cannot be fitted or applied is listed with its error. The best model
+    that can be saved is scored on the rows left out, then fitted on all.
     """
     clean = checked(df, target, task)
     features = features or [c for c in clean.columns if c not in keys and c != target]
-    kept, _ = split(clean, keys, train, seed)
+    kept, rest = split(clean, keys, train, seed)
     ready, stages, labels = assembled(kept, features, target, task)
     data = materialise(with_folds(ready, keys, folds, seed).select("features", "label", "fold"), "vectors")
     width = data.first()["features"].size
-    models = classifiers(len(labels), width, seed) if task == "classification" else regressors(seed)
+    models = classifiers(len(labels), width, seed) if task == "classification" else regressors(seed, width)
     models = {n: m for n, m in models.items() if include is None or n in include}
     names = CLASS_METRICS if task == "classification" else NUMBER_METRICS
     means, errors, seconds = cross_validate(data, models, task, len(labels), folds, parallelism)
@@ -291,12 +356,21 @@ def train_leaderboard(
     metric = AUTO_METRIC[task] if metric == "auto" else metric
     sign = 1 if metric in LESS_IS_BETTER else -1
     place = names.index(metric) + 1
-    fitted = [r for r in rows if r[place] is not None and r[0] != "Dummy"]
+    fitted = [r for r in rows if r[place] is not None and r[0] != "Dummy" and not isinstance(models[r[0]], Neighbours)]
     if not fitted:
         raise ValueError("no model could be fitted")
     best = min(fitted, key=lambda r: (sign * r[place], r[0]))[0]
+    tested = stages.transform(rest)
+    if task == "classification":
+        known = F.array_position(F.lit(labels), col(target).cast("string")) - 1
+        tested = tested.withColumn("label", F.when(known >= 0, known.cast("double")))
+    else:
+        tested = tested.withColumn("label", col(target).cast("double"))
+    tested = materialise(tested.filter("label is not null").select("features", "label", F.lit(0).alias("fold")), "holdout")
+    held = materialise(_predictions(models[best].fit(data), tested, best), "predictions")
+    holdout = fold_metrics(held, task, len(labels), ["Model"]).select("Model", *names)
     model = finalise(clean, features, target, task, models[best])
-    return Trained(leaderboard(results, metric), best, model, labels, features, task)
+    return Trained(leaderboard(results, metric), best, model, labels, features, task, holdout)
 
 
 def _number(value):

@@ -121,3 +121,31 @@ def test_information_of_a_copy(spark):
     df = spark.createDataFrame([(str(i % 4), str(i % 4), "x") for i in range(40)], "a string, b string, c string")
     got = {r["feature"]: r["importance"] for r in selection.mutual_information(df, ["a", "c"], "b").collect()}
     assert math.isclose(got["a"], math.log(4)) and got["c"] == 0.0
+
+
+def test_neighbours_vote_among_many_classes(spark):
+    rows = [(float(i), f"k{i:04d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "x double, kind string")
+    got = training.neighbour_predict(df, df, ["x"], "kind", "classification", k=1)
+    assert got.filter("label != prediction").count() == 0 and got.count() == 1200
+
+
+def test_one_versus_rest_area(spark):
+    rows = [(0.0, [0.7, 0.2, 0.1]), (1.0, [0.3, 0.4, 0.3]), (2.0, [0.1, 0.3, 0.6]), (0.0, [0.2, 0.5, 0.3]), (1.0, [0.1, 0.8, 0.1])]
+    df = spark.createDataFrame(rows, "label double, scores array<double>").withColumn("Model", F.lit("m"))
+    want, total = 0.0, 0
+    for k in range(3):
+        hit = [s[k] for y, s in rows if y == k]
+        miss = [s[k] for y, s in rows if y != k]
+        area = sum((a > b) + 0.5 * (a == b) for a in hit for b in miss) / (len(hit) * len(miss))
+        want, total = want + area * len(hit), total + len(hit)
+    assert math.isclose(training.class_auc(df, 3, ["Model"]).first()["AUC"], want / total)
+
+
+def test_leaderboard_has_neighbours_and_a_holdout(flowers):
+    done = training.train_leaderboard(
+        flowers, "kind", "classification", ["id"], ["length", "width"], include=["Decision Tree", "K Neighbors"]
+    )
+    board = {r["Model"]: r for r in done.leaderboard.collect()}
+    assert board["K Neighbors"]["Accuracy"] > 0.8 and board["K Neighbors"]["AUC"] > 0.8
+    assert done.best == "Decision Tree" and done.holdout.first()["Accuracy"] > 0.7
