@@ -10,21 +10,23 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col, numeric_columns
-from tabsmith.operators.features import small
 from tabsmith.operators.ordered import POS, over_preceding
 from tabsmith.operators.timeseries import chrono_split, detect_frequency, regularise
 from tabsmith.session import materialise
 
 BLOCK = 100_000
-FOURIER_LIMIT = 2_000_000
 
 
 def to_points(df: DataFrame, ts: str, value: str, by: str) -> DataFrame:
@@ -70,8 +72,8 @@ def forecast_metrics(df: DataFrame, keys: list[str], actual: str = "actual", for
 def fold_points(points: DataFrame, block: int, start: Column, step, grid: Column | None = None) -> DataFrame:
     """Run a recurrence over each series; returns (series, p, state).
 
-    `start(values)` builds the first state from the first block, `step(state,
-    x)` advances it by one struct (pos, value). `grid` is an array of parameter
+    `start(values)` builds the first state from the first block that has values,
+    `step(state, x)` advances it by one struct (pos, value). `grid` is an array of parameter
     structs; each is tried for every series and reaches `start` and `step` as
     the column `p`. Blocks follow one another; a lineage of many blocks is cut
     by writing the states.
@@ -81,13 +83,14 @@ def fold_points(points: DataFrame, block: int, start: Column, step, grid: Column
         F.array_sort(F.collect_list(cell)).alias("xs")
     )
     count = (points.agg(F.max("pos").alias("m")).first()["m"] or 0) // block + 1
-    if count > 1:
-        blocks = materialise(blocks, "blocks")
     options = grid if grid is not None else F.array(F.struct(F.lit(0).alias("none")))
-    first = blocks.filter("b = 0").select("series", "xs", F.explode(options).alias("p"))
+    own = blocks.withColumn("own", F.min("b").over(W.partitionBy("series")))
+    if count > 1:
+        own = materialise(own, "blocks")
+    first = own.filter("b = own").select("series", "xs", F.explode(options).alias("p"))
     state = first.select("series", "p", F.aggregate("xs", start(F.col("xs"), F.col("p")), lambda s, x: step(s, x, F.col("p"))).alias("s"))
     for b in range(1, count):
-        following = blocks.filter(F.col("b") == b).select(F.col("series").alias("_k"), "xs")
+        following = own.filter((F.col("b") == b) & (F.col("own") < b)).select(F.col("series").alias("_k"), "xs")
         joined = state.join(following, F.col("series").eqNullSafe(F.col("_k")), "left")
         moved = F.aggregate("xs", F.col("s"), lambda s, x: step(s, x, F.col("p")))
         state = joined.select("series", "p", F.when(F.col("xs").isNull(), F.col("s")).otherwise(moved).alias("s"))
@@ -162,12 +165,14 @@ def holt(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
     return fitted.select("series", "s", horizons(horizon).alias("h")).select("series", "h", ahead.alias("forecast"))
 
 
-def holt_winters(points: DataFrame, horizon: int, period: int = 12, seasonal: str = "add", block: int = BLOCK) -> DataFrame:
-    """Level, additive trend and a seasonal cycle (additive or
-    multiplicative). Series shorter than two cycles get no forecast."""
+def holt_winters(
+    points: DataFrame, horizon: int, period: int = 12, seasonal: str = "add", block: int = BLOCK, trend: str = "add"
+) -> DataFrame:
+    """Level, trend and a seasonal cycle, each of the last two additive or
+    multiplicative. Series shorter than two cycles get no forecast."""
     if block < 2 * period:
         raise ValueError("a block has to hold two cycles")
-    mul = seasonal == "mul"
+    mul, grows = seasonal == "mul", trend == "mul"
 
     def mean_of(xs):
         return F.aggregate(xs, _d(0), lambda a, x: a + x["value"]) / period
@@ -176,23 +181,24 @@ def holt_winters(points: DataFrame, horizon: int, period: int = 12, seasonal: st
         one, two = mean_of(F.slice(xs, 1, period)), mean_of(F.slice(xs, period + 1, period))
         cycle = F.transform(F.slice(xs, 1, period), lambda x: x["value"] / one if mul else x["value"] - one)
         return F.struct(
-            one.alias("level"), ((two - one) / period).alias("trend"), cycle.alias("cycle"), _d(0).alias("sse"), _d(0).alias("seen")
+            one.alias("level"), (F.pow(two / one, _d(1 / period)) if grows else (two - one) / period).alias("trend"), cycle.alias("cycle"), _d(0).alias("sse"), _d(0).alias("seen")
         )
 
     def step(s, x, p):
         season = F.get(s["cycle"], F.lit(0))
-        ahead = s["level"] + s["trend"]
+        ahead = s["level"] * s["trend"] if grows else s["level"] + s["trend"]
         expected = ahead * season if mul else ahead + season
         error = x["value"] - expected
         bare = x["value"] / season if mul else x["value"] - season
         level = p["alpha"] * bare + (1 - p["alpha"]) * ahead
-        trend = p["beta"] * (level - s["level"]) + (1 - p["beta"]) * s["trend"]
+        change = level / s["level"] if grows else level - s["level"]
+        slope = p["beta"] * change + (1 - p["beta"]) * s["trend"]
         fresh = p["gamma"] * (x["value"] / level if mul else x["value"] - level) + (1 - p["gamma"]) * season
         turned = F.concat(F.slice(s["cycle"], 2, period - 1), F.array(fresh))
         warm = s["seen"] < period  # the first cycle made the start
         return F.struct(
             F.when(warm, s["level"]).otherwise(level).alias("level"),
-            F.when(warm, s["trend"]).otherwise(trend).alias("trend"),
+            F.when(warm, s["trend"]).otherwise(slope).alias("trend"),
             F.when(warm, s["cycle"]).otherwise(turned).alias("cycle"),
             F.when(warm, s["sse"]).otherwise(s["sse"] + error * error).alias("sse"),
             (s["seen"] + 1).alias("seen"),
@@ -202,6 +208,8 @@ def holt_winters(points: DataFrame, horizon: int, period: int = 12, seasonal: st
     fitted = best_fit(states.filter(F.col("s.seen") >= 2 * period))
     season = F.get("s.cycle", F.pmod(F.col("h") - 1, F.lit(period)))
     base = F.col("s.level") + F.col("h") * F.col("s.trend")
+    if grows:
+        base = F.col("s.level") * F.pow(F.col("s.trend"), F.col("h").cast("double"))
     value = base * season if mul else base + season
     return fitted.select("series", "s", horizons(horizon).alias("h")).select("series", "h", value.alias("forecast"))
 
@@ -217,12 +225,12 @@ def line_of(points: DataFrame) -> DataFrame:
 def theta(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
     """Mean of the trend line and the smoothed line with doubled curvature."""
     line = line_of(points)
-    keyed = points.alias("l").join(small(line).alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
+    keyed = points.alias("l").join(line.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
     bent = keyed.select(
         "l.series", "l.pos", "l.ts", (2 * F.col("l.value") - (F.col("r.intercept") + F.col("r.slope") * F.col("l.pos"))).alias("value")
     )
     smooth = ses(bent, horizon, block)
-    both = smooth.alias("l").join(small(line).alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
+    both = smooth.alias("l").join(line.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
     trend = F.col("r.intercept") + F.col("r.slope") * (F.col("r.n") - 1 + F.col("l.h"))
     return both.select("l.series", "l.h", (0.5 * trend + 0.5 * F.col("l.forecast")).alias("forecast"))
 
@@ -255,7 +263,7 @@ def croston(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
 
 def naive_seasonal(points: DataFrame, horizon: int, period: int = 12) -> DataFrame:
     """Repeat the last `period` values."""
-    n = small(lengths(points))
+    n = lengths(points)
     tail = points.alias("l").join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
     back = F.least(F.lit(period), F.col("r.n"))
     slot = F.col("l.pos") - (F.col("r.n") - back)
@@ -281,16 +289,13 @@ def naive_drift(points: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def dft_forecast(points: DataFrame, horizon: int, keep: int = 10, limit: int | None = None) -> DataFrame:
+def dft_forecast(points: DataFrame, horizon: int, keep: int = 10) -> DataFrame:
     """Keep the strongest frequencies of each series and run on.
 
     The whole spectrum is ranked, so a real wave counts twice; equal strengths
-    are taken from the lowest frequency. Series up to FOURIER_LIMIT points are
-    one array each; if there are longer ones, the transform itself is spread.
+    are taken from the lowest frequency.
     """
-    full = points.filter(F.col("value").isNotNull()).select("series", "pos", "value")
-    longest = (points.agg(F.max("pos").alias("m")).first()["m"] or 0) + 1
-    spectrum = _spread_spectrum(full, longest) if longest > (limit or FOURIER_LIMIT) else _spectrum(full, keep)
+    spectrum = _spectrum(points.filter(F.col("value").isNotNull()).select("series", "pos", "value"))
     strength = F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 6)
     place = F.row_number().over(W.partitionBy("series").orderBy(F.desc("strength"), "k"))
     # The rank limit is applied in every task before rows are moved.
@@ -300,74 +305,64 @@ def dft_forecast(points: DataFrame, horizon: int, keep: int = 10, limit: int | N
     return top.select("*", horizons(horizon).alias("h")).groupBy("series", "h").agg(F.sum(wave).alias("forecast"))
 
 
-def _spectrum(points: DataFrame, keep: int) -> DataFrame:
-    """(series, n, k, re, im): the strongest frequencies, one array per series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("pos")["value"].to_numpy(float)
-        found = np.fft.fft(y)
-        k = np.lexsort((np.arange(len(y)), -np.round(np.abs(found), 6)))[:keep]
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "n": len(y), "k": k, "re": found[k].real, "im": found[k].imag})
-
-    kind = points.schema["series"].dataType.simpleString()
-    return points.groupBy("series").applyInPandas(run, f"series {kind}, n bigint, k bigint, re double, im double")
-
-
-def _pass(df: DataFrame, group: str, place: str, size: int, inverse: bool, total: int | None) -> DataFrame:
-    """Transform the column of each group (at most `size` values); with
-    `total`, turn the result by its place in the whole."""
+def _pass(df: DataFrame, group: str, place: str, size: str, inverse: bool, turned: bool) -> DataFrame:
+    """Transform the column of each group, as long as its column `size` says;
+    `turned` then turns the result by its place in the whole."""
     kind = df.schema["series"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros(size, complex)
+        length, bits = int(pdf[size].iloc[0]), int(pdf["bits"].iloc[0])
+        held = np.zeros(length, complex)
         held[pdf[place].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        out = np.fft.ifft(held) * size if inverse else np.fft.fft(held)
-        k, g = np.arange(size), int(pdf[group].iloc[0])
-        if total:
-            out = out * np.exp((2j if inverse else -2j) * np.pi * (k * g % total) / total)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "g": g, "k": k, "re": out.real, "im": out.imag})
-
-    return df.groupBy("series", group).applyInPandas(run, f"series {kind}, g bigint, k bigint, re double, im double")
-
-
-def _spread_fft(df: DataFrame, bits: int, inverse: bool = False) -> DataFrame:
-    """Transform of (series, j, re, im) of length 2**bits in two grouped passes
-    over columns and rows; absent values are zero."""
-    n1, n2 = 2 ** (bits // 2), 2 ** (bits - bits // 2)
-    cut = df.withColumns({"j1": F.floor(F.col("j") / n2), "j2": F.pmod("j", F.lit(n2))})
-    first = _pass(cut, "j2", "j1", n1, inverse, n1 * n2)
-    turned = first.select("series", F.col("k").alias("k1"), F.col("g").alias("j2"), "re", "im")
-    second = _pass(turned, "k1", "j2", n2, inverse, None)
-    return second.select("series", (F.col("g") + n1 * F.col("k")).alias("j"), "re", "im")
-
-
-def _spread_spectrum(points: DataFrame, longest: int) -> DataFrame:
-    """The spectrum of long series of any length, as a convolution with a chirp
-    so that only transforms of a power of two are needed."""
-    bits = math.ceil(math.log2(2 * longest))
-    n = small(points.groupBy("series").agg(F.count("*").alias("n")))
+        out = np.fft.ifft(held) * length if inverse else np.fft.fft(held)
+        k, g = np.arange(length), int(pdf[group].iloc[0])
+        if turned:
+            out = out * np.exp((2j if inverse else -2j) * np.pi * (k * g % 2**bits) / 2**bits)
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "g": g, "k": k, "re": out.real, "im": out.imag, "bits": bits})
+
+    return df.groupBy("series", group).applyInPandas(run, f"series {kind}, g bigint, k bigint, re double, im double, bits int")
+
+
+def _fft(df: DataFrame, inverse: bool = False) -> DataFrame:
+    """Transform of (series, j, re, im, bits), each series of its own length
+    2**bits, in two grouped passes over columns and rows; absent values are
+    zero. No group is longer than about the root of its series."""
+    sides = {"n1": F.expr("shiftleft(1L, bits div 2)"), "n2": F.expr("shiftleft(1L, bits - bits div 2)")}
+    cut = df.withColumns(sides)
+    cut = cut.withColumns({"j1": F.floor(F.col("j") / F.col("n2")), "j2": F.pmod("j", "n2")})
+    first = _pass(cut, "j2", "j1", "n1", inverse, True)
+    across = first.select("series", F.col("k").alias("k1"), F.col("g").alias("j2"), "re", "im", "bits").withColumns(sides)
+    second = _pass(across, "k1", "j2", "n2", inverse, False).withColumns(sides)
+    return second.select("series", (F.col("g") + F.col("n1") * F.col("k")).alias("j"), "re", "im", "bits")
+
+
+def _spectrum(points: DataFrame) -> DataFrame:
+    """(series, n, k, re, im): the spectrum of series of any length, as a
+    convolution with a chirp so that only transforms of a power of two are needed."""
+    n = points.groupBy("series").agg(F.count("*").alias("n")).withColumn("bits", F.ceil(F.log2(2 * F.col("n"))).cast("int"))
     keyed = points.alias("l").join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
-    base = keyed.select("l.series", F.col("l.pos").alias("j"), "l.value", "r.n")
-    angle = lambda j: math.pi * F.pmod(F.col(j) * F.col(j), 2 * F.col("n")) / F.col("n")
+    base = keyed.select("l.series", F.col("l.pos").alias("j"), "l.value", "r.n", "r.bits")
+    angle = lambda j: math.pi * F.pmod(F.col(j) * F.col(j), 2 * F.col("n")) / F.col("n")
     a = base.select(
-        "series", "j", (F.col("value") * F.cos(angle("j"))).alias("re"), (-F.col("value") * F.sin(angle("j"))).alias("im")
+        "series", "j", (F.col("value") * F.cos(angle("j"))).alias("re"), (-F.col("value") * F.sin(angle("j"))).alias("im"), "bits"
     )
-    both_ends = F.explode(F.array_distinct(F.array(F.col("j"), F.pmod(-F.col("j"), F.lit(2**bits)))))
-    chirp = base.select("series", both_ends.alias("at"), F.cos(angle("j")).alias("re"), F.sin(angle("j")).alias("im"))
-    left = _spread_fft(a, bits).alias("l")
-    right = _spread_fft(chirp.withColumnRenamed("at", "j"), bits).alias("r")
+    whole = F.expr("shiftleft(1L, bits)")
+    both_ends = F.explode(F.array_distinct(F.array(F.col("j"), F.pmod(-F.col("j"), whole))))
+    chirp = base.select("series", both_ends.alias("at"), F.cos(angle("j")).alias("re"), F.sin(angle("j")).alias("im"), "bits")
+    left = _fft(a).alias("l")
+    right = _fft(chirp.withColumnRenamed("at", "j")).alias("r")
     on = F.col("l.series").eqNullSafe(F.col("r.series")) & (F.col("l.j") == F.col("r.j"))
     product = left.join(right, on).select(
         "l.series",
         "l.j",
         (F.col("l.re") * F.col("r.re") - F.col("l.im") * F.col("r.im")).alias("re"),
         (F.col("l.re") * F.col("r.im") + F.col("l.im") * F.col("r.re")).alias("im"),
+        "l.bits",
     )
-    back = _spread_fft(product, bits, inverse=True).alias("l")
+    back = _fft(product, inverse=True).alias("l")
     sized = back.join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series"))).filter(F.col("l.j") < F.col("r.n"))
-    rows = sized.select(
-        "l.series", "r.n", F.col("l.j").alias("k"), (F.col("l.re") / 2**bits).alias("a"), (F.col("l.im") / 2**bits).alias("b")
-    )
+    scale = F.expr("shiftleft(1L, l.bits)")
+    rows = sized.select("l.series", "r.n", F.col("l.j").alias("k"), (F.col("l.re") / scale).alias("a"), (F.col("l.im") / scale).alias("b"))
     c, s = F.cos(angle("k")), F.sin(angle("k"))
     return rows.select(
         "series", "n", "k", (F.col("a") * c + F.col("b") * s).alias("re"), (F.col("b") * c - F.col("a") * s).alias("im")
@@ -376,8 +371,12 @@ def _spread_spectrum(points: DataFrame, longest: int) -> DataFrame:
 
 # --- regression on lags ---------------------------------------------------------------
 
+# The most lags of any lag regression and of the light ones.
+MOST_LAGS, LIGHT_LAGS = 24, 12
+
+
 def lag_models(seed: int = 42) -> dict:
-    """Fixed settings of the lag regressions."""
+    """Names and settings of the lag regressions."""
     common = {"featuresCol": "x", "labelCol": "y", "predictionCol": "p"}
     return {
         "LinearRegression": LinearRegression(**common),
@@ -402,6 +401,7 @@ def lag_regression(
     chunk: int = 12,
     covariates: list[str] = (),
     chunk_rows: int | None = None,
+    most: int = MOST_LAGS,
 ) -> DataFrame:
     """A direct model per step ahead, pooled over all series.
 
@@ -412,7 +412,7 @@ def lag_regression(
     than one chunk.
     """
     shortest = lengths(points).agg(F.min("n").alias("n")).first()["n"]
-    lags = lags or max(1, min(24, shortest // 3))
+    lags = lags or min(most, max(1, min(MOST_LAGS, shortest // 3)))
     chunk = min(chunk, horizon) if not covariates else horizon
     span = lags + chunk
 
@@ -438,7 +438,9 @@ def lag_regression(
         F.slice("_w", lags + 1, chunk).alias("ys"),
     )
     train = materialise(train, "windows")
-    models = [estimator.fit(train.select("x", F.get("ys", F.lit(i)).alias("y"))) for i in range(chunk)]
+    fit = lambda i: estimator.copy().fit(train.select("x", F.get("ys", F.lit(i)).alias("y")))
+    with ThreadPool(4) as pool:
+        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(chunk), chunksize=1)
     last = seen.filter(F.size("_h") == lags).groupBy("series").agg(
         F.max_by(F.struct("_h", *[col(c) for c in now]), "pos").alias("m")
     ).select("series", "m.*")
@@ -465,7 +467,7 @@ def lag_regression(
 # --- training, forecasting, ranking -----------------------------------------------------
 
 def statistical_models(period: int = 12) -> dict:
-    """Name to forecaster `(points, horizon) -> (series, h, forecast)`."""
+    """Names. Name to forecaster `(points, horizon) -> (series, h, forecast)`."""
     return {
         "NaiveSeasonal": lambda p, h: naive_seasonal(p, h, period),
         "NaiveLast": naive_last,
@@ -473,7 +475,7 @@ def statistical_models(period: int = 12) -> dict:
         "ExponentialSmoothing": ses,
         "Holt": holt,
         "HoltWinters": lambda p, h: holt_winters(p, h, period, "add"),
-        "ExponentialSmoothing_Mul": lambda p, h: holt_winters(p, h, period, "mul"),
+        "ExponentialSmoothing_Mul": lambda p, h: holt_winters(p, h, period, "mul", trend="mul"),
         "Theta": theta,
         "Croston": croston,
         "FFT": lambda p, h: dft_forecast(p, h, 10),
@@ -484,7 +486,8 @@ def model_catalogue(period: int = 12, statistical: bool = True, learned: bool =
     found = statistical_models(period) if statistical else {}
     if learned:
         for name, estimator in lag_models().items():
-            found[name] = lambda p, h, e=estimator: lag_regression(p, h, e)
+            most = LIGHT_LAGS if name.endswith("_Light") else MOST_LAGS
+            found[name] = lambda p, h, e=estimator, m=most: lag_regression(p, h, e, most=m)
     return found
 
 
@@ -493,7 +496,7 @@ def split_points(panel: DataFrame, ts: str, value: str, by: str, train: float =
     base = panel.select(col(by).alias("series"), col(ts).alias("ts"), col(value).cast("double").alias("value"))
     parts = materialise(chrono_split(base, "ts", ["series"], train), "split")
     points = parts.filter("part = 'train'").select("series", F.col(POS).alias("pos"), "ts", "value")
-    n = small(lengths(points))
+    n = lengths(points)
     held = parts.filter("part = 'test'").alias("l").join(n.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")))
     test = held.select("l.series", (F.col(f"l.{POS}") - F.col("r.n") + 1).cast("int").alias("h"), F.col("l.value").alias("actual"))
     return points, test, test.agg(F.max("h").alias("h")).first()["h"]
@@ -511,13 +514,14 @@ def evaluate(points: DataFrame, test: DataFrame, horizon: int, models: dict) ->
                 predicted.alias("r"), F.col("l.series").eqNullSafe(F.col("r.series")) & (F.col("l.h") == F.col("r.h")), "left"
             )
             scored = forecast_metrics(joined.select("l.series", F.lit(name).alias("model"), "l.actual", "r.forecast"), ["series", "model"])
-            parts.append(scored.withColumn("error", F.when(F.col("status") == "failed", "no finite forecast")))
-        except (ValueError, ArithmeticError) as problem:
+            # Written here, so that a model that fails while it runs fails alone.
+            parts.append(materialise(scored.withColumn("error", F.when(F.col("status") == "failed", "no finite forecast")), "metrics"))
+        except (PySparkException, Py4JJavaError, ValueError, ArithmeticError) as problem:
             none = F.lit(None).cast("double")
             parts.append(
                 series.select(
                     "series", F.lit(name).alias("model"), F.lit("failed").alias("status"),
-                    *[none.alias(m) for m in ("smape", "mape", "mae", "rmse")], F.lit(str(problem)).alias("error"),
+                    *[none.alias(m) for m in ("smape", "mape", "mae", "rmse")], F.lit(str(problem).splitlines()[0][:200] if str(problem) else type(problem).__name__).alias("error"),
                 )
             )
     return reduce(DataFrame.unionByName, parts)
@@ -556,7 +560,7 @@ def future_times(panel: DataFrame, ts: str, by: str, horizon: int) -> DataFrame:
     apart where none is detected."""
     found = detect_frequency(panel, ts, [by])
     last = panel.groupBy(col(by)).agg(F.max(col(ts).cast("timestamp")).alias("last"))
-    both = last.alias("l").join(small(found).alias("r"), F.col(f"l.`{by}`").eqNullSafe(F.col(f"r.`{by}`")))
+    both = last.alias("l").join(found.alias("r"), F.col(f"l.`{by}`").eqNullSafe(F.col(f"r.`{by}`")))
     spread = both.select(F.col(f"l.`{by}`").alias("series"), "l.last", "r.frequency", horizons(horizon).alias("h"))
     count = F.coalesce(F.regexp_extract("frequency", r"^(\d+)", 1).try_cast("int"), F.lit(1)) * F.col("h")
     unit = F.coalesce(F.nullif(F.regexp_extract("frequency", r"([A-Z])$", 1), F.lit("")), F.lit("D"))

@@ -148,7 +148,7 @@ def fourier(t):
 @query("g15_dft_forecast_spread", FOURIER)
 def fourier_spread(t):
     """The same with the transform spread over tasks, as for long series."""
-    return rounded(fc.dft_forecast(points(t), 12, 10, limit=20), ["forecast"], 1)
+    return rounded(fc.dft_forecast(points(t).repartition("pos"), 12, 10), ["forecast"], 1)
 
 
 @query("g16_lag_regression_linear")

@@ -120,14 +120,67 @@ def test_fourier_repeats_a_pure_wave(spark):
     assert np.allclose(forecasts(fc.dft_forecast(df, 24, 3), "a"), y[:24], atol=1e-6)
 
 
-def test_spread_fourier_equals_one_array(spark):
+def test_spread_fourier_equals_numpy(spark):
     rng = np.random.default_rng(8)
-    rows = [(name, i, float(v)) for name, n in (("a", 61), ("b", 48), (None, 7)) for i, v in enumerate(rng.normal(size=n))]
+    series = {name: rng.normal(size=n) for name, n in (("a", 61), ("b", 48), (None, 7))}
+    rows = [(name, i, float(v)) for name, y in series.items() for i, v in enumerate(y)]
     df = spark.createDataFrame(rows, "series string, pos bigint, value double")
-    one = {(r["series"], r["h"]): r["forecast"] for r in fc.dft_forecast(df, 5, 6).collect()}
-    spread = {(r["series"], r["h"]): r["forecast"] for r in fc.dft_forecast(df, 5, 6, limit=10).collect()}
-    assert one.keys() == spread.keys() and len(one) == 15
-    assert np.allclose([one[k] for k in one], [spread[k] for k in one], atol=1e-8)
+    got = {(r["series"], r["h"]): r["forecast"] for r in fc.dft_forecast(df, 5, 6).collect()}
+    assert len(got) == 15
+    for name, y in series.items():
+        found = np.fft.fft(y)
+        top = np.lexsort((np.arange(len(y)), -np.round(np.abs(found), 6)))[:6]
+        kept = np.zeros(len(y), complex)
+        kept[top] = found[top]
+        wave = np.fft.ifft(kept).real
+        assert np.allclose([got[name, h] for h in range(1, 6)], [wave[(h - 1) % len(y)] for h in range(1, 6)], atol=1e-8)
+
+
+def test_multiplicative_trend_by_hand(spark):
+    y = [(10 + i % 3) * 1.02**i for i in range(24)]
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "series string, pos bigint, value double")
+    got = forecasts(fc.holt_winters(df, 6, 3, "mul", trend="mul"), "a")
+    assert np.allclose(got, [(10 + (24 + h) % 3) * 1.02 ** (24 + h) for h in range(6)], rtol=0.05)
+
+
+def test_first_block_without_values(spark):
+    rows = [("a", i, None if i < 12 else float(i)) for i in range(30)] + [("b", i, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "series string, pos bigint, value double")
+    late = df.filter("series = 'a' and value is not null").selectExpr("series", "pos - 12 as pos", "value")
+    assert np.allclose(forecasts(fc.ses(df, 2, block=10), "a"), forecasts(fc.ses(late, 2), "a"))
+
+
+def test_light_models_take_twelve_lags(spark):
+    names = fc.model_catalogue(statistical=False)
+    y = [float(i % 5) for i in range(90)]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(y)], "series string, pos bigint, value double")
+    seen = []
+
+    class Spy:
+        def copy(self):
+            return self
+
+        def fit(self, rows):
+            seen.append(rows.first()["x"].size)
+            raise ValueError("seen")
+
+    for most in (24, 12):
+        with pytest.raises(ValueError):
+            fc.lag_regression(df, 1, Spy(), most=most).collect()
+    assert seen == [24, 12] and "RandomForest_Light" in names
+
+
+def test_failing_model_fails_alone(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", i, float(i % 4), "train" if i < 16 else "test") for i in range(20)]
+    df = spark.createDataFrame(rows, "series string, pos bigint, value double, part string")
+    points = df.filter("part = 'train'").drop("part")
+    test = df.filter("part = 'test'").select("series", (F.col("pos") - 15).cast("int").alias("h"), F.col("value").alias("actual"))
+    broken = lambda p, h: fc.naive_last(p, h).withColumn("forecast", F.raise_error(F.lit("at run time")).cast("double"))
+    got = {r["model"]: r for r in fc.ts_leaderboard(fc.evaluate(points, test, 4, {"broken": broken, "last": fc.naive_last})).collect()}
+    assert got["last"]["status"] == "success" and got["last"]["rank"] == 1
+    assert got["broken"]["status"] == "failed" and "at run time" in got["broken"]["error"]
 
 
 def test_naive(points):
