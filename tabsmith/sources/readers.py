@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tabsmith.functions.columns import col, select_with, string_columns
+from tabsmith.functions.columns import col, quote, select_with, string_columns
 from tabsmith.functions.stats import null_count
 from tabsmith.operators.clean import (
     TABLE_NULL_TOKENS,
@@ -23,6 +26,7 @@ from tabsmith.operators.profile import infer_types
 CORRUPT = "_corrupt_record"
 DELIMITERS = [",", ";", "\t", "|"]
 FILE = "_metadata.file_path"
+FROM = "_from_file"
 
 # The characters windows-1252 has where ISO-8859-1 has controls.
 CP1252_CODES = [
@@ -108,11 +112,24 @@ def detect_delimiter(spark: SparkSession, path, lines: int = 10) -> DataFrame:
 def read_csv_robust(spark: SparkSession, path) -> tuple[DataFrame, int]:
     """A3: try ever more lenient settings; the first result with rows wins.
 
-    Lines with too many fields are skipped, lines with too few are padded.
-    Returns the frame and the number of the setting used.
+    Files are read with their own delimiter, those of one delimiter together,
+    and put under each other by column name. Lines with too many fields are
+    skipped, lines with too few are padded. Returns the frame and the number of
+    the most lenient setting used.
     """
-    found = detect_delimiter(spark, path).groupBy("delimiter").count()
-    delimiter = found.orderBy(F.desc("count"), "delimiter").first()["delimiter"]
+    files: dict[str, list[str]] = {}
+    for r in detect_delimiter(spark, path).orderBy("file").collect():
+        files.setdefault(r["delimiter"], []).append(unquote(r["file"]))
+    parts = [_lenient(spark, files[d], d) for d in sorted(files)]
+    parts = [p for p in parts if p]
+    if not parts:
+        raise ValueError(f"nothing can be read from {path}")
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for df, _ in parts])
+    return whole, max(place for _, place in parts)
+
+
+def _lenient(spark: SparkSession, files: list[str], delimiter: str) -> tuple[DataFrame, int] | None:
+    """Rows of files of one delimiter and the setting that gave them."""
     ladder = [
         {"sep": delimiter, "ignoreLeadingWhiteSpace": True},
         {"sep": delimiter, "ignoreLeadingWhiteSpace": True, "multiLine": True},
@@ -121,13 +138,12 @@ def read_csv_robust(spark: SparkSession, path) -> tuple[DataFrame, int]:
         {"sep": "\u0001", "quote": ""},
     ]
     for place, options in enumerate(ladder):
-        df = read_csv_text(spark, path, **options)
+        df = read_csv_text(spark, files, **options)
         width = len(df.columns) - 1
         fields = F.size(F.split(F.col(CORRUPT), "\\Q" + options["sep"] + "\\E", -1))
         kept = df.filter(F.col(CORRUPT).isNull() | (fields <= width)).drop(CORRUPT)
         if width > 0 and kept.head(1):
             return tidy_columns(kept), place + 1
-    raise ValueError(f"nothing can be read from {path}")
 
 
 def repair_lines(spark: SparkSession, path, delimiter: str = ",", expected: int | None = None) -> DataFrame:
@@ -242,22 +258,60 @@ def unpack_archives(files: DataFrame) -> DataFrame:
     return files.mapInPandas(unpack, "archive string, member string, line bigint, value string")
 
 
-def read_many(spark: SparkSession, path, **options) -> tuple[DataFrame, DataFrame]:
+def read_many(spark: SparkSession, path, schema=None, keep_bad: bool = True, **options) -> tuple[DataFrame, DataFrame]:
     """A10: rows of many files and one report row per file.
 
-    A file without a readable row is reported as failed; the others go on.
+    Every file is read by its own header, files of one header together, and
+    columns are aligned by name. The columns of the result are those of
+    `schema`, else texts under the header that most files have (the wider one
+    on a tie). A file whose header has not exactly these names, in any order, or
+    without a readable row is reported as failed; the others go on. `keep_bad`
+    keeps the rows that do not fit, as far as they could be read.
     """
-    df = read_csv_text(spark, path, **options)
-    names = [c for c in df.columns if c != CORRUPT]
-    marked = df.withColumn("file", F.col(FILE))
-    missing = sum((null_count(col(c)) for c in names), F.lit(0))
+    heads: dict[str, list[str]] = {}
+    for r in first_lines(spark, path, 1).orderBy("file").collect():
+        heads.setdefault(r["value"].removeprefix("\ufeff"), []).append(unquote(r["file"]))
+    sep = options.get("sep", ",")
+    names = {h: next(csv.reader([h], delimiter=sep), []) for h in heads}
+    if schema is not None:
+        kinds = {f.name: f.dataType.simpleString() for f in _struct(schema)}
+    elif heads:
+        best = min(heads, key=lambda h: (len(names[h]) < 2, -len(heads[h]), -len(names[h]), h))
+        kinds = dict.fromkeys(names[best], "string")
+    else:
+        kinds = {}
+    read, failed = [], []
+    for h, files in heads.items():
+        if sorted(names[h]) != sorted(kinds):
+            failed.append((h, files))
+            continue
+        fields = ", ".join([*(f"{quote(n)} {kinds[n]}" for n in names[h]), f"{CORRUPT} string"])
+        settings = {"header": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
+        df = spark.read.options(**settings).schema(fields).csv(files)
+        read.append(df.select(*[col(n) for n in kinds], CORRUPT, F.col(FILE).alias(FROM)))
+    empty = ", ".join([*(f"{quote(n)} {k}" for n, k in kinds.items()), f"{CORRUPT} string", f"{FROM} string"])
+    rows = reduce(DataFrame.unionAll, read) if read else spark.createDataFrame([], empty)
+    missing = sum((null_count(col(c)) for c in kinds), F.lit(0))
     good = F.count(F.when(F.col(CORRUPT).isNull(), 1))
     # Caching the parsed rows is not needed: the report is one grouped pass.
-    report = marked.groupBy("file").agg(
+    report = rows.groupBy(F.col(FROM).alias("file")).agg(
         F.count("*").alias("rows"), F.count(CORRUPT).alias("bad_rows"), missing.alias("missing"),
         F.when(good > 0, "ok").otherwise("failed").alias("status"),
     )
-    return df.drop(CORRUPT), report
+    for h, files in failed:
+        lines = F.count("*") - 1
+        absent = len(set(kinds) - set(names[h]))
+        report = report.unionAll(
+            spark.read.text(files).groupBy(F.col(FILE).alias("file")).agg(
+                lines.alias("rows"), lines.alias("bad_rows"), (lines * absent).alias("missing"), F.lit("failed").alias("status")
+            )
+        )
+    kept = rows if keep_bad else rows.filter(F.col(CORRUPT).isNull())
+    return kept.drop(CORRUPT, FROM), report
+
+
+def _struct(schema) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
 def sample_rows(df: DataFrame, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tabsmith.functions.columns import col
-from tabsmith.functions.stats import null_count
 from tabsmith.plans.params import apply_params
-from tabsmith.sources.readers import CORRUPT
+from tabsmith.sources.readers import read_many
 
 
 def apply_params_stream(stream: DataFrame, params: dict, output: str, checkpoint: str) -> None:
@@ -31,31 +29,23 @@ def ingest_stream(
 ) -> None:
     """Clean files as they arrive and append a report row per file.
 
-    Each batch takes one pass for the rows and one grouped pass for the
-    reports, whatever the number of files. Rows that cannot be parsed are
-    counted and left out; a file of such rows is reported as failed.
+    The stream carries the paths of new files; their rows are read by each
+    file's own header. Each batch takes one pass for the rows and one grouped
+    pass for the reports. Rows that cannot be parsed are counted and left out; a
+    file of such rows or of another header is reported as failed.
     """
-    fields = f"{schema}, {CORRUPT} string"
-    stream = (
-        spark.readStream.schema(fields)
-        .options(header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
-        .csv(folder)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
+    pace = {k: options.pop(k) for k in ("maxFilesPerTrigger", "latestFirst") if k in options}
+    listing = "path string, modificationTime timestamp, length bigint, content binary"
+    stream = spark.readStream.format("binaryFile").schema(listing).options(**pace).load(folder).select("path")
 
     def clean(batch: DataFrame, number: int) -> None:
-        names = [c for c in batch.columns if c not in (CORRUPT, "_file")]
-        good = F.count(F.when(F.col(CORRUPT).isNull(), 1))
-        report = batch.groupBy("_file").agg(
-            F.count("*").alias("rows"),
-            F.count(CORRUPT).alias("bad_rows"),
-            sum((null_count(col(c)) for c in names), F.lit(0)).alias("missing"),
-            F.when(good > 0, "ok").otherwise("failed").alias("status"),
-        )
-        rows = batch.filter(F.col(CORRUPT).isNull()).select(*[col(c) for c in names])
+        files = [r["path"] for r in batch.collect()]  # new files of one batch
+        if not files:
+            return
+        rows, report = read_many(spark, files, schema, keep_bad=False, **options)
         # A batch that is run again overwrites its own folder.
         apply_params(rows, params).write.mode("overwrite").parquet(f"{output}/batch={number}")
-        report.withColumnRenamed("_file", "file").write.mode("overwrite").json(f"{reports}/batch={number}")
+        report.write.mode("overwrite").json(f"{reports}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(clean).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

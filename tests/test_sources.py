@@ -91,6 +91,29 @@ def test_many_files(spark, tmp_path):
     assert report == {"a": (2, 0, "ok"), "b": (1, 0, "ok"), "c": (1, 1, "failed")}
 
 
+def test_a_junk_file_does_not_lend_its_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "no table here\n" + "just a line\n" * 50)
+    write(tmp_path / "b.csv", "id,v\n1,2\n")
+    rows, report = readers.read_many(spark, str(tmp_path))
+    assert {r["file"][-5]: r["status"] for r in report.collect()} == {"a": "failed", "b": "ok"}
+    assert [tuple(r) for r in rows.collect()] == [("1", "2")]
+
+
+def test_columns_are_aligned_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,v\n1,x\n")
+    write(tmp_path / "b.csv", "v,id\ny,2\n")
+    rows, report = readers.read_many(spark, str(tmp_path))
+    assert sorted((r["id"], r["v"]) for r in rows.collect()) == [("1", "x"), ("2", "y")]
+    assert {r["status"] for r in report.collect()} == {"ok"}
+
+
+def test_files_keep_their_delimiter(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,v\n1,x\n2,y\n")
+    write(tmp_path / "b.csv", "id;v\n3;z\n4;w\n")
+    rows, _ = readers.read_csv_robust(spark, str(tmp_path))
+    assert sorted((r["id"], r["v"]) for r in rows.collect()) == [("1", "x"), ("2", "y"), ("3", "z"), ("4", "w")]
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi", twice', 1.5), (2, None, None)], "a int, b string, c double")
     writers.write_csv(df, str(tmp_path / "c"))
@@ -131,7 +154,7 @@ def test_ingest_takes_only_new_files(spark, tmp_path):
     run = lambda: ingest_stream(spark, paths[0], schema, params, *paths[1:])
     run()
     write(tmp_path / "in" / "b.csv", "id,v\nx,y\n")
-    write(tmp_path / "in" / "c.csv", "id,v\n3,4\n")
+    write(tmp_path / "in" / "c.csv", "v,id\n4,3\n")
     run()
     assert sorted(r["id"] for r in spark.read.parquet(paths[1]).collect()) == [1, 2, 3]
     report = spark.read.json(paths[2])
