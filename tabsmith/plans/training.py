@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.errors import PySparkException
 from py4j.protocol import Py4JJavaError
 
-from tabsmith.functions.columns import col, date_columns, numeric_columns, quote, string_columns
+from tabsmith.functions.columns import col, date_columns, md5_number, numeric_columns, quote, string_columns
 from tabsmith.functions.date_rules import DATE_PARTS
 from tabsmith.operators.clean import align_columns, drop_index_columns, drop_null_keys, require_unique_columns
 from tabsmith.operators.frequency import categories
@@ -67,7 +67,7 @@ def split(df: DataFrame, keys: list[str], train: float = 0.8, seed: int = 123) -
     """M6: training and test rows by a seeded hash of the keys; repeatable."""
     if not 0.1 <= train <= 0.9:
         raise ValueError("train share must lie in 0.1-0.9")
-    slot = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(10_000))
+    slot = md5_number(*[col(k) for k in keys], F.lit(seed)) % 10_000
     return df.filter(slot < int(train * 10_000)), df.filter(slot >= int(train * 10_000))
 
 

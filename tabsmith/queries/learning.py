@@ -94,7 +94,10 @@ def target(t):
     return frames[0].unionAll(frames[1]).unionAll(frames[2])
 
 
-@query("m6_split")
+@query(
+    "m6_split",
+    """SELECT o_orderkey, CASE WHEN CAST('0x' || substring(md5(o_orderkey || chr(1) || '123'), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM orders""",
+)
 def parts(t):
     train, test = training.split(t.orders, ["o_orderkey"])
     return train.select("o_orderkey", F.lit("train").alias("part")).unionAll(test.select("o_orderkey", F.lit("test").alias("part")))

@@ -207,7 +207,11 @@ def params(t):
     return t.spark.createDataFrame(rows, "name string, value string")
 
 
-@query("a14_sample_rows")
+@query(
+    "a14_sample_rows",
+    """SELECT *, l_orderkey || '-' || l_linenumber AS id FROM lineitem
+    ORDER BY CAST('0x' || substring(md5(l_orderkey || '-' || l_linenumber || chr(1) || '42'), 1, 8) AS BIGINT), id, l_partkey, l_suppkey LIMIT 10000""",
+)
 def sampled(t):
     return readers.sample_rows(t.lineitem.withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), "id", 10_000, 42)
 

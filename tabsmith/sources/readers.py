@@ -11,7 +11,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tabsmith.functions.columns import col, quote, select_with, string_columns
+from tabsmith.functions.columns import col, md5_number, quote, select_with, string_columns
 from tabsmith.functions.stats import null_count
 from tabsmith.operators.clean import (
     TABLE_NULL_TOKENS,
@@ -316,7 +316,7 @@ def _struct(schema) -> T.StructType:
 
 def sample_rows(df: DataFrame, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
     """N rows with the smallest seeded hash of their key; repeatable."""
-    return df.orderBy(F.xxhash64(col(key), F.lit(seed)), col(key)).limit(n)
+    return df.orderBy(md5_number(col(key), F.lit(seed)), col(key)).limit(n)
 
 
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
