@@ -9,11 +9,11 @@
    has come first. Two documents of Jaccard t share a shingle within the first
    n - ceil(t * n) + 1 of each, so only the shared shingles in that prefix are
    joined; a document with enough shingles of its own takes no part at all.
-4. Documents that meet are first compared with one hub per prefix shingle.
-   Components that form there need no more pairs inside; documents of different
-   components that meet are then compared with each other. Length and
-   positional filters hold in the joins, a suffix filter and the exact count
-   in the comparison, once per pair.
+4. Where documents meet, one of each component there is compared with one hub,
+   for a few rounds. Components that form need no more pairs inside; documents
+   of different components that still meet are then compared with each other.
+   Length and positional filters hold in the joins, a suffix filter and the
+   exact count in the comparison, once per pair.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsmith.llm.common import c, text_of
 from tabsmith.llm.components import components
@@ -232,7 +232,29 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(rows.select("hub", "node", "n", "shared").mapInArrow(_compare(percent), "u long, v long"), "ngram-links")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def _placed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries with the component that each text is in so far."""
+    if roots is None:
+        return entries.withColumn("root", F.col("node"))
+    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return materialise(placed, "ngram-placed")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The hashes at which several components meet."""
+    return placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("hash")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    if tested is None:
+        return pairs
+    both = tested.union(tested.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
+    return pairs.join(both, ["hub", "node"], "left_anti")
+
+
+def ngram_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rounds: int = 2
+) -> DataFrame:
     """(doc_id, key, n_shingles, component_id), one row per row of `docs`.
 
     Documents link when 100 times their common shingles is at least `percent`
@@ -258,29 +280,48 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = sets.filter("shared is not null")
     entries = materialise(joined.mapInArrow(_prefixes(percent), "hash long, node long, n long, pos long"), "ngram-prefixes")
 
-    def passes(a: str, b: str):
+    def passes(a: str, b: str | Column):
         """Length and positional filter of two entries of one hash."""
-        n, m, i, j = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
+        n, i = F.col(f"{a}.n"), F.col(f"{a}.pos")
+        m, j = (F.col(f"{b}.n"), F.col(f"{b}.pos")) if isinstance(b, str) else (b["n"], b["pos"])
         most = F.least(n - i, m - j)
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
-    # One hub per hash, the same for as many hashes as can be.
-    hub = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n", "pos")).alias("hub")
-    hubs = entries.groupBy("hash").agg(hub, F.count("*").alias("k")).filter("k > 1").drop("k")
-    met = entries.alias("e").join(hubs.alias("s"), "hash").filter(F.col("e.node") != F.col("s.hub.node"))
-    first = met.filter(passes("e", "s.hub")).select(F.col("s.hub.node").alias("hub"), F.col("e.node").alias("node")).distinct()
-    first = materialise(first, "ngram-pairs")
-    links = _verify(first, joined, percent)
-    roots = components(links)
+    roots, links, tested = None, None, None
+    for turn in range(rounds):
+        # Per hash members of the largest component, one for each of up to 32 slots, meet one of each other
+        # component there: first one of them, the same for as many hashes as can be, then eight, always
+        # others. Entries early enough in their order to pass with an equal come first.
+        placed = _placed(entries, roots)
+        seed = [F.col("hash"), F.lit(turn)] if turn else []
+        slot = F.pmod(F.xxhash64("node", *seed), F.lit(32)).cast("int") if turn else F.lit(0)
+        late = (100 + percent) * (F.col("n") - F.col("pos")) < 2 * percent * F.col("n")
+        one = F.min(F.struct(late.alias("late"), F.xxhash64("node", *seed).alias("h"), "node", "n", "pos")).alias("e")
+        groups = placed.withColumn("slot", slot).groupBy("hash", "slot", "root").agg(one, F.count("*").alias("k"))
+        groups = materialise(groups.join(_open(placed), "hash", "left_semi"), "ngram-groups")
+        largest = groups.groupBy("hash", "root").agg(F.sum("k").alias("k")).groupBy("hash").agg(F.max(F.struct("k", "root"))["root"].alias("most"))
+        hubs = groups.join(largest, "hash").filter("root = most").groupBy("hash", "most").agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("hubs"))
+        tries = F.sequence(F.lit(0), F.least(F.lit(7 if turn else 0), F.size("hubs") - 1))
+        chosen = F.transform(tries, lambda j: F.get("hubs", F.pmod(F.col("slot") + j, F.size("hubs")))["e"])
+        met = groups.join(hubs, "hash").filter("root != most").withColumn("s", F.explode(F.filter(chosen, lambda x: passes("e", x))))
+        pairs = met.select(F.col("s.node").alias("hub"), F.col("e.node").alias("node"))
+        pairs = materialise(_untested(pairs, tested).distinct(), "ngram-pairs")
+        found = _verify(pairs, joined, percent)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        roots = components(links)
     # What is left: documents of different components that meet in a prefix.
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed, "ngram-placed")
-    open_hashes = placed.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("hash")
-    left = placed.join(open_hashes, "hash", "left_semi")
+    placed = _placed(entries, roots)
+    left = placed.join(_open(placed), "hash", "left_semi")
     cross = left.alias("e").join(left.alias("f"), (F.col("e.hash") == F.col("f.hash")) & (F.col("e.root") < F.col("f.root")))
-    cross = cross.filter(passes("e", "f")).select(F.col("e.node").alias("hub"), F.col("f.node").alias("node")).distinct()
-    tested = first.union(first.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
-    cross = materialise(cross.join(tested, ["hub", "node"], "left_anti"), "ngram-cross")
+    cross = cross.filter(passes("e", "f")).groupBy(F.col("e.node").alias("hub"), F.col("f.node").alias("node")).agg(
+        F.count("*").alias("common"), F.min(F.least(F.col("e.n") - F.col("e.pos"), F.col("f.n") - F.col("f.pos"))).alias("after"),
+        F.first("e.n").alias("n"), F.first("f.n").alias("m"),
+    )
+    # All common shingles but those of the prefixes come after the last of these.
+    most = F.col("common") + F.col("after") - 1
+    cross = cross.filter((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("hub", "node")
+    cross = materialise(_untested(cross, tested), "ngram-cross")
     more = _verify(cross, joined, percent)
     if more.limit(1).count():
         roots = components(links.union(more))
