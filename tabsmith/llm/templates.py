@@ -35,12 +35,11 @@ def agreement(a: Column, b: Column) -> Column:
 def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens_any: int) -> DataFrame:
     """(doc, twin, n, leaf, line): one row per line of at least so many tokens; `twin` names the whole text."""
     text = text_of(text_col)
-    rows = docs.select(
-        c(id_col).alias("doc"),
-        F.xxhash64(text).alias("twin"),
-        F.posexplode(F.split(text, "\n")).alias("n", "raw"),
-    ).withColumn("line", masked(F.col("raw"))).drop("raw")
-    rows = rows.withColumn("tokens", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    # The text ends here: behind the generator only its hash goes along with each line.
+    held = docs.select(c(id_col).alias("doc"), F.xxhash64(text).alias("twin"), F.split(text, "\n").alias("lines"))
+    rows = held.select("doc", "twin", F.posexplode("lines").alias("n", "raw"))
+    rows = rows.withColumn("line", masked(F.col("raw"))).drop("raw")
+    rows = rows.withColumn("tokens", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     rows = rows.filter((F.col("tokens") >= min_tokens_any) & (F.col("line") != ""))
     return rows.withColumn("leaf", F.xxhash64("tokens", F.substring_index("line", " ", depth)))
 
