@@ -89,8 +89,8 @@ def plan(
     """Training positions of every document, one row per input row.
 
     Columns: doc_id, source, size (words), source_size, target, key (order in
-    the source) and positions, an array with one time per copy that the mix
-    takes, at most `most`. A document is in a round over its source when its
+    the source), positions, an array with one time per copy that the mix
+    takes, at most `most`, and text_hash. A document is in a round over its source when its
     middle word is still demanded, so a source's words miss its target by at
     most half a document. Null and wordless texts have size 0 and are taken by
     no demand: positions is empty. A null source is a source of its own, a null
@@ -103,6 +103,7 @@ def plan(
         c(id_col).alias("doc_id"),
         c(source_col).alias("source"),
         n_words(text_of(text_col)).alias("size"),
+        F.xxhash64(text_of(text_col)).alias("text_hash"),
         F.md5(F.coalesce(c(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     )
     sized = materialise(sized, "mix-sizes")
@@ -125,34 +126,40 @@ def plan(
         return out
 
     return placed.withColumn("positions", F.transform(wanted, at)).select(
-        "doc_id", "source", "size", "source_size", "target", "key", "positions"
+        "doc_id", "source", "size", "source_size", "target", "key", "positions", "text_hash"
     )
 
 
 def arrange(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: the rows of `docs`, repeated as the plan says, range-sorted by position.
 
-    The result has the columns of `docs`. Rows that share an id, source and
-    size are told apart by nothing the plan knows, so they are counted and each
-    takes its own place.
+    The result has the columns of `docs`. Rows that share id, source and text
+    are told apart by nothing the plan knows, so they are counted and each
+    takes a place of its own. Texts are shuffled twice: to their positions and
+    into order.
     """
     text_col, source_col = options.get("text_col", "text"), options.get("source_col", "source")
     names = docs.columns
-    twin = ["_id", "_source", "_size"]
-    group = W.partitionBy(*twin)
+    same = ["_id", "_source", "_hash"]
     held = docs.select(
         F.struct(*[c(x) for x in names]).alias("_row"),
         c(id_col).alias("_id"),
         c(source_col).alias("_source"),
-        n_words(text_of(text_col)).alias("_size"),
         F.xxhash64(text_of(text_col)).alias("_hash"),
-    ).withColumn("_twin", F.row_number().over(group.orderBy("_hash")))
+    )
     rows = plan(docs, id_col, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "key", "positions"
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "key", "positions"
+    )
+    places = F.sort_array(F.collect_list(F.struct((-F.size("positions")).alias("k"), "positions")))
+    rows = materialise(rows.groupBy(*same).agg(F.first("key").alias("key"), places.alias("places")), "mix-places")
+    rows = rows.filter(F.exists("places", lambda p: F.size(p["positions"]) > 0))
+    on = [F.col(f"h.{x}").eqNullSafe(F.col(f"p.{x}")) for x in same]
+    both = held.alias("h").join(rows.alias("p"), on).select("h.*", "p.key", "p.places")
+    alone = both.filter(F.size("places") == 1).withColumn("_place", F.lit(0)).drop(*same)
+    number = F.row_number().over(W.partitionBy(*same).orderBy("key")) - 1
+    twins = both.filter(F.size("places") > 1).withColumn("_place", number).drop(*same)
+    taken = alone.unionByName(twins).select(
+        "_row", "key", F.explode(F.get("places", F.col("_place"))["positions"]).alias("_position")
     )
-    rows = rows.withColumn("_twin", F.row_number().over(group.orderBy(F.size("positions").desc(), "positions")))
-    rows = rows.filter(F.size("positions") > 0)
-    on = [F.col(f"h.{x}").eqNullSafe(F.col(f"p.{x}")) for x in [*twin, "_twin"]]
-    both = held.alias("h").join(rows.alias("p"), on).select("h._row", "p.key", F.explode("p.positions").alias("_position"))
-    sorted_rows = both.repartitionByRange("_position", "key").sortWithinPartitions("_position", "key")
+    sorted_rows = taken.repartitionByRange("_position", "key").sortWithinPartitions("_position", "key")
     return sorted_rows.select(*[F.col("_row").getField(x).alias(x) for x in names])
