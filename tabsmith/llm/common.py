@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: A word: what ASCII white space separates.
@@ -50,3 +52,10 @@ def before(df: DataFrame, by: list[str], key: str, value: Column, name: str, row
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_bucket", "_value", "_local", "_offset")
     )
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in small batches, which bounds what a Python worker holds at once."""
+    for b in batches:
+        for low in range(0, b.num_rows, rows):
+            yield b.slice(low, rows)

@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabsmith.llm.common import c, text_of
+from tabsmith.llm.common import c, slices, text_of
 
 BLANK = "▁"
 #: Words whose ids a Python worker keeps, and pairs of pieces that it knows to be stable or not.
-CACHE_WORDS, CACHE_PAIRS = 1_200_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
 
 _models: dict[str, PieceModel] = {}
 
@@ -259,7 +259,7 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, digests: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = PieceModel.of(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in slices(batches):
             ids = [coder.encode(t) for t in b.column("text").to_pylist()]
             texts = [coder.library.decode(x) for x in ids]
             if digests:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabsmith.llm.common import c, text_of
+from tabsmith.llm.common import c, slices, text_of
 from tabsmith.session import materialise
 
 #: The most labelled documents that the model is fitted on, and the most words of its lexicon.
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, among = Counter(), (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words = tokens(text)
                 among[toxic > 0].update(set(words))
@@ -218,7 +218,7 @@ def _curve(rows: DataFrame, model: ToxicModel) -> tuple[float, float]:
 
 def _scorer(model: ToxicModel, training: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [_evidence(tokens(t), model) for t in b.column("text").to_pylist()]
             x = [e for e, _ in found]
             if training:
@@ -260,7 +260,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", thres
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(names.index(text_col)).to_pylist()
             scores = (model.slope * _evidence(tokens(t or ""), model)[0] + model.offset for t in texts)
             mark = math.log(threshold / (1 - threshold))
