@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from tabsmith.llm.common import c, text_of
+from tabsmith.llm.common import c, slices, text_of
 from tabsmith.session import materialise
 
 #: Most documents, and about the most compressed bytes, of a block.
@@ -44,8 +44,10 @@ class WordCoder:
     """Ids of whole texts, looked up by word.
 
     The tokenizer drops white space and no token crosses it, so a text's ids
-    are those of its pieces between blanks and line breaks. Each distinct piece
-    is encoded by the library once while it stays in the cache.
+    are those of its pieces between blanks and line breaks. It never joins a
+    letter with a full stop or comma behind it and lowers ASCII words, so
+    pieces are looked up without those. Each distinct rest is encoded by the
+    library once while it stays in the cache.
     """
 
     def __init__(self, model: str, width: int):
@@ -61,16 +63,27 @@ class WordCoder:
             _coders[model, width] = cls(model, width)
         return _coders[model, width]
 
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """The piece without the marks at its end, and the marks."""
+        stem = piece.rstrip(".,")
+        if not stem or not stem[-1].isalpha() or not stem[-1].lower()[-1].isalpha():
+            return piece, ""
+        return stem.lower() if stem.isascii() and stem.isalpha() else stem, piece[len(stem) :]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = list({p for each in pieces for p in each if p not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+        new = {p: self._parts(p) for p in set().union(*pieces).difference(known)}
+        rest = list({x for parts in new.values() for x in parts}.difference(known))
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for p, (stem, tail) in new.items():
+            known[p] = known[stem] + known[tail]
         return [b"".join([known[p] for p in each]) for each in pieces]
 
 
@@ -154,7 +167,7 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         arrow = _arrow(schema)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             keys, part = b.column("id").to_pylist(), b.column("part")[0].as_py() if len(texts) else part
             for lo, hi in _batches(texts):
