@@ -252,20 +252,14 @@ def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return pairs.join(both, ["hub", "node"], "left_anti")
 
 
-def ngram_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rounds: int = 2
-) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id), one row per row of `docs`.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, key); `key` names the text."""
+    rows = docs.select(c(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.withColumn("key", F.md5(F.col("text").cast("binary")))
 
-    Documents link when 100 times their common shingles is at least `percent`
-    times all shingles of both. `component_id` is the smallest id that links
-    reach, itself included; null ids count only where nothing else is
-    reached. Texts without words have no shingles and link with nothing, not
-    even with each other; null texts are empty ones. `key` names the text.
-    Repeated rows and rows that share an id keep a row each; with equal texts
-    they are linked like other copies. An empty table gives no rows.
-    """
-    rows = docs.select(c(id_col).alias("doc_id"), text_of(text_col).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
+
+def _classes(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """(root, node, n, key, least_id), one row per text: its component's root, its shingles and its smallest id."""
     reps = rows.groupBy("key").agg(F.first("text").alias("text"), F.min("doc_id").alias("least_id"))
     reps = reps.withColumn("node", F.monotonically_increasing_id()).withColumn("chars", F.length("text"))
     reps = materialise(reps, "ngram-texts")
@@ -326,7 +320,24 @@ def ngram_components(
     if more.limit(1).count():
         roots = components(links.union(more))
     whole = sets.select("node", "n").join(reps.select("node", "key", "least_id"), "node").join(roots, "node", "left")
-    whole = materialise(whole.withColumn("root", F.coalesce("root", "node")), "ngram-classes")
+    return materialise(whole.withColumn("root", F.coalesce("root", "node")), "ngram-classes")
+
+
+def ngram_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rounds: int = 2
+) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id), one row per row of `docs`.
+
+    Documents link when 100 times their common shingles is at least `percent`
+    times all shingles of both. `component_id` is the smallest id that links
+    reach, itself included; null ids count only where nothing else is
+    reached. Texts without words have no shingles and link with nothing, not
+    even with each other; null texts are empty ones. `key` names the text.
+    Repeated rows and rows that share an id keep a row each; with equal texts
+    they are linked like other copies. An empty table gives no rows.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    whole = _classes(rows, percent, rounds)
     least = whole.groupBy("root").agg(F.min("least_id").alias("component_id"))
     whole = whole.join(least, "root").select("key", F.col("n").alias("n_shingles"), "component_id")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -336,19 +347,21 @@ def ngram_components(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of `docs` with one document of each component: that of the smallest id.
 
-    Rows without words stay. Of several rows with the component's id the one
-    with the smallest text hash stays, of repeated rows one. All columns stay.
+    Rows without words stay. Null ids come last; of several texts with the
+    smallest id the one with the smallest hash stays, of repeated rows one.
+    Components that share an id, or have none, keep a document each. All
+    columns stay.
     """
     names = docs.columns
-    found = ngram_components(docs, id_col, text_col, percent)
-    best = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = best.groupBy("component_id").agg(F.min("key").alias("key"))
+    found = _classes(_keyed(docs, id_col, text_col), percent).filter("n > 0")
+    first = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key")).alias("first")
+    best = found.groupBy("root").agg(first).select("first.least_id", "first.key")
     held = docs.select(
         F.struct(*[c(x) for x in names]).alias("_row"), c(id_col).alias("_id"), F.md5(text_of(text_col).cast("binary")).alias("_key"),
         (F.trim(F.regexp_replace(text_of(text_col), "[\\x09-\\x0D]", " ")) != "").alias("_words"),
     )
     kept = held.filter("_words").join(
-        best, F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("_key") == F.col("key"))
+        best, F.col("_id").eqNullSafe(F.col("least_id")) & (F.col("_key") == F.col("key"))
     ).groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
     rows = kept.select("_row").unionByName(held.filter("not _words").select("_row"))
     return rows.select(*[F.col("_row").getField(x).alias(x) for x in names])

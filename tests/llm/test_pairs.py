@@ -1,6 +1,7 @@
 """Components, near vectors and the n-gram join against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -129,6 +130,16 @@ def test_one_document_of_each_group_stays(texts):
     assert ngram_join.keep_one(texts([])).count() == 0
 
 
+def test_groups_that_share_an_id_or_have_none_keep_one_each(texts):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    a, b, d, e, f = (" ".join(rng.choice(words) for _ in range(50)) for _ in range(5))
+    near = e + " more"
+    pairs = [(None, a), (None, b), (None, a), (7, d), (7, e), (None, near), (9, f), (None, f)]
+    got = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(texts(pairs)).collect())
+    assert got == Counter([(None, a), (None, b), (7, d), (7, e), (9, f)])
+
+
 def test_filters_never_lose_a_pair():
     rng = np.random.default_rng(5)
     for _ in range(300):
