@@ -1,6 +1,7 @@
 """Mixing, fingerprints, sharding and line templates."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -188,6 +189,44 @@ def test_variable_fields_share_a_template(texts):
     assert all("answered" not in got[i] for i in range(1, 8)) and "answered" in got[0]
 
 
+def test_every_template_of_a_leaf_is_found(texts):
+    lines = [
+        "2024-01-01 10:00:0{} INFO user {} logged in from the office",
+        "2024-01-01 10:00:0{} INFO disk {} is nearly full on node",
+        "2024-01-01 10:00:0{} INFO backup of {} took longer than usual",
+        "2024-01-01 10:00:0{} INFO cache for {} was emptied by hand",
+        "2024-01-01 10:00:0{} INFO job named {} ended without any error",
+    ]
+    got = kept(texts([(i, "\n".join([f"{x * 9} alone", *[t.format(i, x * 4) for t in lines]])) for i, x in enumerate("abcd")]))
+    assert all(got[i].count("INFO") == (0 if i else 5) for i in range(4))
+
+
+def one_after_another(lines, likeness=0.75):
+    """{line: seed} of one leaf, by one seed after another; `lines` has the number of texts of each."""
+    left, out = sorted(lines, key=lambda x: (lines[x], x), reverse=True), {}
+    while left:
+        seed = left[0].split(" ")
+        near = [x for x in left if sum(a == b for a, b in zip(seed, x.split(" "))) / len(seed) >= likeness]
+        out |= dict.fromkeys(near, left[0])
+        left = [x for x in left if x not in out]
+    return out
+
+
+def test_templates_against_plain_python(spark):
+    rng = random.Random(7)
+    leaves = {}
+    for leaf, (tokens, some) in enumerate([(5, 4), (7, 3), (10, 3), (12, 2), (16, 3), (17, 2), (30, 2), (4, 5), (3, 1), (9, 40)]):
+        lines = leaves[leaf] = {}
+        for _ in range(80):
+            line = " ".join(["x", "y", "z", *[rng.choice("abcdefghij"[:some]) if some < 40 else str(rng.random()) for _ in range(tokens - 3)]])
+            lines[line] = rng.randint(1, 3)
+    rows = [(leaf, k, n, x, len(x.split(" "))) for leaf, lines in leaves.items() for k, (x, n) in enumerate(lines.items())]
+    kinds = spark.createDataFrame(rows, "leaf long, kind long, texts long, line string, tokens int")
+    name = {(r[0], r[1]): r[3] for r in rows}
+    got = {(r["leaf"], name[r["leaf"], r["kind"]]): name[r["leaf"], r["template"]] for r in templates._named(kinds, 3, 0.75).collect()}
+    assert got == {(leaf, x): seed for leaf, lines in leaves.items() for x, seed in one_after_another(lines).items()}
+
+
 def test_copies_are_one_text_and_short_lines_need_many(texts):
     copy = "a whole text of its own with many words\nand a second line of the same text"
     got = kept(texts([(1, copy), (2, copy), (3, "so it is\nunlike anything else in here, this text"), (4, "so it is\nsomething quite apart from all of the rest")]))
