@@ -6,7 +6,8 @@ import functools
 
 from pyspark.sql import functions as F
 
-from tabsmith.llm import embeddings, merkle, mixing, ngram_join, pieces, sharding, templates, token_files, toxicity, transcripts
+from tabsmith.llm import centroids, embeddings, manifest, merkle, mixing, ngram_join, pieces, sharding, templates, token_counts, token_files
+from tabsmith.llm import toxicity, transcripts
 from tabsmith.queries.registry import query
 from tabsmith.session import scratch_path
 
@@ -225,3 +226,99 @@ def chat_format(t):
         F.col("conv").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "n_lines",
         F.sha2("rendered", 256).alias("rendered_sha256"),
     )
+
+
+@query("op11_token_counts")
+def token_count_rows(t):
+    return token_counts.token_counts(t.documents, tokenizer_file("piece_bpe_32k.model"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds as a chain of steps; all pairs of vector and centroid are compared."""
+    near = """
+a{r} AS MATERIALIZED (
+  SELECT row, min_by(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (
+    SELECT v.row, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM v CROSS JOIN c{r} c) GROUP BY row)"""
+    move = """
+c{n} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+      SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n
+      FROM (SELECT a.c, unnest(v.x) AS e, generate_subscripts(v.x, 1) AS i FROM a{r} a JOIN v USING (row)) GROUP BY c, i) GROUP BY c) m
+  ON c.c = m.c)"""
+    steps = "".join(near.format(r=r) + "," + move.format(r=r, n=r + 1) + "," for r in range(rounds)) + near.format(r=rounds)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+    SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k})),{steps}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (row) JOIN c{rounds} c ON a.c = c.c
+"""
+
+
+@query("op12_centroid_clusters", _clusters_sql())
+def centroid_clusters(t):
+    return centroids.clustered_vectors(t.embeddings)
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE read AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+         {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower_leaf,
+         list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT), lambda a, b:
+           list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)),
+           4294967295) AS rest
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS key, CASE WHEN xor(rest, 4294967295) % 3 = 0 THEN lower_leaf ELSE leaf END AS seen,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n
+  FROM read),
+nodes(lv, lang, pos, n, h) AS (
+  SELECT 0, lang, r, n, leaf FROM leaves
+  UNION ALL
+  SELECT lv + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lv, lang, pos // 8, n),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lv, pos, n, h) AS (
+  SELECT 0, r, n, h FROM subroots
+  UNION ALL
+  SELECT lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lv, pos // 8, n),
+steps AS (
+  SELECT l.key, 0 AS tree, a.lv, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM leaves l JOIN nodes a ON l.lang IS NOT DISTINCT FROM a.lang AND l.r // (1 << (3 * a.lv)) = a.pos AND a.n > 1
+  JOIN nodes b ON b.lang IS NOT DISTINCT FROM a.lang AND b.lv = a.lv AND b.pos // 8 = a.pos // 8
+  GROUP BY l.key, a.lv
+  UNION ALL
+  SELECT l.key, 1, a.lv, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''),
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN tops a ON s.r // (1 << (3 * a.lv)) = a.pos AND a.n > 1
+  JOIN tops b ON b.lv = a.lv AND b.pos // 8 = a.pos // 8
+  GROUP BY l.key, a.lv),
+paths AS (SELECT key, list({{'before': before, 'after': after}} ORDER BY tree, lv) AS p FROM steps GROUP BY key),
+done AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(p, []) AS p,
+         list_reduce(coalesce(p, []), lambda a, x: {{'before': sha256(x.before || a.before || x.after), 'after': ''}},
+                     {{'before': l.seen, 'after': ''}}).before AS folded_root
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths USING (key))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: x.before || x.after), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM done
+"""
+
+
+@query("op13_dataset_manifest", MANIFEST_SQL)
+def dataset_manifest(t):
+    return manifest.tampered_proofs(t.documents)
