@@ -1,302 +1,376 @@
-"""Exact k-nearest-neighbour search without comparing all pairs.
+"""Exact k-nearest-neighbour search in boxes, for rows of any width.
 
 Distance between two rows: mean squared difference over the features both
-have, times the number of features, square root. It is never smaller than the
-difference in any shared feature, which gives a safe range to search:
+have, times the number of features, square root. A row is one array column, so
+the plan is the same for two features as for hundreds.
 
 1. Equal rows are merged on both sides, so a group of copies is one row.
-2. Donors are put in small ordered buckets of each feature: quantile ranges, cut
-   into equal parts where the pool is large. A pair is compared under the first
-   feature (in a fixed order) that both rows have.
-3. Every receiver looks into its own bucket, wider when too few donors are
-   found there. Its k-th distance so far bounds how far a better donor can be.
-4. Buckets within that bound are searched; the result is exact.
-
-Ties are ordered by the donor's values in the order of the features, so no row identity is needed.
+2. Donors are cut into cells: the widest feature at its median, again and again,
+   rows without the feature in a cell of their own. The cuts come from a bounded
+   sample and decide speed only; each cell's box comes from all its donors.
+3. A receiver looks into the cells nearest to it until they hold k donors. The
+   k-th distance found bounds how far a better donor can be.
+4. Every cell whose box is within the bound is searched; the result is exact.
+
+A cell and its visitors meet in blocks of bounded size, compared by matrix
+products; what may belong to the nearest is measured again term by term. Ties
+are ordered by the donor's values in the order of the features, so no row
+identity is needed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from collections.abc import Iterator
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col
-from tabsmith.operators.frequency import distinct_counts
 from tabsmith.session import materialise
 
-BUCKET_ROWS = 64
-MOST_SPLITS = 4096
-WORD_BITS = 62  # features per word of a presence mask
+#: Donors of a cell that are wanted, and the most cells: all boxes together hold at most this many sides.
+CELL_ROWS, BOX_SIDES = 2048, 1 << 18
+#: Donors and receivers that meet at a time.
+DONOR_BLOCK, RECEIVER_BLOCK = 4096, 8192
+#: Donors that the cuts are taken from.
+SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 21
 SLACK = 1 + 1e-9
 
 
-def nearest_means(
-    receivers: DataFrame,
-    donors: DataFrame,
-    features: list[str],
-    groups: dict[str, list[str]],
-    k: int,
-    only_missing: bool = True,
-    bucket_rows: int = BUCKET_ROWS,
-) -> DataFrame:
-    """Per distinct receiver vector and group, the mean of the group's donor
-    columns over the k nearest donors that have all of them.
-
-    Returns the features, `_group` and `_means` (array in group order). With
-    `only_missing`, a group is searched only where its receiver value is null.
-    """
-    weighted, order = _weighted(receivers, donors, features, groups, k, only_missing, bucket_rows)
-    keys = [f"r{i}" for i in range(len(order))] + ["g"]
-    width = max(len(cols) for cols in groups.values())
-    means = F.array(
-        *[F.sum(F.col("t") * F.get("chosen", F.lit(i))) / F.sum("t") for i in range(width)]
-    )
-    result = weighted.groupBy(*keys).agg(means.alias("_means"))
-    labels = F.array(*map(F.lit, groups))
-    return result.select(
-        *[F.col(f"r{order.index(c)}").alias(c) for c in features], F.get(labels, F.col("g")).alias("_group"), "_means"
+def vector(columns: list[Column]) -> Column:
+    """Columns as one array; values that are not finite count as missing."""
+    numbers = [c.cast("double") for c in columns]
+    return F.array(*[F.when(F.abs(c) < F.lit(float("inf")), c) for c in numbers])
+
+
+class BoxTree:
+    """Cuts of a sample: at a node a feature and a value, below, above and, for rows without it, aside."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.feature, self.cut, self.next, self.cell = [-1], [0.0], [[-1, -1, -1]], [0]
+        queue = [(-len(sample), 0, np.arange(len(sample)))]
+        leaves = 1
+        while queue and leaves < cells:
+            _, node, rows = heapq.heappop(queue)
+            found = self._divide(sample[rows])
+            if found is None:
+                continue
+            self.feature[node], self.cut[node], sides = found
+            first = True
+            for side in range(3):
+                part = rows[sides == side]
+                if len(part):
+                    self.next[node][side] = len(self.feature)
+                    heapq.heappush(queue, (-len(part), len(self.feature), part))
+                    self.feature.append(-1)
+                    self.cut.append(0.0)
+                    self.next.append([-1, -1, -1])
+                    self.cell.append(self.cell[node] if first else leaves)
+                    leaves += not first
+                    first = False
+        self.cells = leaves
+        self.feature, self.cut, self.next, self.cell = map(np.array, (self.feature, self.cut, self.next, self.cell))
+
+    @staticmethod
+    def _divide(x: np.ndarray):
+        """(feature, value, side of each row), or None where all rows are alike."""
+        there = ~np.isnan(x)
+        share = there.mean(axis=0)
+        with np.errstate(all="ignore"):
+            low, high = np.fmin.reduce(x, axis=0), np.fmax.reduce(x, axis=0)
+            spread = np.where(share > 0, high - low, 0.0) * share
+        f = int(np.argmax(spread))
+        if not spread[f] > 0:
+            f = int(np.argmax(share * (1 - share)))
+            if not 0 < share[f] < 1:
+                return None
+            return f, np.inf, np.where(there[:, f], 0, 2)
+        values = np.sort(x[there[:, f], f])
+        cut = values[(len(values) - 1) // 2]
+        if cut == values[-1]:
+            cut = values[np.searchsorted(values, cut) - 1]
+        return f, cut, np.where(there[:, f], x[:, f] > cut, 2).astype(int)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row; a row that lacks a feature no sampled row lacked goes below the cut."""
+        node = np.zeros(len(x), np.int64)
+        while True:
+            f = self.feature[node]
+            inner = np.flatnonzero(f >= 0)
+            if not len(inner):
+                return self.cell[node]
+            at = node[inner]
+            value = x[inner, f[inner]]
+            side = np.where(np.isnan(value), 2, value > self.cut[at])
+            to = self.next[at, side]
+            for other in (0, 1, 2):
+                to = np.where(to < 0, self.next[at, other], to)
+            node[inner] = to
+
+
+class Boxes:
+    """The box of each cell: its bounds per feature and whether some or all of its donors have the feature."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, some: np.ndarray, every: np.ndarray):
+        self.low, self.high, self.some, self.every = low, high, some, every
+
+    def least(self, x: np.ndarray) -> np.ndarray:
+        """A lower bound of the squared distance of each row to each cell; infinite where none is comparable."""
+        there = ~np.isnan(x)
+        shared = there.astype(float) @ self.some.T.astype(float)
+        total = np.zeros((len(x), len(self.low)))
+        for f in np.flatnonzero(self.every.any(axis=0) & there.any(axis=0)):
+            v = x[:, f, None]
+            gap = np.maximum(np.maximum(self.low[:, f] - v, v - self.high[:, f]), 0.0)
+            total += np.where(self.every[:, f] & there[:, f, None], gap, 0.0) ** 2
+        return np.where(shared > 0, total * x.shape[1] / np.maximum(shared, 1), np.inf)
+
+
+def _matrix(column, d: int) -> np.ndarray:
+    """An Arrow column of arrays of one length as rows; null elements become NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+
+def _tree(pool: DataFrame, size: int, d: int, cell_rows: int) -> BoxTree:
+    cells = max(1, min(-(-size // cell_rows), BOX_SIDES // d))
+    if cells == 1:
+        return BoxTree(np.zeros((0, d)), 1)
+    most = min(SAMPLE_ROWS, SAMPLE_VALUES // d)
+    picked = pool.select("x").orderBy(F.xxhash64("x"), "x").limit(most).collect()
+    return BoxTree(np.array([[np.nan if v is None else v for v in r["x"]] for r in picked], float), cells)
+
+
+def _boxes(placed: DataFrame, cells: int, d: int) -> Boxes:
+    """Every task adds up the boxes of its donors; one row per cell and task leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full((cells, d), np.nan), np.full((cells, d), np.nan)
+        some, every, seen = np.zeros((cells, d), bool), np.ones((cells, d), bool), np.zeros(cells, bool)
+        for b in batches:
+            cell, x = b.column("cell").to_numpy(), _matrix(b.column("x"), d)
+            order = np.argsort(cell, kind="stable")
+            at, first = np.unique(cell[order], return_index=True)
+            if not len(at):
+                continue
+            x, seen[at] = x[order], True
+            low[at] = np.fmin(low[at], np.fmin.reduceat(x, first))
+            high[at] = np.fmax(high[at], np.fmax.reduceat(x, first))
+            some[at] |= np.logical_or.reduceat(~np.isnan(x), first)
+            every[at] &= np.logical_and.reduceat(~np.isnan(x), first)
+        at = np.flatnonzero(seen)
+        lists = [pa.array(list(a[at]), pa.list_(t)) for a, t in ((low, pa.float64()), (high, pa.float64()), (some, pa.bool_()), (every, pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *lists], names=["cell", "low", "high", "some", "every"])
+
+    kinds = "cell int, low array<double>, high array<double>, some array<boolean>, every array<boolean>"
+    parts = placed.select("cell", "x").mapInArrow(run, kinds)
+    # Merged per cell and feature, so that no more than all sides of all boxes come to the driver.
+    flat = parts.select("cell", F.posexplode(F.arrays_zip("low", "high", "some", "every")).alias("f", "s"))
+    value = lambda name: F.when(~F.isnan(F.col(f"s.{name}")), F.col(f"s.{name}"))
+    merged = flat.groupBy("cell", "f").agg(
+        F.min(value("low")).alias("low"), F.max(value("high")).alias("high"), F.max("s.some").alias("some"), F.min("s.every").alias("every")
     )
-
-
-def nearest_votes(
-    receivers: DataFrame, donors: DataFrame, features: list[str], value: str, k: int, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Per distinct receiver vector, the number most common in the donors'
-    column `value` over the k nearest; the smallest one wins a tie.
-
-    Votes are a grouped count, so any number of different values will do.
-    Returns the features and `_vote`.
+    low, high = np.zeros((cells, d)), np.zeros((cells, d))
+    some, every = np.zeros((cells, d), bool), np.zeros((cells, d), bool)
+    for r in merged.collect():
+        i = r["cell"], r["f"]
+        low[i], high[i], some[i], every[i] = r["low"] or 0.0, r["high"] or 0.0, r["some"], r["every"]
+    return Boxes(low, high, some, every)
+
+
+def _visits(asked: DataFrame, boxes: Boxes, d: int, reach: int | None) -> DataFrame:
+    """(cell, id, x, wanted, bounds): each receiver with the `reach` nearest cells, or with all within its widest bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // max(len(boxes.low), d))
+        for b in batches:
+            for start in range(0, b.num_rows, step):
+                part = b.slice(start, step)
+                least = boxes.least(_matrix(part.column("x"), d))
+                if reach is None:
+                    far = np.array([np.inf if None in v else max(v) for v in part.column("bounds").to_pylist()])
+                    row, cell = np.nonzero((least <= (far**2 * SLACK)[:, None]) & np.isfinite(least))
+                else:
+                    cell = np.argsort(least, axis=1, kind="stable")[:, :reach]
+                    row = np.repeat(np.arange(part.num_rows), cell.shape[1])
+                    cell = cell.ravel()
+                    row, cell = row[np.isfinite(least[row, cell])], cell[np.isfinite(least[row, cell])]
+                for low in range(0, len(row), 4096):
+                    taken = part.take(pa.array(row[low : low + 4096]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[low : low + 4096].astype(np.int32)), *taken.columns], names=["cell", *taken.schema.names])
+
+    return asked.mapInArrow(run, "cell int, id long, x array<double>, wanted array<int>, bounds array<double>")
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray, k: int, far: np.ndarray):
+    """(row of x, row of y, distance) of each row's k nearest, copies counted, none beyond `far`; y is compared whole."""
+    d = x.shape[1]
+    mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+    x0, y0 = np.nan_to_num(x), np.nan_to_num(y)
+    shared = mx @ my.T
+    scale = np.where(shared > 0, d / np.maximum(shared, 1), np.inf)
+    rough = (x0**2) @ my.T + mx @ (y0**2).T - 2 * x0 @ y0.T
+    rough = np.where(shared > 0, np.maximum(rough, 0.0) * scale, np.inf)
+    # Products lose digits against the size of the rows: allow for it before measuring again.
+    loss = 1e-14 * d * d * ((x0**2).sum(axis=1) + (y0**2).sum(axis=1).max(initial=0.0))
+    limit = far**2 * SLACK
+    if y.shape[0] > k:
+        limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1] + loss)
+    i, j = np.nonzero((rough <= (limit + loss)[:, None]) & np.isfinite(rough))
+    out_i, out_j, out_d = [], [], []
+    for low in range(0, len(i), max(1, (1 << 22) // d)):
+        a, b = i[low : low + max(1, (1 << 22) // d)], j[low : low + max(1, (1 << 22) // d)]
+        square = np.cumsum(np.nan_to_num(x[a] - y[b]) ** 2, axis=1)[:, -1]
+        out_i.append(a), out_j.append(b), out_d.append(np.sqrt(square * float(d) / shared[a, b]))
+    if not out_i:
+        return i, j, np.zeros(0)
+    dist = np.concatenate(out_d)
+    order = np.lexsort((rank[j], dist, i))
+    i, j, dist = i[order], j[order], dist[order]
+    upto = np.cumsum(weight[j])
+    start = np.searchsorted(i, i)
+    before = upto - weight[j] - np.where(start > 0, upto[start - 1], 0)
+    kept = (before < k) & (dist <= far[i] * SLACK)
+    return i[kept], j[kept], dist[kept]
+
+
+FOUND = "id long, g int, dist double, rank long, w long, chosen array<double>"
+
+
+def _search(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, d: int) -> DataFrame:
+    """Per receiver and group the nearest donors of each block that it meets.
+
+    Donors and visitors of a cell are dealt into blocks by hash, and every two
+    blocks of a cell meet in a group of their own, so no group is unbounded.
     """
-    weighted, order = _weighted(receivers, donors, features, {"v": [value]}, k, False, bucket_rows)
-    keys = [f"r{i}" for i in range(len(order))]
-    votes = weighted.groupBy(*keys, F.get("chosen", F.lit(0)).alias("value")).agg(F.sum("t").alias("n"))
-    won = votes.groupBy(*keys).agg(F.max(F.struct(F.col("n"), (-F.col("value")).alias("least"))).alias("won"))
-    return won.select(*[F.col(f"r{order.index(c)}").alias(c) for c in features], (-F.col("won.least")).alias("_vote"))
-
-
-def _weighted(receivers, donors, features, groups, k, only_missing, bucket_rows) -> tuple[DataFrame, list[str]]:
-    """The k nearest donors of each receiver and group, with how many of them a row counts for (`t`)."""
-    order = _feature_order(donors, features)
-    d = len(order)
-    values = sorted({c for cols in groups.values() for c in cols})
-    extra = [c for c in values if c not in order]
-    names = {c: f"d{i}" for i, c in enumerate(order)} | {c: f"v{i}" for i, c in enumerate(extra)}
-    pool = donors.select(*[col(c).cast("double").alias(n) for c, n in names.items()])
-    pool = pool.groupBy(*names.values()).agg(F.count("*").alias("w"))
-    pool = _masked(pool, "d", d)
-    choices = F.array(
-        *[
-            F.when(
-                reduce(lambda a, b: a & b, [F.col(names[c]).isNotNull() for c in cols]),
-                F.array(*[F.col(names[c]) for c in cols]),
-            )
-            for cols in groups.values()
-        ]
+    visits = materialise(visits, "visits")
+    asked = visits.groupBy("cell").agg(F.count("*").alias("visitors"))
+    # One row per cell.
+    plan = sizes.join(asked, "cell").select(
+        "cell", F.ceil(F.col("donors") / DONOR_BLOCK).cast("int").alias("db"), F.ceil(F.col("visitors") / RECEIVER_BLOCK).cast("int").alias("rb")
     )
-    pool = materialise(pool.withColumn("choices", choices), "donors")
-    size = pool.count()
-    buckets = max(1, -(-size // bucket_rows))
-    scales = _scales(pool, d, buckets)
-    wanted = F.array(
-        *[
-            F.when(col(cols[0]).isNull() if only_missing else F.lit(True), F.lit(i))
-            for i, cols in enumerate(groups.values())
-        ]
-    )
-    asked = receivers.withColumn("_wanted", F.array_compact(wanted)).filter(F.size("_wanted") > 0)
-    asked = asked.select(*[col(c).cast("double").alias(f"r{i}") for i, c in enumerate(order)], "_wanted").distinct()
-    asked = _masked(asked, "r", d)
-    asked = asked.select("*", F.explode("_wanted").alias("g")).drop("_wanted")
-
-    tie = [f"d{order.index(c)}" for c in features]
-    found = _search(asked, pool, d, scales, k, 0, tie)
-    reach = 0
-    if buckets > 1:
-        best = materialise(_kth(found, d, k), "bounds")
-        while best.filter("bound is null").limit(1).count() and reach < buckets:
-            reach = 4 * reach + 2
-            open_rows = best.filter("bound is null").drop("bound")
-            wider = _kth(_search(open_rows, pool, d, scales, k, reach, tie), d, k)
-            best = materialise(best.filter("bound is not null").unionByName(wider), "bounds")
-        # Receivers with fewer than k donors in all buckets keep an open bound.
-        bounded = best.withColumn("bound", F.coalesce(F.col("bound") * SLACK, F.lit(float("inf"))))
-        found = _search(bounded, pool, d, scales, k, None, tie)
-    keys = [f"r{i}" for i in range(d)] + ["g"]
-    earlier = W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    taken = F.least(F.col("w"), k - F.coalesce(F.sum("w").over(earlier), F.lit(0)))
-    return found.filter("w is not null").withColumn("t", taken).filter("t > 0"), order
-
-
-def _feature_order(donors: DataFrame, features: list[str]) -> list[str]:
-    """Features with the rarest top value first: they split donors best."""
-    shares = {r["column"]: r["top_count"] / max(r["counted"], 1) for r in distinct_counts(donors, features).collect()}
-    return sorted(features, key=lambda c: (shares[c], c))
-
-
-def _words(side: str, d: int) -> list[str]:
-    """Names of the mask columns of a side; a word holds WORD_BITS features."""
-    return [f"{side}mask{j}" for j in range(-(-d // WORD_BITS))]
-
-
-def _masked(df: DataFrame, side: str, d: int) -> DataFrame:
-    """Add the words that say which features a row has; rows without any go."""
-    words = {}
-    for j, name in enumerate(_words(side, d)):
-        here = range(j * WORD_BITS, min(d, (j + 1) * WORD_BITS))
-        bits = [F.when(F.col(f"{side}{i}").isNotNull(), F.lit(1 << (i - j * WORD_BITS))).otherwise(F.lit(0)) for i in here]
-        words[name] = reduce(lambda a, b: a + b, bits).cast("bigint")
-    return df.withColumns(words).filter(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in words]))
-
-
-def _scales(pool: DataFrame, d: int, buckets: int) -> list[tuple[list[float], int]]:
-    """Per feature: inner and outer quantile edges, and the parts of a range."""
-    ranges = min(buckets, MOST_SPLITS)
-    parts = -(-buckets // ranges)
-    probs = [i / ranges for i in range(1, ranges)]
-    aggs = [F.percentile_approx(f"d{i}", probs, 20 * ranges).alias(f"q{i}") for i in range(d)] if probs else []
-    aggs += [F.min(f"d{i}").alias(f"a{i}") for i in range(d)] + [F.max(f"d{i}").alias(f"b{i}") for i in range(d)]
-    row = pool.agg(*aggs).first()
-    scales = []
-    for i in range(d):
-        inner = (row[f"q{i}"] if probs else None) or []
-        ends = [row[f"a{i}"] or 0.0, row[f"b{i}"] or 0.0]
-        scales.append((sorted({*inner, *ends}), parts))
-    return scales
-
-
-def _last(scale) -> int:
-    edges, parts = scale
-    return max(len(edges) - 1, 1) * parts - 1
-
-
-def _numbers(values: list[float]) -> Column:
-    """A literal array; as one expression, since there may be thousands."""
-    return F.expr("array(" + ", ".join(f"{v!r}D" for v in values) + ")")
-
-
-def _bucketed(df: DataFrame, inputs: list[str], outputs: list[str], scales) -> DataFrame:
-    """Bucket of a value: its quantile range, then its equal part of the range.
-
-    Never falls as the value grows, so a range of values is a range of buckets.
+    plan = F.broadcast(materialise(plan, "cells"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = visits.join(plan, "cell").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("b", spread(F.col("db"))).drop("db", "rb")
+    right = placed.join(plan, "cell").withColumn("b", F.pmod(F.xxhash64("rank"), F.col("db")).cast("int")).withColumn("r", spread(F.col("rb"))).drop("db", "rb")
+
+    def run(receivers: pa.Table, donors: pa.Table) -> pa.Table:
+        parts = []
+        if receivers.num_rows and donors.num_rows:
+            x, y = _matrix(receivers.column("x"), d), _matrix(donors.column("x"), d)
+            ids = receivers.column("id").to_numpy()
+            wanted, bounds = receivers.column("wanted").to_pylist(), receivers.column("bounds").to_pylist()
+            weight, rank = donors.column("w").to_numpy(), donors.column("rank").to_numpy()
+            choices = donors.column("choices").to_pylist()
+            asked: dict[int, list[tuple[int, float]]] = {}
+            for i, (gs, fars) in enumerate(zip(wanted, bounds)):
+                for g, far in zip(gs, fars):
+                    asked.setdefault(g, []).append((i, np.inf if far is None else far))
+            for g, rows in asked.items():
+                has = np.array([j for j, c in enumerate(choices) if c[g] is not None], np.int64)
+                step = max(1, (1 << 21) // max(len(has), 1))
+                for low in range(0, len(rows) if len(has) else 0, step):
+                    at = np.array([i for i, _ in rows[low : low + step]])
+                    far = np.array([f for _, f in rows[low : low + step]])
+                    i, j, dist = _nearest(x[at], y[has], weight[has], rank[has], k, far)
+                    chosen = [choices[m][g] for m in has[j]]
+                    parts.append((ids[at[i]], np.full(len(i), g, np.int32), dist, rank[has[j]], weight[has[j]], chosen))
+        names = ["id", "g", "dist", "rank", "w"]
+        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+        columns = [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], t) for n, t in enumerate(kinds)]
+        columns.append(pa.array([c for p in parts for c in p[5]], pa.list_(pa.float64())))
+        return pa.table(columns, names=[*names, "chosen"])
+
+    keys = ["cell", "r", "b"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, FOUND)
+
+
+def _taken(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all blocks, with how many of them a row counts for (`t`)."""
+    earlier = W.partitionBy("id", "g").orderBy("dist", "rank").rowsBetween(W.unboundedPreceding, -1)
+    left = k - F.coalesce(F.sum("w").over(earlier), F.lit(0))
+    return found.withColumn("t", F.least(F.col("w"), left)).filter("t > 0")
+
+
+def _bounded(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Receivers with the distance of the k-th donor per wanted group; null where there are fewer."""
+    kth = _taken(found, k).groupBy("id", "g").agg(F.sum("t").alias("n"), F.max("dist").alias("far"))
+    per = kth.filter(F.col("n") >= k).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "far"))).alias("_far"))
+    joined = asked.drop("bounds").join(per, "id", "left")
+    far = F.transform("wanted", lambda g: F.try_element_at("_far", g))
+    return joined.select("id", "x", "wanted", far.alias("bounds"))
+
+
+def nearest(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The k nearest donors of each distinct receiver and group.
+
+    `receivers` have `x` (array of doubles, null where missing) and `wanted`
+    (numbers of the groups to search); `donors` have `x` of the same length and
+    `choices`, per group an array of doubles or null where the donor can not
+    serve the group. Returns x, g, chosen and t, the number of neighbours that
+    a row stands for. Receivers without any comparable donor give no rows.
     """
-    inf = float("inf")
-    splits = [[-inf, *(edges[1:-1] or [edges[0]]), inf] for edges, _ in scales]
-    model = Bucketizer(inputCols=inputs, outputCols=[f"_q{o}" for o in outputs], splitsArray=splits, handleInvalid="keep")
-    placed = model.transform(df)
-    exprs = {}
-    for x, o, (edges, parts) in zip(inputs, outputs, scales):
-        q = F.col(f"_q{o}").cast("int")
-        if len(edges) < 3:  # one range only
-            q = F.lit(0)
-        part = F.lit(0)
-        if parts > 1 and len(edges) > 1:
-            lo, hi = F.get(_numbers(edges[:-1]), q), F.get(_numbers(edges[1:]), q)
-            part = F.floor((F.col(x) - lo) / F.nullif(hi - lo, F.lit(0.0)) * parts)
-        inside = F.greatest(F.lit(0), F.least(F.coalesce(part, F.lit(0)), F.lit(parts - 1)))
-        exprs[o] = F.when(F.col(x).isNotNull(), q * parts + inside).cast("int")
-    return placed.withColumns(exprs).drop(*[f"_q{o}" for o in outputs])
-
-
-def _search(asked, pool, d, scales, k, reach, tie):
-    """Top-k distinct donors per receiver and group, with `place`, `dist`, `w`.
-
-    `reach` widens the receiver's own bucket on both sides; None searches the
-    range given by its `bound`. Receivers without any candidate are kept with
-    a null weight.
+    own = donors.select("x", "choices").groupBy("x", "choices").agg(F.count("*").alias("w"))
+    some = lambda x: F.exists(x, lambda v: v.isNotNull())
+    order = ["x", "choices"]
+    pool = own.filter(some("x")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+    pool = materialise(pool, "donors")
+    asked = receivers.select("x", "wanted").filter(some("x") & (F.size("wanted") > 0)).distinct()
+    none = F.transform("wanted", lambda g: F.lit(None).cast("double"))
+    asked = materialise(asked.withColumn("id", F.monotonically_increasing_id()).select("id", "x", "wanted", none.alias("bounds")), "receivers")
+    size, first = pool.count(), pool.select("x").first()
+    if first is None:
+        return asked.select("x", F.lit(0).alias("g"), F.array(F.lit(0.0)).alias("chosen"), F.lit(0).cast("long").alias("t")).limit(0)
+    d = len(first["x"])
+    tree = _tree(pool, size, d, cell_rows)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = tree.place(_matrix(b.column("x"), d)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *b.columns], names=["cell", *b.schema.names])
+
+    kinds = "cell int, x array<double>, choices array<array<double>>, w long, rank long"
+    placed = materialise(pool.select("x", "choices", "w", "rank").mapInArrow(place, kinds), "cells")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("donors"))
+    boxes = _boxes(placed, tree.cells, d)
+    reach, open_rows, done = 1, asked, None
+    while tree.cells > 1:
+        found = _search(_visits(open_rows, boxes, d, reach), placed, sizes, k, d)
+        now = materialise(_bounded(open_rows, found, k), "bounds")
+        closed = F.forall("bounds", lambda b: b.isNotNull())
+        if reach >= tree.cells or now.filter(~closed).isEmpty():
+            done = now if done is None else done.unionByName(now)
+            break
+        part = now.filter(closed)
+        done = part if done is None else done.unionByName(part)
+        open_rows, reach = now.filter(~closed), 8 * reach
+    # Receivers with fewer than k donors in all cells keep an open bound.
+    found = _search(_visits(asked if done is None else done, boxes, d, None), placed, sizes, k, d)
+    return _taken(found, k).join(asked.select("id", "x"), "id").select("x", "g", "chosen", "t")
+
+
+def nearest_means(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(x, g, means): per distinct receiver and group the means of the chosen values over the k nearest donors."""
+    spread = nearest(receivers, donors, k, cell_rows).select("x", "g", "t", F.posexplode("chosen").alias("i", "v"))
+    means = spread.groupBy("x", "g", "i").agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("mean"))
+    lists = means.groupBy("x", "g").agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m"))
+    return lists.select("x", "g", F.col("m.mean").alias("means"))
+
+
+def nearest_votes(receivers: DataFrame, donors: DataFrame, k: int) -> DataFrame:
+    """(x, vote): the value most common among the k nearest; the smallest one wins a tie.
+
+    Votes are a grouped count, so any number of different values will do.
     """
-    keys = [f"r{i}" for i in range(d)] + ["g"]
-    rmasks, dmasks = _words("r", d), _words("d", d)
-    prefix = [f"prefix{j}" for j in range(len(dmasks))]
-    rows = asked
-    if reach is None:
-        rows = rows.withColumns({f"x{i}": F.col(f"r{i}") - F.col("bound") for i in range(d)})
-        rows = rows.withColumns({f"y{i}": F.col(f"r{i}") + F.col("bound") for i in range(d)})
-        rows = _bucketed(rows, [f"x{i}" for i in range(d)], [f"lo{i}" for i in range(d)], scales)
-        rows = _bucketed(rows, [f"y{i}" for i in range(d)], [f"hi{i}" for i in range(d)], scales)
-    else:
-        rows = _bucketed(rows, [f"r{i}" for i in range(d)], [f"lo{i}" for i in range(d)], scales)
-        last = [_last(s) for s in scales]
-        rows = rows.withColumns(
-            {
-                **{f"hi{i}": F.least(F.col(f"lo{i}") + reach, F.lit(last[i])) for i in range(d)},
-                **{f"lo{i}": F.greatest(F.col(f"lo{i}") - reach, F.lit(0)) for i in range(d)},
-            }
-        )
-    ranges = F.array(
-        *[
-            F.when(
-                F.col(f"r{i}").isNotNull(),
-                F.struct(
-                    F.lit(i).alias("f"),
-                    F.col(f"lo{i}").alias("lo"),
-                    F.col(f"hi{i}").alias("hi"),
-                ),
-            )
-            for i in range(d)
-        ]
-    )
-    ask = rows.select(*keys, *rmasks, F.explode(F.array_compact(ranges)).alias("c")).select(
-        *keys, *rmasks, "c.f", "c.lo", "c.hi"
-    )
-    placed = _bucketed(pool, [f"d{i}" for i in range(d)], [f"b{i}" for i in range(d)], scales)
-    cells = F.array(
-        *[
-            F.when(
-                F.col(f"d{i}").isNotNull(),
-                F.struct(
-                    F.lit(i).alias("f"),
-                    *[
-                        F.col(m).bitwiseAND(F.lit((1 << max(0, min(i - j * WORD_BITS, WORD_BITS))) - 1)).alias(prefix[j])
-                        for j, m in enumerate(dmasks)
-                    ],
-                    F.col(f"b{i}").alias("b"),
-                ),
-            )
-            for i in range(d)
-        ]
-    )
-    offer = placed.select(
-        *[f"d{i}" for i in range(d)], *dmasks, "choices", "w", F.explode(F.array_compact(cells)).alias("c")
-    ).select("*", F.col("c.f").alias("of"), *[F.col(f"c.{p}").alias(f"o{p}") for p in prefix], F.col("c.b").alias("ob")).drop("c")
-    # Which earlier features donors may have; a pair meets under one feature only.
-    prefixes = offer.select("of", *[f"o{p}" for p in prefix]).distinct()
-    apart = [F.col(m).bitwiseAND(F.col(f"o{p}")) == 0 for m, p in zip(rmasks, prefix)]
-    ask = ask.join(prefixes, reduce(lambda a, b: a & b, apart, F.col("f") == F.col("of")))
-    ask = ask.select(*keys, *rmasks, "f", *[F.col(f"o{p}").alias(p) for p in prefix], F.explode(F.sequence("lo", "hi")).alias("b"))
-    alike = [F.col(p) == F.col(f"o{p}") for p in prefix]
-    pairs = ask.join(offer, reduce(lambda a, b: a & b, alike, (F.col("f") == F.col("of")) & (F.col("b") == F.col("ob"))))
-    gap = {n: F.col("r" + n[1:]) - F.col(n) for n in tie}
-    square = reduce(lambda a, b: a + b, [F.coalesce(gap[n] * gap[n], F.lit(0.0)) for n in tie])
-    shared = reduce(lambda a, b: a + b, [F.bit_count(F.col(m).bitwiseAND(F.col(n))) for m, n in zip(rmasks, dmasks)])
-    scored = pairs.select(
-        *keys,
-        F.get("choices", F.col("g")).alias("chosen"),
-        "w",
-        F.sqrt(square * float(d) / shared).alias("dist"),
-        *tie,
-    ).filter("chosen is not null")
-    window = W.partitionBy(*keys).orderBy("dist", *tie, "chosen")
-    top = scored.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= k)
-    top = top.select(*keys, "place", "dist", "w", "chosen")
-    base = asked.select(*keys, *rmasks, *(["bound"] if "bound" in asked.columns else []))
-    on = reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
-    joined = base.alias("a").join(top.alias("b"), on, "left")
-    return joined.select("a.*", "place", "dist", "w", "chosen")
-
-
-def _kth(found: DataFrame, d: int, k: int) -> DataFrame:
-    """Receivers with the distance of the k-th donor found; null if fewer."""
-    keys = [f"r{i}" for i in range(d)] + ["g", *_words("r", d)]
-    upto = F.sum("w").over(W.partitionBy(*keys).orderBy("place"))
-    reached = found.withColumn("upto", upto)
-    return reached.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= k, F.col("dist"))).alias("bound"))
-
-
-def impute_knn(
-    df: DataFrame, columns: list[str], k: int | None = None, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+    votes = nearest(receivers, donors, k).groupBy("x", F.get("chosen", F.lit(0)).alias("value")).agg(F.sum("t").alias("n"))
+    won = votes.groupBy("x").agg(F.max(F.struct(F.col("n"), (-F.col("value")).alias("least"))).alias("won"))
+    return won.select("x", (-F.col("won.least")).alias("vote"))
+
+
+def impute_knn(df: DataFrame, columns: list[str], k: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Null cells become the mean over the k nearest rows that have the
     value, or the column mean where no row can be compared."""
     facts = df.agg(
@@ -308,20 +382,17 @@ def impute_knn(
     missing = [c for i, c in enumerate(columns) if facts[f"n{i}"] < facts["rows"]]
     if not missing:
         return df
-    found = nearest_means(df, df, columns, {c: [c] for c in missing}, k, bucket_rows=bucket_rows)
-    wide = found.groupBy(*[col(c) for c in columns]).agg(
-        *[F.max(F.when(F.col("_group") == c, F.get("_means", F.lit(0)))).alias(f"_new{i}") for i, c in enumerate(missing)]
-    )
-    wide = wide.select(*[col(c).alias(f"_key{i}") for i, c in enumerate(columns)], *[f"_new{i}" for i in range(len(missing))])
-    on = reduce(
-        lambda a, b: a & b,
-        [col(c).cast("double").eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(columns)],
-    )
+    x = vector([col(c) for c in columns])
+    choices = F.array(*[F.when(col(c).isNotNull(), F.array(col(c).cast("double"))) for c in missing])
+    wanted = F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(i)) for i, c in enumerate(missing)]))
+    found = nearest_means(df.select(x.alias("x"), wanted.alias("wanted")), df.select(x.alias("x"), choices.alias("choices")), k, cell_rows)
+    value = F.struct("g", F.get("means", F.lit(0)).alias("v"))
+    wide = found.groupBy("x").agg(F.map_from_entries(F.collect_list(value)).alias("_new")).withColumnRenamed("x", "_x")
     # Complete rows are passed by; only rows with gaps are moved and joined.
-    gap = reduce(lambda a, b: a | b, [col(c).isNull() for c in missing])
-    joined = df.filter(gap).join(wide, on, "left")
+    gap = F.size(wanted) > 0
+    joined = df.filter(gap).join(wide, x == F.col("_x"), "left")
     filled = {
-        c: F.coalesce(col(c).cast("double"), F.col(f"_new{i}"), F.lit(facts[f"m{columns.index(c)}"]))
+        c: F.coalesce(col(c).cast("double"), F.try_element_at("_new", F.lit(i)), F.lit(facts[f"m{columns.index(c)}"]))
         for i, c in enumerate(missing)
     }
     mended = joined.select(*[filled.get(c, col(c)).alias(c) for c in df.columns])

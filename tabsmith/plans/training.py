@@ -42,7 +42,7 @@ from tabsmith.functions.columns import col, date_columns, md5_number, numeric_co
 from tabsmith.functions.date_rules import DATE_PARTS
 from tabsmith.operators.clean import align_columns, drop_index_columns, drop_null_keys, require_unique_columns
 from tabsmith.operators.frequency import categories
-from tabsmith.operators.neighbours import nearest_means, nearest_votes
+from tabsmith.operators.neighbours import nearest_means, nearest_votes, vector
 from tabsmith.operators.ordered import POS, with_position
 from tabsmith.operators.scores import (
     AUTO_METRIC,
@@ -120,11 +120,11 @@ def classifiers(classes: int, width: int, seed: int = 123) -> dict:
         "Linear SVM": wrap(LinearSVC(regParam=0.01)),
         "Naive Bayes": NaiveBayes(modelType="gaussian"),
         "MLP": MultilayerPerceptronClassifier(layers=[width, 16, classes], seed=seed, maxIter=50),
-        "K Neighbors": Neighbours("classification", width, classes),
+        "K Neighbors": Neighbours("classification", classes),
     }
 
 
-def regressors(seed: int = 123, width: int = 1) -> dict:
+def regressors(seed: int = 123) -> dict:
     return {
         "Linear Regression": LinearRegression(),
         "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0),
@@ -134,43 +134,39 @@ def regressors(seed: int = 123, width: int = 1) -> dict:
         "Decision Tree": DecisionTreeRegressor(seed=seed),
         "Random Forest": RandomForestRegressor(seed=seed, numTrees=50),
         "Gradient Boosting": GBTRegressor(seed=seed, maxIter=20),
-        "K Neighbors": Neighbours("regression", width),
+        "K Neighbors": Neighbours("regression"),
     }
 
 
 class Neighbours:
     """K Neighbors over assembled vectors, with the fit and transform of an estimator.
 
-    The search is the exact one of the imputer. There is nothing to save but the
+    The search is the exact one of the imputer and takes the vector as it is, so
+    the plan does not grow with its slots. There is nothing to save but the
     training rows, so the model is ranked but never the one that is kept.
     """
 
-    def __init__(self, task: str, width: int, classes: int = 0, k: int = 5):
-        self.task, self.width, self.classes, self.k, self.rows = task, width, classes, k, None
-
-    def _columns(self, rows: DataFrame, *more: str) -> DataFrame:
-        values = vector_to_array("features")
-        return rows.select(*more, *[F.get(values, F.lit(i)).alias(f"_f{i}") for i in range(self.width)])
+    def __init__(self, task: str, classes: int = 0, k: int = 5):
+        self.task, self.classes, self.k, self.rows = task, classes, k, None
 
     def fit(self, rows: DataFrame) -> Neighbours:
-        fitted = Neighbours(self.task, self.width, self.classes, self.k)
-        fitted.rows = self._columns(rows, "label")
+        fitted = Neighbours(self.task, self.classes, self.k)
+        value = F.array("label")
+        if self.task != "regression":
+            value = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda i: (F.col("label") == i).cast("double"))
+        fitted.rows = rows.select(vector_to_array("features").alias("x"), F.array(value).alias("choices"))
         return fitted
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        names = [f"_f{i}" for i in range(self.width)]
-        plain = self._columns(rows, *rows.columns)
+        plain = rows.withColumn("_x", vector_to_array("features"))
+        asked = plain.select(F.col("_x").alias("x"), F.array(F.lit(0)).alias("wanted"))
+        found = nearest_means(asked, self.rows, self.k).withColumnRenamed("x", "_near")
         if self.task == "regression":
-            found = nearest_means(plain, self.rows, names, {"y": ["label"]}, self.k, only_missing=False)
-            out = [F.get("_means", F.lit(0)).alias("prediction")]
+            out = [F.get("means", F.lit(0)).alias("prediction")]
         else:
-            flags = {f"_is_{i}": (F.col("label") == i).cast("double") for i in range(self.classes)}
-            found = nearest_means(plain, self.rows.withColumns(flags), names, {"y": list(flags)}, self.k, only_missing=False)
-            best = F.array_position("_means", F.array_max("_means")) - 1
-            out = [best.cast("double").alias("prediction"), F.col("_means").alias("scores")]
-        keyed = found.select(*[F.col(n).alias(f"_k{n}") for n in names], *out)
-        on = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_k{n}")) for n in names])
-        return plain.join(keyed, on, "left").drop(*names, *[f"_k{n}" for n in names])
+            best = F.array_position("means", F.array_max("means")) - 1
+            out = [best.cast("double").alias("prediction"), F.col("means").alias("scores")]
+        return plain.join(found, F.col("_x") == F.col("_near"), "left").select(*rows.columns, *out)
 
 
 # --- scoring of folds ---------------------------------------------------------------
@@ -258,20 +254,21 @@ def neighbour_predict(train: DataFrame, test: DataFrame, features: list[str], ta
     in groups, so there may be any number of them; the first one wins a tie.
     """
     plain = test.select(*[col(c).cast("double").alias(c) for c in features], col(target).alias("label"))
+    plain = plain.withColumn("_x", vector([col(c) for c in features]))
+    asked = plain.select(F.col("_x").alias("x"), F.array(F.lit(0)).alias("wanted"))
+    x = vector([col(c) for c in features]).alias("x")
+    choice = lambda v: F.array(F.when(v.isNotNull(), F.array(v.cast("double")))).alias("choices")
     if task == "regression":
-        found = nearest_means(plain, train, features, {"y": [target]}, k, only_missing=False)
-        value = F.get("_means", F.lit(0))
+        found = nearest_means(asked, train.select(x, choice(col(target))), k)
+        value = F.get("means", F.lit(0))
     else:
         classes = train.select(col(target).alias("_class")).filter("_class is not null").distinct()
         classes = materialise(with_position(classes, [], "_class").select("_class", F.col(POS).cast("double").alias("_code")), "classes")
         coded = train.join(classes, col(target) == F.col("_class"))
-        found = nearest_votes(plain, coded, features, "_code", k).join(classes, F.col("_vote") == F.col("_code"))
+        found = nearest_votes(asked, coded.select(x, choice(F.col("_code"))), k).join(classes, F.col("vote") == F.col("_code"))
         value = F.col("_class")
-    keyed = found.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(features)], value.alias("prediction"))
-    on = F.lit(True)
-    for i, c in enumerate(features):
-        on = on & col(c).eqNullSafe(F.col(f"_k{i}"))
-    return plain.join(keyed, on, "left").select(*[col(c) for c in features], "label", "prediction")
+    keyed = found.select(F.col("x").alias("_near"), value.alias("prediction"))
+    return plain.join(keyed, F.col("_x") == F.col("_near"), "left").select(*[col(c) for c in features], "label", "prediction")
 
 
 # --- the whole flow -------------------------------------------------------------------
@@ -342,7 +339,7 @@ def train_leaderboard(
     ready, stages, labels = assembled(kept, features, target, task)
     data = materialise(with_folds(ready, keys, folds, seed).select("features", "label", "fold"), "vectors")
     width = data.first()["features"].size
-    models = classifiers(len(labels), width, seed) if task == "classification" else regressors(seed, width)
+    models = classifiers(len(labels), width, seed) if task == "classification" else regressors(seed)
     models = {n: m for n, m in models.items() if include is None or n in include}
     names = CLASS_METRICS if task == "classification" else NUMBER_METRICS
     means, errors, seconds = cross_validate(data, models, task, len(labels), folds, parallelism)

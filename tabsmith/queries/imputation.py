@@ -78,9 +78,9 @@ def knn(t):
 
 @query("d4_impute_knn_buckets", knn_sql(f"SELECT *, p_partkey % 97 AS code FROM ({GAPPY_PART})", ["p_size", "p_retailprice", "code"], ["p_partkey"]))
 def knn_buckets(t):
-    """The same with many small buckets: the range search must give the same rows."""
+    """The same with many small cells: the bounded search must give the same rows."""
     g = gappy_part(t).select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") % 97).cast("double").alias("code"))
-    return rounded(impute_knn(g, ["p_size", "p_retailprice", "code"], bucket_rows=100), ["p_size", "p_retailprice"])
+    return rounded(impute_knn(g, ["p_size", "p_retailprice", "code"], cell_rows=100), ["p_size", "p_retailprice"])
 
 
 SERIES = "PARTITION BY series ORDER BY ts"

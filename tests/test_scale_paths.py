@@ -135,9 +135,10 @@ def knn_plain(data, k):
     return out
 
 
-@pytest.mark.parametrize("rows,splits", [(20, 4096), (5, 4096), (5, 3)])
-def test_neighbours_equal_all_pairs(spark, monkeypatch, rows, splits):
-    monkeypatch.setattr(nb, "MOST_SPLITS", splits)
+@pytest.mark.parametrize("cell_rows,block", [(5, 4096), (40, 16), (1000, 4096)])
+def test_neighbours_equal_all_pairs(spark, monkeypatch, cell_rows, block):
+    monkeypatch.setattr(nb, "DONOR_BLOCK", block)
+    monkeypatch.setattr(nb, "RECEIVER_BLOCK", block)
     rng = np.random.default_rng(11)
     data = np.round(rng.normal(size=(180, 3)) * [1, 5, 20], 3)
     data[rng.random(data.shape) < 0.15] = np.nan
@@ -146,10 +147,62 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, rows, splits):
     frame = pd.DataFrame(data, columns=["a b", "c", "d"])
     records = [tuple(None if v != v else float(v) for v in r) for r in data]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(records)], "id int, `a b` double, c double, d double")
-    got = nb.impute_knn(df, list(frame.columns), 5, bucket_rows=rows).orderBy("id").toPandas()
+    got = nb.impute_knn(df, list(frame.columns), 5, cell_rows=cell_rows).orderBy("id").toPandas()
     np.testing.assert_allclose(got[list(frame.columns)].to_numpy(), knn_plain(data, 5), rtol=1e-9)
 
 
+@pytest.mark.parametrize("d", [2, 60, 300])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_nearest_of_any_width(spark, d, gaps):
+    """Grid values make ties; the search must take the same donors as all pairs do."""
+    rng = np.random.default_rng(d)
+    n, m, k = 300, 60, 4
+    pool = rng.integers(0, 4, (n, d)).astype(float)
+    pool[:, d // 2 :] *= rng.random((n, d - d // 2)) < 0.2  # mostly zero, as one-hot slots are
+    pool[:20] = pool[0]
+    asked = pool[rng.integers(0, n, m)] + (rng.random((m, d)) < 0.1)
+    if gaps:
+        pool[rng.random(pool.shape) < 0.2] = np.nan
+        asked[rng.random(asked.shape) < 0.2] = np.nan
+    value = rng.normal(size=n)
+    value[5:20] = value[4]
+    plain = lambda r: [None if v != v else float(v) for v in r]
+    donors = spark.createDataFrame([(plain(r), [[float(v)], [1.0, 0.0] if i % 2 else None]) for i, (r, v) in enumerate(zip(pool, value))], "x array<double>, choices array<array<double>>")
+    receivers = spark.createDataFrame([(plain(r), [0, 1] if i % 3 else [0]) for i, r in enumerate(asked)], "x array<double>, wanted array<int>")
+    want = {}
+    for i, r in enumerate(asked):
+        both = ~np.isnan(pool) & ~np.isnan(r)
+        square = np.cumsum(np.where(both, np.nan_to_num(pool) - np.nan_to_num(r), 0.0) ** 2, axis=1)[:, -1]
+        dist = np.sqrt(square * d / np.maximum(both.sum(axis=1), 1))
+        for g in [0, 1] if i % 3 else [0]:
+            able = [j for j in range(n) if both[j].any() and (g == 0 or j % 2)]
+            best = sorted(able, key=lambda j: (dist[j], tuple(np.where(np.isnan(pool[j]), -np.inf, pool[j])), value[j] if g == 0 else 0))[:k]
+            want[tuple(plain(r)), g] = np.mean([value[j] for j in best]) if g == 0 else float(len(best) > 0)
+    for cell_rows in (20, 1000):
+        got = {(tuple(r["x"]), r["g"]): r["means"] for r in nb.nearest_means(receivers, donors, k, cell_rows).collect()}
+        assert set(got) == {key for key in want if any(v is not None for v in key[0])}
+        for key, means in got.items():
+            assert abs(means[0] - want[key]) < 1e-12
+
+
+def test_no_donors_and_hopeless_rows(spark):
+    rows = spark.createDataFrame([([1.0, None], [0]), ([None, None], [0]), ([2.0, 1.0], [])], "x array<double>, wanted array<int>")
+    none = spark.createDataFrame([], "x array<double>, choices array<array<double>>")
+    assert nb.nearest_means(rows, none, 3).collect() == []
+    apart = spark.createDataFrame([([None, 5.0], [[1.0]])], "x array<double>, choices array<array<double>>")
+    assert nb.nearest_means(rows, apart, 3).collect() == []
+
+
+def test_impute_a_wide_table(spark):
+    rng = np.random.default_rng(2)
+    data = np.round(rng.normal(size=(60, 130)), 2)
+    data[rng.random(data.shape) < 0.02] = np.nan
+    names = [f"c{i}" for i in range(130)]
+    df = spark.createDataFrame([(i, *[None if v != v else float(v) for v in r]) for i, r in enumerate(data)], "id int, " + ", ".join(f"{c} double" for c in names))
+    got = nb.impute_knn(df, names, 5).orderBy("id").toPandas()
+    np.testing.assert_allclose(got[names].to_numpy(), knn_plain(data, 5), rtol=1e-9)
+
+
 def test_quantiles_have_the_same_bits_at_any_limit(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(float(v),) for v in rng.normal(size=3001)], "v double")
