@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -53,7 +54,7 @@ def test_held_out_accuracy(spark, texts, marked):
     docs = texts([*rows, (9001, None), (9002, ""), (None, "vile nasty rotten"), (9003, "worda " * 50_000 + "vile vile vile")])
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, table.filter(~toxicity.held_out()))
-    assert set(model.scores) == {"vile", "nasty", "rotten", "awful"}
+    assert set(model.scores) == {"^vile^", "^nasty^", "^rotten^", "^awful^"}
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     truth = {i: t for i, _, t in labels if i is not None and t is not None}
     test = [i for i in truth if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
@@ -66,6 +67,111 @@ def test_held_out_accuracy(spark, texts, marked):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] < 0.5}
 
 
+def plain_tokens(word):
+    marked = f"^{word}^"
+    return {marked} | {marked[i : i + n] for n in range(4, 9) for i in range(len(marked) - n + 1)}
+
+
+def plain_model(rows):
+    """The fitted model from (text, toxic) pairs, one text and one word at a time."""
+    split = [(re.findall(r"[^\W\d_]+", t.lower()), y) for t, y in rows]
+    n = [sum(not y for _, y in split), sum(y for _, y in split)]
+
+    def evidence(sums):
+        (c_, cs, cv), (t, ts, tv) = sums
+        common = (ts + cs) / sum(n)
+        score = math.log(((ts + common) / (n[1] + 1)) / ((cs + common) / (n[0] + 1)))
+        return t, score, (ts, tv, cs, cv)
+
+    rough = {}
+    for words, y in split:
+        for w in set(words):
+            rate = 10**6 // max(len(set(words)), 20)
+            for g in plain_tokens(w):
+                row = rough.setdefault(g, ([0, 0, 0], [0, 0, 0]))[y]
+                row[0], row[1], row[2] = row[0] + 1, row[1] + rate, row[2] + rate * rate
+    known = {}
+    for g, sums in rough.items():
+        t, score, (ts, tv, cs, cv) = evidence(sums)
+        z = (ts / n[1] - cs / n[0]) / math.sqrt(tv / n[1] ** 2 + cv / n[0] ** 2)
+        if t >= 4 and z >= 4 and score >= 1:
+            known[g] = 0.0
+    best = lambda w: min(plain_tokens(w) & set(known), key=lambda g: (-known[g], -len(g), g), default=None)
+    for alone in (False, True, True):
+        table = {}
+        for words, y in split:
+            mine = {}
+            for w in set(words):
+                for g in ({best(w)} - {None} if alone else plain_tokens(w) & set(known)):
+                    mine[g] = mine.get(g, 0) + 1
+            for g, k in mine.items():
+                rate = min(k * 10**6 // max(len(set(words)), 20), 50_000)
+                row = table.setdefault(g, ([0, 0, 0], [0, 0, 0]))[y]
+                row[0], row[1], row[2] = row[0] + 1, row[1] + rate, row[2] + rate * rate
+        known = {}
+        for g, sums in table.items():
+            t, score, (ts, tv, cs, cv) = evidence(sums)
+            spread = (tv / n[1] - (ts / n[1]) ** 2) / n[1] + (cv / n[0] - (cs / n[0]) ** 2) / n[0]
+            if t >= 4 and score >= 1 and (ts / n[1] - cs / n[0]) / math.sqrt(max(spread, 1.0)) >= 4:
+                known[g] = min(score, 8.0)
+    hits = lambda words: [(i, known[best(w)]) for i, w in enumerate(words) if w not in words[:i] and best(w)]
+    total = sum(len(w) for w, y in split if not y)
+    chance = {g: 0.5 for g in known}
+    for g in known:
+        seen = sum(best(w) == g for words, y in split if not y for w in set(words))
+        chance[g] = max(seen, 0.5) / (total + 1)
+    return known, hits, chance, total, split
+
+
+def test_training_and_score_against_plain_python(spark, texts):
+    """Stems with ever other endings, whole words, repeated words and a clean text that holds a stem once."""
+    rng = random.Random(9)
+    syllables = ["ba", "co", "di", "fu", "le", "mo", "ni", "ra", "si", "tu"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    rows = []
+    for i in range(400):
+        body = [word() for _ in range(rng.randint(3, 60))]
+        toxic = i % 5 == 0
+        if toxic:
+            extra = ["grumpf"] if i % 2 else ["zorkach" + word() for _ in range(3)]
+            for w in extra:
+                body.insert(rng.randrange(len(body)), w)
+        elif i % 50 == 1:
+            body += ["zorkach" + word()] + ["same"] * 30
+        rows.append((i, " ".join(body).title(), int(toxic)))
+    docs = texts([(i, t) for i, t, _ in rows])
+    table = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, table)
+    pairs = {}
+    for _, t, y in rows:
+        pairs[t] = max(y, pairs.get(t, 0))
+    known, hits, chance, total, split = plain_model(list(pairs.items()))
+    assert model.scores.keys() == known.keys() and any("zorkach"[:6] in g for g in known)
+    assert all(math.isclose(model.scores[g], known[g], rel_tol=1e-12) for g in known)
+    law = sum(p * math.exp(model.lam * known[g]) for g, p in chance.items()) + (1 - sum(chance.values())) * math.exp(-model.lam * 0.02)
+    assert math.isclose(law, 1, abs_tol=1e-9) and math.isclose(model.k, sum(chance.values()) + 1 / (total + 1))
+
+    def evidence(words):
+        scores = [-0.02] * len(words)
+        for i, x in hits(words):
+            scores[i] = x
+        out = 0.0
+        for _, _, x in brute_segments(scores):
+            expected = model.k * max(len(words), 1) * math.exp(-model.lam * x)
+            out -= math.log(expected) if expected <= 0.1 else 0.0
+        return out
+
+    x = [(round(min(evidence(words), 60.0), 1), y) for words, y in split]
+    p = lambda e: 1 / (1 + math.exp(-(model.slope * e + model.offset)))
+    # At the fitted curve the slopes of the shrunk likelihood are zero.
+    assert abs(sum((y - p(e)) * e for e, y in x) - 0.1 * model.slope) < 1e-4
+    assert abs(sum(y - p(e) for e, y in x) - 1e-3 * model.offset) < 1e-4
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t, _ in rows:
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        assert math.isclose(got[i], p(evidence(words)), rel_tol=1e-9), i
+
+
 def test_training_without_a_class(spark, texts, marked):
     rows, _ = marked
     none = spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int")
