@@ -119,12 +119,14 @@ def cut_facts(path: str) -> tuple[bool, int]:
 def frequent_parts(rows: DataFrame, counter: TokenCounter) -> tuple[list[str], list[int]]:
     """The most frequent pre-tokens of the sample and their numbers of tokens.
 
-    The sample is the `SAMPLE_DOCS` texts of up to `SAMPLE_CHARS` characters
-    with the smallest hashes. At most `FREQUENT` pre-tokens of up to `LONGEST`
-    characters are kept, which bounds what is broadcast.
+    The sample is up to `SAMPLE_DOCS` texts of up to `SAMPLE_CHARS` characters,
+    picked by hash; about as many leave the tasks. At most `FREQUENT`
+    pre-tokens of up to `LONGEST` characters are kept, which bounds what is
+    broadcast.
     """
-    key = F.xxhash64("doc_id", "text")
-    texts = rows.filter(F.length("text") <= SAMPLE_CHARS).select("text").orderBy(key, "text").limit(SAMPLE_DOCS)
+    key, share = F.xxhash64("doc_id", "text"), max(1, rows.count() // SAMPLE_DOCS)
+    picked = rows.filter((F.length("text") <= SAMPLE_CHARS) & (F.pmod(key, F.lit(share)) == 0))
+    texts = picked.select("text").orderBy(key, "text").limit(SAMPLE_DOCS)
     found = Counter(counter.split([r["text"] for r in texts.collect()])[1].to_pylist())
     kept = sorted((p for p in found if len(p) <= LONGEST), key=lambda p: (-found[p], p))[:FREQUENT]
     return kept, counter.encoded(kept)
