@@ -19,6 +19,7 @@ block by low and high and decompresses that document's frame only.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,12 @@ from tabsmith.session import materialise
 BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 #: The dictionary: its size, the most sampled documents, and the longest sampled text.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 1000, 8000
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Words of one generation of a worker's cache, the longest one kept, and how many are encoded at a time.
+GENERATION, LONGEST, JOINED = 600_000, 100, 2000
+
+# How a tokenizer file says that it lowers texts, drops white space and parts words from marks.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 _coders: dict[tuple, WordCoder] = {}
 
@@ -47,7 +52,9 @@ class WordCoder:
     are those of its pieces between blanks and line breaks. It never joins a
     letter with a full stop or comma behind it and lowers ASCII words, so
     pieces are looked up without those. Each distinct rest is encoded by the
-    library once while it stays in the cache.
+    library once while it stays in the cache. Words of letters are encoded
+    many at a time, parted by blanks, and cut behind the ids that end a word.
+    All this is checked when the file is read.
     """
 
     def __init__(self, model: str, width: int):
@@ -55,7 +62,22 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(model)
         self.dtype = f"<u{width}"
-        self.known: dict[str, bytes] = {"": b""}
+        spec = json.loads(self.tokenizer.to_str())
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.mark = spec["model"].get("end_of_word_suffix")
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS or not splits or splits[0].get("pattern") != {"Regex": SPLITTER}:
+            raise ValueError("the tokenizer does not part and lower words in the known way")
+        if spec["model"]["type"] != "BPE" or not self.mark or spec["model"].get("ignore_merges") or spec["truncation"] or spec["padding"]:
+            raise ValueError("the tokenizer does not mark the end of a word")
+        if any(t["special"] and any(ch in t["content"] for ch in " \n.,") for t in spec["added_tokens"]):
+            raise ValueError("a special token goes across a cut")
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 8 * width:
+            raise ValueError(f"ids do not fit in {width} bytes")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.mark)]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, model: str, width: int) -> WordCoder:
@@ -71,20 +93,50 @@ class WordCoder:
             return piece, ""
         return stem.lower() if stem.isascii() and stem.isalpha() else stem, piece[len(stem) :]
 
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of strings, each encoded alone."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(e.ids, dtype=self.dtype).tobytes() for w, e in zip(words, found)}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, encoded together; where the ends do not tell the words apart, each alone."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: dict[str, bytes] = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(ends) != len(group) or ends[-1] != ids.nbytes:
+                out.update(self._each(group))
+                continue
+            raw, ends = ids.tobytes(), ends.tolist()
+            out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = {p: self._parts(p) for p in set().union(*pieces).difference(known)}
-        rest = list({x for parts in new.values() for x in parts}.difference(known))
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for p, (stem, tail) in new.items():
-            known[p] = known[stem] + known[tail]
-        return [b"".join([known[p] for p in each]) for each in pieces]
+        young, old = self.young, self.old
+        fresh = []
+        for p in set().union(*pieces).difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                fresh.append((p, *self._parts(p)))
+        rest = {x for _, *parts in fresh for x in parts}.difference(young)
+        for x in [x for x in rest if x in old]:
+            young[x] = old[x]
+        rest.difference_update(young)
+        letters = [x for x in rest if x.isalpha() and x.lower().isalpha()]
+        young.update(self._letters(letters))
+        young.update(self._each(list(rest.difference(letters))))
+        for p, stem, tail in fresh:
+            young[p] = young[stem] + young[tail]
+        out = [b"".join([young[p] for p in each]) for each in pieces]
+        for p in {x for parts in fresh for x in parts if len(x) > LONGEST}:
+            del young[p]
+        if len(young) > GENERATION:
+            # What was not asked for during a whole generation is forgotten.
+            self.young, self.old = {"": b""}, young
+        return out
 
 
 def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -102,13 +154,12 @@ def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]
 def train_dictionary(docs: DataFrame, model: str, end_id: int, width: int, id_col: str, text_col: str) -> bytes:
     """A Zstandard dictionary, or no bytes where the sample is too small to train one.
 
-    The sample are the SAMPLE_DOCS texts with the smallest hashes among those
-    of at most SAMPLE_CHARS characters: bounded, and the same on a rerun.
+    The sample are up to SAMPLE_DOCS texts of at most SAMPLE_CHARS characters,
+    picked by hash: bounded, and the same on a rerun. About as many are sorted.
     """
-    text = text_of(text_col)
-    sample = docs.select(text.alias("text"), F.xxhash64(c(id_col), text).alias("h")).filter(
-        F.length("text").between(1, SAMPLE_CHARS)
-    ).orderBy("h", "text").limit(SAMPLE_DOCS)
+    text, share = text_of(text_col), max(1, docs.count() // SAMPLE_DOCS)
+    picked = docs.select(text.alias("text"), F.xxhash64(c(id_col), text).alias("h")).filter(F.pmod("h", F.lit(share)) == 0)
+    sample = picked.filter(F.length("text").between(1, SAMPLE_CHARS)).orderBy("h", "text").limit(SAMPLE_DOCS)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = WordCoder.of(model, width), np.array([end_id], f"<u{width}").tobytes()

@@ -61,6 +61,25 @@ def test_token_files_give_single_documents(spark, texts, bpe, tmp_path):
     assert spark.read.parquet(f"{path}/blocks").filter("dict_hash != '" + known["dict_hash"] + "'").count() == 0
 
 
+def test_words_equal_the_library_with_a_cache_that_forgets(bpe, monkeypatch):
+    monkeypatch.setattr(token_files, "GENERATION", 50)
+    monkeypatch.setattr(token_files, "JOINED", 7)
+    coder = token_files.WordCoder(P.path("word_bpe_49k.json"), 2)
+    rng = random.Random(2)
+    signs = [*" .,\nabZé中İΣ'ǅﬁ0-\t\u0301ⅷ", "the", "ΟΔΟΣ", "<|endoftext|>", "don't", "  ", "...", "x" * 150]
+    for _ in range(60):
+        part = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 16))) for _ in range(50)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(part)] == [bpe(t) for t in part]
+        assert len(coder.young) < 2000 and not any(len(w) > 100 for w in coder.young)
+
+
+def test_another_tokenizer_is_an_error():
+    with pytest.raises(ValueError, match="known way"):
+        token_files.WordCoder(P.path("byte_bpe_50k.json"), 2)
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.WordCoder(P.path("word_bpe_49k.json"), 1)
+
+
 def test_token_files_of_an_empty_table(spark, texts, tmp_path):
     assert files(spark, texts([]), str(tmp_path / "f")) == []
 
