@@ -18,10 +18,11 @@ from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col, numeric_columns
+from tabsmith.operators.gram import LinearFit, moments
 from tabsmith.operators.ordered import POS, over_preceding
 from tabsmith.operators.timeseries import chrono_split, detect_frequency, regularise
 from tabsmith.session import materialise
@@ -379,10 +380,10 @@ def lag_models(seed: int = 42) -> dict:
     """Names and settings of the lag regressions."""
     common = {"featuresCol": "x", "labelCol": "y", "predictionCol": "p"}
     return {
-        "LinearRegression": LinearRegression(**common),
-        "Ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0, **common),
-        "Lasso": LinearRegression(regParam=0.1, elasticNetParam=1.0, **common),
-        "ElasticNet": LinearRegression(regParam=0.1, elasticNetParam=0.5, **common),
+        "LinearRegression": LinearFit(),
+        "Ridge": LinearFit(1.0),
+        "Lasso": LinearFit(0.1, 1.0),
+        "ElasticNet": LinearFit(0.1, 0.5),
         "RandomForest": RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed, **common),
         "RandomForest_Light": RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed, **common),
         "BoostedTrees": GBTRegressor(maxIter=100, maxDepth=6, stepSize=0.1, seed=seed, **common),
@@ -393,6 +394,30 @@ def lag_models(seed: int = 42) -> dict:
 COVARIATE_LAGS = [1, 2, 3, 6, 12]
 
 
+def _linear_steps(weights: np.ndarray):
+    """Adds `preds`, a step ahead per row of weights, as plain expressions."""
+    rows = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
+
+    def advance(state: DataFrame) -> DataFrame:
+        x = F.concat(F.array(F.lit(1.0)), "hist", "extra")
+        dot = lambda row: F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return state.withColumn("preds", F.transform(rows, dot))
+
+    return advance
+
+
+def _model_steps(models: list):
+    """Adds `preds`, a step ahead per fitted model."""
+
+    def advance(state: DataFrame) -> DataFrame:
+        state = state.withColumn("x", array_to_vector(F.concat("hist", "extra")))
+        for i, model in enumerate(models):
+            state = model.setPredictionCol(f"p{i}").transform(state)
+        return state.withColumn("preds", F.array(*[F.col(f"p{i}") for i in range(len(models))]))
+
+    return advance
+
+
 def lag_regression(
     points: DataFrame,
     horizon: int,
@@ -405,8 +430,10 @@ def lag_regression(
 ) -> DataFrame:
     """A direct model per step ahead, pooled over all series.
 
-    Steps 1..chunk have a model each, trained on all windows of all series.
-    Beyond the chunk, predictions become history and the same models go on.
+    Steps 1..chunk have a model each, trained on all windows of all series: the
+    linear ones all at once from one Gram matrix of the windows, others one by
+    one over written windows. Beyond the chunk, predictions become history and
+    the same models go on.
     `covariates` are further numeric columns of `points` whose lags join the
     features; they are known for the past only, so such a model goes no further
     than one chunk.
@@ -433,14 +460,19 @@ def lag_regression(
     full = seen.filter(F.size("_w") == span)
     for c in past:
         full = full.filter(col(c).isNotNull())
-    train = full.select(
-        array_to_vector(F.concat(F.slice("_w", 1, lags), F.array(*[col(c).cast("double") for c in past]).cast("array<double>"))).alias("x"),
-        F.slice("_w", lags + 1, chunk).alias("ys"),
-    )
-    train = materialise(train, "windows")
-    fit = lambda i: estimator.copy().fit(train.select("x", F.get("ys", F.lit(i)).alias("y")))
-    with ThreadPool(4) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(chunk), chunksize=1)
+    features = F.concat(F.slice("_w", 1, lags), F.array(*[col(c).cast("double") for c in past]).cast("array<double>"))
+    targets = F.slice("_w", lags + 1, chunk)
+    if isinstance(estimator, LinearFit):
+        middle = known.agg(F.avg("value"), *[F.avg(col(c)) for c in covariates]).first()
+        shift = [middle[0]] * lags + [m or 0.0 for m in middle[1:] for _ in COVARIATE_LAGS] + [middle[0]] * chunk
+        found = moments(full.select(F.concat(features, targets).alias("z")), "z", shift)
+        advance = _linear_steps(estimator.solve(found, lags + len(past)))
+    else:
+        train = materialise(full.select(array_to_vector(features).alias("x"), targets.alias("ys")), "windows")
+        fit = lambda i: estimator.copy().fit(train.select("x", F.get("ys", F.lit(i)).alias("y")))
+        with ThreadPool(4) as pool:
+            models = pool.map(inheritable_thread_target(points.sparkSession)(fit), range(chunk), chunksize=1)
+        advance = _model_steps(models)
     last = seen.filter(F.size("_h") == lags).groupBy("series").agg(
         F.max_by(F.struct("_h", *[col(c) for c in now]), "pos").alias("m")
     ).select("series", "m.*")
@@ -449,17 +481,9 @@ def lag_regression(
     for turn in range(math.ceil(horizon / chunk)):
         if turn % 4 == 3:  # one row per series; keeps the plan of a long horizon short
             state = materialise(state, "rolled")
-        state = state.withColumn("x", array_to_vector(F.concat("hist", "extra")))
-        for i, model in enumerate(models):
-            state = model.setPredictionCol(f"p{i}").transform(state)
-        preds = F.array(*[F.col(f"p{i}") for i in range(chunk)])
-        joined = F.concat("hist", preds)
-        state = state.select(
-            "series",
-            F.slice(joined, -lags, lags).alias("hist"),
-            "extra",
-            F.concat("done", preds).alias("done"),
-        )
+        state = advance(state)
+        joined = F.concat("hist", "preds")
+        state = state.select("series", F.slice(joined, -lags, lags).alias("hist"), "extra", F.concat("done", "preds").alias("done"))
     listed = state.select("series", F.posexplode("done").alias("i", "forecast")).filter(F.col("i") < horizon)
     return listed.select("series", (F.col("i") + 1).alias("h"), "forecast")
 

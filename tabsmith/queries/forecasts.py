@@ -151,17 +151,78 @@ def fourier_spread(t):
     return rounded(fc.dft_forecast(points(t).repartition("pos"), 12, 10), ["forecast"], 1)
 
 
-@query("g16_lag_regression_linear")
+def ridge_sql(windows: str, last: str, lags: int, features: int, chunk: int, horizon: int, alpha: float) -> str:
+    """Normal equations by elimination over a list of lists, then steps ahead that feed on themselves.
+
+    `windows` gives z (features, then the next `chunk` values); `last` gives
+    (series, x): the features to start from, the first `lags` of them history.
+    """
+    p, q = features, features + chunk
+    return f"""WITH RECURSIVE w AS MATERIALIZED ({windows}),
+    mu AS MATERIALIZED (SELECT i, avg(z[i]) AS m FROM w, range(1, {q + 1}) AS r(i) GROUP BY i),
+    cell AS (SELECT a.i AS i, b.i AS j, sum((z[a.i] - a.m) * (z[b.i] - b.m)) + CASE WHEN a.i = b.i THEN {alpha} ELSE 0 END AS v FROM w, mu a, mu b WHERE a.i <= {p} GROUP BY 1, 2),
+    g(k, mat) AS (
+      SELECT 1, list(v ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS v FROM cell GROUP BY i)
+      UNION ALL SELECT k + 1, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {q + 1}), lambda j:
+        CASE WHEN i = k THEN mat[k][j] / mat[k][k] ELSE mat[i][j] - mat[i][k] / mat[k][k] * mat[k][j] END)) FROM g WHERE k <= {p}),
+    fit AS MATERIALIZED (SELECT mat, (SELECT list(m ORDER BY i) FROM mu) AS m FROM g WHERE k = {p + 1}),
+    f(series, turn, x, done) AS (
+      SELECT series, 0, x, []::DOUBLE[] FROM ({last})
+      UNION ALL SELECT series, turn + 1, (x[1:{lags}] || preds)[-{lags}:] || x[{lags + 1}:], done || preds FROM (
+        SELECT f.*, list_transform(range({p + 1}, {q + 1}), lambda t: m[t] + list_sum(list_transform(range(1, {p + 1}), lambda i: (x[i] - m[i]) * mat[i][t]))) AS preds
+        FROM f, fit WHERE len(done) < {horizon}))
+    SELECT series, CAST(h AS INTEGER) AS h, round(done[h], 1) AS forecast FROM f, range(1, {horizon + 1}) AS r(h) WHERE len(done) >= {horizon}"""
+
+
+def lagged(source: str, lags: int, chunk: int) -> tuple[str, str]:
+    """Windows of `lags` and `chunk` values, and the last `lags` values of each series."""
+    over = "OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    windows = f"SELECT z FROM (SELECT list(value) {over.format(lags + chunk - 1)} AS z FROM ({source})) WHERE len(z) = {lags + chunk}"
+    last = f"SELECT series, list(value ORDER BY pos)[-{lags}:] AS x FROM ({source}) GROUP BY series"
+    return windows, last
+
+
+@query("g16_lag_regression_linear", ridge_sql(*lagged(POINTS, 12, 6), 12, 12, 6, 15, 1.0))
 def lag_linear(t):
     return rounded(fc.lag_regression(points(t), 15, fc.lag_models()["Ridge"], lags=12, chunk=6), ["forecast"], 1)
 
 
+@query("g16_lag_regression_least_squares", ridge_sql(*lagged(POINTS, 6, 3), 6, 6, 3, 7, 0.0))
+def lag_least_squares(t):
+    return rounded(fc.lag_regression(points(t), 7, fc.lag_models()["LinearRegression"], lags=6, chunk=3), ["forecast"], 1)
+
+
+@query(
+    "g16_lag_regression_one",
+    f"""WITH RECURSIVE w AS (SELECT series, pos, value AS y, lag(value) OVER (PARTITION BY series ORDER BY pos) AS x FROM ({POINTS})),
+    l AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM w),
+    f(series, h, forecast) AS (SELECT series, 0, arg_max(value, pos) FROM ({POINTS}) GROUP BY series UNION ALL SELECT series, h + 1, a + b * forecast FROM f, l WHERE h < 5)
+    SELECT series, CAST(h AS INTEGER) AS h, round(forecast, 1) AS forecast FROM f WHERE h > 0""",
+)
+def lag_one(t):
+    """One lag: the line that SQL has aggregates for."""
+    return rounded(fc.lag_regression(points(t), 5, fc.lag_models()["LinearRegression"], lags=1, chunk=1), ["forecast"], 1)
+
+
 @query("g16_lag_regression_forest")
 def lag_forest(t):
     return rounded(fc.lag_regression(points(t), 4, fc.lag_models()["RandomForest_Light"], lags=12, chunk=2), ["forecast"], 1)
 
 
-@query("g17_exogenous_regression")
+PANEL = """SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS ts, round(sum(o_totalprice), 2) AS value, count(*)::DOUBLE AS orders FROM orders GROUP BY 1, 2"""
+PAST = ", ".join(f"lag(orders, {k} - 1 + 3) OVER v AS p{k}, coalesce(lag(orders, {k} - 1) OVER v, 0) AS n{k}" for k in (1, 2, 3, 6, 12))
+SEEN = f"""SELECT series, pos, list(value) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS z, {PAST}
+  FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS pos FROM ({PANEL})) WINDOW v AS (PARTITION BY series ORDER BY pos)"""
+
+
+@query(
+    "g17_exogenous_regression",
+    ridge_sql(
+        f"SELECT z[1:6] || [p1, p2, p3, p6, p12] || z[7:9] AS z FROM ({SEEN}) WHERE len(z) = 9 AND p12 IS NOT NULL",
+        f"SELECT series, arg_max(z[-6:] || [n1, n2, n3, n6, n12], pos) AS x FROM ({SEEN}) GROUP BY series",
+        6, 11, 3, 3, 0.0,
+    ),
+)
 def exogenous(t):
     panel = t.orders.groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("month", "o_orderdate").alias("ts")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("value"), F.count("*").cast("double").alias("orders")

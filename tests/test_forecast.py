@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import forecast as fc
 from tabsmith.operators import timeseries as ts
+from tabsmith.operators.gram import LinearFit, Moments, moments
 
 START = dt.datetime(2020, 1, 1)
 
@@ -205,6 +206,67 @@ def test_lag_regression_learns_a_recurrence(spark, chunk_rows):
         assert np.allclose(forecasts(got, name), want, atol=1e-2)
 
 
+def plain_lines(z, p, alpha, l1, sweeps=4000):
+    """Weights of every target by plain coordinate descent over the rows."""
+    x, y = z[:, :p] - z[:, :p].mean(axis=0), z[:, p:] - z[:, p:].mean(axis=0)
+    n, out = len(z), []
+    for t in y.T:
+        w = np.zeros(p)
+        for _ in range(sweeps):
+            for j in range(p):
+                free = x[:, j] @ (t - x @ w + x[:, j] * w[j]) / n
+                cut = np.sign(free) * max(abs(free) - alpha * l1, 0)
+                w[j] = cut / (x[:, j] @ x[:, j] / n + alpha * (1 - l1))
+        out.append(w)
+    return np.array(out)
+
+
+def test_lines_from_one_gram_matrix(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)) * [1, 3, 8, 0.5] + [0, 100, -5, 1e6]
+    x[:, 3] += x[:, 0]
+    z = np.concatenate([x, (x @ [1, -2, 0, 0.5] + rng.normal(size=300))[:, None], (x @ [0, 0, 0.3, 0])[:, None]], axis=1)
+    rows = [([float(v) for v in r],) for r in z] + [([1.0],), ([None] * 6,), ([float("nan")] * 6,), (None,)]
+    got = moments(spark.createDataFrame(rows, "z array<double>").repartition(7), "z", [0.0, 90.0, 0.0, 1e6, 5e5, 0.0])
+    assert got.n == 300 and np.allclose(got.mean, z.mean(axis=0)) and np.allclose(got.cross, np.cov(z.T) * 299, rtol=1e-8)
+    for fit, alpha, l1 in ((LinearFit(0.1, 1.0), 0.1, 1.0), (LinearFit(0.1, 0.5), 0.1, 0.5), (LinearFit(1.0), 1 / 300, 0.0)):
+        lines = fit.solve(got, 4)
+        assert np.allclose(lines[:, 1:], plain_lines(z, 4, alpha, l1), atol=1e-6)
+        assert np.allclose(lines[:, 0] + lines[:, 1:] @ z[:, :4].mean(axis=0), z[:, 4:].mean(axis=0))
+    best, *_ = np.linalg.lstsq(np.c_[np.ones(300), z[:, :4] - z[:, :4].mean(axis=0)], z[:, 4:], rcond=None)
+    assert np.allclose(LinearFit().solve(got, 4)[:, 1:], best[1:].T, atol=1e-6)
+    assert np.count_nonzero(LinearFit(50.0, 1.0).solve(got, 4)[:, 1:]) < 4
+
+
+def test_equal_columns_and_no_rows(spark):
+    rows = [([float(i), float(i), 7.0, 3.0 * i],) for i in range(20)]
+    got = moments(spark.createDataFrame(rows, "z array<double>"), "z", [0.0] * 4)
+    assert np.allclose(LinearFit().solve(got, 3), [[0, 1.5, 1.5, 0]])
+    none = moments(spark.createDataFrame([], "z array<double>"), "z", [0.0] * 4)
+    with pytest.raises(ValueError, match="no rows"):
+        LinearFit().solve(none, 3)
+
+
+@pytest.mark.parametrize("name", ["Lasso", "ElasticNet"])
+def test_lasso_forecasts_are_the_best_ones(spark, points, name):
+    """No weight can be moved to a better value, and the steps ahead are those of the weights."""
+    fit, lags, chunk, horizon = fc.lag_models()[name], 5, 2, 7
+    z = np.array([y[i : i + lags + chunk] for y in series().values() for i in range(len(y) - lags - chunk + 1)])
+    centred = z - z.mean(axis=0)
+    lines = fit.solve(Moments(len(z), z.mean(axis=0), centred.T @ centred), lags)
+    for line, target in zip(lines, centred[:, lags:].T):
+        w = line[1:]
+        slope = centred[:, :lags].T @ (target - centred[:, :lags] @ w) / len(z) - fit.alpha * (1 - fit.l1) * w
+        assert np.allclose(slope[w != 0], fit.alpha * fit.l1 * np.sign(w[w != 0]), atol=1e-7)
+        assert (np.abs(slope[w == 0]) <= fit.alpha * fit.l1 + 1e-7).all()
+    got = fc.lag_regression(points, horizon, fit, lags=lags, chunk=chunk)
+    for key, y in series().items():
+        past = list(y)
+        while len(past) < len(y) + horizon:
+            past += list(lines[:, 0] + lines[:, 1:] @ past[-lags:])
+        assert np.allclose(forecasts(got, key), past[len(y) : len(y) + horizon], rtol=1e-6)
+
+
 def test_covariates_help(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=120)
