@@ -1,9 +1,9 @@
 """Forecasting of panels.
 
 Models work on regular series: `points` is (series, pos, ts, value) with
-positions 0..n-1. A series is handed to a recurrence in blocks of BLOCK values;
-the state at the end of a block starts the next one, so a series of any length
-is folded exactly and no row holds more than one block.
+positions 0..n-1. A series is handed to a recurrence in blocks of BLOCK values,
+so a series of any length is folded exactly and no row holds more than one
+block. Additive recurrences reduce all blocks side by side (smoothing.py).
 """
 
 from __future__ import annotations
@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col, numeric_columns
 from tabsmith.operators.gram import LinearFit, moments
-from tabsmith.operators.ordered import POS, over_preceding
+from tabsmith.operators.ordered import POS, over_preceding, with_position
+from tabsmith.operators.smoothing import BLOCK, Level, Season, Trend, smoothed
 from tabsmith.operators.timeseries import chrono_split, detect_frequency, regularise
 from tabsmith.session import materialise
 
-BLOCK = 100_000
-
 
 def to_points(df: DataFrame, ts: str, value: str, by: str) -> DataFrame:
     """A regular panel as (series, pos, ts, value)."""
@@ -124,56 +123,35 @@ def _d(x) -> Column:
     return F.lit(float(x))
 
 
-def fit_ses(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Simple exponential smoothing: (series, p.alpha, s.level, s.sse)."""
-
-    def start(xs, p):
-        return F.struct(F.get(xs, F.lit(0))["value"].alias("level"), _d(0).alias("sse"))
-
-    def step(s, x, p):
-        error = x["value"] - s["level"]
-        return F.struct((s["level"] + p["alpha"] * error).alias("level"), (s["sse"] + error * error).alias("sse"))
-
-    return best_fit(fold_points(points, block, start, step, _grid(alpha=ALPHAS)))
-
-
 def ses(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
-    """Flat forecast of the last level."""
-    return fit_ses(points, block).select("series", horizons(horizon).alias("h"), F.col("s.level").alias("forecast"))
+    """Simple exponential smoothing; flat forecast of the last level."""
+    fitted = smoothed(points, Level(ALPHAS), block=block)
+    return fitted.select("series", horizons(horizon).alias("h"), F.get("state", F.lit(0)).alias("forecast"))
 
 
 def holt(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
     """Level and additive trend."""
-
-    def start(xs, p):
-        a, b = F.get(xs, F.lit(0))["value"], F.get(xs, F.lit(1))["value"]
-        return F.struct(a.alias("level"), F.coalesce(b - a, _d(0)).alias("trend"), _d(0).alias("sse"), _d(0).alias("seen"))
-
-    def step(s, x, p):
-        ahead = s["level"] + s["trend"]
-        error = x["value"] - ahead
-        level = ahead + p["alpha"] * error
-        first = s["seen"] == 0  # the first value is the start itself
-        return F.struct(
-            F.when(first, s["level"]).otherwise(level).alias("level"),
-            F.when(first, s["trend"]).otherwise(s["trend"] + p["alpha"] * p["beta"] * error).alias("trend"),
-            F.when(first, s["sse"]).otherwise(s["sse"] + error * error).alias("sse"),
-            (s["seen"] + 1).alias("seen"),
-        )
-
-    fitted = best_fit(fold_points(points, block, start, step, _grid(alpha=COARSE, beta=TRENDS)))
-    ahead = F.col("s.level") + F.col("h") * F.col("s.trend")
-    return fitted.select("series", "s", horizons(horizon).alias("h")).select("series", "h", ahead.alias("forecast"))
+    fitted = smoothed(points, Trend(COARSE, TRENDS), block=block).select("series", "state", horizons(horizon).alias("h"))
+    return fitted.select("series", "h", (F.get("state", F.lit(0)) + F.col("h") * F.get("state", F.lit(1))).alias("forecast"))
 
 
 def holt_winters(
     points: DataFrame, horizon: int, period: int = 12, seasonal: str = "add", block: int = BLOCK, trend: str = "add"
 ) -> DataFrame:
     """Level, trend and a seasonal cycle, each of the last two additive or
-    multiplicative. Series shorter than two cycles get no forecast."""
+    multiplicative. Series shorter than two cycles get no forecast.
+
+    The additive kind is an associative scan over blocks. What is
+    multiplicative is not affine in the state, so its blocks are folded one
+    after another.
+    """
     if block < 2 * period:
         raise ValueError("a block has to hold two cycles")
     mul, grows = seasonal == "mul", trend == "mul"
+    if not mul and not grows:
+        fitted = smoothed(points, Season(period, COARSE, TRENDS, SEASONS), block=block).select("series", "state", horizons(horizon).alias("h"))
+        ahead = F.get("state", F.lit(0)) + F.col("h") * F.get("state", F.lit(1))
+        return fitted.select("series", "h", (ahead + F.get("state", 2 + F.pmod(F.col("h") - 1, F.lit(period)))).alias("forecast"))
 
     def mean_of(xs):
         return F.aggregate(xs, _d(0), lambda a, x: a + x["value"]) / period
@@ -240,24 +218,20 @@ CROSTON_ALPHA = 0.1
 
 
 def croston(points: DataFrame, horizon: int, block: int = BLOCK) -> DataFrame:
-    """Smoothed demand size over smoothed interval; zero without demand."""
-
-    def start(xs, p):
-        none = F.lit(None).cast("double")
-        return F.struct(none.alias("size"), none.alias("gap"), _d(1).alias("wait"))
-
-    def step(s, x, p):
-        hit = x["value"] != 0
-        blend = lambda old, new: F.coalesce(old + CROSTON_ALPHA * (new - old), new)
-        return F.struct(
-            F.when(hit, blend(s["size"], x["value"])).otherwise(s["size"]).alias("size"),
-            F.when(hit, blend(s["gap"], s["wait"])).otherwise(s["gap"]).alias("gap"),
-            F.when(hit, _d(1)).otherwise(s["wait"] + 1).alias("wait"),
-        )
+    """Smoothed demand size over smoothed interval; zero without demand.
 
-    fitted = fold_points(points, block, start, step)
-    rate = F.coalesce(F.col("s.size") / F.col("s.gap"), _d(0))
-    return fitted.select("series", horizons(horizon).alias("h"), rate.alias("forecast"))
+    Only values with demand move the state, so they are cut out with their
+    distance from the one before and smoothed as two columns side by side.
+    """
+    known = points.filter(F.col("value").isNotNull()).select("series", "pos", "value")
+    hits = with_position(known, ["series"], "pos").filter("value != 0").select("series", F.col(POS).alias("at"), "value")
+    # The first demand comes after as many values as stand before it, itself among them.
+    gaps = over_preceding(hits, ["series"], "at", 1, lambda w: {"gap": F.col("at") - F.coalesce(F.lag("at").over(w), F.lit(-1))})
+    demand = gaps.select("series", F.col(POS).alias("pos"), "value", F.col("gap").cast("double").alias("gap"))
+    fitted = smoothed(demand, Level([CROSTON_ALPHA], 2), ["value", "gap"], block)
+    rate = fitted.select(F.col("series").alias("_k"), (F.get("state", F.lit(0)) / F.get("state", F.lit(1))).alias("rate"))
+    every = known.select("series").distinct().join(rate, F.col("series").eqNullSafe(F.col("_k")), "left")
+    return every.select("series", horizons(horizon).alias("h"), F.coalesce("rate", _d(0)).alias("forecast"))
 
 
 # --- naive and frequency models -----------------------------------------------------

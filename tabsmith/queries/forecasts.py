@@ -85,17 +85,61 @@ def smoothing_blocks(t):
     return rounded(fc.ses(points(t), 6, block=30), ["forecast"], 2)
 
 
-@query("g12_holt")
+def holt_sql(source: str, horizon: int) -> str:
+    """Level and trend over the same settings, as a recursive query: (series, h, forecast)."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({source}), a AS (SELECT alpha, beta FROM unnest({fc.COARSE}::DOUBLE[]) AS x(alpha), unnest({fc.TRENDS}::DOUBLE[]) AS y(beta)),
+    f(series, alpha, beta, pos, level, trend, sse) AS (
+      SELECT p.series, alpha, beta, 0, p.value, coalesce(q.value - p.value, 0), 0.0::DOUBLE FROM (SELECT * FROM p WHERE pos = 0) p LEFT JOIN (SELECT * FROM p WHERE pos = 1) q ON q.series = p.series, a
+      UNION ALL SELECT series, alpha, beta, pos + 1, level + trend + alpha * e, trend + alpha * beta * e, sse + e * e
+        FROM (SELECT f.*, p.value - (level + trend) AS e FROM f JOIN p ON p.series = f.series AND p.pos = f.pos + 1)),
+    e AS (SELECT f.* FROM f JOIN (SELECT series, max(pos) AS m FROM p GROUP BY 1) x ON x.series = f.series AND x.m = f.pos)
+    SELECT series, CAST(h AS INTEGER) AS h, b.level + h * b.trend AS forecast FROM (SELECT series, arg_min({{'level': level, 'trend': trend}}, (sse, alpha, beta)) AS b FROM e GROUP BY 1), range(1, {horizon + 1}) AS r(h)"""
+
+
+def winters_sql(source: str, m: int, horizon: int, mul: bool) -> str:
+    """Level, trend and cycle over the same settings, as a recursive query: (series, h, forecast)."""
+    part, joined, bare = ("/", "*", "x / s") if mul else ("-", "+", "x - s")
+    axes = zip(("alpha", "beta", "gamma"), (fc.COARSE, fc.TRENDS, fc.SEASONS))
+    return f"""WITH RECURSIVE p AS MATERIALIZED ({source}), a AS (SELECT * FROM {", ".join(f"unnest({v}::DOUBLE[]) AS {n}({n})" for n, v in axes)}),
+    base AS (SELECT series, avg(value) FILTER (pos < {m}) AS one, avg(value) FILTER (pos >= {m} AND pos < {2 * m}) AS two, list(value ORDER BY pos) FILTER (pos < {m}) AS firsts
+      FROM p GROUP BY 1 HAVING count(*) >= {2 * m}),
+    f(series, alpha, beta, gamma, pos, level, trend, cycle, sse) AS (
+      SELECT series, alpha, beta, gamma, {m - 1}, one, (two - one) / {m}, list_transform(firsts, lambda v: v {part} one), 0.0::DOUBLE FROM base, a
+      UNION ALL SELECT series, alpha, beta, gamma, pos + 1, l, beta * (l - level) + (1 - beta) * trend, cycle[2:] || [gamma * (x {part} l) + (1 - gamma) * s], sse + e * e FROM (
+        SELECT *, alpha * ({bare}) + (1 - alpha) * ahead AS l, x - (ahead {joined} s) AS e FROM (
+          SELECT f.*, p.value AS x, f.cycle[1] AS s, level + trend AS ahead FROM f JOIN p ON p.series = f.series AND p.pos = f.pos + 1))),
+    e AS (SELECT f.* FROM f JOIN (SELECT series, max(pos) AS m FROM p GROUP BY 1) x ON x.series = f.series AND x.m = f.pos)
+    SELECT series, CAST(h AS INTEGER) AS h, (b.level + h * b.trend) {joined} b.cycle[(h - 1) % {m} + 1] AS forecast
+    FROM (SELECT series, arg_min({{'level': level, 'trend': trend, 'cycle': cycle}}, (sse, alpha, beta, gamma)) AS b FROM e GROUP BY 1), range(1, {horizon + 1}) AS r(h)"""
+
+
+def in_cents(sql: str) -> str:
+    return f"SELECT series, h, round(forecast, 2) AS forecast FROM ({sql})"
+
+
+@query("g12_holt", in_cents(holt_sql(POINTS, 6)))
 def holt(t):
     return rounded(fc.holt(points(t), 6), ["forecast"], 2)
 
 
-@query("g12_holt_winters_add")
+@query("g12_holt_blocks", in_cents(holt_sql(POINTS, 6)))
+def holt_blocks(t):
+    """The same with series reduced in many blocks that are joined in a tree."""
+    return rounded(fc.holt(points(t), 6, block=3), ["forecast"], 2)
+
+
+@query("g12_holt_winters_add", in_cents(winters_sql(POINTS, 12, 12, False)))
 def winters(t):
     return rounded(fc.holt_winters(points(t), 12, 12, "add"), ["forecast"], 2)
 
 
-@query("g12_holt_winters_mul")
+@query("g12_holt_winters_add_blocks", in_cents(winters_sql(POINTS, 12, 12, False)))
+def winters_blocks(t):
+    """The same with series reduced in several blocks, as long ones are."""
+    return rounded(fc.holt_winters(points(t), 12, 12, "add", block=25), ["forecast"], 2)
+
+
+@query("g12_holt_winters_mul", in_cents(winters_sql(POINTS, 12, 12, True)))
 def winters_mul(t):
     return rounded(fc.holt_winters(points(t), 12, 12, "mul"), ["forecast"], 2)
 

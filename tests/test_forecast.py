@@ -78,14 +78,14 @@ def plain_winters(y, h, m, mul):
     return [((level + k * trend) * cycle[(k - 1) % m] if mul else level + k * trend + cycle[(k - 1) % m]) for k in range(1, h + 1)]
 
 
-@pytest.mark.parametrize("block", [1000, 25])
+@pytest.mark.parametrize("block", [1000, 25, 2])
 def test_smoothing(points, block):
     for name, y in series().items():
         assert np.allclose(forecasts(fc.ses(points, 3, block), name), plain_ses(y))
         assert np.allclose(forecasts(fc.holt(points, 4, block), name), plain_holt(y, 4))
 
 
-@pytest.mark.parametrize("block,kind", [(1000, "add"), (25, "mul")])
+@pytest.mark.parametrize("block,kind", [(1000, "add"), (24, "add"), (25, "mul")])
 def test_seasonal_smoothing(points, block, kind):
     got = fc.holt_winters(points, 14, 12, kind, block)
     for name, y in series().items():
