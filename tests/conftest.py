@@ -5,6 +5,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tabsmith.session import get_spark  # noqa: E402
+from tools.limit import limited  # noqa: E402
+
+#: Seconds that a test may run jobs; a query that never ends fails alone.
+LIMIT = 240
 
 
 @pytest.fixture(scope="session")
@@ -20,3 +24,12 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def time_limit(request):
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    with limited(request.getfixturevalue("spark"), LIMIT):
+        yield
