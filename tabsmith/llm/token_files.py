@@ -20,11 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
@@ -42,6 +45,10 @@ GENERATION, LONGEST, JOINED = 600_000, 100, 2000
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: Pieces that can be parted here as the tokenizer parts them: Latin letters, digits, marks.
+LATIN = re.compile("[\x21-\u012f\u0131-\u024f\u2010-\u2027]+")
+RUNS = re.compile("'[sStT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\\W\\d_]+|[0-9]|(?:[^\\w\\s]|_)+|.")
+
 _coders: dict[tuple, WordCoder] = {}
 
 
@@ -49,12 +56,11 @@ class WordCoder:
     """Ids of whole texts, looked up by word.
 
     The tokenizer drops white space and no token crosses it, so a text's ids
-    are those of its pieces between blanks and line breaks. It never joins a
-    letter with a full stop or comma behind it and lowers ASCII words, so
-    pieces are looked up without those. Each distinct rest is encoded by the
-    library once while it stays in the cache. Words of letters are encoded
-    many at a time, parted by blanks, and cut behind the ids that end a word.
-    All this is checked when the file is read.
+    are those of its pieces between blanks and line breaks. Inside a piece it
+    parts letters, digits and marks; Latin pieces are parted alike, and each
+    distinct part is encoded by the library once while it stays in the cache.
+    Words of letters are encoded many at a time, parted by blanks, and cut
+    behind the ids that end a word. All this is checked when the file is read.
     """
 
     def __init__(self, model: str, width: int):
@@ -69,8 +75,10 @@ class WordCoder:
             raise ValueError("the tokenizer does not part and lower words in the known way")
         if spec["model"]["type"] != "BPE" or not self.mark or spec["model"].get("ignore_merges") or spec["truncation"] or spec["padding"]:
             raise ValueError("the tokenizer does not mark the end of a word")
-        if any(t["special"] and any(ch in t["content"] for ch in " \n.,") for t in spec["added_tokens"]):
+        if any(ch in t["content"] for t in spec["added_tokens"] for ch in " \n"):
             raise ValueError("a special token goes across a cut")
+        #: Strings that the tokenizer takes whole, wherever they stand.
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 8 * width:
             raise ValueError(f"ids do not fit in {width} bytes")
@@ -85,13 +93,16 @@ class WordCoder:
             _coders[model, width] = cls(model, width)
         return _coders[model, width]
 
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """The piece without the marks at its end, and the marks."""
-        stem = piece.rstrip(".,")
-        if not stem or not stem[-1].isalpha() or not stem[-1].lower()[-1].isalpha():
-            return piece, ""
-        return stem.lower() if stem.isascii() and stem.isalpha() else stem, piece[len(stem) :]
+    def _parts(self, piece: str) -> list[str]:
+        """What the tokenizer parts a piece into, or the piece itself where letters outside Latin script would decide."""
+        lower = piece.lower()
+        if any(t in lower for t in self.special):
+            return [piece]
+        if piece.isascii():
+            return RUNS.findall(lower)
+        if LATIN.fullmatch(piece) and unicodedata.is_normalized("NFC", piece):
+            return RUNS.findall(piece)
+        return [piece]
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         """Ids of strings, each encoded alone."""
@@ -112,32 +123,56 @@ class WordCoder:
             out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, from the cache or the library."""
         young, old = self.young, self.old
-        fresh = []
-        for p in set().union(*pieces).difference(young):
-            if p in old:
-                young[p] = old[p]
+        out = list(map(young.get, pieces))
+        at, words, mixed = [], [], {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            p = pieces[i]
+            ids = old.get(p)
+            if ids is not None:
+                out[i] = young[p] = ids
+            elif p.isascii() and p.isalpha():
+                at.append(i)
+                words.append(p.lower())
             else:
-                fresh.append((p, *self._parts(p)))
-        rest = {x for _, *parts in fresh for x in parts}.difference(young)
+                mixed[i] = self._parts(p)
+        rest = set(words).union(*mixed.values()).difference(young)
         for x in [x for x in rest if x in old]:
             young[x] = old[x]
         rest.difference_update(young)
-        letters = [x for x in rest if x.isalpha() and x.lower().isalpha()]
+        letters = [x for x in rest if x.isalpha()]
         young.update(self._letters(letters))
         young.update(self._each(list(rest.difference(letters))))
-        for p, stem, tail in fresh:
-            young[p] = young[stem] + young[tail]
-        out = [b"".join([young[p] for p in each]) for each in pieces]
-        for p in {x for parts in fresh for x in parts if len(x) > LONGEST}:
-            del young[p]
+        for i, word in zip(at, words):
+            out[i] = young[word]
+        for i, parts in mixed.items():
+            out[i] = b"".join([young[x] for x in parts])
+        young.update((pieces[i], out[i]) for i in [*at, *mixed] if len(pieces[i]) <= LONGEST)
+        for x in [x for x in rest if len(x) > LONGEST]:
+            del young[x]
         if len(young) > GENERATION:
             # What was not asked for during a whole generation is forgotten.
             self.young, self.old = {"": b""}, young
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts: a piece is looked up once for all texts given, its ids are copied to all its places."""
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        coded = split.values.dictionary_encode()
+        ids = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.array([len(x) for x in ids], np.int64) // flat.itemsize
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        # Place i of the output is as far into its piece as it is behind the piece's first place.
+        places = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], size[at])
+        out, bounds = flat[places], ends[split.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
 
 def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters together."""
@@ -218,7 +253,7 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         arrow = _arrow(schema)
-        for b in slices(batches):
+        for b in slices(batches, 2000):
             texts = b.column("text").to_pylist()
             keys, part = b.column("id").to_pylist(), b.column("part")[0].as_py() if len(texts) else part
             for lo, hi in _batches(texts):

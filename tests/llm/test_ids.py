@@ -66,7 +66,7 @@ def test_words_equal_the_library_with_a_cache_that_forgets(bpe, monkeypatch):
     monkeypatch.setattr(token_files, "JOINED", 7)
     coder = token_files.WordCoder(P.path("word_bpe_49k.json"), 2)
     rng = random.Random(2)
-    signs = [*" .,\nabZé中İΣ'ǅﬁ0-\t\u0301ⅷ", "the", "ΟΔΟΣ", "<|endoftext|>", "don't", "  ", "...", "x" * 150]
+    signs = [*" .,\nabZé中İΣ'ǅﬁ0-\t\u0301ⅷ", "the", "ΟΔΟΣ", "<|endoftext|>", "<|EndOfText|>", "don't", "we'LL", "  ", "...", "x" * 150, "ﬁ–«é_1²"]
     for _ in range(60):
         part = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 16))) for _ in range(50)]
         assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(part)] == [bpe(t) for t in part]
