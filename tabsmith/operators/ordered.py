@@ -160,11 +160,11 @@ def over_preceding(
 
 
 def running_total(
-    df: DataFrame, by: list[str], order: str, value: str, name: str, chunk_rows: int | None = None
+    df: DataFrame, by: list[str], order: str, value: str, name: str, chunk_rows: int | None = None, ties: list[str] = ()
 ) -> DataFrame:
-    """Add the running sum of `value` in series order (keys unique per series)."""
+    """Add the running sum of `value` in series order; rows of one key follow `ties`, which have to set them apart."""
     chunked, several = with_chunks(df, order, chunk_rows)
-    frame = W.partitionBy(*_within(by)).orderBy(col(order)).rowsBetween(W.unboundedPreceding, 0)
+    frame = W.partitionBy(*_within(by)).orderBy(col(order), *[col(c) for c in ties]).rowsBetween(W.unboundedPreceding, 0)
     local = chunked.withColumn(name, F.sum(col(value)).over(frame))
     if not several:
         return local.drop(CHUNK)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsmith.operators import scores, selection
+from tabsmith.operators.information import neighbour_information
 from tabsmith.plans import training
 from tabsmith.queries.features import codes_sql
 from tabsmith.queries.fixtures import GAPPY_ORDERS, gappy_orders
@@ -42,6 +43,41 @@ def information_number(t):
     return rounded(selection.mutual_information(t.lineitem, FEATURES, "l_extendedprice"), ["importance"], 6)
 
 
+def digamma_sql(n: str) -> str:
+    """Harmonic numbers up to 1000, the series beyond."""
+    return f"""CASE WHEN {n} <= 1000 THEN list_sum([0.0::DOUBLE] || list_transform(range(1, {n}::BIGINT), lambda i: 1.0::DOUBLE / i)) - 0.5772156649015328606::DOUBLE
+      ELSE ln({n}) - 1 / (2.0::DOUBLE * {n}) - 1 / (12.0::DOUBLE * {n} * {n}) END"""
+
+
+def near_sql(table: str, features: dict[str, str], target: str, k: int = 3) -> str:
+    """The neighbour estimate from all pairs of rows."""
+    lines = " UNION ALL ".join(f"SELECT '{f}' AS feature, row_number() OVER () AS id, y, {x}::DOUBLE AS x FROM u" for f, x in features.items())
+    return f"""WITH u AS (SELECT *, count(*) OVER (PARTITION BY y) AS n FROM (SELECT *, {target} AS y FROM {table}) QUALIFY n > 1),
+    s AS (SELECT feature, id, y, x, count(*) OVER (PARTITION BY feature, y) AS n, count(*) OVER (PARTITION BY feature) AS rows FROM ({lines})),
+    d AS (SELECT a.feature, a.id, a.x, a.n, a.rows, abs(a.x - b.x) AS d, least({k}, a.n - 1) AS k, row_number() OVER (PARTITION BY a.feature, a.id ORDER BY abs(a.x - b.x)) AS place
+      FROM s a JOIN s b ON a.feature = b.feature AND a.y = b.y AND a.id <> b.id),
+    r AS (SELECT d.*, s.y FROM d JOIN s USING (feature, id) WHERE place = d.k),
+    m AS (SELECT r.feature, r.id, any_value(r.n) AS n, any_value(CASE WHEN r.d = 0 THEN NULL ELSE r.k END) AS far, count(*) FILTER (s.y = r.y) AS own, any_value(r.rows) AS rows, count(*) AS m
+      FROM r JOIN s ON r.feature = s.feature AND CASE WHEN r.d = 0 THEN s.x = r.x ELSE abs(s.x - r.x) < r.d * (1 - 1e-6) END GROUP BY 1, 2)
+    SELECT feature, greatest(0, any_value({digamma_sql("rows")}) + avg({digamma_sql("coalesce(far, own)")} - ({digamma_sql("n")}) - ({digamma_sql("m")}))) AS importance FROM m GROUP BY feature"""
+
+
+NEAR_FEATURES = {
+    "p_partkey": "p_partkey", "p_size": "p_size", "p_retailprice": "p_retailprice", "p_type": "(SELECT count(DISTINCT p_type) FROM part q WHERE q.p_type < u.p_type)",
+}
+
+
+@query("m1_neighbour_information", f"SELECT feature, round(importance, 6) AS importance FROM ({near_sql('part', NEAR_FEATURES, 'p_brand')})")
+def information_near(t):
+    return rounded(neighbour_information(t.part, list(NEAR_FEATURES), "p_brand"), ["importance"], 6)
+
+
+@query("m1_neighbour_information_chunks", f"SELECT feature, round(importance, 6) AS importance FROM ({near_sql('part', NEAR_FEATURES, 'p_brand')})")
+def information_near_chunks(t):
+    """The same with lines cut into chunks, as long ones are."""
+    return rounded(neighbour_information(t.part, list(NEAR_FEATURES), "p_brand", chunk_rows=300), ["importance"], 6)
+
+
 @query(
     "m2_correlation_importance",
     "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(abs(corr({c}, l_extendedprice)), 4) AS importance FROM lineitem" for c in FEATURES[:4]) + ")",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.operators import scores, selection
+from tabsmith.operators.information import neighbour_information
 from tabsmith.plans import training
 
 
@@ -123,6 +124,44 @@ def test_information_of_a_copy(spark):
     assert math.isclose(got["a"], math.log(4)) and got["c"] == 0.0
 
 
+def plain_digamma(n):
+    return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+
+def plain_information(x, y, k):
+    rows = [i for i in range(len(x)) if y.count(y[i]) > 1]
+    total = 0.0
+    for i in rows:
+        mine = sorted(abs(x[j] - x[i]) for j in rows if y[j] == y[i] and j != i)
+        own = min(k, len(mine))
+        r = mine[own - 1]
+        m = sum(abs(x[j] - x[i]) < r * (1 - 1e-6) if r else x[j] == x[i] for j in rows)
+        own = own if r else sum(x[j] == x[i] and y[j] == y[i] for j in rows)
+        total += plain_digamma(own) - plain_digamma(len(mine) + 1) - plain_digamma(m)
+    return max(0.0, plain_digamma(len(rows)) + total / len(rows))
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 50])
+def test_information_by_neighbours_against_all_pairs(spark, chunk_rows):
+    rng = np.random.default_rng(3)
+    y = [str(v) for v in rng.integers(0, 4, 300)] + ["rare", "pair", "pair"]
+    line = [float(float(v) * 3 + e) for v, e in zip([*y[:300], 0, 1, 1], rng.normal(size=303))]
+    steps = [float(int(v) % 3) if v.isdigit() else 7.0 for v in y]
+    noise = [float(v) for v in rng.integers(0, 40, 303)]
+    words = ["abcdefg"[int(v) % 7] for v in noise]
+    df = spark.createDataFrame(list(zip(y, line, steps, noise, words)), "y string, line double, steps double, `no ise` double, words string")
+    got = {r["feature"]: r["importance"] for r in neighbour_information(df, ["line", "steps", "no ise", "words"], "y", chunk_rows=chunk_rows).collect()}
+    for name, x in (("line", line), ("steps", steps), ("no ise", noise), ("words", ["abcdefg".index(w) for w in words])):
+        assert math.isclose(got[name], plain_information(x, y, 3), abs_tol=1e-9), name
+    assert got["line"] > 0.7 and got["steps"] > 0.7
+
+
+def test_information_without_classes(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "y string, x double")
+    assert [tuple(r) for r in neighbour_information(df, ["x"], "y").collect()] == [("x", 0.0)]
+    assert [tuple(r) for r in neighbour_information(df.limit(0), ["x"], "y").collect()] == [("x", 0.0)]
+
+
 def test_neighbours_vote_among_many_classes(spark):
     rows = [(float(i), f"k{i:04d}") for i in range(1200)]
     df = spark.createDataFrame(rows, "x double, kind string")
