@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsmith.functions.columns import col, finite, numeric_columns, select_with, string_columns
@@ -14,6 +13,7 @@ from tabsmith.functions.stats import skew_g1
 from tabsmith.operators.clean import convert_types, drop_columns, moments
 from tabsmith.operators.dates import date_features, flexible_timestamp
 from tabsmith.operators.frequency import categories
+from tabsmith.operators.gram import moments as product_moments
 from tabsmith.operators.ordered import POS, over_preceding, with_position
 from tabsmith.operators.quantiles import exact_quantiles
 
@@ -261,13 +261,18 @@ def yeo_johnson(c: Column, lam: float) -> Column:
     return F.when(x >= 0, up).when(x < 0, down)
 
 
+#: Step and reach of the grids that close in on an exponent.
+POWER_STEPS = ((0.25, 8), (0.025, 10), (0.0025, 10), (0.00025, 10))
+
+
 def power_lambdas(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """The exponent with the highest normal likelihood, to 0.025.
+    """The exponent with the highest normal likelihood, to 0.00025.
 
-    A coarse grid and then a fine one; each is one aggregate over all columns.
+    The likelihood has one peak, so a grid brackets it and each finer one has
+    the bracket of the one before; each is one aggregate over all columns.
     """
     best = dict.fromkeys(columns, 0.0)
-    for step, reach in ((0.25, 8), (0.025, 10)):
+    for step, reach in POWER_STEPS:
         grid = {c: [best[c] + step * j for j in range(-reach, reach + 1)] for c in columns}
         aggs = []
         for i, c in enumerate(columns):
@@ -307,21 +312,35 @@ def polynomial_features(df: DataFrame, columns: list[str], degree: int = 2) -> D
     return select_with(df, added)
 
 
+def principal_axes(df: DataFrame, columns: list[str], k: int) -> tuple[list[float], list[list[float]]]:
+    """(means, axes): the k directions of largest spread of the complete rows, the largest first.
+
+    One pass gives the products of all pairs of columns; the rest is a matrix
+    as wide as the columns. The weight of an axis that is farthest from zero,
+    the first of several, is positive, so a rerun gives the same signs.
+    """
+    numbers = [col(c).cast("double") for c in columns]
+    rough = df.agg(*[F.avg(finite(x)).alias(f"m{i}") for i, x in enumerate(numbers)]).first()
+    found = product_moments(df.select(F.array(*numbers).alias("x")), "x", [m or 0.0 for m in rough])
+    spread, axes = np.linalg.eigh(found.cross)
+    out = []
+    for axis in axes.T[np.argsort(-spread, kind="stable")][:k]:
+        top = axis[np.argmax(np.abs(axis) > np.abs(axis).max() * (1 - 1e-9))]
+        out.append([float(w) for w in (axis if top > 0 else -axis)])
+    return [float(m) for m in found.mean], out
+
+
 def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Add `pc1..pck`, projections of the centred columns.
 
-    Rows with nulls get null components. The sign of a component is arbitrary.
+    Rows with nulls get null components and have no part in the axes.
     """
-    means = {c: m for c, (m, _) in moments(df, columns).items()}
-    centred = {f"_p{i}": col(c).cast("double") - F.lit(means[c]) for i, c in enumerate(columns)}
-    ready = select_with(df, centred)
-    names = list(centred)
-    assembler = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="keep")
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(assembler.transform(ready.na.drop(subset=names)))
-    parts = vector_to_array(F.col("_pc"))
-    scored = model.transform(assembler.transform(ready))
-    complete = F.greatest(*[F.col(n).isNull().cast("int") for n in names], F.lit(0)) == 0
-    return scored.select(*[col(c) for c in df.columns], *[F.when(complete, parts[i]).alias(f"pc{i + 1}") for i in range(k)])
+    if not 1 <= k <= len(columns):
+        raise ValueError("there are as many components as columns at most")
+    means, axes = principal_axes(df, columns, k)
+    centred = [col(c).cast("double") - F.lit(m) for c, m in zip(columns, means)]
+    parts = {f"pc{i + 1}": sum((x * F.lit(w) for x, w in zip(centred[1:], axis[1:])), centred[0] * F.lit(axis[0])) for i, axis in enumerate(axes)}
+    return df.select("*", *[v.alias(n) for n, v in parts.items()])
 
 
 def lag_features(df: DataFrame, columns: dict[str, list[int]], order: str, by=(), chunk_rows=None) -> DataFrame:

@@ -159,7 +159,24 @@ for _how, _sql in SCALE.items():
         return rounded(features.scale(t.events.select("event_id", "value"), ["value"], how), ["value"])
 
 
-@query("e9_power_transform")
+def yeo_johnson_sql(x: str, lam: str) -> str:
+    return f"""CASE WHEN {x} >= 0 THEN CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END
+      WHEN {x} < 0 THEN CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END END"""
+
+
+def power_sql(table: str, x: str) -> str:
+    """The exponent by the same grids: (lam)."""
+    steps = [f"b0 AS (SELECT 0.0::DOUBLE AS lam), t AS (SELECT count({x}) AS n, sum(sign({x}) * ln(1 + abs({x}))) AS t FROM {table})"]
+    for i, (step, reach) in enumerate(features.POWER_STEPS):
+        steps.append(
+            f"""g{i} AS MATERIALIZED (SELECT j, lam + {step}::DOUBLE * j AS lam FROM b{i}, range({-reach}, {reach + 1}) AS r(j)),
+            b{i + 1} AS MATERIALIZED (SELECT round(arg_max(lam, (ll, -j)), 6) AS lam FROM (
+              SELECT j, g.lam, -0.5 * any_value(n) * ln(var_pop({yeo_johnson_sql(x, 'g.lam')})) + (g.lam - 1) * any_value(t) AS ll FROM {table}, g{i} g, t GROUP BY j, g.lam))"""
+        )
+    return f"WITH {', '.join(steps)} SELECT lam FROM b{len(features.POWER_STEPS)}"
+
+
+@query("e9_power_transform", f"SELECT event_id, round({yeo_johnson_sql('value', 'lam')}, 4) AS value FROM events, ({power_sql('events', 'value')})")
 def power(t):
     return rounded(features.power_transform(t.events.select("event_id", "value"), ["value"]), ["value"])
 
@@ -174,7 +191,38 @@ def polynomial(t):
     return four(features.polynomial_features(t.lineitem.select("l_orderkey", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], 3))
 
 
-@query("e11_pca")
+def axes_sql(source: str, width: int, k: int, turns: int = 30) -> str:
+    """Principal axes of the lists x: the covariance is squared until one axis is left, which is taken out for the next: (m, a1, .., ak)."""
+    each = f"range(1, {width + 1})"
+    cell = lambda e: f"list_transform({each}, lambda i: list_transform({each}, lambda j: {e}))"
+    trace = f"list_sum(list_transform({each}, lambda t: c[t][t]))"
+    parts = [
+        f"""z AS MATERIALIZED ({source}), mu AS MATERIALIZED (SELECT i, avg(x[i]) AS m FROM z, {each} AS r(i) GROUP BY i),
+        cov AS (SELECT a.i, b.i AS j, avg((x[a.i] - a.m) * (x[b.i] - b.m)) AS v FROM z, mu a, mu b GROUP BY 1, 2),
+        c1 AS MATERIALIZED (SELECT list(v ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS v FROM cov GROUP BY i))"""
+    ]
+    for n in range(1, k + 1):
+        parts.append(
+            f"""p{n}(turn, c) AS (SELECT 0, {cell(f"c[i][j] / {trace}")} FROM c{n}
+              UNION ALL SELECT turn + 1, {cell(f"c[i][j] / {trace}")}
+              FROM (SELECT turn, {cell(f"list_sum(list_transform({each}, lambda h: c[i][h] * c[h][j]))")} AS c FROM p{n} WHERE turn < {turns})),
+            d{n} AS (SELECT c[list_position(d, list_max(d))] AS w FROM (SELECT c, list_transform({each}, lambda i: c[i][i]) AS d FROM p{n} WHERE turn = {turns})),
+            v{n} AS MATERIALIZED (SELECT list_transform(w, lambda e: e / sqrt(list_sum(list_transform(w, lambda f: f * f)))) AS v FROM d{n}),
+            l{n} AS MATERIALIZED (SELECT v, list_sum(list_transform({each}, lambda i: v[i] * list_sum(list_transform({each}, lambda j: c[i][j] * v[j])))) AS size FROM v{n}, c{n}),
+            c{n + 1} AS MATERIALIZED (SELECT {cell('c[i][j] - size * v[i] * v[j]')} AS c FROM c{n}, l{n})"""
+        )
+    signed = lambda n: f"(SELECT CASE WHEN list_max(v) >= -list_min(v) THEN v ELSE list_transform(v, lambda e: -e) END FROM l{n}) AS a{n}"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT (SELECT list(m ORDER BY i) FROM mu) AS m, {', '.join(signed(n) for n in range(1, k + 1))}"
+
+
+SCALED = ", ".join(f"(l.{c} - avg(l.{c}) OVER ()) / stddev_pop(l.{c}) OVER ()" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+
+
+@query(
+    "e11_pca",
+    f"""SELECT l_orderkey, l_linenumber, {', '.join(f"round(list_sum(list_transform(range(1, 4), lambda i: (x[i] - m[i]) * a{n}[i])), 4) AS pc{n}" for n in (1, 2))}
+    FROM (SELECT l_orderkey, l_linenumber, [{SCALED}] AS x FROM lineitem l), ({axes_sql(f"SELECT [{SCALED}] AS x FROM lineitem l", 3, 2)})""",
+)
 def components(t):
     base = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
     scaled = features.scale(base, ["l_quantity", "l_extendedprice", "l_discount"])

@@ -240,7 +240,17 @@ def test_pca_against_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).reset_index(names="i"))
     got = features.pca(df, ["a", "b", "c"], 2).orderBy("i").toPandas()[["pc1", "pc2"]].to_numpy()
     _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    np.testing.assert_allclose(np.abs(got), np.abs((x - x.mean(0)) @ vt[:2].T), atol=1e-8)
+    signed = [v if v[np.abs(v).argmax()] > 0 else -v for v in vt[:2]]
+    np.testing.assert_allclose(got, (x - x.mean(0)) @ np.array(signed).T, atol=1e-8)
+    gaps = df.withColumn("b", F.when(F.col("i") % 10 > 0, F.col("b")))
+    got = features.pca(gaps, ["a", "b", "c"], 3).orderBy("i").toPandas()
+    whole = x[np.arange(200) % 10 > 0]
+    values, axes = np.linalg.eigh(np.cov(whole.T))
+    want = [axes[:, j] * np.sign(axes[np.abs(axes[:, j]).argmax(), j]) for j in (2, 1, 0)]
+    np.testing.assert_allclose(got.dropna()[["pc1", "pc2", "pc3"]].to_numpy(), (whole - whole.mean(0)) @ np.array(want).T, atol=1e-8)
+    assert got["pc1"].isna().sum() == 20
+    with pytest.raises(ValueError):
+        features.pca(df, ["a"], 2)
 
 
 def test_completeness_score(spark):
