@@ -172,8 +172,8 @@ class Neighbours:
 # --- scoring of folds ---------------------------------------------------------------
 
 def with_folds(df: DataFrame, keys: list[str], folds: int, seed: int) -> DataFrame:
-    slot = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed + 1)), F.lit(folds))
-    return df.withColumn("fold", slot.cast("int"))
+    """Add `fold` by the hash that `split` takes, so that other engines have the same folds."""
+    return df.withColumn("fold", (md5_number(*[col(k) for k in keys], F.lit(seed + 1)) % folds).cast("int"))
 
 
 def _predictions(model, rows: DataFrame, name: str) -> DataFrame:

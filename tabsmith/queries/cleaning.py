@@ -14,6 +14,7 @@ from tabsmith.queries.fixtures import (
     gappy_part,
 )
 from tabsmith.queries.profiling import rounded
+from tabsmith.operators.isolation import trim_isolated_rows
 from tabsmith.queries.registry import query
 
 TOKENS = ", ".join(f"'{v}'" for v in clean.TABLE_NULL_TOKENS)
@@ -216,6 +217,12 @@ def clipped(t):
     return rounded(clean.clip_outliers(g, clean.iqr_bounds(g, ["o_totalprice"], 0.1)), ["o_totalprice"])
 
 
+@query("b22_isolation_forest")
+def isolated(t):
+    """The rows that a forest of random cuts keeps; the tests walk the same trees in plain Python."""
+    return trim_isolated_rows(gappy_part(t).select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 0.05)
+
+
 @query(
     "b22_trim_outlier_rows",
     f"""WITH g AS ({GAPPY_PART}),

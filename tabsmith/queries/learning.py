@@ -263,6 +263,46 @@ def validated(t):
     return rounded(means, training.CLASS_METRICS, 6)
 
 
+def line_sql(source: str, by: str) -> str:
+    """Least squares of y on x1 and x2 per group from their moments: (by, b0, b1, b2)."""
+    return f"""SELECT {by}, my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (
+      SELECT *, (c1 * s2 - c2 * s12) / (s1 * s2 - s12 * s12) AS b1, (c2 * s1 - c1 * s12) / (s1 * s2 - s12 * s12) AS b2 FROM (
+        SELECT {by}, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s1, var_pop(x2) AS s2, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+        FROM ({source}) GROUP BY {by}))"""
+
+
+PART_LINE = "SELECT p_partkey, p_size::DOUBLE AS x1, p_partkey::DOUBLE AS x2, p_retailprice AS y, CAST('0x' || substring(md5(p_partkey || chr(1) || '124'), 1, 8) AS BIGINT) % 3 AS fold FROM part"
+NUMBERS = ["p_size", "p_partkey"]
+
+
+@query(
+    "m7_cross_validate_line",
+    f"""WITH u AS ({PART_LINE}), l AS ({line_sql("SELECT u.*, k.k FROM u, range(3) AS k(k) WHERE u.fold <> k.k", "k")}),
+    g AS (SELECT fold, y, b0 + b1 * x1 + b2 * x2 AS p FROM u JOIN l ON u.fold = l.k),
+    f AS (SELECT avg(abs(y - p)) AS a, avg((y - p) * (y - p)) AS b, sqrt(avg((y - p) * (y - p))) AS c, 1 - avg((y - p) * (y - p)) / var_pop(y) AS d,
+      sqrt(avg((ln(1 + abs(p)) - ln(1 + abs(y))) ** 2)) AS e, avg(abs((y - p) / nullif(y, 0))) AS f FROM g GROUP BY fold)
+    SELECT 'Linear Regression' AS "Model", round(avg(a), 4) AS "MAE", round(avg(b), 4) AS "MSE", round(avg(c), 4) AS "RMSE", round(avg(d), 4) AS "R2", round(avg(e), 4) AS "RMSLE", round(avg(f), 4) AS "MAPE" FROM f""",
+)
+def validated_line(t):
+    ready, _, _ = training.assembled(t.part, NUMBERS, "p_retailprice", "regression")
+    data = materialise(training.with_folds(ready, ["p_partkey"], 3, 123).select("features", "label", "fold"), "vectors")
+    means, _, _ = training.cross_validate(data, {"Linear Regression": training.regressors()["Linear Regression"]}, "regression", 0)
+    return rounded(means, training.NUMBER_METRICS, 4)
+
+
+@query(
+    "m13_score_line",
+    f"""WITH u AS ({PART_LINE}), l AS ({line_sql("SELECT *, 0 AS k FROM u", "k")})
+    SELECT p_partkey, round(b0 + b1 * x1 + b2 * x2, 4) AS prediction FROM u, l""",
+)
+def scored_line(t):
+    """Refitted on all rows, saved, loaded and applied."""
+    path = scratch_path(t.spark, "model")
+    model = training.finalise(t.part, NUMBERS, "p_retailprice", "regression", training.regressors()["Linear Regression"])
+    training.save_model(model, path)
+    return rounded(training.score(t.part, training.load_model(path), NUMBERS).select("p_partkey", "prediction"), ["prediction"])
+
+
 @query("m11_tune")
 def tuned(t):
     ready, _, _ = training.assembled(t.part, PART_FEATURES, "p_retailprice", "regression")
@@ -299,6 +339,12 @@ def chosen(t):
     return t.lineitem.select("l_orderkey", *sorted(kept), "l_extendedprice")
 
 
+@query("m15_selected_features", f"SELECT feature FROM (SELECT *, row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS place FROM ({NUMBER_MI})) WHERE place <= 2")
+def chosen_names(t):
+    kept = selection.select_by_score(t.lineitem, FEATURES, "l_extendedprice", 2)
+    return t.spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
 def without_time(board):
     """Training times differ from run to run and are left out."""
     return rounded(board.drop("TT"), [c for c in board.columns if c not in ("rank", "Model", "error", "TT")], 6)

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.functions.stats import skew_g1
-from tabsmith.operators import clean, dates, features, impute, profile, quality
+from tabsmith.operators import clean, dates, features, impute, isolation, profile, quality
 from tabsmith.operators.frequency import categories, modes, top_values
 from tabsmith.plans.auto_clean import auto_clean
 from tabsmith.plans.auto_features import auto_features
@@ -225,6 +226,40 @@ def test_target_encoding_smooths(spark):
     assert got == {"a": (4 + 2 * 4) / 4, "b": (10 + 2 * 4) / 3, None: 4.0}
 
 
+def plain_path(tree, row, at=0):
+    while tree.feature[at] >= 0:
+        at = tree.low[at] if row[tree.feature[at]] < tree.cut[at] else tree.high[at]
+    return tree.length[at]
+
+
+def test_isolation_forest_against_a_plain_walk(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 2) if i % 9 else None, "x") for i in range(400)] + [(900 + i, 0.5, 5.0, "x") for i in range(200)]
+    rows += [(2000, 40.0, 5.0, "x"), (2001, 0.0, -90.0, "x"), (2002, float("nan"), None, None), (2003, None, float("inf"), "x")]
+    df = spark.createDataFrame(rows, "id int, `a b` double, b double, _x string")
+    names = ["a b", "b"]
+    forest = isolation.fit_forest(df.repartition(7), names)
+    assert isolation.fit_forest(df.repartition(2), names) == forest and len(forest.trees) == 100
+    for tree in forest.trees:
+        leaves = [i for i, f in enumerate(tree.feature) if f < 0]
+        assert len(leaves) * 2 - 1 == len(tree.feature) and max(tree.length) <= 8 + isolation.usual_path(256)
+    got = {r["id"]: r["s"] for r in df.select("id", isolation.isolation_score(forest).alias("s")).collect()}
+    for i, a, b, _ in rows:
+        row = [v if v is not None and math.isfinite(v) else m for v, m in zip((a, b), forest.fill)]
+        want = 2 ** -(sum(plain_path(t, row) for t in forest.trees) / 100 / isolation.usual_path(256))
+        assert math.isclose(got[i], want, rel_tol=1e-12)
+    assert sorted(got, key=got.get)[-2:] in ([2000, 2001], [2001, 2000]) and got[900] < 0.5
+    kept = isolation.trim_isolated_rows(df, names, 0.05)
+    assert kept.columns == df.columns and not kept.filter("id in (2000, 2001)").count() and abs(kept.count() - 604 * 0.95) <= 2
+
+
+def test_isolation_of_nothing_and_of_copies(spark):
+    none = spark.createDataFrame([], "a double")
+    assert isolation.trim_isolated_rows(none, ["a"]).collect() == []
+    same = spark.createDataFrame([(1.0,)] * 50 + [(None,)] * 3, "a double")
+    assert isolation.trim_isolated_rows(same, ["a"]).count() == 53
+
+
 def test_power_transform_lowers_skew(spark):
     df = spark.range(1, 400).select((F.col("id") ** 3).cast("double").alias("v"))
     lam = features.power_lambdas(df, ["v"])["v"]
