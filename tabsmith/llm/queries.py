@@ -119,31 +119,29 @@ def shards(t):
 
 
 TEMPLATE_SQL = """
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n
   FROM documents),
 bare AS (SELECT doc_id, text, n, regexp_replace(trim(l), '[0-9]+', '0', 'g') AS line FROM raw),
 lines AS (
   SELECT *, string_split(line, ' ') AS tk, len(string_split(line, ' ')) AS tokens,
          array_to_string(string_split(line, ' ')[1:3], ' ') AS head
-  FROM bare WHERE line <> '' AND len(string_split(line, ' ')) >= 2),
+  FROM bare WHERE line <> ''),
 kinds AS (
   SELECT tokens, head, line, any_value(tk) AS tk, count(DISTINCT text) AS texts FROM lines GROUP BY ALL),
-seed1 AS (SELECT tokens, head, max({'t': texts, 'l': line}).l AS seed FROM kinds GROUP BY ALL),
-one AS (
-  SELECT k.*, CASE WHEN len(list_filter(list_zip(tk, string_split(seed, ' ')), lambda z: z[1] = z[2])) / tokens::DOUBLE >= 0.75
-                   THEN seed END AS t1
-  FROM kinds k JOIN seed1 USING (tokens, head)),
-seed2 AS (SELECT tokens, head, max({'t': texts, 'l': line}).l AS seed FROM one WHERE t1 IS NULL GROUP BY ALL),
-two AS (
-  SELECT one.*, coalesce(t1, CASE WHEN len(list_filter(list_zip(tk, string_split(seed, ' ')), lambda z: z[1] = z[2]))
-                                       / tokens::DOUBLE >= 0.75 THEN seed END, line) AS template
-  FROM one LEFT JOIN seed2 USING (tokens, head)),
-named AS (SELECT l.doc_id, l.text, l.n, l.tokens, l.head, w.template FROM lines l JOIN two w USING (tokens, head, line)),
+walk(tokens, head, line, tk, texts, template) AS (
+  SELECT tokens, head, line, tk, texts, NULL::VARCHAR FROM kinds
+  UNION ALL
+  SELECT tokens, head, line, tk, texts,
+         CASE WHEN len(list_filter(list_zip(tk, string_split(seed, ' ')), lambda z: z[1] = z[2])) / tokens::DOUBLE >= 0.75 THEN seed END
+  FROM (SELECT *, (max({'t': texts, 'l': line}) OVER (PARTITION BY tokens, head)).l AS seed FROM walk WHERE template IS NULL)),
+named AS (
+  SELECT l.doc_id, l.text, l.n, l.tokens, l.head, l.line, w.template
+  FROM lines l JOIN walk w USING (tokens, head, line) WHERE w.template IS NOT NULL),
 found AS (
   SELECT tokens, head, template, min({'d': doc_id, 't': text}).t AS first_text
   FROM named GROUP BY ALL
-  HAVING count(DISTINCT text) >= CASE WHEN tokens >= 5 THEN 2 ELSE 10 END),
+  HAVING count(DISTINCT text) >= CASE WHEN tokens >= 5 OR max(length(line)) >= 40 THEN 2 ELSE 10 END),
 gone AS (
   SELECT DISTINCT doc_id, n FROM named JOIN found USING (tokens, head, template) WHERE text <> first_text),
 kept AS (

@@ -36,15 +36,15 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens_any: int) -> DataFrame:
-    """(doc, twin, n, leaf, line): one row per line of at least so many tokens; `twin` names the whole text."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(doc, twin, n, line, tokens, leaf): one row per line that is not blank; `twin` names the whole text."""
     text = text_of(text_col)
     # The text ends here: behind the generator only its hash goes along with each line.
     held = docs.select(c(id_col).alias("doc"), F.xxhash64(text).alias("twin"), F.split(text, "\n").alias("lines"))
     rows = held.select("doc", "twin", F.posexplode("lines").alias("n", "raw"))
     rows = rows.withColumn("line", masked(F.col("raw"))).drop("raw")
     rows = rows.withColumn("tokens", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    rows = rows.filter((F.col("tokens") >= min_tokens_any) & (F.col("line") != ""))
+    rows = rows.filter("line != ''")
     return rows.withColumn("leaf", F.xxhash64("tokens", F.substring_index("line", " ", depth)))
 
 
@@ -140,18 +140,19 @@ def recurring_lines(
     likeness: float = 0.75,
     min_texts: int = 2,
     min_tokens: int = 5,
+    min_chars: int = 40,
     short_texts: int = 10,
-    min_tokens_any: int = 2,
 ) -> DataFrame:
     """(doc, twin, n, template, texts, first): the lines whose template recurs.
 
     `texts` counts the different whole texts that hold the template, `first`
     says that the line belongs to the smallest (id, text hash) of them. Exact
     copies of a document count as one text. Templates of fewer than
-    `min_tokens` tokens recur by chance and need `short_texts` texts; lines of
-    fewer than `min_tokens_any` tokens never count.
+    `min_tokens` tokens recur by chance and need `short_texts` texts, unless a
+    masked line of theirs has `min_chars` characters: a line without blanks
+    may be long. Only blank lines never count.
     """
-    rows = line_rows(docs, id_col, text_col, depth, min_tokens_any)
+    rows = line_rows(docs, id_col, text_col, depth)
     seen = rows.groupBy("leaf").agg(F.min("twin").alias("_a"), F.max("twin").alias("_b")).filter("_a != _b").select("leaf")
     lines = rows.join(seen, "leaf", "left_semi").withColumn("kind", F.xxhash64("line"))
     lines = materialise(lines, "template-lines")
@@ -161,15 +162,18 @@ def recurring_lines(
         F.count("*").alias("texts"), F.first("line").alias("line"), F.first("tokens").alias("tokens")
     )
     named = materialise(_named(materialise(kinds, "template-kinds"), depth, likeness), "template-names")
-    lines = lines.drop("line", "tokens").join(named, ["leaf", "kind"])
-    spots = lines.groupBy("leaf", "template", "twin").agg(F.min("doc").alias("doc"), F.first("tokens").alias("tokens"))
+    lines = lines.withColumn("chars", F.length("line")).drop("line", "tokens").join(named, ["leaf", "kind"])
+    spots = lines.groupBy("leaf", "template", "twin").agg(
+        F.min("doc").alias("doc"), F.first("tokens").alias("tokens"), F.max("chars").alias("chars")
+    )
     found = spots.groupBy("leaf", "template").agg(
         F.count("*").alias("texts"),
         F.min(F.struct(F.col("doc").isNull(), "doc", "twin"))["twin"].alias("_first"),
         F.first("tokens").alias("tokens"),
+        F.max("chars").alias("chars"),
     )
-    enough = F.when(F.col("tokens") >= min_tokens, F.lit(min_texts)).otherwise(F.lit(short_texts))
-    found = found.filter(F.col("texts") >= enough).drop("tokens")
+    long = (F.col("tokens") >= min_tokens) | (F.col("chars") >= min_chars)
+    found = found.filter(F.col("texts") >= F.when(long, F.lit(min_texts)).otherwise(F.lit(short_texts))).drop("tokens", "chars")
     return lines.join(found, ["leaf", "template"]).select(
         "doc", "twin", "n", "template", "texts", (F.col("twin") == F.col("_first")).alias("first")
     )

@@ -235,6 +235,39 @@ def test_copies_are_one_text_and_short_lines_need_many(texts):
     assert sum(t.startswith("so it is") for t in many.values()) == 1
 
 
+def test_long_lines_without_blanks_count_as_lines(texts):
+    chinese, tabs = "这是一行没有空格的很长的文字" * 4, "\t".join(f"field{x}" for x in "abcdefgh")
+    own = lambda i: f"{'abcdefghijklmnop'[i] * 9} has words of its own"
+    got = kept(texts([(i, f"{own(i)}\n{chinese}\n{tabs}\nLes.") for i in range(3)]))
+    assert chinese in got[0] and tabs in got[0]
+    assert got[1] == f"{own(1)}\nLes." and got[2] == f"{own(2)}\nLes."
+    many = kept(texts([(i, f"{own(i)}\nLes.") for i in range(11)]))
+    assert sum(t.endswith("Les.") for t in many.values()) == 1
+
+
+def test_the_sql_of_whole_documents_agrees(spark, texts):
+    """Five templates in a leaf, short lines, long lines without blanks, copies."""
+    import duckdb
+
+    from tabsmith.llm.queries import TEMPLATE_SQL
+
+    rng = random.Random(12)
+    words = ["user", "disk", "cache", "node", "job", "of", "was", "is", "in", "the"]
+    pairs = []
+    for i in range(60):
+        lines = [f"2024-01-0{i % 9} INFO {rng.choice('ab')} " + " ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 9]))) for _ in range(6)]
+        lines += rng.choices(["Les.", "so it is", "这是一行没有空格的很长的文字" * 4, "", "  12 34  ", "x" * 50], k=3)
+        pairs.append((i, "\n".join(lines)))
+    pairs += [(100 + i, pairs[i][1]) for i in range(4)]
+    docs = texts(pairs)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    want = sorted(con.execute(TEMPLATE_SQL).fetchall())
+    rows = templates.drop_lines(docs.select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    got = sorted(tuple(r) for r in rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect())
+    assert got == want and sum(r[2] for r in got) > 50
+
+
 def test_line_rows_of_odd_documents(texts, make):
     docs = texts([*ODD, (8, "a line that is repeated\n" * 3000), (9, "a line that is repeated\nb")])
     out = templates.drop_lines(docs, counts=("n_lines", "n_dropped"))
