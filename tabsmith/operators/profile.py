@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabsmith.functions.columns import (
     col,
@@ -162,18 +166,40 @@ def infer_types(df: DataFrame, order: str | None = None, samples: int = 5) -> Da
 def first_values(df: DataFrame, names: list[str], order: str, n: int) -> DataFrame:
     """(column, samples): first n non-null values by order, as text.
 
-    min_by reductions peel off one value at a time from a frame already
-    limited to the n smallest keys per column.
+    One scan for all columns: a task keeps the n values with the smallest keys
+    of each column and sends no more, so nothing is sorted. Rows without a key
+    come first; rows of one key stand in no set order.
     """
-    parts = None
-    for c in names:
-        rows = df.filter(col(c).isNotNull()).select(
-            F.lit(c).alias("column"), col(order).alias("o"), col(c).cast("string").alias("v")
-        )
-        top = rows.orderBy("o").limit(n)  # top-n per task, then n rows in one
-        parts = top if parts is None else parts.unionAll(top)
-    grouped = parts.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("s"))
-    return grouped.select("column", F.concat_ws("|", F.col("s.v")).alias("samples"))
+    rows = df.select(col(order).alias("o"), *[col(c).alias(f"v{i}") for i, c in enumerate(names)])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in (T.StructField("i", T.IntegerType()), *rows.schema.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for b in batches:
+            key = b.column(0)
+            for i in range(len(names)):
+                known = b.column(i + 1).is_valid()
+                o, v = key.filter(known), b.column(i + 1).filter(known)
+                if i in held:
+                    if len(held[i][0]) == n and not o.null_count and len(o) and not held[i][0].null_count:
+                        if pc.min(o).as_py() >= pc.max(held[i][0]).as_py():
+                            continue
+                    o, v = pa.concat_arrays([held[i][0], o]), pa.concat_arrays([held[i][1], v])
+                first = pc.sort_indices(o, null_placement="at_start")[:n]
+                held[i] = o.take(first), v.take(first)
+        arrow = to_arrow_schema(schema)
+        for i, (o, v) in held.items():
+            if len(o):
+                empty = [pa.nulls(len(o), f.type) for f in list(arrow)[2:]]
+                empty[i] = v.cast(arrow.field(i + 2).type)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(o), pa.int32()), o.cast(arrow.field(1).type), *empty], schema=arrow)
+
+    found = rows.mapInArrow(run, schema)
+    text = F.coalesce(*[F.col(f"v{i}").cast("string") for i in range(len(names))])
+    place = F.row_number().over(W.partitionBy("i").orderBy("o", "v"))
+    top = found.select("i", "o", text.alias("v")).withColumn("place", place).filter(F.col("place") <= n)
+    grouped = top.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("s"))
+    return grouped.select(F.get(F.array(*map(F.lit, names)), F.col("i")).alias("column"), F.concat_ws("|", F.col("s.v")).alias("samples"))
 
 
 def logical_type_shares(df: DataFrame, columns: list[str]) -> DataFrame:

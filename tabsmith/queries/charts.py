@@ -85,6 +85,20 @@ def columns(t):
     return rounded(charts.chart_columns(t.events.select("event_id", "user_id", "event_type", "props"), "event_id"), ["mean"])
 
 
+EVENTS = [("event_id", "numeric"), ("ts", "datetime"), ("user_id", "numeric"), ("event_type", "categorical"), ("value", "numeric"), ("props", "categorical")]
+EVENT_SAMPLES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", string_agg(v, '|' ORDER BY k) AS samples FROM
+    (SELECT l.event_id AS k, CAST(l.{c} AS VARCHAR) AS v FROM events l WHERE l.{c} IS NOT NULL ORDER BY k LIMIT 5)"""
+    for c, _ in EVENTS
+)
+
+
+@query("h6_chart_columns_events", f"""SELECT p.*, s.samples FROM ({chart_sql("events", EVENTS)}) p JOIN ({EVENT_SAMPLES}) s USING ("column")""")
+def event_columns(t):
+    """All columns of the table, times and numbers among them."""
+    return rounded(charts.chart_columns(t.events, "event_id"), ["mean"])
+
+
 def suggestions_sql() -> str:
     cats = " UNION ALL ".join(f"SELECT '{d}' AS dataset, * FROM ({chart_sql(d, c)})" for d, c in COLUMNS.items())
     return f"""WITH k AS ({cats}),

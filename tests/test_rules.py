@@ -312,3 +312,16 @@ def test_impute_unknown_mode(spark):
     assert tuple(impute.impute_mode(df, ["s"]).first()) == ("Unknown", None)
     assert impute.impute_mean(df, ["v"]).first()["v"] == 0.0
     assert impute.impute_median(df, ["v"]).first()["v"] == 0.0
+
+
+def test_first_values_of_all_columns_in_one_scan(spark):
+    rows = [(i * 7 % 1000, None if i % 3 else f"t{i}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(i) if i > 990 else None, None) for i in range(1000)]
+    rows += [(None, "no key", None, None, None), (None, None, dt.datetime(1999, 1, 1), None, None)]
+    kinds = "k int, `a b` string, ts timestamp, few double, none string"
+    df = spark.createDataFrame(rows, kinds).repartition(9)
+    names = ["a b", "ts", "few", "none", "k"]
+    got = {r["column"]: r["samples"] for r in profile.first_values(df, names, "k", 4).collect()}
+    for i, name in ((1, "a b"), (2, "ts"), (3, "few"), (0, "k")):
+        known = sorted((r[0] is not None, r[0] or 0, str(r[i])) for r in rows if r[i] is not None)[:4]
+        assert got[name] == "|".join(v for _, _, v in known), name
+    assert "none" not in got and profile.first_values(df.limit(0), names, "k", 4).collect() == []
