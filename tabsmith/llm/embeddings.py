@@ -1,9 +1,13 @@
 """Near-duplicate vectors: random-hyperplane signs in several tables, exact cosines, components.
 
 Equal vectors of one label are one class. A class gets a signature of `bits`
-signs per table; classes that agree on a whole signature meet in a bucket. A
-pair of cosine 0.98 meets in a given table of 16 bits with probability 0.35,
-so 24 tables miss less than one such pair in 30 000, closer ones far less.
+signs per table; classes that agree on a whole signature meet in a bucket. Two
+vectors at an angle agree in a sign with probability 1 - angle / pi. A label of
+1024 classes has 16 bits, and a bit comes with every doubling of the largest
+label, so buckets keep their size while the table grows. The number of tables
+follows the bits, so that of the pairs at the least cosine, the hardest ones,
+less than one in 30 000 is missed: 25 tables of 16 bits at 0.98, 31 of 19, 42
+of 23.
 
 Buckets are compared block by block: a bucket's rows are dealt to blocks by
 hash, and each pair of blocks is one group, so a hot bucket becomes many tasks
@@ -14,6 +18,7 @@ in the first table in which it meets, which both signatures tell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,15 @@ from tabsmith.session import materialise
 
 #: Rows of a bucket's block, about.
 BLOCK = 1024
+#: Bits for a label of so many classes, the most bits, and the share of pairs at the least cosine that may be missed.
+LEAST_BITS, LABEL_ROWS, MOST_BITS, MISSED = 16, 1024, 30, 1 / 30_000
+
+
+def table_plan(most: int, least: float) -> tuple[int, int]:
+    """(tables, bits) for the classes of the largest label and the least cosine."""
+    bits = min(MOST_BITS, LEAST_BITS + max(0, math.ceil(math.log2(max(most, 1) / LABEL_ROWS))))
+    meet = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return (1 if meet == 1 else math.ceil(math.log(MISSED) / math.log1p(-meet))), bits
 
 
 def _planes(dims: int, tables: int, bits: int) -> np.ndarray:
@@ -79,8 +93,8 @@ def near_vectors(
     vector_col: str = "embedding",
     label_col: str = "label",
     least: float = 0.98,
-    tables: int = 24,
-    bits: int = 16,
+    tables: int | None = None,
+    bits: int | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of `vectors`.
@@ -90,7 +104,8 @@ def near_vectors(
     Null, empty and zero vectors and those with null or non-finite components
     link with nothing, so do rows without a label; their component is their own
     id. `n_links` counts the other rows that link directly, equal vectors
-    included. Rows of one id are rows of their own; a component's id is the
+    included. `tables` and `bits` are worked out by `table_plan` where one is
+    not given. Rows of one id are rows of their own; a component's id is the
     smallest id in it, null where it has none. An empty table gives no rows.
     """
     rows = vectors.select(
@@ -104,6 +119,9 @@ def near_vectors(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("members")
     ).withColumn("node", F.monotonically_increasing_id())
     classes = materialise(classes, "vector-classes")
+    if tables is None or bits is None:
+        most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        tables, bits = table_plan(most, least)
     signed = materialise(_signatures(classes.select("node", "label", "members", "embedding"), tables, bits), "vector-signatures")
     spots = signed.select("node", "label", F.size("embedding").alias("dims"), F.posexplode("sigs").alias("t", "sig"))
     bucket = ["t", "sig", "label", "dims"]

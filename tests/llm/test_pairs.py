@@ -8,7 +8,7 @@ import pytest
 
 from tabsmith.llm import ngram_join
 from tabsmith.llm.components import components
-from tabsmith.llm.embeddings import near_vectors
+from tabsmith.llm.embeddings import near_vectors, table_plan
 
 
 def roots(edges, nodes):
@@ -53,6 +53,13 @@ def brute_vectors(rows):
     return sorted(out, key=str)
 
 
+def test_tables_follow_the_bits():
+    plans = [table_plan(n, 0.98) for n in (0, 1024, 1025, 5000, 10**7, 10**12)]
+    assert plans[:2] == [(25, 16)] * 2 and [b for _, b in plans] == [16, 16, 17, 19, 30, 30]
+    meet = 1 - np.arccos(0.98) / np.pi
+    assert all((1 - meet**bits) ** tables <= 1 / 30_000 for tables, bits in plans) and table_plan(5, 1.0) == (1, 16)
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = []
