@@ -39,7 +39,7 @@ BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 #: The dictionary: its size, the most sampled documents, and the longest sampled text.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 64 << 10, 1000, 8000
 #: Words of one generation of a worker's cache, the longest one kept, and how many are encoded at a time.
-GENERATION, LONGEST, JOINED = 600_000, 100, 2000
+GENERATION, LONGEST, JOINED = 400_000, 100, 2000
 
 # How a tokenizer file says that it lowers texts, drops white space and parts words from marks.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -174,7 +174,7 @@ class WordCoder:
         return [out[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _batches(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters together."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -253,7 +253,7 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
         arrow = _arrow(schema)
-        for b in slices(batches, 2000):
+        for b in slices(batches, 1000):
             texts = b.column("text").to_pylist()
             keys, part = b.column("id").to_pylist(), b.column("part")[0].as_py() if len(texts) else part
             for lo, hi in _batches(texts):
