@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to piece ids in five stages, each written before the next."""
+"""The corpus pipeline: documents to piece ids in five stages, each written before the next.
+
+All stages but the last keep the columns of their input. A null text counts as
+an empty one: it is never toxic, loses no line, is no copy, has no words for the
+mix and so leaves there. Null and repeated ids are rows like others; a null
+source is a source of its own. An empty table stays empty in every stage.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +50,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Tokenizers and fitted models are beyond SQL; a brute-force version stands in tests/llm.
+#: Tokenizers and fitted models are beyond SQL; tests/llm/test_pipeline.py runs every stage in plain Python beside it.
 ORACLE_SQL = None
 
 
