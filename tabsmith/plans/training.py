@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import threading
 import time
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -206,32 +209,71 @@ def fold_metrics(held: DataFrame, task: str, classes: int, by: list[str]) -> Dat
     return found.join(class_auc(held.filter("scores is not null"), classes, by), by, "left")
 
 
-def cross_validate(data: DataFrame, models: dict, task: str, classes: int, folds: int = 3, parallelism: int = 4):
+@contextmanager
+def time_limit(spark, seconds: float | None):
+    """Cancel the jobs that this thread starts once they take longer; the one that runs then raises."""
+    if seconds is None:
+        yield
+        return
+    context, group = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    context.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    over = threading.Event()
+
+    def watch():
+        # Again and again, for a model may start its next job.
+        if not over.wait(seconds):
+            while not over.wait(0.2):
+                context.cancelJobGroup(group)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        over.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cross_validate(data: DataFrame, models: dict, task: str, classes: int, folds: int = 3, parallelism: int = 4, limit: float | None = None):
     """M7: mean metrics of each model over the folds of `data` (features,
     label, fold); a dict of errors and one of training seconds come along.
 
     All fits run side by side, then all predictions, which are written and
-    scored in one grouped pass. A model that fails in either is left out.
+    scored in one grouped pass. A model that fails in either is left out, and so
+    is one that takes more than `limit` seconds for a fit or a prediction; with
+    a limit models run one after another, so that none waits for another's
+    tasks while its own time runs.
     """
     errors, seconds = {}, dict.fromkeys(models, 0.0)
 
+    def reason(problem: Exception, begin: float) -> str:
+        if limit is not None and time.time() - begin >= limit:
+            return f"took longer than {limit} s"
+        return str(problem).splitlines()[0][:200]
+
     def fit(job):
         name, k = job
         begin = time.time()
+        if name in errors:
+            return name, k, None, 0.0
         try:
-            return name, k, models[name].fit(data.filter(F.col("fold") != k)), time.time() - begin
+            with time_limit(data.sparkSession, limit):
+                return name, k, models[name].fit(data.filter(F.col("fold") != k)), time.time() - begin
         except FIT_ERRORS as problem:
-            errors[name] = str(problem).splitlines()[0][:200]
+            errors[name] = reason(problem, begin)
             return name, k, None, 0.0
 
     def predict(job):
         name, k, model = job
+        begin = time.time()
         try:
-            return materialise(_predictions(model, data.filter(F.col("fold") == k), name), "predictions")
+            with time_limit(data.sparkSession, limit):
+                return materialise(_predictions(model, data.filter(F.col("fold") == k), name), "predictions")
         except FIT_ERRORS as problem:
-            errors[name] = str(problem).splitlines()[0][:200]
+            errors[name] = reason(problem, begin)
 
-    with ThreadPool(parallelism) as pool:
+    with ThreadPool(parallelism if limit is None else 1) as pool:
         jobs = [(n, k) for n in models for k in range(folds)]
         fitted = pool.map(inheritable_thread_target(data.sparkSession)(fit), jobs, chunksize=1)
         for name, _, _, took in fitted:
@@ -326,11 +368,13 @@ def train_leaderboard(
     seed: int = 123,
     include: list[str] | None = None,
     parallelism: int = 4,
+    limit: float | None = None,
 ) -> Trained:
     """Check, split, cross-validate every model, rank, refit the best.
 
     The assembled vectors are written once and read by every model. A model
-    that cannot be fitted or applied is listed with its error. The best model
+    that cannot be fitted or applied, or takes longer than `limit` seconds for
+    a fold, is listed with its error. The best model
     that can be saved is scored on the rows left out, then fitted on all.
     """
     clean = checked(df, target, task)
@@ -342,7 +386,7 @@ def train_leaderboard(
     models = classifiers(len(labels), width, seed) if task == "classification" else regressors(seed)
     models = {n: m for n, m in models.items() if include is None or n in include}
     names = CLASS_METRICS if task == "classification" else NUMBER_METRICS
-    means, errors, seconds = cross_validate(data, models, task, len(labels), folds, parallelism)
+    means, errors, seconds = cross_validate(data, models, task, len(labels), folds, parallelism, limit)
     found = {r["Model"]: r.asDict() for r in means.collect()} if means is not None else {}
     rows = [
         (n, *[_number(found.get(n, {}).get(m)) for m in names], errors.get(n), seconds[n]) for n in models

@@ -188,3 +188,16 @@ def test_leaderboard_has_neighbours_and_a_holdout(flowers):
     board = {r["Model"]: r for r in done.leaderboard.collect()}
     assert board["K Neighbors"]["Accuracy"] > 0.8 and board["K Neighbors"]["AUC"] > 0.8
     assert done.best == "Decision Tree" and done.holdout.first()["Accuracy"] > 0.7
+
+
+def test_a_slow_model_does_not_hold_up_the_others(spark, flowers):
+    class Endless:
+        def fit(self, rows):
+            spark.range(1 << 42).agg(F.sum(F.hash("id"))).collect()
+
+    ready, _, labels = training.assembled(flowers, ["length", "width"], "kind", "classification")
+    data = training.materialise(training.with_folds(ready, ["id"], 2, 1).select("features", "label", "fold"), "vectors")
+    models = {"Endless": Endless(), "Decision Tree": training.classifiers(2, 2)["Decision Tree"]}
+    means, errors, _ = training.cross_validate(data, models, "classification", len(labels), folds=2, limit=20)
+    assert [r["Model"] for r in means.collect()] == ["Decision Tree"] and errors == {"Endless": "took longer than 20 s"}
+    assert spark.range(10).count() == 10
