@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsmith.llm.common import c, text_of
-from tabsmith.llm.components import components
+from tabsmith.llm.components import stars
 from tabsmith.session import materialise
 
 N = 5
@@ -232,12 +232,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(rows.select("hub", "node", "n", "shared").mapInArrow(_compare(percent), "u long, v long"), "ngram-links")
 
 
-def _placed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The entries with the component that each text is in so far."""
-    if roots is None:
-        return entries.withColumn("root", F.col("node"))
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialise(placed, "ngram-placed")
+def _rooted(nodes: DataFrame, star: DataFrame | None) -> DataFrame:
+    """The rows with the component that each text is in so far; one that points at no other is its own."""
+    if star is None:
+        return nodes.withColumn("root", F.col("node"))
+    roots = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -281,12 +281,13 @@ def _classes(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         most = F.least(n - i, m - j)
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
-    roots, links, tested = None, None, None
+    star, tested = None, None
     for turn in range(rounds):
         # Per hash members of the largest component, one for each of up to 32 slots, meet one of each other
         # component there: first one of them, the same for as many hashes as can be, then eight, always
         # others. Entries early enough in their order to pass with an equal come first.
-        placed = _placed(entries, roots)
+        placed = _rooted(entries, star)
+        placed = materialise(placed, "ngram-placed") if turn else placed
         seed = [F.col("hash"), F.lit(turn)] if turn else []
         slot = F.pmod(F.xxhash64("node", *seed), F.lit(32)).cast("int") if turn else F.lit(0)
         late = (100 + percent) * (F.col("n") - F.col("pos")) < 2 * percent * F.col("n")
@@ -302,10 +303,9 @@ def _classes(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
         pairs = materialise(_untested(pairs, tested).distinct(), "ngram-pairs")
         found = _verify(pairs, joined, percent)
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        star = stars(found if star is None else star.union(found))
     # What is left: documents of different components that meet in a prefix.
-    placed = _placed(entries, roots)
+    placed = materialise(_rooted(entries, star), "ngram-placed")
     left = placed.join(_open(placed), "hash", "left_semi")
     cross = left.alias("e").join(left.alias("f"), (F.col("e.hash") == F.col("f.hash")) & (F.col("e.root") < F.col("f.root")))
     cross = cross.filter(passes("e", "f")).groupBy(F.col("e.node").alias("hub"), F.col("f.node").alias("node")).agg(
@@ -318,9 +318,9 @@ def _classes(rows: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     cross = materialise(_untested(cross, tested), "ngram-cross")
     more = _verify(cross, joined, percent)
     if more.limit(1).count():
-        roots = components(links.union(more))
-    whole = sets.select("node", "n").join(reps.select("node", "key", "least_id"), "node").join(roots, "node", "left")
-    return materialise(whole.withColumn("root", F.coalesce("root", "node")), "ngram-classes")
+        star = stars(star.union(more))
+    whole = sets.select("node", "n").join(reps.select("node", "key", "least_id"), "node")
+    return materialise(_rooted(whole, star), "ngram-classes")
 
 
 def ngram_components(

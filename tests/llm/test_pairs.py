@@ -35,6 +35,40 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def stages_run(spark, run):
+    """How many stages the jobs of a call had that were not skipped."""
+    context, group = spark.sparkContext, f"stages-{random.random()}"
+    context.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in set(tracker.getJobInfo(j).stageIds)]
+    return sum(i is not None and i.numCompletedTasks > 0 for i in infos)
+
+
+def test_components_take_few_stages(spark):
+    """A round over many partitions costs its stages; the last round only confirmed the one before."""
+    edges = [(100 * s, 100 * s + i) for s in range(20) for i in range(1, 50)] + [(100 * s + 7, 100 * s + 109) for s in range(0, 20, 2)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {}
+    count = stages_run(spark, lambda: got.update({r["node"]: r["root"] for r in components(df).collect()}))
+    assert got == roots(edges, {n for e in edges for n in e})
+    assert count <= 26, count
+
+
+def test_ngram_join_takes_few_stages(spark, texts):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    body = [t for _ in range(6) for t in family(rng, words, 10, 3)]
+    docs = texts(list(enumerate(body)))
+    got = []
+    count = stages_run(spark, lambda: got.extend(ngram_join.ngram_components(docs).collect()))
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == brute_join(list(enumerate(body)))
+    assert count <= 110, count
+
+
 def brute_vectors(rows):
     usable = [(k, i, x, y) for k, (i, x, y) in enumerate(rows) if x and y is not None and None not in x and np.isfinite(x).all() and np.any(x)]
     links = {k: set() for k in range(len(rows))}
