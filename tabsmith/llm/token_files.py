@@ -45,9 +45,10 @@ GENERATION, LONGEST, JOINED = 400_000, 100, 2000
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-#: Pieces that can be parted here as the tokenizer parts them: Latin letters, digits, marks.
+#: Pieces that can be parted here as the tokenizer parts them: Latin letters, digits, marks. Python takes four
+#: separators (1C to 1F) for white space that the tokenizer takes for marks.
 LATIN = re.compile("[\x21-\u012f\u0131-\u024f\u2010-\u2027]+")
-RUNS = re.compile("'[sStT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\\W\\d_]+|[0-9]|(?:[^\\w\\s]|_)+|.")
+RUNS = re.compile("'[sStT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|[^\\W\\d_]+|[0-9]|(?:[^\\w\\s]|[_\x1c-\x1f])+|.")
 
 _coders: dict[tuple, WordCoder] = {}
 
@@ -57,8 +58,9 @@ class WordCoder:
 
     The tokenizer drops white space and no token crosses it, so a text's ids
     are those of its pieces between blanks and line breaks. Inside a piece it
-    parts letters, digits and marks; Latin pieces are parted alike, and each
-    distinct part is encoded by the library once while it stays in the cache.
+    parts letters, digits and marks; Latin pieces are parted alike, those of
+    ASCII in one go, and each distinct part is encoded by the library once
+    while it stays in the cache.
     Words of letters are encoded many at a time, parted by blanks, and cut
     behind the ids that end a word. All this is checked when the file is read.
     """
@@ -78,7 +80,7 @@ class WordCoder:
         if any(ch in t["content"] for t in spec["added_tokens"] for ch in " \n"):
             raise ValueError("a special token goes across a cut")
         #: Strings that the tokenizer takes whole, wherever they stand.
-        self.special = [t["content"].lower() for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)", re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 8 * width:
             raise ValueError(f"ids do not fit in {width} bytes")
@@ -94,13 +96,8 @@ class WordCoder:
         return _coders[model, width]
 
     def _parts(self, piece: str) -> list[str]:
-        """What the tokenizer parts a piece into, or the piece itself where letters outside Latin script would decide."""
-        lower = piece.lower()
-        if any(t in lower for t in self.special):
-            return [piece]
-        if piece.isascii():
-            return RUNS.findall(lower)
-        if LATIN.fullmatch(piece) and unicodedata.is_normalized("NFC", piece):
+        """What the tokenizer parts a piece that is not all ASCII into, or the piece itself where other scripts or special strings would decide."""
+        if not self.special.search(piece) and LATIN.fullmatch(piece) and unicodedata.is_normalized("NFC", piece):
             return RUNS.findall(piece)
         return [piece]
 
@@ -123,35 +120,57 @@ class WordCoder:
             out.update(zip(group, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
+    def _new(self, parts: set[str]) -> None:
+        """Bring ids of strings into the cache, from the older generation or the library."""
+        young, old, letters, others = self.young, self.old, [], []
+        for x in parts:
+            if x not in young:
+                ids = old.get(x)
+                if ids is not None:
+                    young[x] = ids
+                else:
+                    (letters if x.isalpha() else others).append(x)
+        young.update(self._letters(letters))
+        young.update(self._each(others))
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces, from the cache or the library."""
         young, old = self.young, self.old
         out = list(map(young.get, pieces))
-        at, words, mixed = [], [], {}
+        words, mixed, rest = [], [], []
         for i in [i for i, ids in enumerate(out) if ids is None]:
             p = pieces[i]
             ids = old.get(p)
             if ids is not None:
                 out[i] = young[p] = ids
-            elif p.isascii() and p.isalpha():
-                at.append(i)
-                words.append(p.lower())
+            elif p.isascii():
+                (words if p.isalpha() else mixed).append(i)
             else:
-                mixed[i] = self._parts(p)
-        rest = set(words).union(*mixed.values()).difference(young)
-        for x in [x for x in rest if x in old]:
-            young[x] = old[x]
-        rest.difference_update(young)
-        letters = [x for x in rest if x.isalpha()]
-        young.update(self._letters(letters))
-        young.update(self._each(list(rest.difference(letters))))
-        for i, word in zip(at, words):
+                rest.append(i)
+        # Pieces are lowered and parted together, parted by blanks, which no piece holds.
+        if self.special.search(" ".join([pieces[i] for i in mixed])):
+            rest += [i for i in mixed if self.special.search(pieces[i])]
+            mixed = [i for i in mixed if not self.special.search(pieces[i])]
+        lower = " ".join([pieces[i] for i in words]).lower().split(" ")
+        flat = RUNS.findall(" ".join([pieces[i] for i in mixed]).lower())
+        parts = [self._parts(pieces[i]) for i in rest]
+        needed = set(lower).union(flat, *parts) - {" "}
+        self._new(needed)
+        for i, word in zip(words, lower):
             out[i] = young[word]
-        for i, parts in mixed.items():
-            out[i] = b"".join([young[x] for x in parts])
-        young.update((pieces[i], out[i]) for i in [*at, *mixed] if len(pieces[i]) <= LONGEST)
-        for x in [x for x in rest if len(x) > LONGEST]:
-            del young[x]
+        young[" "] = b""
+        start, known = 0, [young[x] for x in flat]
+        for i, end in zip(mixed, [*(k for k, x in enumerate(flat) if x == " "), len(flat)]):
+            out[i] = b"".join(known[start:end])
+            start = end + 1
+        for i, own in zip(rest, parts):
+            out[i] = b"".join([young[x] for x in own])
+        for i in [*words, *mixed, *rest]:
+            if len(pieces[i]) <= LONGEST:
+                young[pieces[i]] = out[i]
+        for x in needed:
+            if len(x) > LONGEST:
+                del young[x]
         if len(young) > GENERATION:
             # What was not asked for during a whole generation is forgotten.
             self.young, self.old = {"": b""}, young
@@ -164,17 +183,19 @@ class WordCoder:
         coded = split.values.dictionary_encode()
         ids = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(ids), self.dtype)
-        size = np.array([len(x) for x in ids], np.int64) // flat.itemsize
-        first = np.cumsum(size) - size
+        # Small batches have small positions. A byte gives at most three ids.
+        kind = np.int32 if lines.nbytes < 1 << 29 else np.int64
+        size = np.fromiter(map(len, ids), kind, len(ids)) // flat.itemsize
+        first = np.cumsum(size, dtype=kind) - size
         at = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(size[at])])
+        ends = np.concatenate([np.zeros(1, kind), np.cumsum(size[at], dtype=kind)])
         # Place i of the output is as far into its piece as it is behind the piece's first place.
-        places = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], size[at])
+        places = np.arange(ends[-1], dtype=kind) + np.repeat(first[at] - ends[:-1], size[at])
         out, bounds = flat[places], ends[split.offsets.to_numpy()]
         return [out[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def _batches(texts: list[str], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def _batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters together."""
     start = size = 0
     for i, t in enumerate(texts):

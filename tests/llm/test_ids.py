@@ -73,6 +73,30 @@ def test_words_equal_the_library_with_a_cache_that_forgets(bpe, monkeypatch):
         assert len(coder.young) < 2000 and not any(len(w) > 100 for w in coder.young)
 
 
+def test_ascii_pieces_are_parted_in_one_go(bpe, monkeypatch):
+    """One search parts all pieces of a call; before, each piece took one of its own."""
+    calls = []
+
+    class Counted:
+        def findall(self, text):
+            calls.append(text)
+            return runs.findall(text)
+
+    runs = token_files.RUNS
+    monkeypatch.setattr(token_files, "RUNS", Counted())
+    coder = token_files.WordCoder(P.path("word_bpe_49k.json"), 2)
+    odd = ["it's", "IT'S", "a_b", "__", "x1y22", "tab\tin", "\t", "a\rb", "\x0b", "\x1c,", "...", "'ll'LL", "A<|ENDOFTEXT|>b", "<|startoftext|>", "a<|endoftext|>,b", "<|x|>", "y" * 150 + ".", "\x00z"]
+    text = [*odd, " ".join(odd), "\n".join(odd * 3), "", " ", "  \n ", "Ärger, ÉTÉ. e\u0301! ΟΔΟΣ, İ. 漢字 a", "plain words only"]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(text)] == [bpe(t) for t in text]
+    assert sum(t.isascii() for t in calls) <= 2
+
+
+def test_a_slice_of_usual_texts_is_one_batch():
+    """Words that several texts share are looked up once; 2 MB batches cut such a slice in two."""
+    assert list(token_files._batches(["x" * 3400] * 1000)) == [(0, 1000)]
+
+
 def test_another_tokenizer_is_an_error():
     with pytest.raises(ValueError, match="known way"):
         token_files.WordCoder(P.path("byte_bpe_50k.json"), 2)
