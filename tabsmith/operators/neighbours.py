@@ -8,12 +8,16 @@ the plan is the same for two features as for hundreds.
 2. Donors are cut into cells: the widest feature at its median, again and again,
    rows without the feature in a cell of their own. The cuts come from a bounded
    sample and decide speed only; each cell's box comes from all its donors.
-3. A receiver looks into the cells nearest to it until they hold k donors. The
-   k-th distance found bounds how far a better donor can be.
-4. Every cell whose box is within the bound is searched; the result is exact.
-
-A cell and its visitors meet in blocks of bounded size, compared by matrix
-products; what may belong to the nearest is measured again term by term. Ties
+3. A receiver looks into its own cell, then into the nearest ones, until they hold
+   k donors. The k-th distance found bounds how far a better donor can be.
+4. Every further cell whose box is within the bound is searched; the result is
+   exact. Such cells are found from the tree's root downwards, so a receiver
+   does not meet all boxes.
+
+A cell and its visitors meet in blocks of bounded size. A block is cut into
+leaves in the same way, and a receiver is compared by matrix products with the
+leaves within its bound; what may belong to the nearest is measured again term
+by term. Ties
 are ordered by the donor's values in the order of the features, so no row
 identity is needed.
 """
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabsmith.functions.columns import col
@@ -32,8 +37,8 @@ from tabsmith.session import materialise
 
 #: Donors of a cell that are wanted, and the most cells: all boxes together hold at most this many sides.
 CELL_ROWS, BOX_SIDES = 2048, 1 << 18
-#: Donors and receivers that meet at a time.
-DONOR_BLOCK, RECEIVER_BLOCK = 4096, 8192
+#: Donors and receivers that meet at a time, and the donors of a leaf that are compared at once.
+DONOR_BLOCK, RECEIVER_BLOCK, LEAF_ROWS = 4096, 8192, 64
 #: Donors that the cuts are taken from.
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 21
 SLACK = 1 + 1e-9
@@ -116,6 +121,43 @@ class Boxes:
     def __init__(self, low: np.ndarray, high: np.ndarray, some: np.ndarray, every: np.ndarray):
         self.low, self.high, self.some, self.every = low, high, some, every
 
+    @staticmethod
+    def of(cell: np.ndarray, x: np.ndarray, cells: int) -> Boxes:
+        """The boxes of rows that are at hand."""
+        low, high = np.zeros((cells, x.shape[1])), np.zeros((cells, x.shape[1]))
+        some, every = np.zeros(low.shape, bool), np.zeros(low.shape, bool)
+        order = np.argsort(cell, kind="stable")
+        at, first = np.unique(cell[order], return_index=True)
+        x = x[order]
+        low[at], high[at] = np.fmin.reduceat(x, first), np.fmax.reduceat(x, first)
+        some[at], every[at] = np.logical_or.reduceat(~np.isnan(x), first), np.logical_and.reduceat(~np.isnan(x), first)
+        return Boxes(low, high, some, every)
+
+    def above(self, tree: BoxTree) -> Boxes:
+        """The box of each node of the tree: that of its cell, or what holds all boxes below it."""
+        count, d = len(tree.feature), self.low.shape[1]
+        up = Boxes(np.zeros((count, d)), np.zeros((count, d)), np.zeros((count, d), bool), np.zeros((count, d), bool))
+        for node in reversed(range(count)):
+            if tree.feature[node] < 0:
+                up._put(node, self, [tree.cell[node]])
+            else:
+                # Cells without donors say nothing; a node comes before those below it.
+                up._put(node, up, [n for n in tree.next[node] if n >= 0 and up.some[n].any()])
+        return up
+
+    def _put(self, at: int, other: Boxes, rows: list) -> None:
+        if len(rows):
+            self.low[at], self.high[at] = other.low[rows].min(axis=0), other.high[rows].max(axis=0)
+            self.some[at], self.every[at] = other.some[rows].any(axis=0), other.every[rows].all(axis=0)
+
+    def pairs(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The bound of `least` for one box per row."""
+        there = ~np.isnan(x)
+        shared = (there & self.some[at]).sum(axis=1)
+        gap = np.maximum(np.maximum(self.low[at] - x, x - self.high[at]), 0.0)
+        total = (np.where(self.every[at] & there, gap, 0.0) ** 2).sum(axis=1)
+        return np.where(shared > 0, total * x.shape[1] / np.maximum(shared, 1), np.inf)
+
     def least(self, x: np.ndarray) -> np.ndarray:
         """A lower bound of the squared distance of each row to each cell; infinite where none is comparable."""
         there = ~np.isnan(x)
@@ -181,40 +223,93 @@ def _boxes(placed: DataFrame, cells: int, d: int) -> Boxes:
     return Boxes(low, high, some, every)
 
 
-def _visits(asked: DataFrame, boxes: Boxes, d: int, reach: int | None) -> DataFrame:
-    """(cell, id, x, wanted, bounds): each receiver with the `reach` nearest cells, or with all within its widest bound."""
+def _within(x: np.ndarray, far: np.ndarray, tree: BoxTree, up: Boxes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, cells) of all cells within `far` of each row, from the root downwards, some pairs at a time."""
+    most = max(1, (1 << 20) // x.shape[1])
+    waiting = [(np.arange(len(x)), np.zeros(len(x), np.int64))]
+    while waiting:
+        row, node = waiting.pop()
+        if len(row) > most:
+            waiting += [(row[most:], node[most:]), (row[:most], node[:most])]
+            continue
+        least = up.pairs(x[row], node)
+        near = (least <= far[row] ** 2 * SLACK) & np.isfinite(least)
+        row, node = row[near], node[near]
+        leaf = tree.feature[node] < 0
+        if leaf.any():
+            yield row[leaf], tree.cell[node[leaf]]
+        to = tree.next[node[~leaf]]
+        if len(to):
+            waiting.append((np.repeat(row[~leaf], 3)[to.ravel() >= 0], to[to >= 0]))
+
+
+def _visits(asked: DataFrame, tree: BoxTree, boxes: Boxes, d: int, before: int, reach: int | None) -> DataFrame:
+    """(cell, id, x, wanted, bounds, reach): each receiver with the cells that it looks into next.
+
+    For a reach of 1 that is its own cell, for a larger one the `reach` nearest,
+    for None all within its widest bound. Cells that it has seen are left out:
+    its own and the `before` nearest, or as many as its own `reach` says.
+    """
+    up = boxes.above(tree) if reach is None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(x: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Numbers of row and cell for what rows have seen of the nearest cells."""
+        found = [np.zeros(0, np.int64)]
         step = max(1, (1 << 20) // max(len(boxes.low), d))
+        for n in np.unique(upto[upto > 1]):
+            wide = np.flatnonzero(upto == n)
+            for low in range(0, len(wide), step):
+                rows = wide[low : low + step]
+                order = np.argsort(boxes.least(x[rows]), axis=1, kind="stable")[:, :n]
+                found.append((rows[:, None] * tree.cells + order).ravel())
+        return np.concatenate(found)
+
+    def further(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = _matrix(part.column("x"), d)
+        own = tree.place(x)
+        if reach == 1:
+            yield np.arange(len(x)), own
+        elif reach is not None:
+            step = max(1, (1 << 20) // max(len(boxes.low), d))
+            for low in range(0, len(x), step):
+                least = boxes.least(x[low : low + step])
+                cell = np.argsort(least, axis=1, kind="stable")[:, before if before > 1 else 0 : reach]
+                row = np.repeat(np.arange(len(least)), cell.shape[1])
+                cell = cell.ravel()
+                new = np.isfinite(least[row, cell]) & (cell != own[low + row])
+                yield low + row[new], cell[new]
+        else:
+            far = np.array([np.inf if None in v else max(v) for v in part.column("bounds").to_pylist()])
+            upto = part.column("reach").to_numpy()
+            at = np.flatnonzero(upto < tree.cells)
+            x, own, far, upto = x[at], own[at], far[at], upto[at]
+            known = seen(x, upto)
+            for row, cell in _within(x, far, tree, up):
+                new = ((upto[row] == 0) | (cell != own[row])) & ~np.isin(row * tree.cells + cell, known)
+                yield at[row[new]], cell[new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, step):
-                part = b.slice(start, step)
-                least = boxes.least(_matrix(part.column("x"), d))
-                if reach is None:
-                    far = np.array([np.inf if None in v else max(v) for v in part.column("bounds").to_pylist()])
-                    row, cell = np.nonzero((least <= (far**2 * SLACK)[:, None]) & np.isfinite(least))
-                else:
-                    cell = np.argsort(least, axis=1, kind="stable")[:, :reach]
-                    row = np.repeat(np.arange(part.num_rows), cell.shape[1])
-                    cell = cell.ravel()
-                    row, cell = row[np.isfinite(least[row, cell])], cell[np.isfinite(least[row, cell])]
+            for row, cell in further(b):
                 for low in range(0, len(row), 4096):
-                    taken = part.take(pa.array(row[low : low + 4096]))
+                    taken = b.take(pa.array(row[low : low + 4096]))
                     yield pa.RecordBatch.from_arrays([pa.array(cell[low : low + 4096].astype(np.int32)), *taken.columns], names=["cell", *taken.schema.names])
 
-    return asked.mapInArrow(run, "cell int, id long, x array<double>, wanted array<int>, bounds array<double>")
+    return asked.mapInArrow(run, "cell int, id long, x array<double>, wanted array<int>, bounds array<double>, reach int")
 
 
 def _nearest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray, k: int, far: np.ndarray):
     """(row of x, row of y, distance) of each row's k nearest, copies counted, none beyond `far`; y is compared whole."""
     d = x.shape[1]
     mx, my = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
-    x0, y0 = np.nan_to_num(x), np.nan_to_num(y)
+    # About the mean of y, for products lose digits against the size of what they multiply.
+    middle = np.nan_to_num(y).sum(axis=0) / np.maximum(my.sum(axis=0), 1)
+    x0, y0 = np.nan_to_num(x - middle), np.nan_to_num(y - middle)
     shared = mx @ my.T
     scale = np.where(shared > 0, d / np.maximum(shared, 1), np.inf)
     rough = (x0**2) @ my.T + mx @ (y0**2).T - 2 * x0 @ y0.T
     rough = np.where(shared > 0, np.maximum(rough, 0.0) * scale, np.inf)
-    # Products lose digits against the size of the rows: allow for it before measuring again.
+    # Allow for the digits that are lost before measuring again.
     loss = 1e-14 * d * d * ((x0**2).sum(axis=1) + (y0**2).sum(axis=1).max(initial=0.0))
     limit = far**2 * SLACK
     if y.shape[0] > k:
@@ -227,7 +322,11 @@ def _nearest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray,
         out_i.append(a), out_j.append(b), out_d.append(np.sqrt(square * float(d) / shared[a, b]))
     if not out_i:
         return i, j, np.zeros(0)
-    dist = np.concatenate(out_d)
+    return _first(i, j, np.concatenate(out_d), weight, rank, k, far)
+
+
+def _first(i: np.ndarray, j: np.ndarray, dist: np.ndarray, weight: np.ndarray, rank: np.ndarray, k: int, far: np.ndarray):
+    """In order, the k nearest of the pairs of each row, copies counted, none beyond `far`."""
     order = np.lexsort((rank[j], dist, i))
     i, j, dist = i[order], j[order], dist[order]
     upto = np.cumsum(weight[j])
@@ -237,11 +336,70 @@ def _nearest(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray,
     return i[kept], j[kept], dist[kept]
 
 
-FOUND = "id long, g int, dist double, rank long, w long, chosen array<double>"
+def _kth(rows: int, i: np.ndarray, dist: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """The distance of each row's last donor, infinite where there are fewer than k."""
+    held, last = np.zeros(rows), np.zeros(rows)
+    np.add.at(held, i, weight)
+    np.maximum.at(last, i, dist)
+    return np.where(held >= k, last, np.inf)
+
+
+def _nearest_leaves(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray, k: int, far: np.ndarray):
+    """The same as `_nearest`, for many rows: y is cut into leaves, and only those within a row's bound are compared with it.
+
+    A row without a bound takes one from its own leaf, if that has k donors.
+    """
+    tree = BoxTree(y, -(-len(y) // LEAF_ROWS))
+    if tree.cells == 1:
+        return _blocks(x, y, weight, rank, k, far)
+    leaf, own = tree.place(y), tree.place(x)
+    order = np.argsort(leaf, kind="stable")
+    ends = np.searchsorted(leaf[order], np.arange(tree.cells + 1))
+    boxes, far, parts = Boxes.of(leaf, y, tree.cells), far.copy(), []
+
+    def compare(row: np.ndarray, cell: np.ndarray) -> None:
+        """Rows with a leaf each."""
+        by = np.argsort(cell, kind="stable")
+        row, cuts = row[by], np.searchsorted(cell[by], np.arange(tree.cells + 1))
+        for c in np.unique(cell):
+            rows, donors = row[cuts[c] : cuts[c + 1]], order[ends[c] : ends[c + 1]]
+            i, j, dist = _blocks(x[rows], y[donors], weight[donors], rank[donors], k, far[rows])
+            parts.append((rows[i], donors[j], dist))
+
+    without = np.flatnonzero(np.isinf(far))
+    compare(without, own[without])
+    if parts:
+        i, j, dist = (np.concatenate(p) for p in zip(*parts))
+        far = np.minimum(far, _kth(len(x), i, dist, weight[j], k))
+    first = np.zeros(len(x), bool)
+    first[without] = True
+    step = max(1, (1 << 21) // tree.cells)
+    for low in range(0, len(x), step):
+        least = boxes.least(x[low : low + step])
+        row, cell = np.nonzero((least <= (far[low : low + step] ** 2 * SLACK)[:, None]) & np.isfinite(least))
+        row += low
+        new = ~first[row] | (cell != own[row])
+        compare(row[new], cell[new])
+    i, j, dist = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return _first(i, j, dist, weight, rank, k, far)
+
+
+def _blocks(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rank: np.ndarray, k: int, far: np.ndarray):
+    """`_nearest` for some rows of x at a time."""
+    step = max(1, (1 << 21) // max(len(y), 1))
+    parts = []
+    for low in range(0, max(len(x), 1), step):
+        i, j, dist = _nearest(x[low : low + step], y, weight, rank, k, far[low : low + step])
+        parts.append((i + low, j, dist))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+FOUND = "id long, g int, dist double, rank long, w long, far double, chosen array<double>"
 
 
 def _search(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, d: int) -> DataFrame:
-    """Per receiver and group the nearest donors of each block that it meets.
+    """Per receiver and group the nearest donors of each block that it meets, with the distance of
+    the k-th one (`far`), if there are so many.
 
     Donors and visitors of a cell are dealt into blocks by hash, and every two
     blocks of a cell meet in a group of their own, so no group is unbounded.
@@ -254,7 +412,7 @@ def _search(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, d: i
     )
     plan = F.broadcast(materialise(plan, "cells"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = visits.join(plan, "cell").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("b", spread(F.col("db"))).drop("db", "rb")
+    left = visits.drop("reach").join(plan, "cell").withColumn("r", F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")).withColumn("b", spread(F.col("db"))).drop("db", "rb")
     right = placed.join(plan, "cell").withColumn("b", F.pmod(F.xxhash64("rank"), F.col("db")).cast("int")).withColumn("r", spread(F.col("rb"))).drop("db", "rb")
 
     def run(receivers: pa.Table, donors: pa.Table) -> pa.Table:
@@ -271,17 +429,20 @@ def _search(visits: DataFrame, placed: DataFrame, sizes: DataFrame, k: int, d: i
                     asked.setdefault(g, []).append((i, np.inf if far is None else far))
             for g, rows in asked.items():
                 has = np.array([j for j, c in enumerate(choices) if c[g] is not None], np.int64)
-                step = max(1, (1 << 21) // max(len(has), 1))
-                for low in range(0, len(rows) if len(has) else 0, step):
-                    at = np.array([i for i, _ in rows[low : low + step]])
-                    far = np.array([f for _, f in rows[low : low + step]])
-                    i, j, dist = _nearest(x[at], y[has], weight[has], rank[has], k, far)
-                    chosen = [choices[m][g] for m in has[j]]
-                    parts.append((ids[at[i]], np.full(len(i), g, np.int32), dist, rank[has[j]], weight[has[j]], chosen))
-        names = ["id", "g", "dist", "rank", "w"]
-        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+                if not len(has):
+                    continue
+                at, far = np.array([i for i, _ in rows]), np.array([f for _, f in rows])
+                # Cutting the donors costs about as much as comparing a leaf of receivers with all of them.
+                search = _nearest_leaves if min(len(rows), len(has)) > LEAF_ROWS else _blocks
+                i, j, dist = search(x[at], y[has], weight[has], rank[has], k, far)
+                chosen = [choices[m][g] for m in has[j]]
+                kth = _kth(len(at), i, dist, weight[has[j]], k)[i]
+                parts.append((ids[at[i]], np.full(len(i), g, np.int32), dist, rank[has[j]], weight[has[j]], kth, chosen))
+        names = ["id", "g", "dist", "rank", "w", "far"]
+        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
         columns = [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], t) for n, t in enumerate(kinds)]
-        columns.append(pa.array([c for p in parts for c in p[5]], pa.list_(pa.float64())))
+        columns[5] = pc.if_else(pc.is_inf(columns[5]), None, columns[5])
+        columns.append(pa.array([c for p in parts for c in p[6]], pa.list_(pa.float64())))
         return pa.table(columns, names=[*names, "chosen"])
 
     keys = ["cell", "r", "b"]
@@ -295,35 +456,43 @@ def _taken(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("t", F.least(F.col("w"), left)).filter("t > 0")
 
 
-def _bounded(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Receivers with the distance of the k-th donor per wanted group; null where there are fewer."""
-    kth = _taken(found, k).groupBy("id", "g").agg(F.sum("t").alias("n"), F.max("dist").alias("far"))
-    per = kth.filter(F.col("n") >= k).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "far"))).alias("_far"))
+def _bounded(asked: DataFrame, kth: DataFrame) -> DataFrame:
+    """Receivers with their `far` per wanted group; null where there is none."""
+    per = kth.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "far"))).alias("_far"))
     joined = asked.drop("bounds").join(per, "id", "left")
     far = F.transform("wanted", lambda g: F.try_element_at("_far", g))
-    return joined.select("id", "x", "wanted", far.alias("bounds"))
+    return joined.select("id", "x", "wanted", far.alias("bounds"), "reach")
 
 
 def nearest(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The k nearest donors of each distinct receiver and group.
 
-    `receivers` have `x` (array of doubles, null where missing) and `wanted`
-    (numbers of the groups to search); `donors` have `x` of the same length and
-    `choices`, per group an array of doubles or null where the donor can not
-    serve the group. Returns x, g, chosen and t, the number of neighbours that
+    `receivers` have `x` (array of doubles, null where missing) and, unless it is
+    the first one for all, `wanted` (numbers of the groups to search); `donors`
+    have `x` of the same length and `choices`, per group an array of doubles or
+    null where the donor can not serve the group. Returns x, g, chosen and t, the number of neighbours that
     a row stands for. Receivers without any comparable donor give no rows.
     """
+    found, asked = _found(receivers, donors, k, cell_rows)
+    return found.join(asked, "id").select("x", "g", "chosen", "t")
+
+
+def _found(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of `nearest` with the receiver's `id` in place of x, and (id, x)."""
     own = donors.select("x", "choices").groupBy("x", "choices").agg(F.count("*").alias("w"))
     some = lambda x: F.exists(x, lambda v: v.isNotNull())
     order = ["x", "choices"]
     pool = own.filter(some("x")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
     pool = materialise(pool, "donors")
-    asked = receivers.select("x", "wanted").filter(some("x") & (F.size("wanted") > 0)).distinct()
+    wanted = F.col("wanted") if "wanted" in receivers.columns else F.array(F.lit(0))
+    asked = receivers.select("x", wanted.alias("wanted")).filter(some("x") & (F.size("wanted") > 0)).distinct()
     none = F.transform("wanted", lambda g: F.lit(None).cast("double"))
-    asked = materialise(asked.withColumn("id", F.monotonically_increasing_id()).select("id", "x", "wanted", none.alias("bounds")), "receivers")
+    asked = asked.withColumn("id", F.monotonically_increasing_id())
+    asked = materialise(asked.select("id", "x", "wanted", none.alias("bounds"), F.lit(0).alias("reach")), "receivers")
+    names = asked.select("id", "x")
     size, first = pool.count(), pool.select("x").first()
     if first is None:
-        return asked.select("x", F.lit(0).alias("g"), F.array(F.lit(0.0)).alias("chosen"), F.lit(0).cast("long").alias("t")).limit(0)
+        return asked.select("id", F.lit(0).alias("g"), F.array(F.lit(0.0)).alias("chosen"), F.lit(0).cast("long").alias("t")).limit(0), names
     d = len(first["x"])
     tree = _tree(pool, size, d, cell_rows)
 
@@ -336,28 +505,38 @@ def nearest(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int = CE
     placed = materialise(pool.select("x", "choices", "w", "rank").mapInArrow(place, kinds), "cells")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("donors"))
     boxes = _boxes(placed, tree.cells, d)
-    reach, open_rows, done = 1, asked, None
+    # What is found is kept, so that no two rows meet twice.
+    before, reach, open_rows, done, found = 0, 1, asked, None, None
     while tree.cells > 1:
-        found = _search(_visits(open_rows, boxes, d, reach), placed, sizes, k, d)
-        now = materialise(_bounded(open_rows, found, k), "bounds")
+        new = materialise(_search(_visits(open_rows, tree, boxes, d, before, reach), placed, sizes, k, d), "found")
+        found = new if found is None else found.unionByName(new)
+        if before == 0:
+            # The k-th of one block bounds that of all, and needs no order.
+            kth = new.filter("far is not null").groupBy("id", "g").agg(F.min("far").alias("far"))
+        else:
+            mine = _taken(found.join(open_rows.select("id"), "id", "left_semi"), k)
+            kth = mine.groupBy("id", "g").agg(F.sum("t").alias("n"), F.max("dist").alias("far")).filter(F.col("n") >= k)
+        now = materialise(_bounded(open_rows.withColumn("reach", F.lit(reach)), kth), "bounds")
         closed = F.forall("bounds", lambda b: b.isNotNull())
-        if reach >= tree.cells or now.filter(~closed).isEmpty():
-            done = now if done is None else done.unionByName(now)
-            break
+        # Receivers with fewer than k donors in all cells keep an open bound, and have seen them all.
         part = now.filter(closed)
         done = part if done is None else done.unionByName(part)
-        open_rows, reach = now.filter(~closed), 8 * reach
-    # Receivers with fewer than k donors in all cells keep an open bound.
-    found = _search(_visits(asked if done is None else done, boxes, d, None), placed, sizes, k, d)
-    return _taken(found, k).join(asked.select("id", "x"), "id").select("x", "g", "chosen", "t")
+        if reach >= tree.cells or now.filter(~closed).isEmpty():
+            break
+        open_rows, before, reach = now.filter(~closed), reach, 8 * reach
+    last = _search(_visits(asked if done is None else done, tree, boxes, d, 0, None), placed, sizes, k, d)
+    return _taken(last if found is None else found.unionByName(last), k).select("id", "g", "chosen", "t"), names
 
 
 def nearest_means(receivers: DataFrame, donors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(x, g, means): per distinct receiver and group the means of the chosen values over the k nearest donors."""
-    spread = nearest(receivers, donors, k, cell_rows).select("x", "g", "t", F.posexplode("chosen").alias("i", "v"))
-    means = spread.groupBy("x", "g", "i").agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("mean"))
-    lists = means.groupBy("x", "g").agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m"))
-    return lists.select("x", "g", F.col("m.mean").alias("means"))
+    found, asked = _found(receivers, donors, k, cell_rows)
+    spread = found.select("id", "g", "t", F.posexplode("chosen").alias("i", "v"))
+    means = spread.groupBy("id", "g", "i").agg((F.sum(F.col("t") * F.col("v")) / F.sum("t")).alias("mean"))
+    lists = means.groupBy("id", "g").agg(F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("m"))
+    named = lists.join(asked, "id").select("x", "g", F.col("m.mean").alias("means"))
+    # Equal receivers with other groups to search have an id each, and may share some groups.
+    return named.groupBy("x", "g").agg(F.first("means").alias("means")) if "wanted" in receivers.columns else named
 
 
 def nearest_votes(receivers: DataFrame, donors: DataFrame, k: int) -> DataFrame:

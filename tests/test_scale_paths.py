@@ -185,6 +185,54 @@ def test_nearest_of_any_width(spark, d, gaps):
             assert abs(means[0] - want[key]) < 1e-12
 
 
+def test_a_receiver_looks_into_a_cell_once_and_into_few(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n, m = 900, 300
+    where = rng.permutation(n + m).astype(float)
+    plain = lambda p: [float(p), float(int(p) % 5), float(int(p) % 3 == 0)]
+    donors = spark.createDataFrame([(plain(p), [[p]]) for p in where[:n].tolist()], "x array<double>, choices array<array<double>>")
+    receivers = spark.createDataFrame([(plain(p), [0]) for p in where[n:].tolist()], "x array<double>, wanted array<int>")
+    visits, search = [], nb._search
+    monkeypatch.setattr(nb, "_search", lambda v, *rest: visits.extend((r["id"], r["cell"]) for r in v.collect()) or search(v, *rest))
+    got = {tuple(r["x"]): r["means"][0] for r in nb.nearest_means(receivers, donors, 3, 20).collect()}
+    assert len(visits) == len(set(visits)) and len(visits) < 3 * m
+    pool = np.array([plain(p) for p in where[:n]])
+    for p in where[n:]:
+        dist = np.sqrt(((pool - plain(p)) ** 2).sum(axis=1))
+        best = sorted(range(n), key=lambda j: (dist[j], tuple(pool[j])))[:3]
+        assert abs(got[tuple(plain(p))] - np.mean(where[best])) < 1e-9
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("bound", [np.inf, 9.0])
+def test_leaves_and_boxes_take_what_all_pairs_take(gaps, bound):
+    rng = np.random.default_rng(5)
+    y = np.column_stack([rng.permutation(1500) + 5e6, rng.integers(0, 50, 1500), rng.integers(0, 2, (1500, 6))]).astype(float)
+    x = np.column_stack([rng.permutation(1500)[:400] + 5e6, rng.integers(0, 50, 400), rng.integers(0, 2, (400, 6))]).astype(float)
+    y[:300] = y[0]
+    if gaps:
+        x[rng.random(x.shape) < 0.1], y[rng.random(y.shape) < 0.1] = np.nan, np.nan
+        x[0] = np.nan
+    weight, rank, far = rng.integers(1, 3, 1500), rng.permutation(1500), np.where(np.arange(400) % 2, bound, np.inf)
+    for one, other in zip(nb._nearest_leaves(x, y, weight, rank, 5, far), nb._nearest(x, y, weight, rank, 5, far)):
+        assert one.tolist() == other.tolist()
+    tree = nb.BoxTree(y, 100)
+    boxes = nb.Boxes.of(tree.place(y), y, tree.cells)
+    up, count = boxes.above(tree), []
+    pairs = up.pairs
+    up.pairs = lambda a, b: count.append(len(a)) or pairs(a, b)
+    near = {(i, c) for rows, cells in nb._within(x, np.full(400, 9.0), tree, up) for i, c in zip(rows.tolist(), cells.tolist())}
+    assert near == set(zip(*(a.tolist() for a in np.nonzero(boxes.least(x) <= 81.0 * nb.SLACK))))
+    assert gaps or sum(count) < 400 * tree.cells / 2
+
+
+def test_equal_receivers_with_other_groups(spark):
+    donors = spark.createDataFrame([([float(i)], [[float(i)], [2.0 * i]]) for i in range(40)], "x array<double>, choices array<array<double>>")
+    receivers = spark.createDataFrame([([7.2], [0]), ([7.2], [0, 1])], "x array<double>, wanted array<int>")
+    got = sorted((r["g"], r["means"][0]) for r in nb.nearest_means(receivers, donors, 2, 10).collect())
+    assert got == [(0, 7.5), (1, 15.0)]
+
+
 def test_no_donors_and_hopeless_rows(spark):
     rows = spark.createDataFrame([([1.0, None], [0]), ([None, None], [0]), ([2.0, 1.0], [])], "x array<double>, wanted array<int>")
     none = spark.createDataFrame([], "x array<double>, choices array<array<double>>")

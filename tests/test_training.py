@@ -201,3 +201,15 @@ def test_a_slow_model_does_not_hold_up_the_others(spark, flowers):
     means, errors, _ = training.cross_validate(data, models, "classification", len(labels), folds=2, limit=20)
     assert [r["Model"] for r in means.collect()] == ["Decision Tree"] and errors == {"Endless": "took longer than 20 s"}
     assert spark.range(10).count() == 10
+
+
+def test_a_large_frame_of_one_file_is_fitted_in_many_parts(flowers, monkeypatch):
+    seen, validate = [], training.cross_validate
+    monkeypatch.setattr(training, "cross_validate", lambda data, *rest: seen.append(data) or validate(data, *rest))
+    train = lambda: training.train_leaderboard(flowers.coalesce(1), "price", "regression", ["id"], ["length", "width"], include=["Linear Regression"])
+    whole = {r["Model"]: r["MAE"] for r in train().leaderboard.collect()}
+    monkeypatch.setattr(training, "PART_ROWS", 16, raising=False)
+    parts = {r["Model"]: r["MAE"] for r in train().leaderboard.collect()}
+    counts = [r["count"] for r in seen[1].groupBy(F.spark_partition_id()).count().collect()]
+    assert seen[0].count() == sum(counts) and len(counts) > 6 and max(counts) <= 40
+    assert all(math.isclose(parts[m], whole[m], rel_tol=1e-9) for m in whole)
